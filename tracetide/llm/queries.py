@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracetide.llm import line_dedup, url_filter
+from tracetide.llm import line_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE}

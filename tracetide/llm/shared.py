@@ -48,10 +48,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Shuffle files of a finished statement are removed at once instead of at the driver's next collection.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that later steps start from there."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, tag), df.schema
-    df.write.parquet(path, partitionBy=partition_by)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     if partition_by:
         schema = type(schema)([f for f in schema if f.name not in partition_by] + [schema[c] for c in partition_by])
     return spark.read.schema(schema).parquet(path)
