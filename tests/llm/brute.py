@@ -23,3 +23,33 @@ def repeated_strings(texts: dict[int, str | None], width: int = 100) -> dict[int
         kept = bytes(b for b, g in zip(raw, gone, strict=False) if not g)
         out[doc] = (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def near_classes(texts: dict[int, str | None], percent: int = 85) -> dict[int, tuple[int, int, bool]]:
+    """(n_shingles, component_id, kept) by comparing all pairs that share a shingle."""
+    import re
+
+    sets = {}
+    for doc, text in texts.items():
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        found = re.findall(r"[^\x20\x09-\x0D]+", lower)
+        sets[doc] = {tuple(found[i : i + 5]) for i in range(len(found) - 4)} or ({tuple(found)} if found else set())
+    owners: dict = {}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for doc in sorted(sets):
+        common: dict = {}
+        for s in sets[doc]:
+            for other in owners.setdefault(s, []):
+                common[other] = common.get(other, 0) + 1
+            owners[s].append(doc)
+        for other, n in common.items():
+            if 100 * n >= percent * (len(sets[doc]) + len(sets[other]) - n):
+                a, b = sorted((root(doc), root(other)))
+                parent[b] = a
+    return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
