@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracetide.llm import decontaminate, line_dedup, near_dedup, suffix_dedup, suffix_lm, url_filter, warc
+from tracetide.llm import decontaminate, line_dedup, near_dedup, pieces, suffix_dedup, suffix_lm, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_lm_scoring": suffix_lm.op7_lm_scoring,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
