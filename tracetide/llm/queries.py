@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracetide.llm import decontaminate, line_dedup, near_dedup, pieces, suffix_dedup, suffix_lm, url_filter, warc
+from tracetide.llm import decontaminate, graph_index, line_dedup, near_dedup, pieces, quality, suffix_dedup, suffix_lm, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_nearest_neighbours": graph_index.op6_nearest_neighbours,
     "op7_lm_scoring": suffix_lm.op7_lm_scoring,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
