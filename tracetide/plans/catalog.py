@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracetide.plans import interval_queries
+
+MODULES = [interval_queries]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: query for module in MODULES for name, query in module.ORACLES.items()}
