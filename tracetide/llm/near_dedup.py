@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import NGRAM, connected_components, materialise, mix, ngrams, text_slices, words
+from tracetide.llm.shared import NGRAM, bound_batches, connected_components, materialise, mix, ngrams, text_slices, words
 
 SLOTS, ROWS, SHINGLE = 128, 4, 5
 _BITS = 7
@@ -148,6 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed on whole sets. Buckets that still hold several classes are then sorted by signature, and
     neighbours of different classes are confirmed too, in other orders each time, until that finds no more.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType
     all_sigs = materialise(base.mapInArrow(_signatures, "doc long, n long, h1 long, h2 long, sig binary"), "near-signatures")
@@ -164,8 +165,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("top")).select("bucket", (-F.col("top.doc")).alias("centre"))
     stars = crowded.join(centre, "bucket").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
     sigs = materialise(reps.join(crowded.select("doc").distinct(), "doc", "left_semi"), "near-crowded-signatures")
+    asked = sigs.select("doc").hint("merge")
+    sets = materialise(base.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, shingles binary"), "near-sets")
 
-    links = _links(base, sigs, stars, percent)
+    links = _links(sets, sigs, stars, percent)
     labels = connected_components(links)
     order = 0
     while order < SLOTS // ROWS:
@@ -173,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         turn = F.concat(F.substring("sig", order * 16 + 1, SLOTS * 4), F.substring("sig", 1, order * 16))
         sorted_rows = state.join(mixed, "bucket", "left_semi").join(sigs.select("doc", F.substring(turn, 1, 64).alias("turn")), "doc").repartitionByRange("bucket", "turn", "doc").sortWithinPartitions("bucket", "turn", "doc")
-        more = materialise(_links(base, sigs, sorted_rows.select("bucket", "doc", "label").mapInArrow(_neighbours, "a long, b long"), percent), "near-more")
+        more = materialise(_links(sets, sigs, sorted_rows.select("bucket", "doc", "label").mapInArrow(_neighbours, "a long, b long"), percent), "near-more")
         if not more.limit(1).count():
             break
         links = materialise(links.union(more), "near-links")
@@ -186,14 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
-def _links(base: DataFrame, sigs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, sigs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets overlap enough; sizes and signatures rule out most others beforehand."""
     one = sigs.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("one"))
     two = sigs.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("two"))
     near = pairs.distinct().join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = materialise(near.select("a", "b", "one", "two").mapInArrow(_agreeing(least_agreement(percent)), "a long, b long"), "near-pairs")
-    asked = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = materialise(base.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, shingles binary"), "near-sets")
     both = near.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("two")), "b")
     return materialise(both.select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
 
