@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracetide.llm.shared import bound_batches, materialise, mix, ngrams, text_slices, words
 
 FEATURES = ["log_words", "upper", "punctuation", "symbols", "digits", "word_bytes", "distinct_words", "distinct_threes", "top_word", "line_words", "repeated_lines", "shouted_words", "odd_words", "non_ascii", "stops"]
-BINS, RIDGE, ROUNDS = 12, 1e-4, 25
+BINS, RIDGE, ROUNDS = 12, 6e-3, 25
 #: Signs that prose seldom has.
 SYMBOLS = b"!|*%&#$@~^<>{}[]\\=+_"
 _CLASS = np.zeros((7, 256), bool)
