@@ -28,7 +28,7 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`unit_id, sample_idx, value` over the full grid of hours; null where a unit has no event."""
     e = timed_events(spark, sf_dir).select((F.col("user_id") % UNITS).alias("unit_id"), F.floor("t").alias("sample_idx"), "value")
-    cells = e.groupBy("unit_id", "sample_idx").agg(F.round(F.avg("value"), 6).alias("value"))
+    cells = e.groupBy("unit_id", "sample_idx").agg(F.round(F.avg("value"), 3).alias("value"))
     ends = e.groupBy("unit_id").agg(F.lit(1).alias("one")).crossJoin(e.agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b")))
     grid = ends.select("unit_id", F.explode(F.sequence("a", "b")).alias("sample_idx"))
     return grid.join(cells, ["unit_id", "sample_idx"], "left")
@@ -72,7 +72,7 @@ def supplier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 te AS (SELECT event_id, ts, user_id, event_type, value, (epoch_us(ts) / 1e6 - 1704067200) / 3600 AS t FROM events),
 e AS (SELECT *, user_id % 12 AS unit_id, CAST(floor(t) AS BIGINT) AS sample_idx FROM te),
-cells AS (SELECT unit_id, sample_idx, round(avg(value), 6) AS value FROM e GROUP BY 1, 2),
+cells AS (SELECT unit_id, sample_idx, round(avg(value), 3) AS value FROM e GROUP BY 1, 2),
 grid AS (SELECT unit_id, unnest(generate_series(a, b)) AS sample_idx FROM (SELECT DISTINCT unit_id FROM e), (SELECT min(sample_idx) AS a, max(sample_idx) AS b FROM e)),
 trace AS (SELECT unit_id, sample_idx, value FROM grid LEFT JOIN cells USING (unit_id, sample_idx)),
 mask AS (SELECT sample_idx, count(value) >= 8 AS is_valid FROM trace GROUP BY 1),
