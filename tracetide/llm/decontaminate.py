@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import materialise, ngrams, text_slices, words
+from tracetide.llm.shared import bound_batches, materialise, ngrams, text_slices, words
 
 SEED = 5
 #: Of each run of this many n-grams of an item the rarest in the corpus becomes a seed.
@@ -91,6 +91,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     documents are dealt by hash and joined.
     """
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
     bench = materialise(items.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "leak-items")
     grams = materialise(bench.select("item", "text").mapInArrow(_item_grams, "item long, at int, gram long, n int, words int"), "leak-grams")

@@ -48,6 +48,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Bytes of one Arrow batch; Spark's default of 64 MB multiplies in the workers' arrays.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Shuffle files of a finished statement are removed at once instead of at the driver's next collection.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -121,7 +130,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole rows of about `limit` bytes (one row at least).
 
     Yields (first row, offsets from 0, bytes). Null is the empty text.

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import NGRAM, materialise, mix, powers, prefix_hash, text_slices
+from tracetide.llm.shared import NGRAM, bound_batches, materialise, mix, powers, prefix_hash, text_slices
 
 WIDTH, TOKEN = 100, 40
 #: Bytes of text whose suffixes meet in one bucket, suffixes sampled for the splitters, most bytes hashed at once.
-BUCKET_BYTES, SAMPLE, PIECE = 16 << 20, 50_000, 1 << 22
+BUCKET_BYTES, SAMPLE, PIECE = 8 << 20, 50_000, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -30,7 +30,7 @@ def chosen_suffixes(offsets: np.ndarray, data: np.ndarray, width: int, token: in
     """(row, first, count, lead, all): runs of strings that share their chosen suffix.
 
     `first` is the byte in the row at which the first of `count` consecutive strings starts, `lead` the
-    leading token, `all` a hash of all bytes the run covers and of the suffix's place among them. Long
+    leading token (hashed anew, as the smallest hashes of many strings are all small), `all` a hash of all bytes the run covers and of the suffix's place among them. Long
     data go through in pieces that overlap by one string.
     """
     span = width - token + 1
@@ -57,7 +57,7 @@ def chosen_suffixes(offsets: np.ndarray, data: np.ndarray, width: int, token: in
         cut, count = cut[at[cut] >= 0], count[at[cut] >= 0]
         suffix, end = at[cut], cut + count - 1 + width
         covered = mix((total[end] - total[cut]) * inverse[cut] + (suffix - cut).astype(np.uint64) * NGRAM[60] + (end - cut).astype(np.uint64) * NGRAM[61])
-        yield row[cut], cut + base - offsets[row[cut]], count, lead[suffix], covered
+        yield row[cut], cut + base - offsets[row[cut]], count, mix(lead[suffix] + NGRAM[33]), covered
 
 
 def _batch_suffixes(batch: pa.RecordBatch, width: int, token: int) -> tuple[np.ndarray, ...]:
@@ -90,7 +90,7 @@ class Splitters:
     """
 
     def __init__(self, sample: np.ndarray, n: int):
-        """sample: rows (lead, all, doc), at most `SAMPLE`."""
+        """sample: rows (lead, all, doc), about `SAMPLE` of them."""
         even = (np.arange(1, n, dtype=object) * 2**64 // max(n, 1)).astype(np.uint64) if n > 1 else np.zeros(0, np.uint64)
         rows = [np.column_stack([even, np.zeros_like(even), np.zeros_like(even)])] if len(even) else []
         if len(sample) and n > 1:
@@ -163,19 +163,19 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
     size = table.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
 
+    one_in = max(1, size // (SAMPLE * 640))
+    limit = np.uint64(min(2**64 - 1, 2**64 * SAMPLE * one_in * (width - token + 2) // max(1, 2 * size)))
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lead, covered, doc, first, _ = _batch_suffixes(batch, width, token)
-            rank = mix(lead + doc.astype(np.uint64) * NGRAM[0] + first.astype(np.uint64) * NGRAM[1])
-            keep = np.argsort(rank)[:SAMPLE]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(x[keep] >> np.uint64(1) if k == 0 else x[keep])) for k, x in enumerate((rank, lead, covered, doc.astype(np.uint64)))], names=["r", "a", "b", "c"])
+            keep = mix(lead + doc.astype(np.uint64) * NGRAM[0] + first.astype(np.uint64) * NGRAM[1]) < limit
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(x[keep])) for x in (lead, covered, doc)], names=["a", "b", "c"])
 
+    got = np.zeros((0, 3), np.uint64)
     if buckets > 1:
-        share = max(1, size // (SAMPLE * 64 * 40))
-        few = table.where(F.pmod(F.xxhash64("doc"), F.lit(max(share, 16))) == 0).mapInArrow(sampled, "r long, a long, b long, c long").orderBy("r").limit(SAMPLE).select("a", "b", "c")
+        few = table.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0).mapInArrow(sampled, "a long, b long, c long")
         got = few.toPandas().to_numpy(np.int64).reshape(-1, 3).view(np.uint64)
-    else:
-        got = np.zeros((0, 3), np.uint64)
     splitters = spark.sparkContext.broadcast(Splitters(got, int(buckets)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ordered by a hash of their text, null ids come first; equal rows repeat each other. Other columns
     are not carried. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     table, ids = _key_table(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType
     spans = repeated_spans(table, width, token, bucket_bytes).groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import materialise, new_path
+from tracetide.llm.shared import bound_batches, materialise, new_path
 
 #: Payload bytes a shard is planned for, and compressed bytes at which a file of a shard is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
@@ -91,6 +91,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     header out, null ids come first. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload"))
     plan = plan_records(rows, min_bytes)
     size = rows.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
