@@ -53,3 +53,30 @@ def near_classes(texts: dict[int, str | None], percent: int = 85) -> dict[int, t
                 a, b = sorted((root(doc), root(other)))
                 parent[b] = a
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+
+
+def kept_lines(texts: dict[int, str | None], min_docs: int) -> dict[int, tuple[int, int, str]]:
+    """(lines, dropped lines, text left) by counting keys in a dictionary."""
+    space = " \t\n\x0b\x0c\r"
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(space))
+    seen: dict = {}
+    for doc, text in texts.items():
+        for k in {key(x) for x in (text or "").split("\n")}:
+            seen.setdefault(k, set()).add(doc)
+    out = {}
+    for doc, text in texts.items():
+        lines = (text or "").split("\n")
+        stay = [x for x in lines if not key(x) or len(seen[key(x)]) < min_docs]
+        out[doc] = (len(lines), len(lines) - len(stay), "\n".join(stay))
+    return out
+
+
+def best_alignment(text: list[str], item: list[str]) -> int:
+    """Smith-Waterman by its definition: match 2, mismatch -1, gap -1."""
+    best, above = 0, [0] * (len(text) + 1)
+    for word in item:
+        row = [0]
+        for j, other in enumerate(text, 1):
+            row.append(max(0, above[j - 1] + (2 if other == word else -1), above[j] - 1, row[-1] - 1))
+        best, above = max(best, *row), row
+    return best
