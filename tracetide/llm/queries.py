@@ -18,6 +18,6 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -186,7 +186,7 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
 
     def sort_bucket(key, rows):
         lead, covered, doc, first, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("lead", "covered", "doc", "first", "count"))
-        order = multikey_sort([lead, covered, doc, first])
+        order = multikey_sort([lead.view(np.uint64), covered.view(np.uint64), doc, first])  # the order of the splitters
         lead, covered, doc, first, count = (x[order] for x in (lead, covered, doc, first, count))
         new_lead = np.append(True, lead[1:] != lead[:-1])
         new_all = new_lead.copy()

@@ -100,3 +100,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return filter_urls(pages, rule_table(spark, RULES))
+
+
+_AFTER = "CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END"
+ORACLE = f"""
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, {_AFTER} AS rest FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  list_sort(list_filter(string_split(regexp_extract(string_split(rest, '#')[1], '^[^?]*\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS fields FROM p),
+c AS (SELECT *, 'https://' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS canonical FROM h),
+targets AS (SELECT url AS a, unnest([canonical,
+  regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical["'']?[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+://[^"''\\s>]*)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh["'']?[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+://[^"''\\s>]*)', 1)]) AS b FROM c WHERE position('://' IN url) > 0),
+edges AS (SELECT DISTINCT a, b FROM targets WHERE b IS NOT NULL AND b <> '' AND a <> b),
+sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON r.other = s.a),
+label AS (SELECT node, min(other) AS component FROM reach GROUP BY 1),
+rules(rh, rp, action) AS (VALUES {", ".join(str(r) for r in RULES)}),
+fits AS (SELECT page_id, url, html, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3),
+state AS (SELECT component, max(CASE WHEN action = 'block' THEN 1 ELSE 0 END) > max(CASE WHEN action = 'allow' THEN 1 ELSE 0 END) AS blocked FROM label JOIN fits ON node = url GROUP BY 1)
+SELECT c.page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, coalesce(component, c.url) AS component
+FROM c LEFT JOIN (SELECT DISTINCT * FROM fits) f ON f.page_id = c.page_id AND f.url = c.url AND f.html = c.html LEFT JOIN label ON node = c.url LEFT JOIN state USING (component)
+"""

@@ -209,3 +209,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "warc")
     manifest = write_warc(pages, out)
     return read_warc(manifest, out, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) || '0' AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT *, list_transform(range(41), lambda i: position(substr(x, CAST(i + 1 AS INT), 1) IN '0123456789abcdef') - 1) AS n FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((((n[5 * i // 4 + 1] * 16 + n[5 * i // 4 + 2]) >> CAST(3 - 5 * i % 4 AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d
+"""
