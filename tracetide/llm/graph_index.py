@@ -153,7 +153,9 @@ def build_index(points: DataFrame, shard_size: int = SHARD) -> DataFrame:
         links, start = build_graph(np.column_stack([distinct, lift]).astype(np.float32))
         return pa.table({"shard": pa.array([key[1].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "start": pa.array([start], pa.int32()), "vectors": [distinct.tobytes()], "links": [links.tobytes()], "lift": [lift.tobytes()], "members": [ids[order]], "cuts": pa.array([cuts], pa.list_(pa.int32()))})
 
-    return materialise(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX), "graph-index")
+    shards = int(stats.agg(F.sum(F.ceil(F.col("n") / shard_size))).first()[0] or 1)
+    # a shard is little data and much work, so partitions go by the number of shards and not by bytes
+    return materialise(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, INDEX), "graph-index")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
