@@ -18,7 +18,7 @@ from tracetide.llm.shared import bound_batches, materialise, new_path
 
 #: Payload bytes a shard is planned for, and compressed bytes at which a file of a shard is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
-#: Ids sampled for the borders of shards; the sample doesn't depend on how the table is stored.
+#: Ids sampled by hash for the borders of shards, about; the sample doesn't depend on how the table is stored.
 SAMPLE = 10_000
 #: Fixed value: records need a date, and equal input must give equal files.
 DATE = "2000-01-01T00:00:00Z"
@@ -94,9 +94,10 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload"))
     plan = plan_records(rows, min_bytes)
-    size = rows.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
+    size, count = (x or 0 for x in rows.agg(F.sum(F.octet_length("payload").cast("long")), F.count(F.lit(1))).first())
     shards = max(1, -(-size // shard_bytes))
-    sample = rows.where("page_id is not null").select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(SAMPLE).toPandas()["page_id"].sort_values().to_numpy(np.int64)
+    drawn = F.pmod(F.xxhash64("page_id"), F.lit(max(1, count // SAMPLE))) == 0
+    sample = rows.where(F.col("page_id").isNotNull() & drawn).select("page_id").toPandas()["page_id"].sort_values().to_numpy(np.int64)
     borders = np.unique(sample[[len(sample) * k // shards for k in range(1, shards)]]) if len(sample) else np.zeros(0, np.int64)
 
     @F.pandas_udf("int")
