@@ -66,7 +66,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     by_host = rules.groupBy(F.col("host").alias("__suffix")).agg(F.collect_set(F.struct(F.length(F.concat("host", "path")).alias("n"), F.concat("host", "path").alias("rule"), F.col("path").alias("start"), F.when(F.col("action") == "allow", 1).otherwise(0).alias("allow"))).alias("__rules"))
     labels = F.split("__host", r"\.", -1)
     suffixes = at.select(F.col("host").alias("__host")).distinct().select("__host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("__suffix"))
-    hosts = suffixes.join(by_host, "__suffix").groupBy("__host").agg(F.flatten(F.collect_list("__rules")).alias("__rules"))
+    hosts = materialise(suffixes.join(by_host, "__suffix").groupBy("__host").agg(F.flatten(F.collect_list("__rules")).alias("__rules")), "url-hosts")
     best = F.array_max(F.filter("__rules", lambda r: F.startswith(F.col("path"), r["start"])))
     return at.join(hosts, at["host"] == hosts["__host"], "left").withColumn("__best", best).withColumns({"rule": F.col("__best.rule"), "action": F.when(F.col("__best.allow") == 1, "allow").when(F.col("__best.allow") == 0, "block")}).drop("__host", "__rules", "__best")
 
