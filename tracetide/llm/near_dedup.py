@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracetide.llm.shared import NGRAM, bound_batches, connected_components, materialise, mix, ngrams, text_slices, words
 
-SLOTS, ROWS, SHINGLE = 128, 4, 5
+SLOTS, ROWS, SHINGLE, TURNS = 128, 4, 5, 4
 _BITS = 7
 _EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - _BITS)
 _PROBES = 4096
@@ -84,7 +84,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         slots = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, count, ROWS).astype(np.uint64)
         key = mix((slots * NGRAM[:ROWS]).sum(2) + np.arange(1, count + 1, dtype=np.uint64) * NGRAM[40])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("doc").to_numpy(), count))], names=["bucket", "doc"])
+        band = np.tile(np.arange(count, dtype=np.int32), len(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column("doc").to_numpy(), count))], names=["bucket", "band", "doc"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +146,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are merged first. The representatives go to 32 buckets, by bands of four of 128 slots; at 85 %
     a pair misses all of them with a chance of 6e-11. In a bucket every member gets one edge to its centre,
     the member with the most crowded buckets altogether, which keeps the edges linear in the rows. Edges are
-    confirmed on whole sets. Buckets that still hold several classes are then sorted by signature, and
-    neighbours of different classes are confirmed too, in other orders each time, until that finds no more.
+    confirmed on whole sets. Buckets that still hold several classes are then sorted by the rest of the
+    signature, and neighbours of different classes are confirmed too: a quarter of the bands at a time, each
+    bucket once, with the classes known by then.
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -157,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(known.select("doc", "n", "h1", "h2").join(equal, ["h1", "h2", "n"]).select("doc", "rep"), "near-equal")
     reps = known.join(equal.select(F.col("rep").alias("doc"), "h1", "h2", "n"), ["doc", "h1", "h2", "n"], "left_semi").select("doc", "n", "sig").dropDuplicates(["doc"])
 
-    rows = materialise(reps.select("doc", "sig").mapInArrow(_bands, "bucket long, doc long"), "near-bands")
+    rows = materialise(reps.select("doc", "sig").mapInArrow(_bands, "bucket long, band int, doc long"), "near-bands")
     crowd = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = materialise(rows.join(crowd, "bucket"), "near-crowded")
     score = crowded.groupBy("doc").agg(F.round(F.sum(F.log("size")), 6).alias("score"))
@@ -170,18 +172,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = _links(sets, sigs, stars, percent)
     labels = connected_components(links)
-    order = 0
-    while order < SLOTS // ROWS:
-        state = crowded.select("bucket", "doc").join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    for turn in range(TURNS):
+        own = crowded.where(F.col("band") % TURNS == turn).select("bucket", "band", "doc")
+        state = own.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select("bucket", "band", "doc", F.coalesce("label", "doc").alias("label"))
         mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        turn = F.concat(F.substring("sig", order * 16 + 1, SLOTS * 4), F.substring("sig", 1, order * 16))
-        sorted_rows = state.join(mixed, "bucket", "left_semi").join(sigs.select("doc", F.substring(turn, 1, 64).alias("turn")), "doc").repartitionByRange("bucket", "turn", "doc").sortWithinPartitions("bucket", "turn", "doc")
-        more = materialise(_links(sets, sigs, sorted_rows.select("bucket", "doc", "label").mapInArrow(_neighbours, "a long, b long"), percent), "near-more")
-        if not more.limit(1).count():
-            break
-        links = materialise(links.union(more), "near-links")
-        labels = connected_components(links)
-        order += 7
+        start = (F.col("band") + 1) * (ROWS * 4) + 1
+        rest = F.substring(F.concat("sig", "sig"), start, F.lit(64))
+        ordered = state.join(mixed, "bucket", "left_semi").join(sigs.select("doc", "sig"), "doc").select("bucket", rest.alias("rest"), "doc", "label")
+        ordered = ordered.repartitionByRange("bucket", "rest", "doc").sortWithinPartitions("bucket", "rest", "doc")
+        more = _links(sets, sigs, ordered.select("bucket", "doc", "label").mapInArrow(_neighbours, "a long, b long"), percent)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = connected_components(links)
 
     label = members.join(labels, members.rep == labels.node, "left").select(F.col("doc").alias("__d"), F.coalesce("label", "rep").alias("__c")).groupBy("__d").agg(F.min("__c").alias("__c"))
     out = all_sigs.join(label, all_sigs.doc == label["__d"], "left")
