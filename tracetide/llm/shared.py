@@ -88,13 +88,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = materialise(labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "near").alias("label")), "cc-hooked")
-        root = hooked.select(F.col("node").alias("root"), F.col("label").alias("beyond"))
-        after = materialise(hooked.join(root, hooked.label == root.root, "left").select("node", F.least("label", "beyond").alias("label")), "cc-labels")
-        before = labels.withColumnRenamed("label", "old")
-        changed = after.join(before, "node").where("label <> old").limit(1).count()
-        labels = after
-        if not changed:
+        hooked = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("hook"))
+        root = hooked.select(F.col("node").alias("root"), F.col("hook").alias("beyond"))
+        label = F.least("hook", "beyond")
+        after = materialise(hooked.join(root, hooked.hook == root.root, "left").select("node", label.alias("label"), (label < F.col("old")).alias("changed")), "cc-labels")
+        labels = after.select("node", "label")
+        if not after.where("changed").limit(1).count():
             return labels
 
 
