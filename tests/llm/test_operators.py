@@ -174,6 +174,33 @@ def test_decontamination(spark, limit):
     assert decontaminate.find_leaks(frame(spark, texts), bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_GRAMS, 0])
+def test_decontamination_of_copies_edited_every_few_words(spark, limit):
+    """Runs of five or six intact words between edits, where other documents make them the frequent ones."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = {k: [word() for _ in range(40)] for k in range(6)}
+    texts = {}
+    for d in range(48):
+        k = d % 6
+        leak, body = list(items[k]), [word() for _ in range(60)]
+        for at in (range(5, 40, 6), (6, 13, 20, 27, 34, 37))[d // 6 % 2]:
+            leak[at] = f"edited{d}-{at}"
+        body[30:30] = (leak, items[k][18:26], leak[:12], leak)[d // 12]
+        texts[d] = " ".join(body)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.find_leaks(frame(spark, texts), bench, broadcast_grams=limit).collect()}
+    scores = {(d, k): brute.best_alignment(t.split(), w) for d, t in texts.items() for k, w in items.items()}
+    assert got == {pair: s for pair, s in scores.items() if s >= decontaminate.needed(40)} and len(got) == 24
+
+
+def test_most_is_an_upper_bound():
+    rng = random.Random(18)
+    for _ in range(50):
+        a, b = [rng.randrange(9) for _ in range(rng.randrange(1, 30))], [rng.randrange(9) for _ in range(rng.randrange(1, 20))]
+        assert decontaminate.most(np.array(a, np.uint64), np.array(b, np.uint64)) >= brute.best_alignment(a, b)
+
+
 def test_quality(spark):
     large = SF.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{large}/documents.parquet")

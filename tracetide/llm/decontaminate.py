@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -7,14 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracetide.llm.shared import bound_batches, materialise, ngrams, text_slices, words
 
 SEED = 5
-#: Of each run of this many n-grams of an item the rarest in the corpus becomes a seed.
-RUN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's words, or this many words, that an alignment must be worth.
 SHARE, ENOUGH = 0.5, 50
@@ -70,6 +67,11 @@ def align_span(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
+def most(text: np.ndarray, item: np.ndarray) -> int:
+    """No alignment of the two scores more: each matched word is found in both."""
+    return MATCH * int(min(np.isin(text, item).sum(), np.isin(item, text).sum()))
+
+
 def needed(n_words: int, share: float = SHARE, enough: int = ENOUGH) -> float:
     """The score an alignment with an item of `n_words` must reach."""
     return MATCH * min(share * n_words, enough)
@@ -78,10 +80,10 @@ def needed(n_words: int, share: float = SHARE, enough: int = ENOUGH) -> float:
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, enough: int = ENOUGH, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """`(id, item, score, matched, start_word, end_word)` for each document and item that it holds a copy of.
 
-    Words are runs of non-space bytes with A-Z lower-cased. Among each run of RUN word 5-grams of an item
-    the one found in the fewest documents is a seed, however frequent it is, so no item goes unseeded and an
-    unedited run of eight words is always found. Documents that hold a seed are aligned with the
-    item around it (match 2, mismatch -1, gap -1). A pair is returned if the score is worth `share` of the
+    Words are runs of non-space bytes with A-Z lower-cased. Every word 5-gram of an item is a seed, however
+    frequent it is, so any unedited run of five words leads to an alignment. Documents that hold a seed are
+    aligned with the item around it (match 2, mismatch -1, gap -1), unless they share too few words there for
+    any alignment to be enough. A pair is returned if the score is worth `share` of the
     item's words, or `enough` words; `score` is the share and `matched` the raw score.
 
     Null and empty texts, and items without words, match nothing. Null ids are ids like others; rows with the
@@ -117,14 +119,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     kind = base.schema["id"].dataType.simpleString()
     hits = base.mapInArrow(seeds, f"id {kind}, doc long, pos int, gram long")
     hits = materialise(hits if wanted is not None else hits.join(known, "gram", "left_semi"), "leak-hits")
-    rarity = hits.select("id", "doc", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    run = W.partitionBy("item").orderBy("at").rowsBetween(0, RUN - 1)
-    rarest = grams.join(rarity, "gram", "left").withColumn("best", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "gram")).over(run))
-    seed = rarest.select("item", F.col("best.at").alias("at"), F.col("best.gram").alias("gram")).distinct()
-    pairs = hits.join(seed, "gram").groupBy("id", "doc", "item").agg(F.collect_list(F.struct((F.col("pos") - F.col("at")).alias("shift"))).alias("shifts"))
+    shift = (F.col("pos") - F.col("at")).alias("shift")
+    pairs = hits.join(grams.select("item", "at", "gram"), "gram").select("id", "doc", "item", shift).groupBy("id", "doc", "item").agg(F.collect_set("shift").alias("shifts"))
     pairs = materialise(pairs.join(bench.select("item", "item_id", F.col("text").alias("item_text")), "item"), "leak-pairs")
     asked = pairs.withColumnsRenamed({"id": "__id", "doc": "__doc"})
-    both = base.dropDuplicates(["id", "doc"]).join(asked, base["id"].eqNullSafe(asked["__id"]) & (base["doc"] == asked["__doc"])).select("id", "text", "item_id", "item_text", F.col("shifts.shift").alias("shifts"))
+    both = base.dropDuplicates(["id", "doc"]).join(asked, base["id"].eqNullSafe(asked["__id"]) & (base["doc"] == asked["__doc"])).select("id", "text", "item_id", "item_text", "shifts")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +133,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 shifts = np.sort(batch.column("shifts")[k].values.to_numpy())
                 slack = len(item) // 2 + 8
                 cut = np.append(0, np.flatnonzero(np.diff(shifts) > len(item) + 2 * slack) + 1)
-                best = (0, 0, 0)
+                best, least = (0, 0, 0), needed(len(item), share, enough)
                 for a, b in zip(cut, np.append(cut[1:], len(shifts)), strict=True):
                     low, high = max(0, int(shifts[a]) - slack), int(shifts[b - 1]) + len(item) + slack
+                    if most(text[low:high], item) < least:
+                        continue
                     value, start, end = align_span(text[low:high], item)
                     if value > best[0]:
                         best = value, low + start, low + end
-                if best[0] and best[0] >= needed(len(item), share, enough):
+                if best[0] and best[0] >= least:
                     found.append((k, best[0] / (MATCH * len(item)), *best))
             take = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("item_id").take(take), *[pa.array([x[c] for x in found], t) for c, t in ((1, pa.float64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]], names=["id", "item_id", "score", "matched", "start_word", "end_word"])
