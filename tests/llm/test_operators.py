@@ -247,6 +247,16 @@ def test_lm_contexts_make_distributions(spark):
     assert score[3] > score[1] + 1  # c follows a b, a doesn't
 
 
+def test_lm_keeps_contexts_of_few_occurrences_in_a_large_corpus(spark):
+    rng = random.Random(19)
+    texts = {d: " ".join(rng.choice("abcdef") + str(rng.randrange(9)) for _ in range(10_000)) for d in range(60)}
+    for d in range(20):
+        texts[d] += " rare pair"
+    texts[60] = "rare pair"
+    got = [r for r in suffix_lm.score_corpus(frame(spark, texts), F.col("doc_id") == 60).collect() if r.doc_id == 60]
+    assert got[0].base_score < -12 and got[0].score > -6  # once rare is there, pair and the end follow
+
+
 @pytest.fixture(scope="module")
 def table():
     with open(pieces.MODEL, "rb") as f:

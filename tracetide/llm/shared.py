@@ -75,6 +75,14 @@ def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that `materialise` wrote, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`(node, label)` for every node of an edge; the label is the smallest node that can be reached.
 

@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import NGRAM, bound_batches, materialise, mix, text_slices, words
+from tracetide.llm.shared import NGRAM, bound_batches, discard, materialise, mix, text_slices, words
 
 BLOCK_BYTES = 8 << 20
 DEPTH = 2
-#: Share of the training tokens that a context needs to be tested, and a next word to be counted in one; and
-#: the occurrences both need at least. The shares bound the size of the tree whatever the corpus.
-CONTEXT_SHARE, NEXT_SHARE, MIN_CONTEXT, MIN_NEXT = 5e-5, 1e-5, 16, 4
+#: Occurrences a context needs to be tested, and a next word to be counted in one, at any size of the corpus.
+MIN_CONTEXT, MIN_NEXT = 16, 4
+#: Passes over the text for each length of contexts; each counts one part of the contexts, dealt by hash.
+PASSES = 2
 #: Taken off each count, and nats by which a context must beat its suffix on the training text.
 DISCOUNT, GAIN = 0.75, 10.0
 #: Fixed value: the token that ends a document.
@@ -30,11 +31,6 @@ WORD = 0
 ANSWER = "block int, kind int, keys array<long>, counts array<double>"
 
 
-def least(total: int) -> tuple[float, float]:
-    """Occurrences that contexts and next words need among `total` training tokens."""
-    return max(MIN_CONTEXT, CONTEXT_SHARE * total), max(MIN_NEXT, NEXT_SHARE * total)
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * NGRAM[20] + b * NGRAM[21])
 
@@ -85,7 +81,7 @@ def _states(row: np.ndarray, tokens: np.ndarray, told: Answers, total: int, dist
     A context's count is 0 where the row has too few words before. The probability of a token starts from
     its smoothed share and is refined by each retained context, shortest first.
     """
-    count, often = told.get(WORD, tokens), least(total)[0]
+    count = told.get(WORD, tokens)
     chance = (count + 1) / (total + distinct + 1)
     context, occurs, levels = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens)), []
     for d in range(1, depth + 2):
@@ -101,7 +97,7 @@ def _states(row: np.ndarray, tokens: np.ndarray, told: Answers, total: int, dist
         levels.append((context, occurs))
         if d > depth:
             break
-        rest = np.where(occurs >= often, told.get(2 * d - 1, context), 0.0)
+        rest = np.where(occurs >= MIN_CONTEXT, told.get(2 * d - 1, context), 0.0)
         seen = told.get(2 * d, _string(context, tokens))
         share = np.where(seen >= 2, seen - DISCOUNT, 0.0) / np.maximum(occurs, 1)
         chance = np.where(rest > 0, share + rest * chance, chance)
@@ -141,7 +137,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     Tokens are runs of non-space bytes with A-Z lower-cased, told apart by 64-bit hashes, and one end for each
     document. Statistics come from the rows where `held_out` is not true. The base score adds up
     log10((c + 1) / (N + V + 1)). The tree's root is that distribution; a context of up to `depth` words is
-    tested if it makes up CONTEXT_SHARE of the tokens, and retained if its next words are likelier under it than
+    tested if it occurs MIN_CONTEXT times, and retained if its next words are likelier under it than
     under its suffix by GAIN nats in all, leaving out each word's first occurrence. A retained context gives
     a word seen twice or more its discounted share, and the rest to its suffix's distribution. Each
     token is scored at the longest retained suffix of the words before it in its document.
@@ -180,7 +176,9 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     answers = answers.where("block >= 0")
 
     for level in range(1, depth + 1):
-        answers = answers.unionByName(_grow(base, answers, totals, level, blocks))
+        grown = [_grow(base, answers, totals, level, blocks, part, level == depth) for part in range(PASSES)]
+        for more in grown:
+            answers = answers.unionByName(more)
 
     def score(rows, told):
         row, tokens = block_tokens(rows.column("text"))
@@ -201,23 +199,22 @@ def _cuts(rows: pa.Table) -> pa.Array:
     return pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
 
 
-def _grow(base: DataFrame, answers: DataFrame, totals: dict, level: int, blocks: int) -> DataFrame:
-    """The answers about contexts of `level` words: what retained ones leave to their suffix, and counts of
-    the strings they begin (and of strings frequent enough to be contexts themselves)."""
-
-    enough, enough_next = least(totals["N"])
+def _grow(base: DataFrame, answers: DataFrame, totals: dict, level: int, blocks: int, part: int, last: bool) -> DataFrame:
+    """The answers about one part of the contexts of `level` words: what retained ones leave to their suffix, and
+    counts of the strings they begin (and, but for the last level, of strings frequent enough to be contexts)."""
 
     def ask(rows, told):
         row, tokens = block_tokens(rows.column("text"))
         chance, levels, count = _states(row, tokens, Answers(told), totals["N"], totals["V"], level - 1)
         context, occurs = levels[level - 1]
-        own = np.flatnonzero((occurs >= enough) & (count >= enough_next))
+        mine = (occurs >= MIN_CONTEXT) & (context % np.uint64(PASSES) == part)
+        own = np.flatnonzero(mine & (count >= MIN_NEXT))
         train = ~rows.column("held_out").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
         strings, first, counts = _sums(_string(context[own], tokens[own]), train[row[own]].astype(np.int64))
         one = own[first]
         dealt = _deal(rows.column("block")[0].as_py() if rows.num_rows else 0, strings, {"keys": (strings.view(np.int64), pa.int64()), "contexts": (context[one].view(np.int64), pa.int64()), "counts": (counts, pa.int32()), "lower": (np.log(chance[one]), pa.float32())}, blocks)
-        contexts, at = np.unique(context[occurs >= enough], return_index=True)
-        often = occurs[occurs >= enough][at]
+        contexts, at = np.unique(context[mine], return_index=True)
+        often = occurs[mine][at]
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
         every = pa.table({"bucket": pa.array([-1 - block], pa.int32()), "block": pa.array([block], pa.int32()), "keys": pa.ListArray.from_arrays(pa.array([0, len(contexts)], pa.int32()), pa.array(contexts.view(np.int64))), "contexts": pa.array([[]], pa.list_(pa.int64())), "counts": pa.ListArray.from_arrays(pa.array([0, len(contexts)], pa.int32()), pa.array(often, pa.int32(), safe=False)), "lower": pa.array([[]], pa.list_(pa.float32()))})
         return pa.concat_tables([dealt.cast(every.schema), every])
@@ -247,9 +244,11 @@ def _grow(base: DataFrame, answers: DataFrame, totals: dict, level: int, blocks:
     retained = often.join(sums, "context").where(F.col("gain") - F.col("repeats") * F.log("occurs") >= GAIN).select("context", (1 - F.col("share") / F.col("occurs")).alias("rest"))
     retained = materialise(retained.where("rest > 0"), f"lm-contexts{level}")
     states = contexts.join(retained, "context").select(F.explode("blocks").alias("block"), F.lit(2 * level - 1).alias("kind"), F.col("context").alias("key"), F.col("rest").alias("value"))
-    told = strings.join(retained, "context", "left").where((F.col("rest").isNotNull()) | (F.col("n") >= enough)).select(F.explode("blocks").alias("block"), F.lit(2 * level).alias("kind"), F.col("string").alias("key"), F.col("n").cast("double").alias("value"))
+    told = strings.join(retained, "context", "left").where(F.col("rest").isNotNull() | (F.lit(not last) & (F.col("n") >= MIN_CONTEXT))).select(F.explode("blocks").alias("block"), F.lit(2 * level).alias("kind"), F.col("string").alias("key"), F.col("n").cast("double").alias("value"))
     rows = states.unionByName(told).groupBy("block", "kind", F.pmod(F.xxhash64("key"), F.lit(16)).alias("part"))
-    return materialise(rows.agg(F.collect_list(F.struct("key", "value")).alias("x")).select("block", "kind", F.col("x.key").alias("keys"), F.col("x.value").alias("counts")), f"lm-answers{level}")
+    told = materialise(rows.agg(F.collect_list(F.struct("key", "value")).alias("x")).select("block", "kind", F.col("x.key").alias("keys"), F.col("x.value").alias("counts")), f"lm-answers{level}")
+    discard(found)
+    return told
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
