@@ -43,6 +43,13 @@ def test_query(spark, con, name):
     assert all(near(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
+def test_whole_tables_are_read(spark):
+    frames = spark.read.parquet(f"{SF}/customer.parquet").select(F.floor(F.col("c_custkey") / 4)).distinct().count()
+    assert catalog.QUERIES["eyelid_openness"](spark, SF).select("frame").distinct().count() == frames
+    pairs = catalog.QUERIES["clock_pair_table"](spark, SF.replace("0.001", "0.01"))
+    assert {r.u for r in pairs.select(F.explode(F.array("i", "j")).alias("u")).distinct().collect()} == set(range(12))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -34,7 +34,7 @@ def period_table(spark, d):
 
 
 def clock_pairs(spark, d):
-    return rounded(tt.clock_pair_table(user_trace(spark, d).where("unit_id < 4"), bouts(spark, d), 24.0), "z", n=5).select("state", "bin", "i", "j", "z", "n_samples", "n_bouts")
+    return rounded(tt.clock_pair_table(user_trace(spark, d), bouts(spark, d), 24.0), "z", n=5).select("state", "bin", "i", "j", "z", "n_samples", "n_bouts")
 
 
 def timeline(spark, d):
@@ -48,7 +48,7 @@ def frames(spark, d):
 
 
 def lids(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 6 < 4").select(F.floor(F.col("c_custkey") / 6).alias("frame"), F.element_at(F.array(*map(F.lit, ["m", "l", "a", "b"])), (F.col("c_custkey") % 6 + 1).cast("int")).alias("part"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_acctbal") % 37).alias("y"), F.lit(0.5).alias("likelihood"))
+    c = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 4).alias("frame"), F.element_at(F.array(*map(F.lit, ["m", "l", "a", "b"])), (F.col("c_custkey") % 4 + 1).cast("int")).alias("part"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_acctbal") % 37).alias("y"), F.lit(0.5).alias("likelihood"))
     return rounded(ge.eyelid_openness(c, ["frame"], "m", "l", [("a", "b")]), "width", "open", "open_norm", n=5)
 
 
