@@ -80,3 +80,44 @@ def best_alignment(text: list[str], item: list[str]) -> int:
             row.append(max(0, above[j - 1] + (2 if other == word else -1), above[j] - 1, row[-1] - 1))
         best, above = max(best, *row), row
     return best
+
+
+def tree_scores(tokens: dict[int, list[str]], held: dict[int, bool], depth: int, min_context: int, min_next: int, discount: float, gain: float) -> dict[int, float]:
+    """log10 probabilities of token lists by a suffix tree in dictionaries, from the definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    word = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    total, distinct = sum(word.values()), len(word)
+    after: dict = defaultdict(Counter)
+    for d, ws in tokens.items():
+        if not held[d]:
+            for i in range(len(ws)):
+                for k in range(1, depth + 1):
+                    if i >= k:
+                        after[tuple(ws[i - k : i])][ws[i]] += 1
+    occurs: Counter = Counter()
+    for d, ws in tokens.items():
+        if not held[d]:
+            for k in range(1, depth + 1):
+                for i in range(len(ws) - k + 1):
+                    occurs[tuple(ws[i : i + k])] += 1
+    kept: dict = {}
+
+    def chance(context, w):
+        p = (word[w] + 1) / (total + distinct + 1)
+        for k in range(1, len(context) + 1):
+            c = context[len(context) - k :]
+            if c in kept:
+                n = after[c][w] if word[w] >= min_next else 0
+                p = (n - discount if n >= 2 else 0.0) / occurs[c] + kept[c] * p
+        return p
+
+    for k in range(1, depth + 1):
+        level = {}
+        for c in (c for c in after if len(c) == k and occurs[c] >= min_context):
+            seen = {w: n for w, n in after[c].items() if n >= 2 and word[w] >= min_next}
+            if sum((n - 1) * math.log((n - discount) / occurs[c] / chance(c[1:], w)) for w, n in seen.items()) >= gain:
+                level[c] = 1 - sum(n - discount for n in seen.values()) / occurs[c]
+        kept.update(level)
+    return {d: sum(math.log10(chance(tuple(ws[max(0, i - depth) : i]), ws[i])) for i in range(len(ws))) for d, ws in tokens.items()}

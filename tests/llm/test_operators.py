@@ -367,3 +367,17 @@ def test_pipeline(spark):
             assert set(after) == {d for d, x in want.items() if x[2]}
     out = {r.doc_id: r.round_trip for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(out) == set(after) and all(out.values())
+
+
+@pytest.mark.parametrize(("block", "depth", "hot"), [(1 << 12, 5, 1 << 16), (1 << 20, 2, 20), (1 << 11, 4, 20)])
+def test_lm_scores_are_those_of_a_tree_in_dictionaries(spark, block, depth, hot):
+    rng = random.Random(29)
+    phrases = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(2, 9))) for _ in range(25)]
+    texts = {d: " ".join(rng.choice(phrases) if rng.random() < 0.8 else rng.choice("ABCQ") + str(rng.randrange(60)) for _ in range(rng.randrange(0, 60))) for d in range(120)}
+    texts |= {200: None, 201: "", 202: texts[5], 203: " ".join(rng.choice(phrases) for _ in range(900))}
+    tokens = {d: [w.lower() for w in (t or "").split()] + ["\n"] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    m = suffix_lm
+    want = brute.tree_scores(tokens, held, depth, m.MIN_CONTEXT, m.MIN_NEXT, m.DISCOUNT, m.GAIN)
+    got = {r.doc_id: r.score for r in m.score_corpus(frame(spark, texts), F.crc32(F.col("doc_id").cast("string")) % 7 == 2, block_bytes=block, depth=depth, hot=hot).collect()}
+    assert got == {d: pytest.approx(x, rel=1e-5) for d, x in want.items()}

@@ -61,13 +61,18 @@ def bound_batches(spark: SparkSession) -> None:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that later steps start from there."""
+def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None, rows_check: int = 100) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that later steps start from there.
+
+    A row group is measured for the first time after `rows_check` rows: few for rows of megabytes, as readers
+    hold a row group at once.
+    """
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, tag), df.schema
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path, partitionBy=partition_by)
+        rows = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": rows_check} if rows_check < 100 else {}
+        df.write.options(**rows).parquet(path, partitionBy=partition_by)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     if partition_by:

@@ -1,8 +1,9 @@
 """A probabilistic suffix tree over words: trained on part of a corpus, scoring all of it.
 
-The text is dealt into blocks of bounded size. A block asks for the statistics of its own distinct words and
-contexts, so neither the vocabulary nor the tree has to fit into one process: requests are dealt by hash,
-counted over the training documents, and answered to the blocks that asked.
+The text is dealt into blocks of bounded size, which keep their words as small local numbers. The tree grows by
+one word of context at a time: each block asks for the strings (a context and its next word) at its open
+positions, whose contexts are frequent; requests are dealt by hash, counted over the training documents and
+answered in the order in which they were asked. Neither the vocabulary nor the tree has to fit into one process.
 """
 
 from __future__ import annotations
@@ -17,18 +18,22 @@ from pyspark.sql import functions as F
 from tracetide.llm.shared import NGRAM, bound_batches, discard, materialise, mix, text_slices, words
 
 BLOCK_BYTES = 8 << 20
-DEPTH = 2
+#: The most words in a context; growth ends before where no context of that length is frequent.
+DEPTH = 5
 #: Occurrences a context needs to be tested, and a next word to be counted in one, at any size of the corpus.
 MIN_CONTEXT, MIN_NEXT = 16, 4
-#: Passes over the text for each length of contexts; each counts one part of the contexts, dealt by hash.
-PASSES = 2
 #: Taken off each count, and nats by which a context must beat its suffix on the training text.
 DISCOUNT, GAIN = 0.75, 10.0
+#: The strings of contexts with this many occurrences or more are dealt over several buckets.
+HOT = 1 << 16
+#: A pass asks for at most about PASS_SHARE bytes of strings for each byte of text, at ASKED bytes a string.
+PASS_SHARE, ASKED = 3, 12
 #: Fixed value: the token that ends a document.
 END = np.uint64(0x9E3779B97F4A7C15)
-#: Kinds of answers; contexts and strings of depth d are kinds 2d - 1 and 2d.
-WORD = 0
-ANSWER = "block int, kind int, keys array<long>, counts array<double>"
+#: Fixed value: stands for all next words that aren't counted, so that a block asks for their contexts too.
+RARE = np.uint64(0xD1B54A32D192ED03)
+ASK = "block int, bucket int, context array<long>, occurs array<long>, size array<int>, next array<long>, trained array<int>, lower array<float>"
+FOUND = "block int, bucket int, n array<long>, rest array<double>, context array<long>, gain double, share double, occurs long, blocks array<int>"
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,86 +57,174 @@ def block_tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(tokens)
 
 
-class Answers:
-    """What a block was told, by kind: sorted keys and their values."""
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, an index of each, the place of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
 
-    def __init__(self, told: pa.Table):
-        kinds = told.column("kind").to_numpy()
-        self.tables = {}
-        for kind in np.unique(kinds).tolist():
-            part = told.filter(pa.array(kinds == kind))
-            keys = part.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64)
-            values = part.column("counts").combine_chunks().flatten().to_numpy()
-            order = np.argsort(keys)
-            self.tables[kind] = keys[order], values[order]
 
-    def get(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, 0 for those not told."""
-        if kind not in self.tables:
-            return np.zeros(len(keys))
-        own, values = self.tables[kind]
-        at = np.searchsorted(own, keys)
-        at[at == len(own)] = 0
-        return np.where(own[at] == keys, values[at], 0.0)
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _states(row: np.ndarray, tokens: np.ndarray, told: Answers, total: int, distinct: int, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """(probability by contexts of at most `depth` words, (context, its count) for each depth + 1, word counts).
+def _sizes(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
 
-    A context's count is 0 where the row has too few words before. The probability of a token starts from
-    its smoothed share and is refined by each retained context, shortest first.
-    """
-    count = told.get(WORD, tokens)
-    chance = (count + 1) / (total + distinct + 1)
-    context, occurs, levels = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens)), []
-    for d in range(1, depth + 2):
-        before = np.zeros(len(tokens), bool)
-        before[d:] = row[d:] == row[:-d] if d < len(row) else False
-        if d == 1:
-            context[1:], occurs[1:] = tokens[:-1], count[:-1]
-        else:
-            keys = np.zeros(len(tokens), np.uint64)
-            keys[1:] = _string(levels[-1][0], tokens)[:-1]
-            context, occurs = keys, told.get(2 * d - 2, keys)
-        occurs = np.where(before, occurs, 0.0)
-        levels.append((context, occurs))
-        if d > depth:
-            break
-        rest = np.where(occurs >= MIN_CONTEXT, told.get(2 * d - 1, context), 0.0)
-        seen = told.get(2 * d, _string(context, tokens))
-        share = np.where(seen >= 2, seen - DISCOUNT, 0.0) / np.maximum(occurs, 1)
-        chance = np.where(rest > 0, share + rest * chance, chance)
-    return chance, levels, count
 
+def _lists(sizes: np.ndarray, values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
+    if kind == pa.int64() and isinstance(values, np.ndarray) and values.dtype == np.uint64:
+        values = values.view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values).cast(kind))
 
-def _string(context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return _pair(context, tokens)
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each key by its high bits."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, an index of each, summed weights)."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return ordered[cut], order[cut], np.add.reduceat(weights[order], cut) if len(keys) else weights
 
+#: The numbers a block keeps: of its documents, its words, its contexts, and its open positions (the steps between
+#: them, next word, context, chance so far).
+_COLUMNS = {"held": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "total": pa.float64(), "word": pa.int64(), "count": pa.int64(), "context": pa.int64(), "occurs": pa.int64(), "step": pa.int32(), "next": pa.int32(), "at": pa.int32(), "chance": pa.float32()}
 
-def _deal(block: int, keys: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.DataType]], buckets: int) -> pa.Table:
-    """One row for each bucket of the keys' hashes, with the columns as lists."""
-    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    cuts = pa.array(np.append(cut, len(bucket)), pa.int32())
-    lists = {n: pa.ListArray.from_arrays(cuts, pa.array(v[order], t)) for n, (v, t) in columns.items()}
-    return pa.table({"bucket": bucket[cut], "block": np.full(len(cut), block, np.int32), **lists})
 
+def _state(block: int, ids: pa.Array, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A block as a table of one row."""
+    lists = {c: _lists(np.array([len(columns[c])]), columns[c], kind) for c, kind in _COLUMNS.items()}
+    return pa.table({"block": pa.array([block], pa.int32()), "id": _lists(np.array([len(ids)]), ids, ids.type), **lists})
 
-def _flat(rows: pa.Table, name: str) -> np.ndarray:
-    return rows.column(name).combine_chunks().flatten().to_numpy()
 
+def _kept(rows: pa.Table) -> dict[str, np.ndarray]:
+    return {c: _flat(rows, c).view(np.uint64) if c in ("word", "context") else _flat(rows, c) for c in _COLUMNS}
+
+
+class Positions:
+    """The open positions of a block at one level and the distinct strings it asks for, in the order of dealing."""
+
+    def __init__(self, kept: dict[str, np.ndarray], level: int, smallest: float, buckets: int, hot: int):
+        ends = np.cumsum(kept["n_tokens"])
+        self.next, self.count, rare = kept["next"].astype(np.int64), kept["count"], len(kept["word"])
+        self.word = np.append(kept["word"], RARE)
+        if level == 1:
+            self.at_token = np.arange(len(self.next))
+            self.row = np.repeat(np.arange(len(ends)), kept["n_tokens"])
+            self.context, self.occurs = self.word, self.count
+            self.at = np.full(len(self.next), -1, np.int64)
+            follows = np.flatnonzero((self.row[1:] == self.row[:-1]) & (self.count[self.next[:-1]] >= MIN_CONTEXT))
+            self.at[follows + 1] = self.next[follows]
+            self.chance = (self.count[self.next] + 1) * smallest
+        else:
+            self.at_token = np.cumsum(kept["step"].astype(np.int64))
+            self.row = np.searchsorted(ends, self.at_token, "right")
+            self.context, self.occurs, self.at, self.chance = kept["context"], kept["occurs"], kept["at"].astype(np.int64), kept["chance"].astype(float)
+        self.own = np.flatnonzero(self.at >= 0)
+        counted = self.count[self.next[self.own]] >= MIN_NEXT
+        strings, first, self.back = _distinct(self.at[self.own] * len(self.word) + np.where(counted, self.next[self.own], rare))
+        self.s_at, self.s_next = strings // len(self.word), strings % len(self.word)
+        self.lower = self.chance[self.own][first]
+        trained = counted & ~kept["held"][self.row[self.own]]
+        self.trained = np.bincount(self.back, trained, len(strings)).astype(np.int64)
+        salt = self.word[self.s_next] % (self.occurs[self.s_at] // hot + 1).astype(np.uint64)
+        self.bucket = _bucket(mix(self.context[self.s_at] + salt * NGRAM[22]), buckets)
+        self.order = np.argsort(self.bucket, kind="stable")
+        bucket, at = self.bucket[self.order], self.s_at[self.order]
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1])
+        #: Where the strings of each (bucket, context) begin in the order of dealing.
+        self.entry = np.flatnonzero(new)
+
+    def ask(self, block: int, passes: int, part: int) -> pa.Table:
+        """One row for each bucket of the pass: contexts, and their strings."""
+        bucket = self.bucket[self.order]
+        chosen = bucket % passes == part
+        order, entry = self.order[chosen], self.entry[chosen[self.entry]]
+        size = np.diff(np.append(self.entry, len(bucket)))[chosen[self.entry]]
+        at = self.s_at[self.order[entry]]
+        own, strings = np.unique(bucket[chosen], return_counts=True)
+        entries = np.bincount(np.searchsorted(own, bucket[entry]), minlength=len(own))
+        return pa.table({
+            "block": np.full(len(own), block, np.int32), "bucket": own,
+            "context": _lists(entries, self.context[at], pa.int64()), "occurs": _lists(entries, self.occurs[at], pa.int64()), "size": _lists(entries, size, pa.int32()),
+            "next": _lists(strings, self.word[self.s_next[order]], pa.int64()), "trained": _lists(strings, self.trained[order], pa.int32()), "lower": _lists(strings, np.log(self.lower[order]), pa.float32()),
+        })
 
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
+    def grow(self, told: pa.Table, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(columns of the positions that stay open, rows and chances of those that close)."""
+        told = told.sort_by("bucket")
+        verdicts = pa.compute.less(told.column("bucket"), 0)
+        hot, told = told.filter(verdicts), told.filter(pa.compute.invert(verdicts))
+        n = np.zeros(len(self.order), np.int64)
+        n[self.order] = _flat(told, "n")
+        rest = np.zeros(len(self.context))
+        rest[self.s_at[self.order[self.entry]]] = _flat(told, "rest")
+        open_verdict = np.flatnonzero(np.isnan(rest))
+        if len(open_verdict):
+            known, first, _ = _distinct(_flat(hot, "context").view(np.uint64))
+            rest[open_verdict] = _flat(hot, "rest")[first][np.searchsorted(known, self.context[open_verdict])]
+        share = np.zeros(len(self.at))
+        seen = n[self.back]
+        share[self.own] = np.where(seen >= 2, seen - DISCOUNT, 0.0) / self.occurs[self.at[self.own]]
+        left = np.where(self.at >= 0, rest[self.at], 0.0) if len(rest) else np.zeros(len(self.at))
+        chance = np.where(left > 0, share + left * self.chance, self.chance)
+
+        lift = np.full(len(self.at), -1, np.int64)
+        often = np.flatnonzero(seen >= MIN_CONTEXT) if not last else np.zeros(0, np.int64)
+        here = self.own[often]
+        inside = here + 1 < len(self.at)
+        here, often = here[inside], often[inside]
+        follows = (self.at_token[here + 1] == self.at_token[here] + 1) & (self.row[here + 1] == self.row[here])
+        lift[here[follows] + 1] = self.back[often[follows]]
+        stay = lift >= 0
+        strings, _, at = _distinct(lift[stay])
+        columns = {"context": _pair(self.context[self.s_at[strings]], self.word[self.s_next[strings]]), "occurs": n[strings], "step": np.diff(self.at_token[stay], prepend=0), "next": self.next[stay], "at": at, "chance": chance[stay]}
+        return columns, self.row[~stay], chance[~stay]
+
+
+def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
+    """Counts the strings of one bucket over all blocks: each row is answered in its own order.
+
+    `n` is what a block needs of each string's count (0 if it needs none), `rest` what a retained context leaves
+    to its suffix (0 if it isn't retained, NaN where other buckets have a say). Such hot contexts add rows with
+    block -1: their part of the gain and of the share, and the blocks that asked.
+    """
+    entries, occurs, size = _flat(rows, "context").view(np.uint64), _flat(rows, "occurs"), _flat(rows, "size")
+    of_entry = np.repeat(np.arange(len(entries)), size)
+    _, first, back = _distinct(_pair(entries[of_entry], _flat(rows, "next").view(np.uint64)))
+    n = np.bincount(back, _flat(rows, "trained"), len(first)).astype(np.int64)
+    contexts, one, of_context = _distinct(entries)
+    occurs, at = occurs[one], of_context[of_entry[first]]
+    seen = np.flatnonzero(n >= 2)
+    k, own = n[seen], at[seen]
+    gain = np.bincount(own, (k - 1) * (np.log((k - DISCOUNT) / occurs[own]) - _flat(rows, "lower")[first[seen]]), len(contexts))
+    share = np.bincount(own, k - DISCOUNT, len(contexts))
+    hot = occurs >= most
+    rest = np.where(hot, np.nan, np.where(gain >= GAIN, 1 - share / occurs, 0.0))
+    needed = (n >= 2) & ((rest[at] != 0) | ((n >= MIN_CONTEXT) & (not last)))
+    strings, entry_count = _sizes(rows, "next"), _sizes(rows, "context")
+    none = np.zeros(rows.num_rows, np.int64)
+    told = pa.table({
+        "block": rows.column("block"), "bucket": rows.column("bucket"), "n": _lists(strings, np.where(needed, n, 0)[back], pa.int64()),
+        "rest": _lists(entry_count, rest[of_context], pa.float64()), "context": _lists(none, np.zeros(0, np.int64), pa.int64()),
+        "gain": np.zeros(rows.num_rows), "share": np.zeros(rows.num_rows), "occurs": none, "blocks": _lists(none, np.zeros(0, np.int32), pa.int32()),
+    })
+    which = np.flatnonzero(hot)
+    if not len(which):
+        return told
+    asked = np.repeat(rows.column("block").to_numpy(), entry_count)
+    blocks = [np.unique(asked[of_context == c]) for c in which]
+    ones, none = np.ones(len(which), np.int64), np.zeros(len(which), np.int64)
+    more = pa.table({
+        "block": np.full(len(which), -1, np.int32), "bucket": np.full(len(which), -1, np.int32), "n": _lists(none, np.zeros(0, np.int64), pa.int64()), "rest": _lists(none, np.zeros(0), pa.float64()),
+        "context": _lists(ones, contexts[which], pa.int64()), "gain": gain[which], "share": share[which], "occurs": occurs[which], "blocks": _lists(np.array([len(b) for b in blocks]), np.concatenate(blocks), pa.int32()),
+    })
+    return pa.concat_tables([told, more.cast(told.schema)])
+
+
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """`(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`, one row for each row of `docs`.
 
     Tokens are runs of non-space bytes with A-Z lower-cased, told apart by 64-bit hashes, and one end for each
@@ -147,108 +240,111 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    kind = docs.schema[id_col].dataType
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     base = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    kinds = {"bool": "boolean", "int64": "long", "int32": "int", "double": "double", "float": "float"}
+    schema = f"block int, id array<{kind}>, " + ", ".join(f"`{c}` array<{kinds[str(t)]}>" for c, t in _COLUMNS.items())
     totals = {"N": 0, "V": 0}
 
-    def ask_words(key, rows):
-        row, tokens = block_tokens(rows.column("text"))
-        train = ~rows.column("held_out").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
-        keys, _, counts = _sums(tokens, train[row].astype(np.int64))
-        return _deal(key[0].as_py(), keys, {"keys": (keys.view(np.int64), pa.int64()), "counts": (counts, pa.int32())}, blocks)
+    def tokens(key, rows):
+        row, token = block_tokens(rows.column("text"))
+        word, _, back = _distinct(token)
+        held = rows.column("held").to_numpy() if rows.num_rows else np.zeros(0, bool)
+        n = np.bincount(row, minlength=rows.num_rows)
+        none, zero = np.zeros(0), np.zeros(rows.num_rows)
+        own = {"held": held, "n_tokens": n, "n_known": zero, "base": zero, "total": zero, "word": word, "count": np.bincount(back, ~held[row], len(word)).astype(np.int64), "context": none, "occurs": none, "step": none, "next": back, "at": none, "chance": none}
+        return _state(key[0].as_py(), rows.column("id").combine_chunks(), own)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _one_by_one(batches):
+            word, count = _flat(rows, "word").view(np.uint64), _flat(rows, "count")
+            own, sizes = np.unique(_bucket(word, blocks), return_counts=True)
+            yield from pa.table({"block": np.full(len(own), rows.column("block")[0].as_py(), np.int32), "bucket": own, "word": _lists(sizes, word, pa.int64()), "count": _lists(sizes, count, pa.int64())}).to_batches()
 
     def count_words(key, rows):
-        keys, counts = _flat(rows, "keys"), _flat(rows, "counts")
-        own, _, total = _sums(keys, counts)
-        parts = pa.ListArray.from_arrays(_cuts(rows), pa.array(total[np.searchsorted(own, keys)].astype(float)))
-        told = pa.table({"block": rows.column("block"), "kind": np.zeros(rows.num_rows, np.int32), "keys": rows.column("keys").combine_chunks(), "counts": parts})
-        sums = pa.table({"block": pa.array([-1], pa.int32()), "kind": pa.array([WORD], pa.int32()), "keys": pa.array([[int((total > 0).sum())]], pa.list_(pa.int64())), "counts": pa.array([[float(total.sum())]], pa.list_(pa.float64()))})
-        return pa.concat_tables([told.cast(sums.schema), sums])
-
-    asked = base.groupBy("block").applyInArrow(ask_words, "bucket int, block int, keys array<long>, counts array<int>")
-    answers = materialise(asked.groupBy("bucket").applyInArrow(count_words, ANSWER), "lm-words")
-    got = answers.where("block = -1").agg(F.sum(F.col("counts")[0]).alias("N"), F.sum(F.col("keys")[0]).alias("V")).first()
+        own, _, back = _distinct(_flat(rows, "word"))
+        total = np.bincount(back, _flat(rows, "count"), len(own)).astype(np.int64)
+        told = pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": _lists(_sizes(rows, "word"), total[back], pa.int64())})
+        sums = pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([-1], pa.int32()), "n": pa.array([[int(total.sum()), int((total > 0).sum())]])})
+        return pa.concat_tables([told, sums.cast(told.schema)])
+
+    def start(rows, told):
+        kept = _kept(rows)
+        count = _flat(told.sort_by("bucket"), "n")  # words are sorted by hash, and so are buckets
+        row, each = np.repeat(np.arange(len(kept["n_tokens"])), kept["n_tokens"]), count[kept["next"]]
+        total = lambda w: np.bincount(row, w, len(kept["n_tokens"]))
+        kept |= {"count": count, "n_known": total(each > 0).astype(np.int64), "base": total(np.log10((each + 1) / (totals["N"] + totals["V"] + 1)))}
+        return _state(rows.column("block")[0].as_py(), _ids(rows), kept)
+
+    by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
+    tokenised = materialise(by_block(base).applyInArrow(tokens, schema), "lm-tokens", rows_check=1)
+    asked = tokenised.select("block", "word", "count").mapInArrow(ask_words, "block int, bucket int, word array<long>, count array<long>")
+    answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block int, bucket int, n array<long>"), "lm-words")
+    got = answers.where("block < 0").agg(F.sum(F.col("n")[0]).alias("N"), F.sum(F.col("n")[1]).alias("V")).first()
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
-    answers = answers.where("block >= 0")
+    state = materialise(by_block(tokenised).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(start, schema), "lm-positions", rows_check=1)
+    discard(tokenised)
 
     for level in range(1, depth + 1):
-        grown = [_grow(base, answers, totals, level, blocks, part, level == depth) for part in range(PASSES)]
-        for more in grown:
-            answers = answers.unionByName(more)
-
-    def score(rows, told):
-        row, tokens = block_tokens(rows.column("text"))
-        chance, _, count = _states(row, tokens, Answers(told), totals["N"], totals["V"], depth)
-        n = rows.num_rows
-        total = lambda w: np.bincount(row, w, n)
-        return pa.table({
-            "id": rows.column("id"), "held_out": rows.column("held_out"), "n_tokens": np.bincount(row, minlength=n), "n_known": total(count > 0).astype(np.int64),
-            "base_score": total(np.log10((count + 1) / (totals["N"] + totals["V"] + 1))), "score": total(np.log10(chance)),
-        })
+        positions = state.agg(F.sum(F.size("next").cast("long"))).first()[0] or 0
+        if not positions:
+            break
+        grown = _grow(state, schema, totals, level, blocks, max(1, -(-positions * ASKED // (PASS_SHARE * max(1, size)))), level == depth, hot)
+        discard(state)
+        state = grown
+
+    out = state.selectExpr("inline(arrays_zip(id, held, n_tokens, n_known, base, total))")
+    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))
+
+
+def _ids(rows: pa.Table) -> pa.Array:
+    return rows.column("id").combine_chunks().flatten()
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield pa.Table.from_batches([batch.slice(k, 1)])
+
+
+def _grow(state: DataFrame, schema: str, totals: dict, level: int, blocks: int, passes: int, last: bool, most: int) -> DataFrame:
+    """The blocks after contexts of `level` words were judged: chances refined, positions with no longer context closed."""
+    smallest, buckets = 1 / (totals["N"] + totals["V"] + 1), blocks * passes
+
+    def ask(part: int):
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _one_by_one(batches):
+                yield from Positions(_kept(rows), level, smallest, buckets, most).ask(rows.column("block")[0].as_py(), passes, part).to_batches()
+
+        return asked
+
+    def judge(key, rows):
+        return _judge(rows, last, most)
+
+    def advance(rows, told):
+        kept = _kept(rows)
+        columns, row, chance = Positions(kept, level, smallest, buckets, most).grow(told, last)
+        kept |= {**columns, "total": kept["total"] + np.bincount(row, np.log10(chance), len(kept["total"]))}
+        return _state(rows.column("block")[0].as_py(), _ids(rows), kept)
 
-    out = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _cuts(rows: pa.Table) -> pa.Array:
-    sizes = rows.column("keys").combine_chunks().value_lengths().to_numpy()
-    return pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-
-
-def _grow(base: DataFrame, answers: DataFrame, totals: dict, level: int, blocks: int, part: int, last: bool) -> DataFrame:
-    """The answers about one part of the contexts of `level` words: what retained ones leave to their suffix, and
-    counts of the strings they begin (and, but for the last level, of strings frequent enough to be contexts)."""
-
-    def ask(rows, told):
-        row, tokens = block_tokens(rows.column("text"))
-        chance, levels, count = _states(row, tokens, Answers(told), totals["N"], totals["V"], level - 1)
-        context, occurs = levels[level - 1]
-        mine = (occurs >= MIN_CONTEXT) & (context % np.uint64(PASSES) == part)
-        own = np.flatnonzero(mine & (count >= MIN_NEXT))
-        train = ~rows.column("held_out").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
-        strings, first, counts = _sums(_string(context[own], tokens[own]), train[row[own]].astype(np.int64))
-        one = own[first]
-        dealt = _deal(rows.column("block")[0].as_py() if rows.num_rows else 0, strings, {"keys": (strings.view(np.int64), pa.int64()), "contexts": (context[one].view(np.int64), pa.int64()), "counts": (counts, pa.int32()), "lower": (np.log(chance[one]), pa.float32())}, blocks)
-        contexts, at = np.unique(context[mine], return_index=True)
-        often = occurs[mine][at]
-        block = rows.column("block")[0].as_py() if rows.num_rows else 0
-        every = pa.table({"bucket": pa.array([-1 - block], pa.int32()), "block": pa.array([block], pa.int32()), "keys": pa.ListArray.from_arrays(pa.array([0, len(contexts)], pa.int32()), pa.array(contexts.view(np.int64))), "contexts": pa.array([[]], pa.list_(pa.int64())), "counts": pa.ListArray.from_arrays(pa.array([0, len(contexts)], pa.int32()), pa.array(often, pa.int32(), safe=False)), "lower": pa.array([[]], pa.list_(pa.float32()))})
-        return pa.concat_tables([dealt.cast(every.schema), every])
-
-    def count(key, rows):
-        """A list row: strings seen twice or more, with their context, count, gain, and the blocks that asked."""
-        block = np.repeat(rows.column("block").to_numpy(), rows.column("keys").combine_chunks().value_lengths().to_numpy())
-        keys, counts = _flat(rows, "keys"), _flat(rows, "counts")
-        if key[0].as_py() < 0:
-            n = len(keys)
-            return pa.table({"string": pa.array([None] * n, pa.int64()), "context": keys, "n": counts.astype(np.int64), "gain": np.zeros(n), "blocks": pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(block, pa.int32()))})
-        own, first, total = _sums(keys, counts)
-        contexts, lower = _flat(rows, "contexts"), _flat(rows, "lower")
-        keep = total >= 2
-        order = np.argsort(keys, kind="stable")
-        sizes = np.diff(np.append(np.searchsorted(keys[order], own), len(keys)))
-        chosen = np.repeat(keep, sizes)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[keep])), pa.int32()), pa.array(block[order][chosen], pa.int32()))
-        one, n = first[keep], total[keep]
-        return pa.table({"string": own[keep], "context": contexts[one], "n": n.astype(np.int64), "gain": (n - 1) * (np.log(n - DISCOUNT) - lower[one].astype(float)), "blocks": lists})
-
-    dealt = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "bucket int, block int, keys array<long>, contexts array<long>, counts array<int>, lower array<float>")
-    found = materialise(dealt.groupBy("bucket").applyInArrow(count, "string long, context long, n long, gain double, blocks array<int>"), f"lm-strings{level}")
-    strings, contexts = found.where("string is not null"), found.where("string is null")
-    often = contexts.groupBy("context").agg(F.max("n").alias("occurs"))
-    sums = strings.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum(F.col("n") - 1).alias("repeats"), F.sum(F.col("n") - DISCOUNT).alias("share"))
-    retained = often.join(sums, "context").where(F.col("gain") - F.col("repeats") * F.log("occurs") >= GAIN).select("context", (1 - F.col("share") / F.col("occurs")).alias("rest"))
-    retained = materialise(retained.where("rest > 0"), f"lm-contexts{level}")
-    states = contexts.join(retained, "context").select(F.explode("blocks").alias("block"), F.lit(2 * level - 1).alias("kind"), F.col("context").alias("key"), F.col("rest").alias("value"))
-    told = strings.join(retained, "context", "left").where(F.col("rest").isNotNull() | (F.lit(not last) & (F.col("n") >= MIN_CONTEXT))).select(F.explode("blocks").alias("block"), F.lit(2 * level).alias("kind"), F.col("string").alias("key"), F.col("n").cast("double").alias("value"))
-    rows = states.unionByName(told).groupBy("block", "kind", F.pmod(F.xxhash64("key"), F.lit(16)).alias("part"))
-    told = materialise(rows.agg(F.collect_list(F.struct("key", "value")).alias("x")).select("block", "kind", F.col("x.key").alias("keys"), F.col("x.value").alias("counts")), f"lm-answers{level}")
+    found = None
+    for part in range(passes):
+        asked = state.mapInArrow(ask(part), ASK).repartition(blocks, "bucket").groupBy("bucket").applyInArrow(judge, FOUND)
+        asked = materialise(asked, f"lm-strings{level}")
+        found = asked if found is None else found.unionByName(asked)
+    hot = found.where("block < 0").select(F.col("context")[0].alias("context"), "gain", "share", "occurs", "blocks")
+    verdict = hot.groupBy("context").agg(F.when(F.sum("gain") >= GAIN, 1 - F.sum("share") / F.first("occurs")).otherwise(0.0).alias("rest"))
+    verdict = hot.select("context", F.explode("blocks").alias("block")).distinct().join(verdict, "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias("x"))
+    verdict = verdict.select("block", F.lit(-1).alias("bucket"), F.array().cast("array<long>").alias("n"), F.col("x.rest").alias("rest"), F.col("x.context").alias("context"))
+    told = found.where("block >= 0").select("block", "bucket", "n", "rest", "context").unionByName(verdict)
+    by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
+    grown = materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-positions", rows_check=1)
     discard(found)
-    return told
+    return grown
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
