@@ -289,6 +289,36 @@ def test_streaming_viterbi_is_exact_in_any_portions(table):
         assert out + stream.finish() == exact(text, table)
 
 
+def test_many_streams_are_exact(table):
+    rng = random.Random(31)
+    texts = ["", "x" * 1500, "a", " ", "therestingonthe" * 70, "".join(rng.choice("theran😀 ñ") for _ in range(2500)), " ".join("".join(rng.choice("ethrsoin") for _ in range(rng.randrange(1, 30))) for _ in range(200))]
+    raw = [t.encode() for t in texts]
+    ids, count = pieces.Encoder(table).encode(np.append(0, np.cumsum([len(r) for r in raw])), np.frombuffer(b"".join(raw), np.uint8))
+    for text, own in zip(texts, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        want = exact("▁" + text.replace(" ", "▁"), table) if text else []
+        assert own.tolist() == [i for x in want for i in ([x] if x >= 0 else table.bytes[list(chr(-1 - x).encode())].tolist())]
+
+
+def test_unigram_models_agree_with_the_library(spark, tmp_path):
+    """A model with log-probabilities and a normaliser, without byte pieces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(33)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = "identity", True, True
+    names = {"▁", *"abcdef▁", *("".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7))) for _ in range(60)), *("▁" + "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 5))) for _ in range(40))}
+    for name, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((n, 1) for n in sorted(names))]:
+        model.pieces.add(piece=name, score=-rng.random() * 9 if kind == 1 else 0.0, type=kind)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    texts = {d: "".join(rng.choice("abcdef  xé") for _ in range(rng.randrange(0, 80))) for d in range(80)} | {90: None, 91: "  ", 92: "xx aé"}
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for r in pieces.encode_texts(frame(spark, texts), model=str(path)).collect():
+        assert r.ids == library.encode(texts[r.doc_id] or "")
+
+
 def test_pieces_round_trip(spark, table):
     texts = made(40, 11) | {90: "a▁b", 91: "  two  spaces \n", 92: "y" * 500, 93: "\x00\x01😀" * 40}
     encoded = pieces.encode_texts(frame(spark, texts))

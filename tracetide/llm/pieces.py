@@ -15,15 +15,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.llm.shared import bound_batches, mix, powers, text_slices
+from tracetide.llm.shared import bound_batches, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The sign for a space, the kinds of pieces in a model file, the penalty of an unknown character.
 SPACE = 0x2581
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 PENALTY = 10.0
-#: Segments up to this length are encoded many at a time, longer ones as streams; ids kept of earlier segments.
-LANE, CACHE = 64, 4_000_000
+#: Characters after which a row goes on in a lane of its own, at the next boundary that no piece crosses.
+PORTION = 512
+#: Bytes of text encoded at a time.
+SLICE = 1 << 18
+_CODES = 0x110000
+
+
+class Trie:
+    """All pieces by their characters: for every start in a text, the pieces that begin there.
+
+    The first character is looked up in a table of all characters, a further one by (node, character) in a
+    hash table with linear probing.
+    """
+
+    def __init__(self, texts: list[str]):
+        nodes: dict[str, int] = {}
+        for text in texts:
+            for k in range(1, len(text) + 1):
+                nodes.setdefault(text[:k], len(nodes))
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece[[nodes[t] for t in texts]] = np.arange(len(texts))
+        self.root = np.full(_CODES, -1, np.int32)
+        deeper = [(nodes[t[:-1]] * _CODES + ord(t[-1]), n) for t, n in nodes.items() if len(t) > 1]
+        for t, n in nodes.items():
+            if len(t) == 1:
+                self.root[ord(t)] = n
+        self.bits = max(4, (8 * len(deeper)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        key, node = (np.array(x, np.int64) for x in zip(*deeper, strict=True)) if deeper else (np.zeros(0, np.int64),) * 2
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.nodes[slot[free]] = key[free], node[free]  # of several for one slot the last stays
+            left = self.keys[slot] != key
+            key, node, slot = key[left], node[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node after one more character, -1 where no piece goes on like this."""
+        key = node.astype(np.int64) * _CODES + code
+        slot = self._slot(key)
+        met = self.keys[slot]
+        out = np.where(met == key, self.nodes[slot], -1)
+        open_ = np.flatnonzero((met != key) & (met >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            met = self.keys[slot[open_]]
+            hit = met == key[open_]
+            out[open_[hit]] = self.nodes[slot[open_[hit]]]
+            open_ = open_[~hit & (met >= 0)]
+        return out
 
 
 class Pieces:
@@ -35,8 +86,15 @@ class Pieces:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         spec = proto.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not spec.add_dummy_prefix:
-            raise ValueError("only models with identity normalisation and a leading space are read")
+        if not spec.escape_whitespaces:
+            raise ValueError("only models that write spaces as U+2581 are read")
+        #: The library's normaliser where the model asks for more than a leading space; else None.
+        self.normaliser = None
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
+            import sentencepiece
+
+            self.normaliser = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.leading = spec.add_dummy_prefix
         own = [(p.piece, p.score, i) for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER)]
         self.by_text = {t: (s, i) for t, s, i in own}
         self.longest = max(len(t) for t, _, _ in own)
@@ -46,20 +104,10 @@ class Pieces:
         self.bytes = np.array([byte[b] for b in range(256)], np.int64) if len(byte) == 256 else None
         signs = {i: bytes([b]) for b, i in byte.items()}
         self.decoded = pa.array([signs.get(i, p.piece.replace(chr(SPACE), " ").encode() if p.type in (NORMAL, USER) else b"" if p.type != UNKNOWN else " ⁇ ".encode()) for i, p in enumerate(proto.pieces)], pa.binary())
-        self.splits = all(chr(SPACE) not in t.lstrip(chr(SPACE)) for t, _, _ in own)
-        keys = np.array([substring_hash(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t, _, _ in own], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.scores, self.ids = keys[order], np.array([s for _, s, _ in own])[order], np.array([i for _, _, i in own])[order]
-
-
-def _prefix(codes: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes))[0], out=total[1:])
-    return total
-
-
-def substring_hash(codes: np.ndarray) -> int:
-    return int(mix(_prefix(codes)[-1:] + np.uint64(len(codes)))[0])
+        #: Scores and ids by a piece's place; the last two places are an unknown character and no piece.
+        self.trie = Trie([t for t, _, _ in own])
+        self.scores = np.array([s for _, s, _ in own] + [self.worst, -np.inf])
+        self.ids = np.array([i for _, _, i in own] + [-1, -1])
 
 
 class StreamingViterbi:
@@ -118,126 +166,141 @@ class StreamingViterbi:
         return self._commit(self.base + len(self.back))
 
 
-def encode_lanes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids one after the other, ids per segment) of many short segments, all advanced one character at a time."""
-    order = np.argsort(size, kind="stable")
-    start, size = start[order], size[order]
-    total, inverse = _prefix(codes), powers(len(codes) + 1)[1]
-    place = np.append(0, np.cumsum(size + 1))[:-1]
-    n = int(place[-1] + size[-1] + 1) if len(size) else 0
-    score, step, piece = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    score[place] = 0
-    for end in range(1, int(size[-1]) + 1 if len(size) else 0):
-        low = int(np.searchsorted(size, end))
-        at, where = start[low:], place[low:] + end
-        best, own_step, own_piece = np.full(len(at), -np.inf), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-        for length in range(min(end, pieces.longest), 0, -1):
-            head = at + end - length
-            key = mix((total[at + end] - total[head]) * inverse[head] + np.uint64(length))
-            hit = np.searchsorted(pieces.keys, key)
-            hit[hit == len(pieces.keys)] = 0
-            known = pieces.keys[hit] == key
-            gain = np.where(known, pieces.scores[hit], pieces.worst if length == 1 else -np.inf)
-            value = score[where - length] + gain
-            better = np.flatnonzero(value > best)
-            best[better], own_step[better] = value[better], length
-            own_piece[better] = np.where(known[better], pieces.ids[hit[better]], -1 - codes[head[better]].astype(np.int64)) if length == 1 else pieces.ids[hit[better]]
-        score[where], step[where], piece[where] = best, own_step, own_piece
-    left, parts = size.copy(), []
-    while True:
-        on = np.flatnonzero(left > 0)
-        if not len(on):
+def lattice(codes: np.ndarray, limit: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces by the place of their last character and by length, boundaries that no piece crosses).
+
+    Column k holds pieces of `longest - k` characters. `limit` is the end of each character's row; the boundary
+    before a character is marked if every piece that begins earlier ends by then.
+    """
+    n, longest, trie = len(codes), pieces.longest, pieces.trie
+    unknown, none = len(pieces.ids) - 2, len(pieces.ids) - 1
+    found = np.full((n, longest), none, np.int32)
+    node = trie.root[codes]
+    first = trie.piece[node]
+    found[:, -1] = np.where((node >= 0) & (first >= 0), first, unknown)
+    reach = np.arange(1, n + 1)
+    start = np.flatnonzero(node >= 0)
+    node = node[start]
+    for size in range(2, longest + 1):
+        inside = start + size <= limit[start]
+        start, node = start[inside], node[inside]
+        node = trie.next(node, codes[start + size - 1])
+        start, node = start[node >= 0], node[node >= 0]
+        if not len(start):
             break
-        parts.append((on, piece[place[on] + left[on]]))
-        left[on] -= step[place[on] + left[on]]
-    count = np.zeros(len(size), np.int64)
-    for on, _ in parts:
-        count[on] += 1
-    final = np.empty(len(size), np.int64)
-    final[order] = count
-    first = np.append(0, np.cumsum(final))[:-1][order]
-    out = np.empty(int(final.sum()), np.int64)
-    for k, (on, ids) in enumerate(parts):
-        out[first[on] + count[on] - 1 - k] = ids
-    return out, final
+        piece = trie.piece[node]
+        own = piece >= 0
+        found[start[own] + size - 1, longest - size] = piece[own]
+        reach[start[own]] = start[own] + size
+    free = np.ones(n, bool)
+    free[1:] = np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)
+    return found, free
+
+
+def streams(found: np.ndarray, start: np.ndarray, size: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last characters of the chosen pieces, their lengths) of many streams, advanced together.
+
+    The window of a stream is the scores of its last `longest` boundaries. After each portion every path that
+    can still win is followed back to the boundary on which all converge; pieces up to it are final, and
+    are never looked at again. The longer of two equally good last pieces wins.
+    """
+    longest = found.shape[1]
+    portion = 4 * longest
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    window = np.full((len(start), longest + portion), -np.inf)
+    window[:, longest - 1] = 0.0
+    step, final, base = np.zeros(len(found), np.int64), np.zeros(len(found), bool), start.copy()
+    done = 0
+    while done < (size[0] if len(size) else 0):
+        for u in range(portion):
+            n = int(np.searchsorted(-size, -(done + u), "left"))  # streams with a character left
+            if not n:
+                break
+            at = start[:n] + (done + u)
+            value = scores[found[at]] + window[:n, u : u + longest]
+            best = value.argmax(1)
+            window[:n, u + longest] = value[np.arange(n), best]
+            step[at] = longest - best
+        n = int(np.searchsorted(-size, -done, "left"))
+        end = start[:n] + np.minimum(size[:n], done + portion)
+        over = size[:n] <= done + portion
+        alive = np.maximum(end[:, None] - np.arange(longest), base[:n, None])
+        alive[over] = end[over, None]
+        while True:
+            ahead = alive > alive.min(1)[:, None]
+            if not ahead.any():
+                break
+            alive[ahead] -= step[alive[ahead] - 1]
+        meet, back = alive[:, 0], alive[:, 0].copy()
+        while True:
+            on = np.flatnonzero(back > base[:n])
+            if not len(on):
+                break
+            final[back[on] - 1] = True
+            back[on] -= step[back[on] - 1]
+        base[:n] = meet
+        window[:, :longest] = window[:, portion:].copy()
+        done += portion
+    last = np.flatnonzero(final)
+    return last, step[last]
 
 
 class Encoder:
-    """Encodes columns of texts; remembers the ids of the segments it has met."""
+    """Encodes columns of texts."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.at, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, ids per row) of rows of UTF-8 bytes.
 
-        Every row begins with a space sign unless it is empty. Where no piece has a space sign after another
-        character, paths meet before each run of space signs, and the runs with what follows are segments.
+        Every row begins with a space sign unless it is empty. A long row goes on in further streams at
+        boundaries that no piece crosses, where all paths meet.
         """
-        lead = (data & 0xC0) != 0x80
-        place = np.append(0, np.cumsum(lead))[offsets]
-        codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
-        codes[codes == 32] = SPACE
-        rows = np.flatnonzero(np.diff(place) > 0)
-        if not len(rows):
+        rows, codes, first = self._codes(offsets, data)
+        if not len(codes):
             return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        codes = np.insert(codes, place[rows], SPACE)
-        first = place[rows] + np.arange(len(rows))
-        sign = codes == SPACE
-        cut = sign.copy() if self.pieces.splits else np.zeros(len(codes), bool)
-        cut[1:] &= ~sign[:-1]
-        cut[first] = True
-        start = np.flatnonzero(cut)
-        size = np.diff(np.append(start, len(codes)))
-        total = _prefix(codes)
-        key = mix((total[start + size] - total[start]) * powers(len(codes) + 1)[1][start] + size.astype(np.uint64))
-        distinct, one, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.pool) > CACHE:
-            self._forget()
-        hit = np.searchsorted(self.known, distinct)
-        hit[hit == len(self.known)] = 0
-        new = np.flatnonzero(self.known[hit] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(new):
-            self._learn(codes, distinct[new], start[one[new]], size[one[new]])
-            hit = np.searchsorted(self.known, distinct)
-        at, count = self.at[hit][back], self.count[hit][back]
-        ends = np.cumsum(count)
-        ids = self.pool[np.repeat(at - ends + count, count) + np.arange(ends[-1])]
+        ends = np.append(first[1:], len(codes))
+        own = np.repeat(np.arange(len(first)), ends - first)
+        found, free = lattice(codes, ends[own], self.pieces)
+        free[first] = True
+        cut = np.flatnonzero(free)
+        group = own[cut] * (int((ends - first).max()) // PORTION + 1) + (cut - first[own[cut]]) // PORTION
+        cut = cut[np.append(True, group[1:] != group[:-1])]
+        last, size = streams(found, cut, np.diff(np.append(cut, len(codes))), self.pieces.scores)
+        piece = found[last, self.pieces.longest - size]
+        ids = np.where(piece == len(self.pieces.ids) - 2, -1 - codes[last].astype(np.int64), self.pieces.ids[piece])
         per_row = np.zeros(len(offsets) - 1, np.int64)
-        per_row[rows] = np.add.reduceat(count, np.searchsorted(start, first))
+        per_row[rows] = np.bincount(own[last], minlength=len(first))
         return self._bytes(ids, per_row)
 
-    def _learn(self, codes: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        short = size <= LANE
-        ids, count = encode_lanes(codes, start[short], size[short], self.pieces)
-        keys, counts, pools = [key[short]], [count], [ids]
-        for k in np.flatnonzero(~short):
-            stream = StreamingViterbi(self.pieces)
-            text = codes[start[k] : start[k] + size[k]].tobytes().decode("utf-32-le")
-            own = stream.feed(text) + stream.finish()
-            keys.append(key[k : k + 1])
-            counts.append(np.array([len(own)]))
-            pools.append(np.array(own, np.int64))
-        counts = np.concatenate(counts)
-        at = np.append(0, np.cumsum(counts))[:-1] + len(self.pool)
-        self.pool = np.concatenate([self.pool, *pools])
-        known = np.concatenate([self.known, *keys])
-        order = np.argsort(known)
-        self.known, self.at, self.count = known[order], np.append(self.at, at)[order], np.append(self.count, counts)[order]
+    def _codes(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that aren't empty, their characters one after the other, where each row begins)."""
+        if self.pieces.normaliser:
+            raw = data.tobytes()
+            plain = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            texts = [self.pieces.normaliser.normalize(t) for t in plain]
+            size = np.array([len(t) for t in texts], np.int64)
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            rows = np.flatnonzero(size)
+            return rows, codes, np.append(0, np.cumsum(size[rows]))[:-1]
+        place = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
+        codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+        codes[codes == 32] = SPACE
+        rows = np.flatnonzero(np.diff(place) > 0)
+        return rows, np.insert(codes, place[rows], SPACE), place[rows] + np.arange(len(rows))
 
     def _bytes(self, ids: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters become the pieces of their bytes, or the unknown piece without such."""
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
             return ids, per_row
-        if self.pieces.bytes is None:
-            ids = ids.copy()
-            ids[odd] = self.pieces.unknown
-            return ids, per_row
+        if self.pieces.bytes is None:  # a run of unknown characters is one unknown piece
+            row = np.repeat(np.arange(len(per_row)), per_row)
+            more = odd[1:][(np.diff(odd) == 1) & (row[odd[1:]] == row[odd[:-1]])]
+            ids = np.where(ids < 0, self.pieces.unknown, ids)
+            return np.delete(ids, more), per_row - np.bincount(row[more], minlength=len(per_row))
         code, which = np.unique(-1 - ids[odd], return_inverse=True)
         spelt = [self.pieces.bytes[np.frombuffer(chr(c).encode(), np.uint8)] for c in code.tolist()]
         width = np.ones(len(ids), np.int64)
@@ -259,7 +322,7 @@ def decode(ids: np.ndarray, per_row: np.ndarray, pieces: Pieces) -> tuple[np.nda
     ends = np.frombuffer(buffers[1], np.int32)[: len(ids) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[: ends[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
     offsets = ends[np.append(0, np.cumsum(per_row))]
-    full = offsets[:-1][(np.diff(offsets) > 0)]
+    full = offsets[:-1][(np.diff(offsets) > 0)] if pieces.leading else offsets[:0]
     extra = full[data[full] == 32]
     keep = np.ones(len(data), bool)
     keep[extra] = False
@@ -277,7 +340,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The model file is read on the driver and sent along. Null and empty texts have no ids and come back as the
     empty text. A text with the sign U+2581 doesn't come back, as it decodes to a space. Repeated rows
     are encoded alike, ids may be null, other columns are not carried. No shuffle; a task holds one batch of
-    texts, the ids of one text and a bounded memory of segments.
+    texts, and of these the lattice of some 256 KB or of one text. A model with a normaliser goes through the
+    library's own, and its texts may come back normalised.
     """
     bound_batches(docs.sparkSession)
     with open(model, "rb") as file:
@@ -287,7 +351,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_loaded(sent.value))
         for batch in batches:
-            for base, offsets, data in text_slices(batch.column(1), 1 << 20):
+            for base, offsets, data in text_slices(batch.column(1), SLICE):
                 ids, count = encoder.encode(offsets, data)
                 back, ends = decode(ids, count, encoder.pieces)
                 if len(back) == len(data) and (back == data).all() and (ends == offsets).all():
