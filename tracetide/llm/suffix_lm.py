@@ -8,7 +8,7 @@ answered in the order in which they were asked. Neither the vocabulary nor the t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,41 @@ MIN_CONTEXT, MIN_NEXT = 16, 4
 DISCOUNT, GAIN = 0.75, 10.0
 #: The strings of contexts with this many occurrences or more are dealt over several buckets.
 HOT = 1 << 16
-#: A pass asks for at most about PASS_SHARE bytes of strings for each byte of text, at ASKED bytes a string.
-PASS_SHARE, ASKED = 3, 12
+#: A pass asks for about PASS_SHARE bytes of strings for each byte of text at most, at ASKED bytes a string.
+PASS_SHARE, ASKED = 1, 12
 #: Fixed value: the token that ends a document.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed value: stands for all next words that aren't counted, so that a block asks for their contexts too.
 RARE = np.uint64(0xD1B54A32D192ED03)
-ASK = "block int, bucket int, context array<long>, occurs array<long>, size array<int>, next array<long>, trained array<int>, lower array<float>"
-FOUND = "block int, bucket int, n array<long>, rest array<double>, context array<long>, gain double, share double, occurs long, blocks array<int>"
+ASK = "block int, bucket int, data binary"
+FOUND = "block int, bucket int, told binary, context long, gain double, share double, occurs long, blocks array<int>"
+#: The numbers a block keeps beside those of its documents: its words and their counts, its contexts and theirs, and
+#: its open positions: steps between them, next words, contexts, chances so far.
+KEPT = {"word": np.uint64, "count": np.int64, "context": np.uint64, "occurs": np.int64, "step": np.int32, "next": np.int32, "at": np.int32, "chance": np.float32}
+#: Strings that a bucket is asked about: contexts, how often they occur, their numbers of strings, and next words,
+#: occurrences in the block and chances without the context.
+ASKED_FOR = (np.uint64, np.int64, np.int32, np.uint64, np.int32, np.float32)
+DOCS = {"held": "boolean", "n_tokens": "long", "n_known": "long", "base": "double", "total": "double"}
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack(arrays: Iterable[np.ndarray], kinds: Iterable[type]) -> bytes:
+    """Arrays of numbers as compressed bytes, all lowest bytes of an array first."""
+    cast = [np.ascontiguousarray(a, k) for a, k in zip(arrays, kinds, strict=True)]
+    raw = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in cast)
+    return np.array([len(raw), *map(len, cast)], np.int64).tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpack(data: pa.Scalar, kinds: Iterable[type]) -> list[np.ndarray]:
+    kinds = [np.dtype(k) for k in kinds]
+    buffer, head = data.as_buffer(), 8 * (len(kinds) + 1)
+    size, *lengths = np.frombuffer(buffer[:head], np.int64).tolist()
+    raw, out, at = np.frombuffer(_ZSTD.decompress(buffer[head:], size), np.uint8), [], 0
+    for kind, n in zip(kinds, lengths, strict=True):
+        own = raw[at : at + n * kind.itemsize]
+        out.append(np.ascontiguousarray(own.reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,34 +99,21 @@ def _flat(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _sizes(rows: pa.Table, name: str) -> np.ndarray:
-    return rows.column(name).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-
-
-def _lists(sizes: np.ndarray, values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
-    if kind == pa.int64() and isinstance(values, np.ndarray) and values.dtype == np.uint64:
-        values = values.view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values).cast(kind))
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for each key by its high bits."""
     return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
 
-#: The numbers a block keeps: of its documents, its words, its contexts, and its open positions (the steps between
-#: them, next word, context, chance so far).
-_COLUMNS = {"held": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "total": pa.float64(), "word": pa.int64(), "count": pa.int64(), "context": pa.int64(), "occurs": pa.int64(), "step": pa.int32(), "next": pa.int32(), "at": pa.int32(), "chance": pa.float32()}
-
-
-def _state(block: int, ids: pa.Array, columns: dict[str, np.ndarray]) -> pa.Table:
-    """A block as a table of one row."""
-    lists = {c: _lists(np.array([len(columns[c])]), columns[c], kind) for c, kind in _COLUMNS.items()}
-    return pa.table({"block": pa.array([block], pa.int32()), "id": _lists(np.array([len(ids)]), ids, ids.type), **lists})
+def _state(block: int, ids: pa.Array, docs: dict[str, np.ndarray], kept: dict[str, np.ndarray]) -> pa.Table:
+    """A block as a table of one row: lists over its documents, and what else it keeps."""
+    lists = {c: pa.array([v]) for c, v in docs.items()}
+    one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.table({"block": pa.array([block], pa.int32()), "id": one, **lists, "open": pa.array([len(kept["next"])], pa.int64()), "data": pa.array([pack([kept[c] for c in KEPT], KEPT.values())], pa.binary())})
 
 
 def _kept(rows: pa.Table) -> dict[str, np.ndarray]:
-    return {c: _flat(rows, c).view(np.uint64) if c in ("word", "context") else _flat(rows, c) for c in _COLUMNS}
+    docs = {c: _flat(rows, c) for c in DOCS}
+    return docs | dict(zip(KEPT, unpack(rows.column("data")[0], KEPT.values()), strict=True))
 
 
 class Positions:
@@ -146,25 +160,24 @@ class Positions:
         at = self.s_at[self.order[entry]]
         own, strings = np.unique(bucket[chosen], return_counts=True)
         entries = np.bincount(np.searchsorted(own, bucket[entry]), minlength=len(own))
-        return pa.table({
-            "block": np.full(len(own), block, np.int32), "bucket": own,
-            "context": _lists(entries, self.context[at], pa.int64()), "occurs": _lists(entries, self.occurs[at], pa.int64()), "size": _lists(entries, size, pa.int32()),
-            "next": _lists(strings, self.word[self.s_next[order]], pa.int64()), "trained": _lists(strings, self.trained[order], pa.int32()), "lower": _lists(strings, np.log(self.lower[order]), pa.float32()),
-        })
+        split = lambda cuts, x: np.split(x, np.cumsum(cuts)[:-1])
+        columns = [*(split(entries, x) for x in (self.context[at], self.occurs[at], size)), *(split(strings, x) for x in (self.word[self.s_next[order]], self.trained[order], np.log(self.lower[order])))]
+        return pa.table({"block": np.full(len(own), block, np.int32), "bucket": own, "data": pa.array([pack(x, ASKED_FOR) for x in zip(*columns, strict=True)] if len(own) else [], pa.binary())})
 
     def grow(self, told: pa.Table, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """(columns of the positions that stay open, rows and chances of those that close)."""
         told = told.sort_by("bucket")
         verdicts = pa.compute.less(told.column("bucket"), 0)
         hot, told = told.filter(verdicts), told.filter(pa.compute.invert(verdicts))
-        n = np.zeros(len(self.order), np.int64)
-        n[self.order] = _flat(told, "n")
-        rest = np.zeros(len(self.context))
-        rest[self.s_at[self.order[self.entry]]] = _flat(told, "rest")
+        answers = [unpack(x, (np.int64, np.float64)) for x in told.column("told")]
+        n, rest = np.zeros(len(self.order), np.int64), np.zeros(len(self.context))
+        if answers:
+            n[self.order] = np.concatenate([x for x, _ in answers])
+            rest[self.s_at[self.order[self.entry]]] = np.concatenate([x for _, x in answers])
         open_verdict = np.flatnonzero(np.isnan(rest))
         if len(open_verdict):
-            known, first, _ = _distinct(_flat(hot, "context").view(np.uint64))
-            rest[open_verdict] = _flat(hot, "rest")[first][np.searchsorted(known, self.context[open_verdict])]
+            known, first, _ = _distinct(_flat(hot, "contexts").view(np.uint64))
+            rest[open_verdict] = _flat(hot, "rests")[first][np.searchsorted(known, self.context[open_verdict])]
         share = np.zeros(len(self.at))
         seen = n[self.back]
         share[self.own] = np.where(seen >= 2, seen - DISCOUNT, 0.0) / self.occurs[self.at[self.own]]
@@ -191,37 +204,33 @@ def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
     to its suffix (0 if it isn't retained, NaN where other buckets have a say). Such hot contexts add rows with
     block -1: their part of the gain and of the share, and the blocks that asked.
     """
-    entries, occurs, size = _flat(rows, "context").view(np.uint64), _flat(rows, "occurs"), _flat(rows, "size")
+    asked = [unpack(x, ASKED_FOR) for x in rows.column("data")]
+    entry_count, string_count = (np.array([len(x[k]) for x in asked], np.int64) for k in (0, 3))
+    entries, occurs, size, word, trained, lower = (np.concatenate(x) for x in zip(*asked, strict=True))
     of_entry = np.repeat(np.arange(len(entries)), size)
-    _, first, back = _distinct(_pair(entries[of_entry], _flat(rows, "next").view(np.uint64)))
-    n = np.bincount(back, _flat(rows, "trained"), len(first)).astype(np.int64)
+    _, first, back = _distinct(_pair(entries[of_entry], word))
+    n = np.bincount(back, trained, len(first)).astype(np.int64)
     contexts, one, of_context = _distinct(entries)
     occurs, at = occurs[one], of_context[of_entry[first]]
     seen = np.flatnonzero(n >= 2)
     k, own = n[seen], at[seen]
-    gain = np.bincount(own, (k - 1) * (np.log((k - DISCOUNT) / occurs[own]) - _flat(rows, "lower")[first[seen]]), len(contexts))
+    gain = np.bincount(own, (k - 1) * (np.log((k - DISCOUNT) / occurs[own]) - lower[first[seen]]), len(contexts))
     share = np.bincount(own, k - DISCOUNT, len(contexts))
     hot = occurs >= most
     rest = np.where(hot, np.nan, np.where(gain >= GAIN, 1 - share / occurs, 0.0))
     needed = (n >= 2) & ((rest[at] != 0) | ((n >= MIN_CONTEXT) & (not last)))
-    strings, entry_count = _sizes(rows, "next"), _sizes(rows, "context")
-    none = np.zeros(rows.num_rows, np.int64)
-    told = pa.table({
-        "block": rows.column("block"), "bucket": rows.column("bucket"), "n": _lists(strings, np.where(needed, n, 0)[back], pa.int64()),
-        "rest": _lists(entry_count, rest[of_context], pa.float64()), "context": _lists(none, np.zeros(0, np.int64), pa.int64()),
-        "gain": np.zeros(rows.num_rows), "share": np.zeros(rows.num_rows), "occurs": none, "blocks": _lists(none, np.zeros(0, np.int32), pa.int32()),
-    })
-    which = np.flatnonzero(hot)
-    if not len(which):
-        return told
-    asked = np.repeat(rows.column("block").to_numpy(), entry_count)
-    blocks = [np.unique(asked[of_context == c]) for c in which]
-    ones, none = np.ones(len(which), np.int64), np.zeros(len(which), np.int64)
-    more = pa.table({
-        "block": np.full(len(which), -1, np.int32), "bucket": np.full(len(which), -1, np.int32), "n": _lists(none, np.zeros(0, np.int64), pa.int64()), "rest": _lists(none, np.zeros(0), pa.float64()),
-        "context": _lists(ones, contexts[which], pa.int64()), "gain": gain[which], "share": share[which], "occurs": occurs[which], "blocks": _lists(np.array([len(b) for b in blocks]), np.concatenate(blocks), pa.int32()),
+    split = lambda cuts, x: np.split(x, np.cumsum(cuts)[:-1])
+    told = [pack(x, (np.int64, np.float64)) for x in zip(split(string_count, np.where(needed, n, 0)[back]), split(entry_count, rest[of_context]), strict=True)]
+    which, from_block = np.flatnonzero(hot), np.repeat(rows.column("block").to_numpy(), entry_count)
+    lines, more = len(told), len(which)
+    blocks = [None] * lines + [np.unique(from_block[of_context == c]) for c in which]
+    none = lambda kind: pa.nulls(lines, kind)
+    both = lambda kind, x: pa.concat_arrays([none(kind), pa.array(x, kind)])
+    return pa.table({
+        "block": np.append(rows.column("block").to_numpy(), np.full(more, -1)).astype(np.int32), "bucket": np.append(rows.column("bucket").to_numpy(), np.full(more, -1)).astype(np.int32),
+        "told": pa.array(told + [None] * more, pa.binary()), "context": both(pa.int64(), contexts[which].view(np.int64)), "gain": both(pa.float64(), gain[which]), "share": both(pa.float64(), share[which]),
+        "occurs": both(pa.int64(), occurs[which]), "blocks": pa.array(blocks, pa.list_(pa.int32())),
     })
-    return pa.concat_tables([told, more.cast(told.schema)])
 
 
 def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
@@ -246,51 +255,57 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     base = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    kinds = {"bool": "boolean", "int64": "long", "int32": "int", "double": "double", "float": "float"}
-    schema = f"block int, id array<{kind}>, " + ", ".join(f"`{c}` array<{kinds[str(t)]}>" for c, t in _COLUMNS.items())
+    schema = f"block int, id array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in DOCS.items()) + ", open long, data binary"
     totals = {"N": 0, "V": 0}
 
     def tokens(key, rows):
         row, token = block_tokens(rows.column("text"))
         word, _, back = _distinct(token)
+        rank = np.argsort(-np.bincount(back, minlength=len(word)), kind="stable")  # frequent words get small numbers
+        place = np.empty(len(word), np.int64)
+        place[rank] = np.arange(len(word))
         held = rows.column("held").to_numpy() if rows.num_rows else np.zeros(0, bool)
-        n = np.bincount(row, minlength=rows.num_rows)
-        none, zero = np.zeros(0), np.zeros(rows.num_rows)
-        own = {"held": held, "n_tokens": n, "n_known": zero, "base": zero, "total": zero, "word": word, "count": np.bincount(back, ~held[row], len(word)).astype(np.int64), "context": none, "occurs": none, "step": none, "next": back, "at": none, "chance": none}
-        return _state(key[0].as_py(), rows.column("id").combine_chunks(), own)
+        n, none = np.bincount(row, minlength=rows.num_rows), np.zeros(0)
+        own = {"word": word[rank], "count": np.bincount(place[back], ~held[row], len(word)), "context": none, "occurs": none, "step": none, "next": place[back], "at": none, "chance": none}
+        return _state(key[0].as_py(), rows.column("id").combine_chunks(), {"held": held, "n_tokens": n, "n_known": np.zeros(rows.num_rows, np.int64), "base": np.zeros(rows.num_rows), "total": np.zeros(rows.num_rows)}, own)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _one_by_one(batches):
-            word, count = _flat(rows, "word").view(np.uint64), _flat(rows, "count")
-            own, sizes = np.unique(_bucket(word, blocks), return_counts=True)
-            yield from pa.table({"block": np.full(len(own), rows.column("block")[0].as_py(), np.int32), "bucket": own, "word": _lists(sizes, word, pa.int64()), "count": _lists(sizes, count, pa.int64())}).to_batches()
+            kept = _kept(rows)
+            order = np.argsort(kept["word"])
+            word, count = kept["word"][order], kept["count"][order]
+            own, cuts = np.unique(_bucket(word, blocks), return_index=True)
+            data = [pack(x, (np.uint64, np.int64)) for x in zip(np.split(word, cuts[1:]), np.split(count, cuts[1:]), strict=True)] if len(own) else []
+            yield from pa.table({"block": np.full(len(own), rows.column("block")[0].as_py(), np.int32), "bucket": own, "data": pa.array(data, pa.binary())}).to_batches()
 
     def count_words(key, rows):
-        own, _, back = _distinct(_flat(rows, "word"))
-        total = np.bincount(back, _flat(rows, "count"), len(own)).astype(np.int64)
-        told = pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": _lists(_sizes(rows, "word"), total[back], pa.int64())})
-        sums = pa.table({"block": pa.array([-1], pa.int32()), "bucket": pa.array([-1], pa.int32()), "n": pa.array([[int(total.sum()), int((total > 0).sum())]])})
-        return pa.concat_tables([told, sums.cast(told.schema)])
+        asked = [unpack(x, (np.uint64, np.int64)) for x in rows.column("data")]
+        own, _, back = _distinct(np.concatenate([x for x, _ in asked]))
+        total = np.bincount(back, np.concatenate([x for _, x in asked]), len(own)).astype(np.int64)
+        told = [pack([x], [np.int64]) for x in np.split(total[back], np.cumsum([len(x) for x, _ in asked])[:-1])]
+        return pa.table({"block": np.append(rows.column("block").to_numpy(), -1).astype(np.int32), "bucket": np.append(rows.column("bucket").to_numpy(), -1).astype(np.int32), "told": pa.array([*told, None], pa.binary()), "n": np.append(np.zeros(len(told), np.int64), total.sum()), "v": np.append(np.zeros(len(told), np.int64), (total > 0).sum())})
 
     def start(rows, told):
         kept = _kept(rows)
-        count = _flat(told.sort_by("bucket"), "n")  # words are sorted by hash, and so are buckets
+        count = np.zeros(len(kept["word"]), np.int64)
+        if told.num_rows:  # words were asked for in the order of their hashes
+            count[np.argsort(kept["word"])] = np.concatenate([unpack(x, [np.int64])[0] for x in told.sort_by("bucket").column("told")])
         row, each = np.repeat(np.arange(len(kept["n_tokens"])), kept["n_tokens"]), count[kept["next"]]
         total = lambda w: np.bincount(row, w, len(kept["n_tokens"]))
         kept |= {"count": count, "n_known": total(each > 0).astype(np.int64), "base": total(np.log10((each + 1) / (totals["N"] + totals["V"] + 1)))}
-        return _state(rows.column("block")[0].as_py(), _ids(rows), kept)
+        return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
     by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
-    tokenised = materialise(by_block(base).applyInArrow(tokens, schema), "lm-tokens", rows_check=1)
-    asked = tokenised.select("block", "word", "count").mapInArrow(ask_words, "block int, bucket int, word array<long>, count array<long>")
-    answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block int, bucket int, n array<long>"), "lm-words")
-    got = answers.where("block < 0").agg(F.sum(F.col("n")[0]).alias("N"), F.sum(F.col("n")[1]).alias("V")).first()
+    tokenised = materialise(by_block(base).applyInArrow(tokens, schema), "lm-tokens", rows_check=4)
+    asked = tokenised.mapInArrow(ask_words, ASK)
+    answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block int, bucket int, told binary, n long, v long"), "lm-words")
+    got = answers.where("block < 0").agg(F.sum("n").alias("N"), F.sum("v").alias("V")).first()
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
-    state = materialise(by_block(tokenised).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(start, schema), "lm-positions", rows_check=1)
+    state = materialise(by_block(tokenised).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(start, schema), "lm-positions", rows_check=4)
     discard(tokenised)
 
     for level in range(1, depth + 1):
-        positions = state.agg(F.sum(F.size("next").cast("long"))).first()[0] or 0
+        positions = state.agg(F.sum("open")).first()[0] or 0
         if not positions:
             break
         grown = _grow(state, schema, totals, level, blocks, max(1, -(-positions * ASKED // (PASS_SHARE * max(1, size)))), level == depth, hot)
@@ -329,20 +344,20 @@ def _grow(state: DataFrame, schema: str, totals: dict, level: int, blocks: int,
         kept = _kept(rows)
         columns, row, chance = Positions(kept, level, smallest, buckets, most).grow(told, last)
         kept |= {**columns, "total": kept["total"] + np.bincount(row, np.log10(chance), len(kept["total"]))}
-        return _state(rows.column("block")[0].as_py(), _ids(rows), kept)
+        return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
     found = None
     for part in range(passes):
         asked = state.mapInArrow(ask(part), ASK).repartition(blocks, "bucket").groupBy("bucket").applyInArrow(judge, FOUND)
         asked = materialise(asked, f"lm-strings{level}")
         found = asked if found is None else found.unionByName(asked)
-    hot = found.where("block < 0").select(F.col("context")[0].alias("context"), "gain", "share", "occurs", "blocks")
+    hot = found.where("block < 0")
     verdict = hot.groupBy("context").agg(F.when(F.sum("gain") >= GAIN, 1 - F.sum("share") / F.first("occurs")).otherwise(0.0).alias("rest"))
     verdict = hot.select("context", F.explode("blocks").alias("block")).distinct().join(verdict, "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias("x"))
-    verdict = verdict.select("block", F.lit(-1).alias("bucket"), F.array().cast("array<long>").alias("n"), F.col("x.rest").alias("rest"), F.col("x.context").alias("context"))
-    told = found.where("block >= 0").select("block", "bucket", "n", "rest", "context").unionByName(verdict)
+    verdict = verdict.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("told"), F.col("x.context").alias("contexts"), F.col("x.rest").alias("rests"))
+    told = found.where("block >= 0").select("block", "bucket", "told").unionByName(verdict, allowMissingColumns=True)
     by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
-    grown = materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-positions", rows_check=1)
+    grown = materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-positions", rows_check=4)
     discard(found)
     return grown
 
