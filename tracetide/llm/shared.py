@@ -91,23 +91,26 @@ def discard(df: DataFrame) -> None:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`(node, label)` for every node of an edge; the label is the smallest node that can be reached.
 
-    Each round takes the smallest label next to a node and then that label's own label. Labels are a
-    table in the shared folder; only the number of changes comes to the driver. Minima are combined
-    before the shuffle; the joins have the edges or the labels on one side and one row a node on the
-    other, so a hub is split by adaptive skew joins. Null ends and loops are ignored; no edges, no rows.
+    Alternating stars: every node hands its larger neighbours to the smallest node it knows, then each node and
+    its smaller neighbours do the same, until only stars are left. Chains halve each round, so rounds grow
+    with the logarithm of their length. Edges are a table in the shared folder; a count and a checksum come to
+    the driver. Minima are combined before the shuffle; the joins have one row a node on one side, so a hub
+    can be split by adaptive skew joins. Null ends and loops are ignored; no edges, no rows.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = materialise(pairs.union(pairs.select("b", "a")).distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-labels")
+    ends = edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
+    state = materialise(ends.where("x and y and high <> low").select("high", "low").distinct(), "cc-edges")
+    mark, sign = None, (F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("hook"))
-        root = hooked.select(F.col("node").alias("root"), F.col("hook").alias("beyond"))
-        label = F.least("hook", "beyond")
-        after = materialise(hooked.join(root, hooked.hook == root.root, "left").select("node", label.alias("label"), (label < F.col("old")).alias("changed")), "cc-labels")
-        labels = after.select("node", "label")
-        if not after.where("changed").limit(1).count():
-            return labels
+        both = state.select(F.col("low").alias("node"), F.col("low").alias("near")).union(state.select("high", "low"))
+        near = both.groupBy("node").agg(F.min("near").alias("least"))
+        large = state.join(near, state.low == near.node).select("high", F.col("least").alias("low")).distinct()
+        own = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
+        moved = large.join(own, large.high == own.node).select(F.when(F.col("low") == F.col("least"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("least").alias("low"))
+        after = materialise(moved.distinct(), "cc-edges")
+        discard(state)
+        state, before, mark = after, mark, tuple(after.agg(*sign).first())
+        if mark == before or not mark[0]:
+            return state.select(F.col("high").alias("node"), F.col("low").alias("label")).union(state.select(F.col("low").alias("node"), F.col("low").alias("label")).distinct())
 
 
 # --- words of UTF-8 bytes -----------------------------------------------------------------------
