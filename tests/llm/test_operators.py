@@ -90,6 +90,31 @@ def test_blocks_reach_aliases(spark):
     assert url_filter.filter_urls(df.where("false"), rules).count() == 0
 
 
+def test_link_targets_are_resolved_and_both_ends_alike(spark):
+    html = """<head><link rel="alternate" href="/no"><link data-href="/no2" rel='x canonical' href='../p/./q?a=1&amp;b=2#f'>
+    <LINK REL=canonical HREF=//H2.com/z/><meta http-equiv=Refresh content="3; URL='?x=1'"><link rel="not-canonical" href="/no3"><link rel=canonical href="mailto:a@b"><link rel=canonical href="#top"></head>"""
+    rows = [(1, "HTTP://a.net/d/e/f?y", html), (2, "http://www.a.net/d/p/q?b=2&a=1", ""), (3, "https://h2.com/z?utm_source=1", None), (4, "http://a.net/d/e/f?x=1", ""), (5, "http://a.net/no", ""), (6, "http://a.net/no3", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.a, r.b) for r in url_filter.link_edges(df.where("page_id = 1")).collect()}
+    assert {b for _, b in edges} == {"https://a.net/d/e/f?y", "https://a.net/d/p/q?a=1&b=2", "https://h2.com/z", "https://a.net/d/e/f?x=1"}
+    plain = {r.b for r in url_filter.link_edges(df.where("page_id = 1"), canonical_forms=False).collect()}
+    assert plain == {"http://a.net/d/e/f?y", "http://a.net/d/p/q?a=1&b=2", "http://h2.com/z/", "http://a.net/d/e/f?x=1"}
+    out = url_filter.filter_urls(df.withColumns({"component": F.lit("x"), "label": F.lit(1)}), url_filter.rule_table(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict", "component")
+    import duckdb
+
+    pages = df.toPandas()  # noqa: F841
+    want = duckdb.sql(url_filter.ORACLE).df().sort_values("page_id").astype(object)
+    assert out.orderBy("page_id").toPandas().astype(object).where(lambda x: x.notna(), None).values.tolist() == want[out.columns].where(lambda x: x.notna(), None).values.tolist()
+    assert len(set(want["component"])) == 3
+
+
+def test_components_of_a_shuffled_chain(spark):
+    order = list(range(2000))
+    random.Random(8).shuffle(order)
+    df = spark.createDataFrame([(order[k], order[k + 1]) for k in range(1999)], "a long, b long")
+    assert {r.label for r in connected_components(df).collect()} == {0}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(None, 1), (5, 5)]
@@ -110,6 +135,46 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_near_duplicates_lose_no_link_in_crowded_buckets(spark, parts):
+    """Families at 85 % among members of one template at 70 to 84 %, in any partitioning; short texts as well."""
+    rng = random.Random(41)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    base, texts = [word() for _ in range(220)], {}
+    for d in range(120):
+        own = base[:180] + [word() for _ in range(40)]
+        for k in range(2):
+            copy = own.copy()
+            copy[rng.randrange(180, 220)] = word()
+            texts[3 * d + k] = " ".join(copy)
+        texts[3 * d + 2] = " ".join(own[:rng.randrange(150, 220)])
+    for d in range(400, 520):
+        short = [rng.choice("ab") + str(rng.randrange(2)) for _ in range(rng.randrange(4, 30))]
+        texts[d] = " ".join(short)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, texts).repartition(parts)).collect()}
+    assert got == brute.near_classes(texts)
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute.near_classes(texts)
+
+
+def test_tiles_of_one_bucket_meet():
+    """Two tiles that meet give the links of a whole bucket."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(np.arange(1, 400, dtype=np.uint64) * np.uint64(2**55 + 12345), 300, replace=False)) for _ in range(6)]
+    sets += [np.sort(np.append(s[:-3], rng.integers(1, 2**62, 3, dtype=np.uint64))) for s in sets]
+    sig = [near_dedup.signature(s).tobytes() for s in sets]
+    import pyarrow as pa
+
+    n = len(sets)
+    rows = pa.table({"bucket": [1] * n, "low": [0] * n, "high": [1] * n, "tile": [0] * 6 + [1] * 6, "band": [near_dedup.BANDS] * n, "doc": range(n), "n": [len(s) for s in sets], "label": range(n), "sig": sig, "shingles": [s.tobytes() for s in sets]})
+    assert sorted(near_dedup._meeting(rows, 85, near_dedup.least_agreement(85))) == [(k, k + 6) for k in range(6)]
+
+
 def test_chains_of_near_copies_are_one_class(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]

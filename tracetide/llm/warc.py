@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +33,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, size: int, sha1: str) -> bytes:
+def _urn(page_id: int | None, sha1: str, copy: int = 0) -> str:
+    """A record's name: its page, its payload, and a number if a page holds the payload more than once."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{sha1}{f':{copy}' if copy else ''}>"
+
+
+def _member(head: list[str], payload: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join([*head, f"Content-Length: {len(payload)}"]).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + pack.flush()
+
+
+def file_info(name: str) -> bytes:
+    """The record that opens a file."""
+    return _member(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:x-file:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, size: int, sha1: str, copy: int = 0) -> bytes:
     """One gzip member that holds one WARC record."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {size}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, sha1, copy)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {size}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{'null' if refers_to is None else refers_to}>"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + pack.flush()
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to, sha1)}"]
+    return _member([*head, "Content-Type: text/html; charset=utf-8"], payload)
 
 
 def records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -83,8 +97,8 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     Rows are sorted by id over shards whose borders come from a sample taken by hash, so the same rows give
     the same files whatever the partitioning. A shard opens a new file when the last one reaches
     `roll_bytes` of compressed data. A task writes under names of its own attempt; the manifest holds only
-    what the winning attempts wrote, and a second step moves those files to their final names, which can be
-    repeated. Files of lost attempts stay behind under temporary names and are never read.
+    what the winning attempts wrote, and a second step, dealt by file, moves those files to their final names,
+    which can be repeated; the manifest follows when all are in place. Each file opens with a `warcinfo` record. Files of lost attempts stay behind under temporary names and are never read.
 
     Of rows with equal payloads of at least `min_bytes` bytes the one with the largest id becomes a response
     and the others revisit it; of equal rows the first does. Null payloads are empty, null urls leave the
@@ -114,7 +128,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
         store, base = _store(out)
         store.create_dir(f"{base}/tmp", recursive=True)
         attempt, shard, part, sink = uuid4().hex, -1, 0, None
-        done, page, refers, answered = [], object(), {}, set()
+        done, page, refers, answered = [], object(), {}, Counter()
 
         def close() -> None:
             nonlocal sink
@@ -127,14 +141,15 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
             for page_id, url, payload, sha1, told, own in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "sha1", "refers", "shard")), strict=True):
                 page_id = page_id.as_py()
                 if page_id != page:
-                    page, refers, answered = page_id, {}, set()
+                    page, refers, answered = page_id, {}, Counter()
                 if not payload.is_valid:
                     refers[sha1.as_py()] = told.as_py()
                     continue
                 raw, key = payload.as_buffer().to_pybytes(), sha1.as_py()
                 to = refers.get(key, page)
-                revisit = key in refers and (to != page or key in answered)
-                answered.add(key)
+                revisit = key in refers and (to != page or answered[key] > 0)
+                copy = answered[key]
+                answered[key] += 1
                 if own.as_py() != shard:
                     close()
                     shard, part = own.as_py(), 0
@@ -145,7 +160,11 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
                     name = f"shard-{shard:06d}-{part:05d}.warc.gz"
                     done.append([shard, part, name, 0, 0, ""])
                     sink, count, written, sha = store.open_output_stream(f"{base}/tmp/{attempt}-{name}", compression=None), 0, 0, hashlib.sha256()
-                member = record(page_id, url.as_py(), b"" if revisit else raw, to, revisit, len(raw), base64.b32encode(bytes.fromhex(key)).decode())
+                    opening = file_info(name)
+                    sink.write(opening)
+                    sha.update(opening)
+                    written = len(opening)
+                member = record(page_id, url.as_py(), b"" if revisit else raw, to, revisit, len(raw), base64.b32encode(bytes.fromhex(key)).decode(), copy)
                 sink.write(member)
                 sha.update(member)
                 count, written = count + 1, written + len(member)
@@ -166,7 +185,8 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
                     raise FileNotFoundError(name)
             yield batch.drop_columns(["temporary"])
 
-    manifest = written_files.mapInArrow(move, "shard int, part int, file string, records long, bytes long, sha256 string")
+    dealt = written_files.repartition(spark.sparkContext.defaultParallelism * 4, "file")
+    manifest = materialise(dealt.mapInArrow(move, "shard int, part int, file string, records long, bytes long, sha256 string"), "warc-moved")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{out}/manifest")
 
@@ -184,12 +204,14 @@ def read_warc(manifest: DataFrame, out: str, payload: bool = True) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(out)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-        urn = lambda x: None if x is None or x == "<urn:x-page:null>" else int(x[12:-1])
+        urn = lambda x: None if x is None or x.startswith("<urn:x-page:null:") else int(x.split(":")[2])
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for fields, body in records(stream):
+                        if fields["WARC-Type"] == "warcinfo":
+                            continue
                         kind, sha1, size = fields["WARC-Type"], fields["WARC-Payload-Digest"][5:], int(fields["X-Payload-Length"])
                         if kind == "response" and (digest(body) != sha1 or len(body) != size):
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its header")
