@@ -51,8 +51,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, value
 
 
 def closest_candidate(anchors: DataFrame, candidates: DataFrame, key: str, gap: Column) -> DataFrame:
-    """Per anchor the candidate whose offset is closest to |gap| (the sign of the gap isn't known)."""
-    return anchors.join(candidates, key).groupBy(*anchors.columns).agg(F.min_by("offset", F.struct(F.abs(F.col("offset") - F.abs(gap)).alias("d"), F.col("offset").alias("o"))).alias("offset"))
+    """Per anchor the candidate whose offset is closest to |gap| (the sign of the gap isn't known), the smaller of equal ones.
+
+    Both sides are sorted together once, so no pairs arise. Anchors of a key without candidates drop out.
+    """
+    at = candidates.select(key, F.col("offset").cast("double").alias("__at"), "offset")
+    own = anchors.withColumn("__at", F.abs(gap).cast("double"))
+    return nearest(own, at, [key], "__at", "offset").where("match is not null").withColumnRenamed("match", "offset").drop("__at", "match_time")
 
 
 def first_crossing(signal: DataFrame, keys: list[str], quiet: int, factor: float = 3.0) -> DataFrame:

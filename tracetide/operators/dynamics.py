@@ -15,25 +15,30 @@ def sliding_windows(bouts: DataFrame, window: int, step: int) -> DataFrame:
     return bouts.where(F.col("end_time") - F.col("start_time") >= window).withColumn("w", F.explode(F.sequence(F.lit(0), n))).withColumns({"w_start": F.col("start_time") + F.col("w") * step, "w_end": F.col("start_time") + F.col("w") * step + window})
 
 
-def window_correlation(trace: DataFrame, windows: DataFrame, keys: list[str], min_share: float, level: float = 0.2) -> DataFrame:
-    """Summary of pair r in each window whose samples, of all units, are present to `min_share`."""
-    at = windows.withColumn("sample_idx", F.explode(F.sequence(F.ceil("w_start"), F.floor("w_end")))).select(*keys, "sample_idx").join(trace, "sample_idx")
+def window_correlation(trace: DataFrame, windows: DataFrame, keys: list[str], min_share: float, level: float = 0.2, recording: list[str] | None = None) -> DataFrame:
+    """Summary of pair r in each window whose samples, of all units, are present to `min_share`.
+
+    `keys` name a window; those among them that also name a recording of the trace go into `recording`.
+    """
+    at = windows.withColumn("sample_idx", F.explode(F.sequence(F.ceil("w_start"), F.floor("w_end")))).select(*keys, "sample_idx").join(trace, [*(recording or []), "sample_idx"])
     ok = at.groupBy(*keys).agg(F.avg(F.col("value").isNotNull().cast("int")).alias("valid_share")).where(F.col("valid_share") >= min_share)
     r = pr.pearson(at, keys).groupBy(*keys).agg(F.avg("r").alias("mean_r"), F.avg(F.coalesce(F.col("r") > level, F.lit(False)).cast("int")).alias("share_above"), F.count("r").alias("n_pairs"))
     return ok.join(r, keys)
 
 
-def head_tail(trace: DataFrame, bouts: DataFrame, n: int) -> DataFrame:
+def head_tail(trace: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     """Pair r over the first and the last n valid samples of each long enough bout, and tail - head.
 
-    trace: `bout_idx, sample_idx, unit_pos, value`; a sample is valid if every unit has it.
+    trace: `keys, sample_idx, unit_pos, value`, the keys naming a bout (of a recording); a sample is valid if every
+    unit has it.
     """
-    valid = trace.groupBy("bout_idx", "sample_idx").agg(F.bool_and(F.col("value").isNotNull()).alias("ok")).where("ok")
-    w = W.partitionBy("bout_idx")
+    keys = keys or ["bout_idx"]
+    valid = trace.groupBy(*keys, "sample_idx").agg(F.bool_and(F.col("value").isNotNull()).alias("ok")).where("ok")
+    w = W.partitionBy(*keys)
     rank = valid.withColumns({"up": F.row_number().over(w.orderBy("sample_idx")), "down": F.row_number().over(w.orderBy(F.desc("sample_idx"))), "size": F.count(F.lit(1)).over(w)}).where(F.col("size") >= 2 * n)
-    sides = rank.withColumn("side", F.explode(F.array_compact(F.array(F.when(F.col("up") <= n, "head"), F.when(F.col("down") <= n, "tail"))))).select("bout_idx", "sample_idx", "side")
-    r = pr.pearson(trace.join(sides, ["bout_idx", "sample_idx"]), ["bout_idx", "side"])
-    out = r.groupBy("bout_idx", "i", "j").pivot("side", ["head", "tail"]).agg(F.first("r"))
+    sides = rank.withColumn("side", F.explode(F.array_compact(F.array(F.when(F.col("up") <= n, "head"), F.when(F.col("down") <= n, "tail"))))).select(*keys, "sample_idx", "side")
+    r = pr.pearson(trace.join(sides, [*keys, "sample_idx"]), [*keys, "side"])
+    out = r.groupBy(*keys, "i", "j").pivot("side", ["head", "tail"]).agg(F.first("r"))
     clip = 0.999999
     return out.withColumns({"delta_r": F.col("tail") - F.col("head"), "delta_z": pr.to_z(F.col("tail"), clip) - pr.to_z(F.col("head"), clip)})
 
@@ -62,27 +67,29 @@ def binned(df: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> Da
     return out.withColumn("sem", F.when(F.col("n") >= 2, F.col("sd") / F.sqrt("n"))).drop("sd")
 
 
-def rank_stability(by_bout: DataFrame, lags: list[int], least: int = 5) -> DataFrame:
-    """Spearman of the pair values of bouts k and k + lag over pairs both have; `by_bout`: bout_idx, pair, z."""
-    have = by_bout.where("z is not null").select("bout_idx", "pair", "z")
-    later = have.withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags]))).select((F.col("bout_idx") - F.col("lag")).alias("bout_idx"), "lag", "pair", F.col("z").alias("z2"))
-    both = have.join(later, ["bout_idx", "pair"])
-    w = W.partitionBy("bout_idx", "lag")
-    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("bout_idx", "lag", c)) - 1) / 2
-    r = both.withColumns({"x": rank("z"), "y": rank("z2")}).groupBy("bout_idx", "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    return r.where(F.col("n") >= least).select("bout_idx", "lag", "n", pr.r_from_sums().alias("rho"))
+def rank_stability(by_bout: DataFrame, lags: list[int], least: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Spearman of the pair values of bouts k and k + lag over pairs both have; `by_bout`: keys, bout_idx, pair, z."""
+    keys = keys or []
+    have = by_bout.where("z is not null").select(*keys, "bout_idx", "pair", "z")
+    later = have.withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags]))).select(*keys, (F.col("bout_idx") - F.col("lag")).alias("bout_idx"), "lag", "pair", F.col("z").alias("z2"))
+    both = have.join(later, [*keys, "bout_idx", "pair"])
+    w = W.partitionBy(*keys, "bout_idx", "lag")
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, "bout_idx", "lag", c)) - 1) / 2
+    r = both.withColumns({"x": rank("z"), "y": rank("z2")}).groupBy(*keys, "bout_idx", "lag").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    return r.where(F.col("n") >= least).select(*keys, "bout_idx", "lag", "n", pr.r_from_sums().alias("rho"))
 
 
-def subspace_similarity(loadings: DataFrame, k: int) -> DataFrame:
+def subspace_similarity(loadings: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Mean squared cosine of the principal angles of two bouts' first k orthonormal loadings, i < j.
 
-    loadings: `bout, component, unit_pos, loading`; missing rows drop out.
+    loadings: `keys, bout, component, unit_pos, loading`; missing rows drop out.
     """
+    keys = keys or []
     have = loadings.where((F.col("component") < k) & F.col("loading").isNotNull())
-    a = have.select(F.col("bout").alias("bout_i"), F.col("component").alias("ca"), "unit_pos", F.col("loading").alias("x"))
-    b = have.select(F.col("bout").alias("bout_j"), F.col("component").alias("cb"), "unit_pos", F.col("loading").alias("y"))
-    dots = a.join(b, "unit_pos").where("bout_i < bout_j").groupBy("bout_i", "bout_j", "ca", "cb").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    return dots.groupBy("bout_i", "bout_j").agg((F.sum(F.col("d") * F.col("d")) / k).alias("similarity"))
+    a = have.select(*keys, F.col("bout").alias("bout_i"), F.col("component").alias("ca"), "unit_pos", F.col("loading").alias("x"))
+    b = have.select(*keys, F.col("bout").alias("bout_j"), F.col("component").alias("cb"), "unit_pos", F.col("loading").alias("y"))
+    dots = a.join(b, [*keys, "unit_pos"]).where("bout_i < bout_j").groupBy(*keys, "bout_i", "bout_j", "ca", "cb").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    return dots.groupBy(*keys, "bout_i", "bout_j").agg((F.sum(F.col("d") * F.col("d")) / k).alias("similarity"))
 
 
 def principal_components(trace: DataFrame, keys: list[str], k: int = 5, least: int = 4) -> DataFrame:

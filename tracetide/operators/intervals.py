@@ -156,17 +156,19 @@ def state_coverage(intervals: DataFrame, t0: Column, t1: Column, keys: list[str]
     return out.withColumn("share", F.try_divide(F.col("seconds"), (t1 - t0)))
 
 
-def overlap_labels(epochs: DataFrame, labels: DataFrame, min_share: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+def overlap_labels(epochs: DataFrame, labels: DataFrame, min_share: float = 0.0, keys: list[str] | None = None, bucket: int = 24) -> DataFrame:
     """Gives each epoch the label it overlaps longest, if more than `min_share` of it; ties to the earliest label.
 
-    epochs: `keys, epoch_idx, e_start, e_end`; labels: `keys, label, l_start, l_end`; both half open.
+    epochs: `keys, epoch_idx, e_start, e_end`; labels: `keys, label, l_start, l_end`; both half open, and exploded
+    over buckets of time for an equality to hash by.
     """
     keys = keys or []
-    on = (F.col("l_start") < F.col("e_end")) & (F.col("l_end") > F.col("e_start"))
-    for k in keys:
-        on &= epochs[k] == labels[k]
+    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
+    own = epochs.select(*keys, "epoch_idx", "e_start", "e_end").withColumn("__c", cell("e_start", "e_end"))
+    cut = labels.select(*keys, "label", "l_start", "l_end").withColumn("__c", cell("l_start", "l_end"))
+    first = F.col("__c") == F.floor(F.greatest("e_start", "l_start") / bucket)  # a pair meets in several cells and counts in one
     over = F.least("e_end", "l_end") - F.greatest("e_start", "l_start")
-    hit = epochs.join(labels, on).select(*[epochs[k] for k in keys], "epoch_idx", "e_start", "e_end", "label", "l_start", "l_end", over.alias("overlap"))
+    hit = own.join(cut, [*keys, "__c"]).where((F.col("l_start") < F.col("e_end")) & (F.col("l_end") > F.col("e_start")) & first).select(*keys, "epoch_idx", "e_start", "e_end", "label", "l_start", "l_end", over.alias("overlap"))
     w = W.partitionBy(*keys, "epoch_idx").orderBy(F.desc("overlap"), "l_start", "l_end")
     best = hit.where((F.col("overlap") > 0) & (F.col("overlap") >= min_share * (F.col("e_end") - F.col("e_start")))).withColumn("r", F.row_number().over(w)).where("r = 1").select(*keys, "epoch_idx", "label", "overlap")
     return epochs.join(best, [*keys, "epoch_idx"], "left")
@@ -190,8 +192,8 @@ def bout_purity(segments: DataFrame, predicted: DataFrame) -> DataFrame:
     """Per predicted bout: the label that fills most of it and its share; segments from `atomic_segments`."""
     own = predicted.select(F.col("start_time").alias("p_start"), F.col("end_time").alias("p_end")).withColumn("c", F.explode(F.sequence(F.floor(F.col("p_start") / 24), F.floor(F.col("p_end") / 24))))
     hit = segments.withColumn("mid", (F.col("t") + F.col("t2")) / 2).withColumn("c", F.floor(F.col("mid") / 24)).join(own, "c").where("mid >= p_start and mid < p_end")
-    by = hit.groupBy("p_start", "p_end", "a_state").agg(F.sum("duration").alias("d"))
-    top = F.max_by(F.col("a_state"), F.struct(F.col("d"), F.translate("a_state", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
+    by = hit.groupBy("p_start", "p_end", "a_state").agg(F.sum("duration").alias("d")).withColumn("__rank", F.dense_rank().over(W.partitionBy("p_start", "p_end").orderBy("a_state")))
+    top = F.max_by(F.col("a_state"), F.struct(F.col("d"), -F.col("__rank")))
     return by.groupBy("p_start", "p_end").agg(top.alias("dominant"), F.sum("d").alias("total"), (F.max("d") / F.sum("d")).alias("purity"))
 
 

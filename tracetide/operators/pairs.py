@@ -35,7 +35,8 @@ def pearson(trace: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def to_z(r: Column, clip: float = CLIP) -> Column:
-    return F.atanh(F.greatest(F.lit(-clip), F.least(F.lit(clip), r)))
+    """atanh of r within the clip; null stays null (least and greatest alone would skip it)."""
+    return F.when(r.isNotNull(), F.atanh(F.greatest(F.lit(-clip), F.least(F.lit(clip), r))))
 
 
 def simple_mean(by_bout: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def classify(pairs: DataFrame, units: DataFrame) -> DataFrame:
     b = units.select(F.col("unit_id").alias("j"), F.col("group_id").alias("group_j"), F.col("group_type").alias("type_j"))
     kind = F.when(F.col("group_i") == F.col("group_j"), "within_group").when(F.col("type_i") == F.col("type_j"), "between_same_type").otherwise("between_cross_type")
     both = F.concat_ws("_", F.least("type_i", "type_j").cast("string"), F.greatest("type_i", "type_j").cast("string"))
-    return pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j").withColumns({"pair_type": kind, "same_type": both})
+    return pairs.join(a, "i").join(b, "j").withColumns({"pair_type": kind, "same_type": both})
 
 
 def stratified(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,10 +120,11 @@ def lagged(trace: DataFrame, keys: list[str], most: int) -> DataFrame:
     return r.where("r is not null").groupBy(*keys, "i", "j").agg(best.alias("b")).select(*keys, "i", "j", (-F.col("b.l")).alias("lag"), F.col("b.r").alias("peak_r"))
 
 
-def to_matrix(table: DataFrame, value: str, units: list[int], diagonal: float = 1.0) -> DataFrame:
-    """A symmetric matrix of a bounded list of units, one row a unit and one column `u<unit>` each."""
-    sides = table.select("i", "j", value).unionByName(table.select(F.col("j").alias("i"), F.col("i").alias("j"), value))
+def to_matrix(table: DataFrame, value: str, units: list[int], diagonal: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """A symmetric matrix of a bounded list of units for each key, one row a unit and one column `u<unit>` each."""
+    keys = keys or []
+    sides = table.select(*keys, "i", "j", value).unionByName(table.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), value))
     both = sides.where(F.col("i").isin(units) & F.col("j").isin(units))
-    diag = both.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(diagonal).alias(value))
-    out = both.unionByName(diag).groupBy("i").pivot("j", units).agg(F.first(value))
+    diag = both.select(*keys, "i").distinct().select(*keys, "i", F.col("i").alias("j"), F.lit(diagonal).alias(value))
+    out = both.unionByName(diag).groupBy(*keys, "i").pivot("j", units).agg(F.first(value))
     return out.withColumnsRenamed({str(u): f"u{u}" for u in units})

@@ -274,4 +274,5 @@ def leave_one_out(df: DataFrame, cols: list[str], states: list[str], subject: st
         if rest.select("label").distinct().count() == len(states):
             model = train_states(rest, cols, states)
             parts.append(argmax_label(state_probabilities(df.where(F.col(subject) == who), model), states).select("row_id", subject, "label", "pred_label"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    none = df.select("row_id", subject, "label", F.col("label").cast("string").alias("pred_label")).where(F.lit(False))
+    return reduce(lambda a, b: a.unionByName(b), parts, none)

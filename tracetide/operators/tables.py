@@ -11,40 +11,47 @@ from tracetide.operators import intervals as iv
 from tracetide.operators import pairs as pr
 
 
-def in_bouts(trace: DataFrame, bouts: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Samples within each bout, both ends in: adds `bout_idx, state` and further columns of the bout."""
-    cols = ["bout_idx", "state", *(extra or [])]
+def in_bouts(trace: DataFrame, bouts: DataFrame, extra: list[str] | None = None, recording: list[str] | None = None) -> DataFrame:
+    """Samples within each bout of their recording, both ends in: adds `bout_idx, state` and further columns of the bout."""
+    recording = recording or []
+    cols = [*recording, "bout_idx", "state", *(extra or [])]
     at = bouts.select(*cols, F.explode(F.sequence(F.ceil("start_time"), F.floor("end_time"))).alias("sample_idx"))
-    return trace.join(at, "sample_idx")
+    return trace.join(at, [*recording, "sample_idx"])
 
 
-def state_pair_table(trace: DataFrame, bouts: DataFrame, units: DataFrame, aggregator: str = "fisher_z_weighted", extra: list[str] | None = None, equal_bouts: bool = False, seed: int = 0) -> DataFrame:
+def state_pair_table(trace: DataFrame, bouts: DataFrame, units: DataFrame, aggregator: str = "fisher_z_weighted", extra: list[str] | None = None, equal_bouts: bool = False, seed: int = 0, recording: list[str] | None = None) -> DataFrame:
     """One row a pair and state (and further key, such as a period): r, z, se, counts, groups and pair types.
 
+    With `recording`, the columns that name one in the trace and the bouts, many recordings go through one plan:
+    samples meet the bouts of their own recording only, and pairs stay inside it; unit ids name units of all.
+
     With `equal_bouts` every state keeps as many bouts, drawn by hash, as the state with the fewest.
     """
-    keys = ["state", *(extra or [])]
+    recording = recording or []
+    keys = [*recording, "state", *(extra or [])]
     if equal_bouts:
-        rank = bouts.withColumn("__r", F.row_number().over(W.partitionBy("state").orderBy(F.xxhash64(F.lit(seed), "start_time"), "start_time")))
-        least = bouts.groupBy("state").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__n"))
-        bouts = rank.join(F.broadcast(least)).where(F.col("__r") <= F.col("__n")).drop("__r", "__n")
-    by_bout = pr.pearson(in_bouts(trace, bouts, extra), ["bout_idx", *keys])
+        rank = bouts.withColumn("__r", F.row_number().over(W.partitionBy(*recording, "state").orderBy(F.xxhash64(F.lit(seed), "start_time"), "start_time")))
+        least = bouts.groupBy(*recording, "state").agg(F.count(F.lit(1)).alias("n")).groupBy(*recording).agg(F.min("n").alias("__n"))
+        bouts = (rank.join(least, recording) if recording else rank.join(F.broadcast(least))).where(F.col("__r") <= F.col("__n")).drop("__r", "__n")
+    by_bout = pr.pearson(in_bouts(trace, bouts, extra, recording), ["bout_idx", *keys])
     return pr.classify(pr.AGGREGATORS[aggregator](by_bout, keys), units)
 
 
-def clock_pair_table(trace: DataFrame, bouts: DataFrame, window: float) -> DataFrame:
-    """Pair correlation for each bin of cumulative time in state."""
-    slices = iv.state_clock_bins(bouts, window).withColumn("bout_idx", F.row_number().over(W.partitionBy("state").orderBy("slice_start"))).select("bout_idx", "state", "bin", F.col("slice_start").alias("start_time"), F.col("slice_end").alias("end_time"))
-    return pr.fisher_mean(pr.pearson(in_bouts(trace, slices, ["bin"]), ["bout_idx", "state", "bin"]), ["state", "bin"])
+def clock_pair_table(trace: DataFrame, bouts: DataFrame, window: float, recording: list[str] | None = None) -> DataFrame:
+    """Pair correlation for each bin of cumulative time in state, per recording."""
+    rec = recording or []
+    slices = iv.state_clock_bins(bouts, window, rec).withColumn("bout_idx", F.row_number().over(W.partitionBy(*rec, "state").orderBy("slice_start"))).select(*rec, "bout_idx", "state", "bin", F.col("slice_start").alias("start_time"), F.col("slice_end").alias("end_time"))
+    return pr.fisher_mean(pr.pearson(in_bouts(trace, slices, ["bin"], rec), [*rec, "bout_idx", "state", "bin"]), [*rec, "state", "bin"])
 
 
-def bout_timeline(trace: DataFrame, bouts: DataFrame, window: int, step: int, min_share: float, least: float) -> DataFrame:
+def bout_timeline(trace: DataFrame, bouts: DataFrame, window: int, step: int, min_share: float, least: float, recording: list[str] | None = None) -> DataFrame:
     """Window correlation in bouts of enough valid time, with their context and the window's place in the bout."""
-    long = iv.bout_context(bouts.where(F.col("valid_duration") >= least))
+    rec = recording or []
+    long = iv.bout_context(bouts.where(F.col("valid_duration") >= least), rec)
     w = dy.sliding_windows(long, window, step)
-    r = dy.window_correlation(trace, w, ["bout_idx", "w"], min_share)
+    r = dy.window_correlation(trace, w, [*rec, "bout_idx", "w"], min_share, recording=rec)
     centre = (F.col("w_start") + F.col("w_end")) / 2
-    return r.join(w, ["bout_idx", "w"]).withColumn("place", (centre - F.col("start_time")) / (F.col("end_time") - F.col("start_time"))).select("bout_idx", "w", "state", "state_idx", "place", "mean_r", "n_pairs")
+    return r.join(w, [*rec, "bout_idx", "w"]).withColumn("place", (centre - F.col("start_time")) / (F.col("end_time") - F.col("start_time"))).select(*rec, "bout_idx", "w", "state", "state_idx", "place", "mean_r", "n_pairs")
 
 
 def less_baseline(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -58,7 +58,7 @@ def device(spark, d):
 
 
 def closest(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_nationkey", "c_custkey", (F.col("c_acctbal") / 10).alias("gap"))
+    a = table(spark, d, "customer").select("c_nationkey", "c_custkey", (F.col("c_acctbal") / 10).alias("gap"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), (F.col("s_acctbal") / 20).alias("offset"))
     return ck.closest_candidate(a, b, "c_nationkey", F.col("gap")).select("c_custkey", F.round("offset", 6).alias("offset"))
 
@@ -91,8 +91,8 @@ QUERIES = {
     "onset_baseline": onset_baseline,
     "state_quartiles": lambda s, d: tt.quartiles(st.states(s, d).withColumn("d", F.col("end_time") - F.col("start_time")), ["state"], "d"),
     "label_mismatches": mismatch,
-    "combined_units": lambda s, d: tt.combine({1: st.suppliers(s, d).where("unit_id < 3").select("unit_id", "sample_idx", "value"), 2: st.suppliers(s, d).where("unit_id between 3 and 5").select("unit_id", "sample_idx", "value")}),
-    "unit_positions": lambda s, d: tt.with_positions(st.supplier_groups(s, d), table(s, d, "supplier").where("s_acctbal > 0 and s_suppkey < 25").groupBy(F.col("s_nationkey").alias("group_id")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("unit_order"))),
+    "combined_units": lambda s, d: tt.combine({k: st.suppliers(s, d).where(F.col("unit_id") % 2 == k - 1).select("unit_id", "sample_idx", "value") for k in (1, 2)}),
+    "unit_positions": lambda s, d: tt.with_positions(st.supplier_groups(s, d), table(s, d, "supplier").where("s_acctbal > 0").groupBy((F.floor(F.col("s_suppkey") / st.PER_RECORDING) * 25 + F.col("s_nationkey")).alias("group_id")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("unit_order"))),
     "newest_model": lambda s, d: tt.newest(table(s, d, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("day")), "name", "day"),
     "units_by_group": lambda s, d: tt.time_slice(tt.of_units(st.suppliers(s, d), st.supplier_groups(s, d), F.col("group_type").isin(0, 1)), 1460, 1500).select("unit_id", "sample_idx", "value"),
     "incomplete_pages": lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce(rules.split_id(F.concat_ws("--", "lang", "source"))["loc"], F.lit("?")).alias("loc")).join(table(s, d, "pages"), F.col("doc_id") == F.col("page_id"), "left_anti"),
@@ -105,13 +105,13 @@ CASE WHEN i % 4 = j % 4 THEN 'within_group' WHEN i % 2 = j % 2 THEN 'between_sam
 """ + FISHER.format(b="pd", w="", k=", a.period", g=", period") + " SELECT state, period, i, j, round(z, 5) AS z, n_samples, n_bouts FROM fz"),
     "frame_differences": "WITH " + FRAMES + ", d AS (SELECT frame, abs(grey - lag(grey) OVER (PARTITION BY y, x ORDER BY frame)) AS d FROM px WHERE x <> 2) SELECT CAST(frame AS INT) AS frame, round(coalesce(avg(d), 0), 6)::DOUBLE AS change FROM d GROUP BY 1",
     "device_clock": sql("SELECT event_id, round(t - first_value(t) OVER (PARTITION BY user_id ORDER BY event_id), 5) AS since_first, round(first_value(value) OVER w + t - first_value(t) OVER w, 5) AS block_time FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)"),
-    "closest_candidate": "SELECT c_custkey, round(first(s_acctbal / 20 ORDER BY abs(s_acctbal / 20 - abs(c_acctbal / 10)), s_acctbal / 20), 6) AS offset FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 10 = 0 GROUP BY 1",
+    "closest_candidate": "SELECT c_custkey, round(first(s_acctbal / 20 ORDER BY abs(s_acctbal / 20 - abs(c_acctbal / 10)), s_acctbal / 20), 6) AS offset FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1",
     "onset_baseline": sql("SELECT unit_id, sample_idx - 300 AS t_rel, round(value - avg(CASE WHEN sample_idx < 300 THEN value END) OVER (PARTITION BY unit_id), 8) AS value FROM trace WHERE value IS NOT NULL"),
     "state_quartiles": sql("SELECT state, quantile_cont(end_time - start_time, 0.25)::DOUBLE AS q1, quantile_cont(end_time - start_time, 0.5)::DOUBLE AS median, quantile_cont(end_time - start_time, 0.75)::DOUBLE AS q3, count(*) AS n FROM states GROUP BY 1"),
     "label_mismatches": """WITH o AS (SELECT o_orderkey % 7 AS session_id, o_orderkey // 7 AS epoch_idx, o_orderstatus AS truth, ['O', 'F', 'P'][o_custkey % 3 + 1] AS pred FROM orders), b AS (SELECT *, epoch_idx - row_number() OVER (PARTITION BY session_id, truth, pred ORDER BY epoch_idx) AS g FROM o WHERE truth <> pred)
 SELECT session_id, truth, pred, min(epoch_idx) AS first_epoch, count(*) AS n_epochs FROM b GROUP BY session_id, truth, pred, g""",
-    "combined_units": sql("SELECT CASE WHEN unit_id < 3 THEN 1 ELSE 2 END AS dmd, CASE WHEN unit_id < 3 THEN '1-' ELSE '2-' END || unit_id AS unit_id, sample_idx, value FROM sup WHERE unit_id <= 5"),
-    "unit_positions": sql("SELECT unit_id, group_id, group_type, CAST(row_number() OVER (PARTITION BY s.s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS pos FROM sgrp JOIN supplier s ON s_suppkey = unit_id WHERE s_acctbal > 0 UNION ALL SELECT unit_id, group_id, group_type, NULL FROM sgrp JOIN supplier s ON s_suppkey = unit_id WHERE NOT s_acctbal > 0"),
+    "combined_units": sql("SELECT CAST(unit_id % 2 + 1 AS INT) AS dmd, (unit_id % 2 + 1) || '-' || unit_id AS unit_id, sample_idx, value FROM sup"),
+    "unit_positions": sql("SELECT unit_id, group_id, group_type, CAST(row_number() OVER (PARTITION BY group_id ORDER BY s_suppkey) - 1 AS INT) AS pos FROM sgrp JOIN supplier s ON s_suppkey = unit_id WHERE s_acctbal > 0 UNION ALL SELECT unit_id, group_id, group_type, NULL FROM sgrp JOIN supplier s ON s_suppkey = unit_id WHERE NOT s_acctbal > 0"),
     "units_by_group": sql("SELECT unit_id, sample_idx, value FROM sup WHERE unit_id IN (SELECT unit_id FROM sgrp WHERE group_type IN (0, 1)) AND sample_idx BETWEEN 1460 AND 1500"),
     "incomplete_pages": "SELECT doc_id, coalesce(lang, '?') AS loc FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)",
 }

@@ -42,7 +42,8 @@ def state_coverage(spark, d):
 
 
 def epochs(spark, d):
-    return spark.range(0, 143).select(F.col("id").alias("epoch_idx"), (F.col("id") * 5).alias("e_start"), (F.col("id") * 5 + 5).alias("e_end")).join(st.states(spark, d).agg(F.max("end_time").alias("top"))).where("e_end <= top").drop("top")
+    top = st.states(spark, d).agg(F.floor(F.max("end_time") / 5).alias("n"))
+    return top.where("n > 0").select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch_idx")).select("epoch_idx", (F.col("epoch_idx") * 5).alias("e_start"), (F.col("epoch_idx") * 5 + 5).alias("e_end"))
 
 
 def epoch_labels(spark, d):
@@ -117,7 +118,7 @@ SELECT state, start_time, bin, round(start_time + greatest(c0, bin * 10.0) - c0,
     "bout_periods": sql("""SELECT state, start_time, ['early', 'middle', 'late'][CAST(least(floor(((start_time + end_time) / 2.0 - t0) / ((t1 - t0) / 3.0)), 2) AS INT) + 1] AS period
 FROM states, (SELECT min(start_time) AS t0, max(end_time) AS t1 FROM states)"""),
     "state_coverage": sql("SELECT state, sum(greatest(least(end_time, 400.0) - greatest(start_time, 100.0), 0.0))::DOUBLE AS seconds, round(sum(greatest(least(end_time, 400.0) - greatest(start_time, 100.0), 0.0)) / 300.0, 9)::DOUBLE AS share FROM states GROUP BY 1"),
-    "epoch_labels": sql("""ep AS (SELECT i AS epoch_idx, i * 5 AS e_start, i * 5 + 5 AS e_end FROM range(0, 143) r(i), (SELECT max(end_time) AS top FROM states) WHERE i * 5 + 5 <= top),
+    "epoch_labels": sql("""ep AS (SELECT i AS epoch_idx, i * 5 AS e_start, i * 5 + 5 AS e_end FROM (SELECT unnest(range(0, max(end_time) // 5)) AS i FROM states)),
 h AS (SELECT epoch_idx, state, least(e_end, end_time) - greatest(e_start, start_time) AS overlap, start_time, end_time FROM ep JOIN every_states s ON s.p = 0 AND start_time < e_end AND end_time > e_start),
 b AS (SELECT *, row_number() OVER (PARTITION BY epoch_idx ORDER BY overlap DESC, start_time, end_time) AS r FROM h WHERE overlap >= 0.4 * 5)
 SELECT epoch_idx, b.state AS label, overlap FROM ep LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (epoch_idx)"""),

@@ -25,18 +25,23 @@ def day_samples(spark, d):
 
 
 def labelled(spark, d):
-    """Vectors as epochs: the first eight components, three classes, five subjects."""
+    """Vectors as epochs: all components, three classes, five subjects, sessions of a thousand epochs."""
     v = table(spark, d, "embeddings")
-    cols = [F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8)]
-    return v.select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 5).alias("session_id"), F.floor(F.col("vec_id") / 5).alias("epoch_idx"), F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("label") % 3 + 1).cast("int")).alias("label"), *cols)
+    cols = [F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(width(v))]
+    return v.select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 5).alias("subject_id"), F.floor(F.col("vec_id") / 1000).alias("session_id"), (F.col("vec_id") % 1000).alias("epoch_idx"), F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("label") % 3 + 1).cast("int")).alias("label"), *cols)
 
 
-COLS = [f"f{k}" for k in range(8)]
+def width(vectors):
+    return vectors.agg(F.max(F.size("embedding"))).first()[0]
+
+
+def features(df):
+    return [c for c in df.columns if c[0] == "f" and c[1:].isdigit()]
 
 
 def probabilities(spark, d):
     df = labelled(spark, d)
-    return sc.argmax_label(sc.state_probabilities(df, sc.train_states(df, COLS, STATES)), STATES)
+    return sc.argmax_label(sc.state_probabilities(df, sc.train_states(df, features(df), STATES)), STATES)
 
 
 def decoded(spark, d):
@@ -64,7 +69,7 @@ def scaled(spark, d):
 
 
 def complete(spark, d):
-    return tb.complete_only(st.trace(spark, d).where("unit_id < 4"), [])
+    return tb.complete_only(st.trace(spark, d), [])
 
 
 QUERIES = {
@@ -79,7 +84,7 @@ QUERIES = {
     "state_probabilities": lambda s, d: probabilities(s, d).select("row_id", "label", "pred_label", *[f"P_{x}" for x in STATES]),
     "decoded_states": decoded,
     "decoded_bouts": lambda s, d: sc.bouts_from_epochs(decoded(s, d).join(probabilities(s, d).select("session_id", "epoch_idx", "P_a"), ["session_id", "epoch_idx"]), "session_id", "state", ["P_a"]),
-    "leave_one_out": lambda s, d: sc.leave_one_out(labelled(s, d), COLS, STATES, "session_id"),
+    "leave_one_out": lambda s, d: sc.leave_one_out(v := labelled(s, d), features(v), STATES, "subject_id"),
     "windowed_rates": rates,
     "complete_samples": complete,
     "long_metrics": lambda s, d: tb.to_long(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"]),
@@ -102,7 +107,7 @@ u AS (SELECT unit_id, sample_idx // 24 AS day, sample_idx, value > l AS up FROM
 SELECT unit_id, day, round(avg(CASE WHEN up THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS active_share, count(*) FILTER (WHERE up AND NOT was) AS crossings FROM w GROUP BY 1, 2"""),
     "balanced_weights": "SELECT vec_id, CAST(label AS VARCHAR) AS label, round((SELECT count(*) FROM embeddings) / (n * 1.0 * (SELECT count(DISTINCT label) FROM embeddings)), 6)::DOUBLE AS weight FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label)",
     "windowed_rates": sql("SELECT CAST(floor(t / 6) * 6 AS BIGINT) AS start_hour, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM e GROUP BY 1, 2"),
-    "complete_samples": sql("w AS (SELECT sample_idx, bool_and(value IS NOT NULL) AS ok FROM trace WHERE unit_id < 4 GROUP BY 1) SELECT unit_id, sample_idx, CASE WHEN ok THEN value END AS value FROM trace JOIN w USING (sample_idx) WHERE unit_id < 4"),
+    "complete_samples": sql("w AS (SELECT sample_idx, bool_and(value IS NOT NULL) AS ok FROM trace GROUP BY 1) SELECT unit_id, sample_idx, CASE WHEN ok THEN value END AS value FROM trace JOIN w USING (sample_idx)"),
     "long_metrics": "SELECT l_orderkey, l_linenumber, metric, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR metric IN (l_quantity, l_discount, l_tax))",
     "preferred_labels": "SELECT doc_id, CASE WHEN quality = 1 THEN 'validated' ELSE 'scored' END AS origin FROM labels",
 }

@@ -2,7 +2,8 @@
 
 * trace: events; unit = user_id % 12, sample = hour since the first of January 2024, value = mean;
 * states: the commonest event type of each six hours, equal neighbours merged;
-* units, groups, group types: suppliers below 25 by ship week, nations, regions.
+* recordings, units, groups, group types: suppliers by ship week, 25 of successive keys to a recording; the suppliers of
+  one nation in a recording; regions.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tracetide.operators import intervals as iv
 
 T0, UNITS = 1_704_067_200, 12
+#: Units of a recording: more rows make more recordings, so pairs grow with the rows.
+PER_RECORDING = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +61,23 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`unit_id, unit_pos, sample_idx, value`: quantity shipped a week by suppliers below 25, null for none."""
-    l = table(spark, sf_dir, "lineitem").where("l_suppkey < 25").select(F.col("l_suppkey").alias("unit_id"), F.floor(F.unix_date(F.col("l_shipdate").cast("date")) / 7).cast("long").alias("sample_idx"), "l_quantity")
-    return l.groupBy("unit_id", "sample_idx").agg(F.sum("l_quantity").alias("value")).withColumn("unit_pos", F.col("unit_id"))
+    """`rec, unit_id, unit_pos, sample_idx, value`: quantity shipped a week by each supplier; weeks without have no row."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit_id"), F.floor(F.unix_date(F.col("l_shipdate").cast("date")) / 7).cast("long").alias("sample_idx"), "l_quantity")
+    return l.groupBy("unit_id", "sample_idx").agg(F.sum("l_quantity").alias("value")).select(F.floor(F.col("unit_id") / PER_RECORDING).alias("rec"), "unit_id", F.col("unit_id").alias("unit_pos"), "sample_idx", "value")
+
+
+def filled_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all weeks, 0 where nothing was shipped."""
+    have = suppliers(spark, sf_dir)
+    weeks = have.agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b"))
+    every = have.select("rec", "unit_id", "unit_pos").distinct().join(weeks).select("rec", "unit_id", "unit_pos", F.explode(F.sequence("a", "b")).alias("sample_idx"))
+    return every.join(have.select("unit_id", "sample_idx", "value"), ["unit_id", "sample_idx"], "left").na.fill(0, ["value"])
 
 
 def supplier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`unit_id, group_id, group_type`."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return s.where("s_suppkey < 25").join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("unit_id"), F.col("n_nationkey").alias("group_id"), F.col("n_regionkey").alias("group_type"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("unit_id"), (F.floor(F.col("s_suppkey") / PER_RECORDING) * 25 + F.col("n_nationkey")).alias("group_id"), F.col("n_regionkey").alias("group_type"))
 
 
 SQL = """
@@ -82,8 +93,8 @@ isl AS (SELECT *, sum(CASE WHEN state = pv THEN 0 ELSE 1 END) OVER (PARTITION BY
 every_states AS (SELECT p, state, min(s) AS start_time, max(en) AS end_time, count(*) AS n_rows FROM isl GROUP BY p, g, state),
 states AS (SELECT state, start_time, end_time, n_rows FROM every_states WHERE p = 2),
 inside AS (SELECT m.sample_idx, m.is_valid, min(st.state) AS state, min(start_time) AS start_time, min(end_time) AS end_time FROM mask m JOIN states st ON m.sample_idx BETWEEN st.start_time AND st.end_time GROUP BY 1, 2 HAVING count(*) = 1),
-sup AS (SELECT l_suppkey AS unit_id, l_suppkey AS unit_pos, CAST(floor((CAST(l_shipdate AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS sample_idx, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey < 25 GROUP BY 1, 2, 3),
-sgrp AS (SELECT s_suppkey AS unit_id, n_nationkey AS group_id, n_regionkey AS group_type FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 25)
+sup AS (SELECT l_suppkey // 25 AS rec, l_suppkey AS unit_id, l_suppkey AS unit_pos, CAST(floor((CAST(l_shipdate AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS sample_idx, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3, 4),
+sgrp AS (SELECT s_suppkey AS unit_id, s_suppkey // 25 * 25 + n_nationkey AS group_id, n_regionkey AS group_type FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 """
 
 
