@@ -8,7 +8,9 @@ answered in the order in which they were asked. Neither the vocabulary nor the t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracetide.llm.shared import NGRAM, bound_batches, discard, materialise, mix, text_slices, words
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The most words in a context; growth ends before where no context of that length is frequent.
 DEPTH = 5
 #: Occurrences a context needs to be tested, and a next word to be counted in one, at any size of the corpus.
@@ -27,16 +29,19 @@ DISCOUNT, GAIN = 0.75, 10.0
 #: The strings of contexts with this many occurrences or more are dealt over several buckets.
 HOT = 1 << 16
 #: A pass asks for about PASS_SHARE bytes of strings for each byte of text at most, at ASKED bytes a string.
-PASS_SHARE, ASKED = 1, 12
+PASS_SHARE, ASKED = 0.6, 10
+#: Blocks are kept in so many tables, so that old ones can go while new ones are made.
+PARTS = 4
 #: Fixed value: the token that ends a document.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed value: stands for all next words that aren't counted, so that a block asks for their contexts too.
 RARE = np.uint64(0xD1B54A32D192ED03)
 ASK = "block int, bucket int, data binary"
 FOUND = "block int, bucket int, told binary, context long, gain double, share double, occurs long, blocks array<int>"
-#: The numbers a block keeps beside those of its documents: its words and their counts, its contexts and theirs, and
-#: its open positions: steps between them, next words, contexts, chances so far.
-KEPT = {"word": np.uint64, "count": np.int64, "context": np.uint64, "occurs": np.int64, "step": np.int32, "next": np.int32, "at": np.int32, "chance": np.float32}
+#: The numbers a block keeps beside those of its documents: its words and, at first, their counts and its tokens;
+#: its contexts and how often they occur; its open positions by the steps between them and their strings; and of
+#: each string context, next word, chance without the context, and occurrences in training documents of the block.
+KEPT = {"word": np.uint64, "count": np.int64, "token": np.int32, "context": np.uint64, "occurs": np.int64, "step": np.int32, "string": np.int32, "at": np.int32, "next": np.int32, "lower": np.float32, "trained": np.int32}
 #: Strings that a bucket is asked about: contexts, how often they occur, their numbers of strings, and next words,
 #: occurrences in the block and chances without the context.
 ASKED_FOR = (np.uint64, np.int64, np.int32, np.uint64, np.int32, np.float32)
@@ -108,7 +113,7 @@ def _state(block: int, ids: pa.Array, docs: dict[str, np.ndarray], kept: dict[st
     """A block as a table of one row: lists over its documents, and what else it keeps."""
     lists = {c: pa.array([v]) for c, v in docs.items()}
     one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return pa.table({"block": pa.array([block], pa.int32()), "id": one, **lists, "open": pa.array([len(kept["next"])], pa.int64()), "data": pa.array([pack([kept[c] for c in KEPT], KEPT.values())], pa.binary())})
+    return pa.table({"block": pa.array([block], pa.int32()), "id": one, **lists, "open": pa.array([max(len(kept["token"]), len(kept["at"]))], pa.int64()), "data": pa.array([pack([kept[c] for c in KEPT], KEPT.values())], pa.binary())})
 
 
 def _kept(rows: pa.Table) -> dict[str, np.ndarray]:
@@ -116,85 +121,97 @@ def _kept(rows: pa.Table) -> dict[str, np.ndarray]:
     return docs | dict(zip(KEPT, unpack(rows.column("data")[0], KEPT.values()), strict=True))
 
 
-class Positions:
-    """The open positions of a block at one level and the distinct strings it asks for, in the order of dealing."""
+def _with_strings(kept: dict[str, np.ndarray], place: np.ndarray, row: np.ndarray, at: np.ndarray, next_: np.ndarray, live: np.ndarray, chance: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of open positions, whose strings are the pairs of context and next word.
 
-    def __init__(self, kept: dict[str, np.ndarray], level: int, smallest: float, buckets: int, hot: int):
-        ends = np.cumsum(kept["n_tokens"])
-        self.next, self.count, rare = kept["next"].astype(np.int64), kept["count"], len(kept["word"])
-        self.word = np.append(kept["word"], RARE)
-        if level == 1:
-            self.at_token = np.arange(len(self.next))
-            self.row = np.repeat(np.arange(len(ends)), kept["n_tokens"])
-            self.context, self.occurs = self.word, self.count
-            self.at = np.full(len(self.next), -1, np.int64)
-            follows = np.flatnonzero((self.row[1:] == self.row[:-1]) & (self.count[self.next[:-1]] >= MIN_CONTEXT))
-            self.at[follows + 1] = self.next[follows]
-            self.chance = (self.count[self.next] + 1) * smallest
-        else:
-            self.at_token = np.cumsum(kept["step"].astype(np.int64))
-            self.row = np.searchsorted(ends, self.at_token, "right")
-            self.context, self.occurs, self.at, self.chance = kept["context"], kept["occurs"], kept["at"].astype(np.int64), kept["chance"].astype(float)
-        self.own = np.flatnonzero(self.at >= 0)
-        counted = self.count[self.next[self.own]] >= MIN_NEXT
-        strings, first, self.back = _distinct(self.at[self.own] * len(self.word) + np.where(counted, self.next[self.own], rare))
-        self.s_at, self.s_next = strings // len(self.word), strings % len(self.word)
-        self.lower = self.chance[self.own][first]
-        trained = counted & ~kept["held"][self.row[self.own]]
-        self.trained = np.bincount(self.back, trained, len(strings)).astype(np.int64)
-        salt = self.word[self.s_next] % (self.occurs[self.s_at] // hot + 1).astype(np.uint64)
-        self.bucket = _bucket(mix(self.context[self.s_at] + salt * NGRAM[22]), buckets)
-        self.order = np.argsort(self.bucket, kind="stable")
-        bucket, at = self.bucket[self.order], self.s_at[self.order]
+    Positions that aren't live, as their next words can't be counted any more, share the string (context, RARE):
+    what their context leaves to its suffix still counts.
+    """
+    base = len(kept["word"]) + 1
+    strings, first, back = _distinct(at * base + np.where(live, next_, base - 1))
+    trained = np.bincount(back, live & ~kept["held"][row], len(strings))
+    return {"step": np.diff(place, prepend=0), "string": back, "at": strings // base, "next": strings % base, "lower": np.where(live, chance, 1.0)[first], "trained": trained}
+
+
+def _first_level(kept: dict[str, np.ndarray], smallest: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(columns of the positions after one frequent word, logarithms that are final by document)."""
+    token, docs = kept["token"].astype(np.int64), len(kept["n_tokens"])
+    row = np.repeat(np.arange(docs), kept["n_tokens"])
+    chance = (kept["count"][token] + 1) * smallest
+    follows = np.flatnonzero((row[1:] == row[:-1]) & (kept["count"][token[:-1]] >= MIN_CONTEXT)) + 1
+    counted = kept["count"][token] >= MIN_NEXT
+    final = np.ones(len(token), bool)
+    final[follows] = ~counted[follows]
+    columns = _with_strings(kept, follows, row[follows], token[follows - 1], token[follows], counted[follows], chance[follows])
+    return {**columns, "context": kept["word"], "occurs": kept["count"]}, np.bincount(row[final], np.log10(chance[final]), docs)
+
+
+class Dealt:
+    """The strings of a block in the order in which they are dealt to buckets."""
+
+    def __init__(self, kept: dict[str, np.ndarray], buckets: int, hot: int):
+        self.kept, self.word = kept, np.append(kept["word"], RARE)
+        salt = self.word[kept["next"]] % (kept["occurs"][kept["at"]] // hot + 1).astype(np.uint64)
+        bucket = _bucket(mix(kept["context"][kept["at"]] + salt * NGRAM[22]), buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket, self.at = bucket[self.order], kept["at"][self.order]
         new = np.ones(len(bucket), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1])
+        new[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.at[1:] != self.at[:-1])
         #: Where the strings of each (bucket, context) begin in the order of dealing.
         self.entry = np.flatnonzero(new)
 
     def ask(self, block: int, passes: int, part: int) -> pa.Table:
         """One row for each bucket of the pass: contexts, and their strings."""
-        bucket = self.bucket[self.order]
-        chosen = bucket % passes == part
+        chosen, kept = self.bucket % passes == part, self.kept
         order, entry = self.order[chosen], self.entry[chosen[self.entry]]
-        size = np.diff(np.append(self.entry, len(bucket)))[chosen[self.entry]]
-        at = self.s_at[self.order[entry]]
-        own, strings = np.unique(bucket[chosen], return_counts=True)
-        entries = np.bincount(np.searchsorted(own, bucket[entry]), minlength=len(own))
+        size = np.diff(np.append(self.entry, len(chosen)))[chosen[self.entry]]
+        own, strings = np.unique(self.bucket[chosen], return_counts=True)
+        entries = np.bincount(np.searchsorted(own, self.bucket[entry]), minlength=len(own))
         split = lambda cuts, x: np.split(x, np.cumsum(cuts)[:-1])
-        columns = [*(split(entries, x) for x in (self.context[at], self.occurs[at], size)), *(split(strings, x) for x in (self.word[self.s_next[order]], self.trained[order], np.log(self.lower[order])))]
+        columns = [*(split(entries, x) for x in (kept["context"][self.at[entry]], kept["occurs"][self.at[entry]], size)), *(split(strings, x) for x in (self.word[kept["next"][order]], kept["trained"][order], np.log(kept["lower"][order])))]
         return pa.table({"block": np.full(len(own), block, np.int32), "bucket": own, "data": pa.array([pack(x, ASKED_FOR) for x in zip(*columns, strict=True)] if len(own) else [], pa.binary())})
 
-    def grow(self, told: pa.Table, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """(columns of the positions that stay open, rows and chances of those that close)."""
+    def answers(self, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each string, what each context leaves to its suffix if it is retained, else 0)."""
         told = told.sort_by("bucket")
         verdicts = pa.compute.less(told.column("bucket"), 0)
         hot, told = told.filter(verdicts), told.filter(pa.compute.invert(verdicts))
-        answers = [unpack(x, (np.int64, np.float64)) for x in told.column("told")]
-        n, rest = np.zeros(len(self.order), np.int64), np.zeros(len(self.context))
-        if answers:
-            n[self.order] = np.concatenate([x for x, _ in answers])
-            rest[self.s_at[self.order[self.entry]]] = np.concatenate([x for _, x in answers])
-        open_verdict = np.flatnonzero(np.isnan(rest))
-        if len(open_verdict):
+        lists = [unpack(x, (np.int64, np.float64)) for x in told.column("told")]
+        n, rest = np.zeros(len(self.order), np.int64), np.zeros(len(self.kept["context"]))
+        if lists:
+            n[self.order] = np.concatenate([x for x, _ in lists])
+            rest[self.at[self.entry]] = np.concatenate([x for _, x in lists])
+        unsaid = np.flatnonzero(np.isnan(rest))
+        if len(unsaid):
             known, first, _ = _distinct(_flat(hot, "contexts").view(np.uint64))
-            rest[open_verdict] = _flat(hot, "rests")[first][np.searchsorted(known, self.context[open_verdict])]
-        share = np.zeros(len(self.at))
-        seen = n[self.back]
-        share[self.own] = np.where(seen >= 2, seen - DISCOUNT, 0.0) / self.occurs[self.at[self.own]]
-        left = np.where(self.at >= 0, rest[self.at], 0.0) if len(rest) else np.zeros(len(self.at))
-        chance = np.where(left > 0, share + left * self.chance, self.chance)
-
-        lift = np.full(len(self.at), -1, np.int64)
-        often = np.flatnonzero(seen >= MIN_CONTEXT) if not last else np.zeros(0, np.int64)
-        here = self.own[often]
-        inside = here + 1 < len(self.at)
-        here, often = here[inside], often[inside]
-        follows = (self.at_token[here + 1] == self.at_token[here] + 1) & (self.row[here + 1] == self.row[here])
-        lift[here[follows] + 1] = self.back[often[follows]]
-        stay = lift >= 0
-        strings, _, at = _distinct(lift[stay])
-        columns = {"context": _pair(self.context[self.s_at[strings]], self.word[self.s_next[strings]]), "occurs": n[strings], "step": np.diff(self.at_token[stay], prepend=0), "next": self.next[stay], "at": at, "chance": chance[stay]}
-        return columns, self.row[~stay], chance[~stay]
+            rest[unsaid] = _flat(hot, "rests")[first][np.searchsorted(known, self.kept["context"][unsaid])]
+        return n, rest
+
+
+def _next_level(dealt: Dealt, told: pa.Table, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(columns of the positions whose longer context is frequent, logarithms that are final by document)."""
+    kept = dealt.kept
+    n, rest = dealt.answers(told)
+    at, back, live = kept["at"], kept["string"].astype(np.int64), kept["next"] < len(kept["word"])
+    share = np.where(live & (n >= 2), n - DISCOUNT, 0.0) / kept["occurs"][at]
+    left = rest[at]
+    chance = np.where(live & (left > 0), share + left * kept["lower"], kept["lower"])
+    place = np.cumsum(kept["step"].astype(np.int64))
+    row = np.searchsorted(np.cumsum(kept["n_tokens"]), place, "right")
+
+    lift = np.full(len(back), -1, np.int64)
+    here = np.flatnonzero((n >= MIN_CONTEXT)[back[:-1]]) if len(back) and not last else np.zeros(0, np.int64)
+    here = here[(place[here + 1] == place[here] + 1) & (row[here + 1] == row[here])]
+    lift[here + 1] = back[here]
+    stay = lift >= 0
+    ended = np.where(live, np.log10(chance), np.where(left > 0, np.log10(np.where(left > 0, left, 1.0)), 0.0))
+    unseen = ended * (~live | (n < 2))  # what is final even where the position stays open
+    final = np.bincount(row, np.where(stay, unseen[back], ended[back]), len(kept["n_tokens"]))
+
+    contexts, _, own = _distinct(lift[stay])
+    own_string = back[stay]
+    columns = _with_strings(kept, place[stay], row[stay], own, kept["next"][own_string].astype(np.int64), live[own_string] & (n[own_string] >= 2), chance[own_string])
+    return {**columns, "context": _pair(kept["context"][at[contexts]], dealt.word[kept["next"][contexts]]), "occurs": n[contexts]}, final
 
 
 def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
@@ -266,7 +283,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         place[rank] = np.arange(len(word))
         held = rows.column("held").to_numpy() if rows.num_rows else np.zeros(0, bool)
         n, none = np.bincount(row, minlength=rows.num_rows), np.zeros(0)
-        own = {"word": word[rank], "count": np.bincount(place[back], ~held[row], len(word)), "context": none, "occurs": none, "step": none, "next": place[back], "at": none, "chance": none}
+        own = {"word": word[rank], "count": np.bincount(place[back], ~held[row], len(word)), "token": place[back]}
+        own |= {c: none for c in KEPT if c not in own}
         return _state(key[0].as_py(), rows.column("id").combine_chunks(), {"held": held, "n_tokens": n, "n_known": np.zeros(rows.num_rows, np.int64), "base": np.zeros(rows.num_rows), "total": np.zeros(rows.num_rows)}, own)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,28 +308,28 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         count = np.zeros(len(kept["word"]), np.int64)
         if told.num_rows:  # words were asked for in the order of their hashes
             count[np.argsort(kept["word"])] = np.concatenate([unpack(x, [np.int64])[0] for x in told.sort_by("bucket").column("told")])
-        row, each = np.repeat(np.arange(len(kept["n_tokens"])), kept["n_tokens"]), count[kept["next"]]
+        row, each = np.repeat(np.arange(len(kept["n_tokens"])), kept["n_tokens"]), count[kept["token"]]
         total = lambda w: np.bincount(row, w, len(kept["n_tokens"]))
         kept |= {"count": count, "n_known": total(each > 0).astype(np.int64), "base": total(np.log10((each + 1) / (totals["N"] + totals["V"] + 1)))}
         return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
-    by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
-    tokenised = materialise(by_block(base).applyInArrow(tokens, schema), "lm-tokens", rows_check=4)
+    tokenised = materialise(base.repartition(blocks, "block").groupBy("block").applyInArrow(tokens, schema), "lm-tokens", rows_check=4)
     asked = tokenised.mapInArrow(ask_words, ASK)
     answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block int, bucket int, told binary, n long, v long"), "lm-words")
     got = answers.where("block < 0").agg(F.sum("n").alias("N"), F.sum("v").alias("V")).first()
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
-    state = materialise(by_block(tokenised).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(start, schema), "lm-positions", rows_check=4)
+    parts = min(PARTS, blocks)
+    state = [_answered(tokenised, answers.where("block >= 0"), start, schema, blocks, parts, p) for p in range(parts)]
     discard(tokenised)
+    discard(answers)
 
     for level in range(1, depth + 1):
-        positions = state.agg(F.sum("open")).first()[0] or 0
-        if not positions:
+        asked = _all(state).agg(F.sum("open")).first()[0] or 0
+        if not asked:
             break
-        grown = _grow(state, schema, totals, level, blocks, max(1, -(-positions * ASKED // (PASS_SHARE * max(1, size)))), level == depth, hot)
-        discard(state)
-        state = grown
+        state = _grow(state, schema, totals, level, blocks, max(1, math.ceil(asked * ASKED / (PASS_SHARE * max(1, size)))), level == depth, hot)
 
+    state = _all(state)
     out = state.selectExpr("inline(arrays_zip(id, held, n_tokens, n_known, base, total))")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))
 
@@ -326,14 +344,32 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch.slice(k, 1)])
 
 
-def _grow(state: DataFrame, schema: str, totals: dict, level: int, blocks: int, passes: int, last: bool, most: int) -> DataFrame:
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _answered(state: DataFrame, told: DataFrame, advance, schema: str, blocks: int, parts: int, part: int) -> DataFrame:
+    """One part of the blocks, each with what it was told."""
+    mine = F.col("block") % parts == part
+    by_block = lambda df: df.where(mine).repartition(max(1, blocks // parts), "block").groupBy("block")
+    return materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-blocks", rows_check=4)
+
+
+def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks: int, passes: int, last: bool, most: int) -> list[DataFrame]:
     """The blocks after contexts of `level` words were judged: chances refined, positions with no longer context closed."""
     smallest, buckets = 1 / (totals["N"] + totals["V"] + 1), blocks * passes
 
+    def dealt(rows: pa.Table) -> tuple[Dealt, np.ndarray]:
+        kept, final = _kept(rows), 0.0
+        if level == 1:
+            columns, final = _first_level(kept, smallest)
+            kept |= columns
+        return Dealt(kept, buckets, most), final
+
     def ask(part: int):
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _one_by_one(batches):
-                yield from Positions(_kept(rows), level, smallest, buckets, most).ask(rows.column("block")[0].as_py(), passes, part).to_batches()
+                yield from dealt(rows)[0].ask(rows.column("block")[0].as_py(), passes, part).to_batches()
 
         return asked
 
@@ -341,24 +377,28 @@ def _grow(state: DataFrame, schema: str, totals: dict, level: int, blocks: int,
         return _judge(rows, last, most)
 
     def advance(rows, told):
-        kept = _kept(rows)
-        columns, row, chance = Positions(kept, level, smallest, buckets, most).grow(told, last)
-        kept |= {**columns, "total": kept["total"] + np.bincount(row, np.log10(chance), len(kept["total"]))}
+        own, first = dealt(rows)
+        columns, final = _next_level(own, told, last)
+        kept = own.kept | {"count": np.zeros(0), "token": np.zeros(0)} | columns
+        kept["total"] = kept["total"] + first + final
         return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
-    found = None
+    found = []
     for part in range(passes):
-        asked = state.mapInArrow(ask(part), ASK).repartition(blocks, "bucket").groupBy("bucket").applyInArrow(judge, FOUND)
-        asked = materialise(asked, f"lm-strings{level}")
-        found = asked if found is None else found.unionByName(asked)
-    hot = found.where("block < 0")
+        asked = _all(state).mapInArrow(ask(part), ASK).repartition(blocks, "bucket").groupBy("bucket").applyInArrow(judge, FOUND)
+        found.append(materialise(asked, f"lm-strings{level}"))
+    every = _all(found)
+    hot = every.where("block < 0")
     verdict = hot.groupBy("context").agg(F.when(F.sum("gain") >= GAIN, 1 - F.sum("share") / F.first("occurs")).otherwise(0.0).alias("rest"))
     verdict = hot.select("context", F.explode("blocks").alias("block")).distinct().join(verdict, "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias("x"))
     verdict = verdict.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("told"), F.col("x.context").alias("contexts"), F.col("x.rest").alias("rests"))
-    told = found.where("block >= 0").select("block", "bucket", "told").unionByName(verdict, allowMissingColumns=True)
-    by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
-    grown = materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-positions", rows_check=4)
-    discard(found)
+    told = every.where("block >= 0").select("block", "bucket", "told").unionByName(verdict, allowMissingColumns=True)
+    grown = []
+    for part, old in enumerate(state):
+        grown.append(_answered(old, told, advance, schema, blocks, len(state), part))
+        discard(old)
+    for table in found:
+        discard(table)
     return grown
 
 
