@@ -123,7 +123,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     pairs = hits.join(grams.select("item", "at", "gram"), "gram").select("id", "doc", "item", shift).groupBy("id", "doc", "item").agg(F.collect_set("shift").alias("shifts"))
     pairs = materialise(pairs.join(bench.select("item", "item_id", F.col("text").alias("item_text")), "item"), "leak-pairs")
     asked = pairs.withColumnsRenamed({"id": "__id", "doc": "__doc"})
-    both = base.dropDuplicates(["id", "doc"]).join(asked, base["id"].eqNullSafe(asked["__id"]) & (base["doc"] == asked["__doc"])).select("id", "text", "item_id", "item_text", "shifts")
+    same = base["id"].eqNullSafe(asked["__id"]) & (base["doc"] == asked["__doc"])
+    wanted_texts = base.join(asked.select("__id", "__doc").distinct(), same, "left_semi").dropDuplicates(["id", "doc"])  # few texts are moved
+    both = wanted_texts.join(asked, wanted_texts["id"].eqNullSafe(asked["__id"]) & (wanted_texts["doc"] == asked["__doc"])).select("id", "text", "item_id", "item_text", "shifts")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
