@@ -119,8 +119,8 @@ def train(features: DataFrame, labels: DataFrame, held_out: Column, label_id: st
     features: `(id, features)`; `held_out` is a condition on `id`, and rows that meet it teach nothing. The
     positives are the rows labelled 1, the unlabelled rows are all others whatever their label, and the
     class prior is the share of 1 among labelled rows. With the logistic loss the risk without the maximum
-    is convex, so each round is a Newton step, halved while the risk rises; where the maximum cuts in,
-    the step goes along the gradient that raises its argument. Every round sums over all rows on the
+    is convex, so each round is a Newton step, shortened while the risk rises; where the maximum cuts in, the
+    step goes along the gradient that raises its argument, and is taken if it does. Every round sums over all rows on the
     executors; gradients and curvature of a fixed size come to the driver. Rows with several labels take
     the lowest; null labels teach nothing; without labels the prior is a half and the weights are flat.
     """
@@ -160,32 +160,38 @@ def train(features: DataFrame, labels: DataFrame, held_out: Column, label_id: st
             yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(out[keep])], names=["k", "v"])
 
         got = rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        sent.destroy()
         out = np.zeros(3 + 3 * size + size * size)
         out[got["k"].to_numpy()] = got["v"].to_numpy()
         a, b, c = (out[3 + k * size : 3 + (k + 1) * size] for k in range(3))
         return out[0] / n_positive, out[1] / n_positive, out[2] / n_unlabelled, a / n_positive, b / n_positive, c / n_unlabelled, out[3 + 3 * size :].reshape(size, size) / n_unlabelled
 
+    def argument(s) -> float:
+        """What the maximum is taken of: the risk of the unlabelled as negatives, less the positives' part in it."""
+        return s[2] - prior * s[1]
+
     def risk(s, w: np.ndarray) -> float:
-        return prior * s[0] + max(0.0, s[2] - prior * s[1]) + RIDGE / 2 * float(w @ w)
+        return prior * s[0] + max(0.0, argument(s)) + RIDGE / 2 * float(w @ w)
 
     weights, state = model.weights, sums(model.weights)
     for _ in range(ROUNDS):
         plus, minus = state[4] - state[3], state[4]
-        if state[2] - prior * state[1] >= 0:
+        overfit = argument(state) < 0
+        if not overfit:
             gradient = prior * plus + state[5] - prior * minus + RIDGE * weights
         else:
-            gradient = prior * minus - state[5] + RIDGE * weights
+            gradient = prior * minus - state[5]
         step = np.linalg.solve(state[6] + RIDGE * np.eye(size), gradient)
         scale, now = 1.0, risk(state, weights)
         while scale > 1e-3:
             after = sums(weights - scale * step)
-            if risk(after, weights - scale * step) < now:
+            if argument(after) > argument(state) if overfit else risk(after, weights - scale * step) < now:
                 break
             scale /= 4
         else:
             break
         weights, state = weights - scale * step, after
-        if now - risk(state, weights) < 1e-5 * now:
+        if not overfit and abs(now - risk(state, weights)) < 1e-5 * now:
             break
     return QualityModel(borders, weights, prior, risk(state, weights))
 
