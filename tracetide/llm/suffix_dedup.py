@@ -20,6 +20,8 @@ WIDTH, TOKEN = 100, 40
 #: Bytes of text whose suffixes meet in one bucket, suffixes sampled for the splitters, most bytes hashed at once.
 BUCKET_BYTES, SAMPLE, PIECE = 8 << 20, 50_000, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
+#: Numbers for bytes of their own: with a second sum, strings are told apart by 128 bits.
+_SECOND = mix(np.arange(1, 257, dtype=np.uint64) * NGRAM[62]) | np.uint64(1)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -27,10 +29,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def chosen_suffixes(offsets: np.ndarray, data: np.ndarray, width: int, token: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first, count, lead, all): runs of strings that share their chosen suffix.
+    """(row, first, count, lead, all, more): runs of strings that share their chosen suffix.
 
     `first` is the byte in the row at which the first of `count` consecutive strings starts, `lead` the
-    leading token (hashed anew, as the smallest hashes of many strings are all small), `all` a hash of all bytes the run covers and of the suffix's place among them. Long
+    leading token (hashed anew, as the smallest hashes of many strings are all small), `all` and `more` hashes of all bytes the run covers and of the suffix's place among them. Long
     data go through in pieces that overlap by one string.
     """
     span = width - token + 1
@@ -57,15 +59,17 @@ def chosen_suffixes(offsets: np.ndarray, data: np.ndarray, width: int, token: in
         cut, count = cut[at[cut] >= 0], count[at[cut] >= 0]
         suffix, end = at[cut], cut + count - 1 + width
         covered = mix((total[end] - total[cut]) * inverse[cut] + (suffix - cut).astype(np.uint64) * NGRAM[60] + (end - cut).astype(np.uint64) * NGRAM[61])
-        yield row[cut], cut + base - offsets[row[cut]], count, mix(lead[suffix] + NGRAM[33]), covered
+        second = prefix_hash(piece, _SECOND)
+        more = mix((second[end] - second[cut]) * inverse[cut] + (suffix - cut).astype(np.uint64) * NGRAM[61])
+        yield row[cut], cut + base - offsets[row[cut]], count, mix(lead[suffix] + NGRAM[33]), covered, more
 
 
 def _batch_suffixes(batch: pa.RecordBatch, width: int, token: int) -> tuple[np.ndarray, ...]:
-    """(lead, all, doc, first, count) of a batch of (doc, text)."""
+    """(lead, all, more, doc, first, count) of a batch of (doc, text)."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    parts = [(lead, covered, ids[base + row], first, count) for base, offsets, data in text_slices(batch.column(1)) for row, first, count, lead, covered in chosen_suffixes(offsets, data, width, token)]
+    parts = [(lead, covered, more, ids[base + row], first, count) for base, offsets, data in text_slices(batch.column(1)) for row, first, count, lead, covered, more in chosen_suffixes(offsets, data, width, token)]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (*[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -83,7 +87,7 @@ def _by_bucket(bucket: np.ndarray, columns: list[tuple[np.ndarray, pa.DataType]]
 
 
 class Splitters:
-    """Ranges of sorted suffixes: even ones by leading token, and finer ones where the sample is dense.
+    """Ranges of sorted suffixes: even ones by leading token, computed, and finer ones where the sample is dense.
 
     A token that many suffixes lead with would fill one range; its sampled suffixes, in order of their
     further bytes and places, split it.
@@ -91,8 +95,7 @@ class Splitters:
 
     def __init__(self, sample: np.ndarray, n: int):
         """sample: rows (lead, all, doc), about `SAMPLE` of them."""
-        even = (np.arange(1, n, dtype=object) * 2**64 // max(n, 1)).astype(np.uint64) if n > 1 else np.zeros(0, np.uint64)
-        rows = [np.column_stack([even, np.zeros_like(even), np.zeros_like(even)])] if len(even) else []
+        self.even, rows = n, []
         if len(sample) and n > 1:
             lead, counts = np.unique(sample[:, 0], return_counts=True)
             share = max(2, len(sample) // n)
@@ -104,10 +107,11 @@ class Splitters:
         self.table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
 
     def __len__(self) -> int:
-        return len(self.table) + 1
+        return self.even + len(self.table)
 
     def bucket(self, lead: np.ndarray, covered: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """How many splitters are at or below each suffix."""
+        """The range of each suffix: that of its token, and how many splitters are at or below it."""
+        even = (((lead >> np.uint64(32)) * np.uint64(self.even)) >> np.uint64(32)).astype(np.int64)
         out = np.searchsorted(self.table[:, 0], lead, "left")
         tied = np.flatnonzero(np.searchsorted(self.table[:, 0], lead, "right") > out)
         if len(tied):
@@ -118,7 +122,7 @@ class Splitters:
             rank = np.empty(len(order), np.int64)
             rank[order] = below
             out[tied] = rank[len(self.table) :]
-        return out
+        return even + out
 
 
 def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
@@ -157,7 +161,8 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
     sorted by leading token, by all bytes the suffix stands for, and by place. Of suffixes that agree in all
     bytes all but the first are repeats. Where one leading token has unlike suffixes, or reaches the border
     of a range and may go on behind it, the first of each kind is compared string by string: its strings
-    are hashed, dealt by hash, and all but the earliest of equal ones are repeats.
+    are hashed, dealt by hash, and all but the earliest of equal ones are repeats. Runs and strings are told
+    apart by 128 bits of two hashes.
     """
     spark = table.sparkSession
     size = table.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -168,7 +173,7 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead, covered, doc, first, _ = _batch_suffixes(batch, width, token)
+            lead, covered, _, doc, first, _ = _batch_suffixes(batch, width, token)
             keep = mix(lead + doc.astype(np.uint64) * NGRAM[0] + first.astype(np.uint64) * NGRAM[1]) < limit
             yield pa.RecordBatch.from_arrays([pa.array(_signed(x[keep])) for x in (lead, covered, doc)], names=["a", "b", "c"])
 
@@ -180,24 +185,24 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead, covered, doc, first, count = _batch_suffixes(batch, width, token)
+            lead, covered, more, doc, first, count = _batch_suffixes(batch, width, token)
             at = splitters.value.bucket(lead, covered, doc)
-            yield _by_bucket(at, [(_signed(lead), pa.int64()), (_signed(covered), pa.int64()), (doc, pa.int64()), (first, pa.int32()), (count, pa.int16())], ["bucket", "lead", "covered", "doc", "first", "count"])
+            yield _by_bucket(at, [(_signed(lead), pa.int64()), (_signed(covered), pa.int64()), (_signed(more), pa.int64()), (doc, pa.int64()), (first, pa.int32()), (count, pa.int16())], ["bucket", "lead", "covered", "more", "doc", "first", "count"])
 
     def sort_bucket(key, rows):
-        lead, covered, doc, first, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("lead", "covered", "doc", "first", "count"))
-        order = multikey_sort([lead.view(np.uint64), covered.view(np.uint64), doc, first])  # the order of the splitters
-        lead, covered, doc, first, count = (x[order] for x in (lead, covered, doc, first, count))
+        lead, covered, more, doc, first, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("lead", "covered", "more", "doc", "first", "count"))
+        order = multikey_sort([lead.view(np.uint64), covered.view(np.uint64), more, doc, first])  # the order of the splitters
+        lead, covered, more, doc, first, count = (x[order] for x in (lead, covered, more, doc, first, count))
         new_lead = np.append(True, lead[1:] != lead[:-1])
         new_all = new_lead.copy()
-        new_all[1:] |= covered[1:] != covered[:-1]
+        new_all[1:] |= (covered[1:] != covered[:-1]) | (more[1:] != more[:-1])
         group = np.cumsum(new_lead) - 1
         unlike = np.bincount(group, new_all) > 1
         unlike[[0, -1]] = True
         keep = ~new_all | unlike[group]
         return pa.table({"doc": doc[keep], "first": first[keep].astype(np.int32), "count": count[keep].astype(np.int32), "repeat": ~new_all[keep]})
 
-    dealt = table.mapInArrow(emit, "bucket int, lead array<long>, covered array<long>, doc array<long>, first array<int>, count array<smallint>").repartition(len(splitters.value), "bucket")
+    dealt = table.mapInArrow(emit, "bucket int, lead array<long>, covered array<long>, more array<long>, doc array<long>, first array<int>, count array<smallint>").repartition(len(splitters.value), "bucket")
     found = materialise(dealt.groupBy("bucket").applyInArrow(sort_bucket, "doc long, first int, count int, repeat boolean"), "suffix-runs")
     whole = found.where("repeat").select("doc", "first", (F.col("first") + F.col("count") - 1 + width).alias("last"))
 
@@ -219,27 +224,28 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
                     text = data[offsets[r] : offsets[r + 1]]
                     for low in range(0, len(text), PIECE):
                         own = starts[(starts >= low) & (starts < low + PIECE)]
-                        total = prefix_hash(text[low : low + PIECE + width])
+                        total, second = (prefix_hash(text[low : low + PIECE + width], *table) for table in ((), (_SECOND,)))
                         inside = own - low
-                        parts.append((mix((total[inside + width] - total[inside]) * powers(len(total))[1][inside]), np.full(len(own), ids[base + r]), own))
+                        value, more = (mix((x[inside + width] - x[inside]) * powers(len(total))[1][inside]) for x in (total, second))
+                        parts.append((value, more, np.full(len(own), ids[base + r]), own))
             if not parts:
                 continue
-            value, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = multikey_sort([value, doc, first])
-            value, doc, first = value[order], doc[order], first[order]
-            new = np.append(True, value[1:] != value[:-1])[: len(value)]
+            value, more, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = multikey_sort([value, more, doc, first])
+            value, more, doc, first = value[order], more[order], doc[order], first[order]
+            new = np.append(True, (value[1:] != value[:-1]) | (more[1:] != more[:-1]))[: len(value)]
             part = ((value >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
-            part = np.where(new, part.astype(np.int64), -1 - (doc & 1023))
-            yield _by_bucket(part, [(_signed(value), pa.int64()), (doc, pa.int64()), (first.astype(np.int32), pa.int32())], ["bucket", "value", "doc", "first"])
+            part = np.where(new, part.astype(np.int64), -1 - doc % n_parts)
+            yield _by_bucket(part, [(_signed(value), pa.int64()), (_signed(more), pa.int64()), (doc, pa.int64()), (first.astype(np.int32), pa.int32())], ["bucket", "value", "more", "doc", "first"])
 
     def later(key, rows):
-        value, doc, first = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("value", "doc", "first"))
+        value, more, doc, first = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("value", "more", "doc", "first"))
         gone = np.ones(len(value), bool)
         if key[0].as_py() >= 0:
-            order = multikey_sort([value, doc, first])
-            value, doc, first = value[order], doc[order], first[order]
+            order = multikey_sort([value, more, doc, first])
+            value, more, doc, first = value[order], more[order], doc[order], first[order]
             gone[0] = False
-            gone[1:] = value[1:] == value[:-1]
+            gone[1:] = (value[1:] == value[:-1]) & (more[1:] == more[:-1])
         doc, first = doc[gone], first[gone]
         order = np.lexsort((first, doc))
         doc, first = doc[order], first[order]
@@ -248,7 +254,7 @@ def repeated_spans(table: DataFrame, width: int = WIDTH, token: int = TOKEN, buc
         return pa.table({"doc": doc[cut], "first": first[cut].astype(np.int32), "last": last.astype(np.int32)})
 
     n_parts = len(splitters.value)
-    single = near.mapInArrow(strings, "bucket int, value array<long>, doc array<long>, first array<int>").repartition(n_parts, "bucket")
+    single = near.mapInArrow(strings, "bucket int, value array<long>, more array<long>, doc array<long>, first array<int>").repartition(n_parts, "bucket")
     partial = materialise(single.groupBy("bucket").applyInArrow(later, "doc long, first int, last int"), "suffix-strings")
     return whole.unionByName(partial)
 
