@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tracetide.operators import clock as ck
 from tracetide.operators import dynamics as dy
+from tracetide.operators import features as fe
 from tracetide.operators import geometry as ge
 from tracetide.operators import pairs as pr
 from tracetide.operators import scoring as sc
 from tracetide.operators import signals as sg
 from tracetide.operators import stats as ss
+from tracetide.operators import tables as tt
 
 
 def trace(spark, *series):
@@ -145,3 +147,100 @@ def test_empty_trace(spark):
     t = trace(spark, [1.0]).where("false")
     assert pr.pearson(t).count() == 0 and sg.peaks(t, ["unit_id"]).count() == 0 and sg.fill_linear(t, ["unit_id"]).count() == 0
     assert isinstance(sg.baseline(t, ["unit_id"]).toPandas(), pd.DataFrame)
+
+
+def test_baseline_follows_a_slow_drift_under_events_and_gaps(spark):
+    rng = np.random.default_rng(7)
+    t = np.arange(600) / 50
+    slow = 100 + 8 * np.sin(t / 3) + 2 * t
+    x = slow + sum(a * np.exp(-(((t - c) / 0.15) ** 2)) for a, c in ((40, 2.5), (30, 6.5), (50, 9.0))) + rng.normal(0, 1, 600)
+    x[140:155] = x[330:338] = np.nan
+    out = sg.relative_change(trace(spark, x), ["unit_id"], 10, 200)
+    f0, dff = column(out, "f0"), column(out, "dff")
+    quiet = (t < 1.5) | ((t > 4) & (t < 5.5)) | ((t > 10) & (t < 11.5))
+    assert (np.isnan(f0) == np.isnan(x)).all() and (np.isnan(dff) == np.isnan(x)).all()
+    assert np.nanmedian(np.abs(f0 - slow)[quiet]) < 5 and abs(np.nanmedian(dff[quiet])) < 0.05 and np.nanmax(dff) > 0.12
+
+
+def test_monotone_cubic_keeps_to_the_data():
+    x = np.array([0.0, 1, 3, 4, 7])
+    assert sg.monotone_cubic(x, 2 * x + 1, np.linspace(0, 7, 50)) == pytest.approx(2 * np.linspace(0, 7, 50) + 1)
+    up = sg.monotone_cubic(x, np.array([0.0, 0, 5, 5, 6]), np.linspace(0, 7, 200))
+    assert (np.diff(up) >= -1e-12).all() and up.min() == 0 and up.max() == 6
+
+
+def test_block_recursions_are_those_of_single_samples():
+    u = np.random.default_rng(2).normal(0, 1, 777)
+    want, y = [], 0.0
+    for v in u:
+        y = 0.9 * y + v
+        want.append(y)
+    assert sg.decayed(u, 0.9) == pytest.approx(np.array(want))
+    b, a = sg._biquad(0.05, 1.0, True)
+    own, carried, after, kept = sg._blocks(b, a, 32)
+    x, z, z1, z2, out = u[:32], np.array([0.3, -0.2]), 0.3, -0.2, []
+    for v in x:
+        y = b[0] * v + z1
+        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+        out.append(y)
+    assert own @ x + carried @ z == pytest.approx(np.array(out)) and after @ x + kept @ z == pytest.approx(np.array([z1, z2]))
+
+
+@pytest.mark.parametrize(("window", "step"), [(40, None), (40, 15)])
+def test_noise_in_windows_is_that_of_slices(spark, window, step):
+    x = np.random.default_rng(5).normal(0, 1, 130)
+    x[50:55] = np.nan
+    got = {r.win: r for r in sg.signal_to_noise(trace(spark, x), ["unit_id"], window=window, step=step).collect()}
+    starts = list(range(0, 130 - window + 1, step or window))
+    assert sorted(got) == list(range(len(starts)))
+    for k, s in enumerate(starts):
+        own = next(iter(sg.signal_to_noise(trace(spark, x[s : s + window]), ["unit_id"]).collect()))
+        assert (got[k].noise, got[k].signal, got[k].centre) == (pytest.approx(own.noise), own.signal, s + (window - 1) / 2)
+
+
+def test_signed_ranks(spark):
+    rows = [(k, float(v)) for k, v in enumerate([1.5, -0.5, 2.5, 3.5, 4.0, -1.0, 2.0])]
+    r = ss.cluster_test(spark.createDataFrame(rows, "c int, delta double"), "c").first()
+    assert (r.w_plus, r.w_minus) == (25.0, 3.0)
+    below = sum(sum(k + 1 for k in range(7) if m >> k & 1) <= 3 for m in range(128))
+    assert r.w_p == pytest.approx(2 * below / 128)
+
+
+def test_pairs_stay_in_their_recording(spark):
+    rng = np.random.default_rng(3)
+    a = trace(spark, *rng.normal(0, 1, (3, 60))).withColumn("rec", F.lit(1))
+    b = trace(spark, *rng.normal(0, 1, (3, 60))).select(F.col("unit_id") + 10, "sample_idx", "value", F.col("unit_pos") + 10, F.lit(2)).toDF("unit_id", "sample_idx", "value", "unit_pos", "rec")
+    bouts = spark.createDataFrame([(1, 0, "A", 0, 20), (1, 1, "B", 21, 59), (2, 0, "A", 5, 40)], "rec int, bout_idx int, state string, start_time int, end_time int")
+    units = spark.createDataFrame([(u, u % 2, 0) for u in (0, 1, 2, 10, 11, 12)], "unit_id long, group_id int, group_type int")
+    both = tt.state_pair_table(a.unionByName(b), bouts, units, recording=["rec"])
+    apart = [tt.state_pair_table(x, bouts.where(F.col("rec") == k).drop("rec"), units).withColumn("rec", F.lit(k)) for k, x in ((1, a.drop("rec")), (2, b.drop("rec")))]
+    rows = lambda d: sorted((r.rec, r.state, r.i, r.j, round(r.z, 9), r.n_samples) for r in d.collect())
+    assert rows(both) == rows(apart[0].unionByName(apart[1])) and both.count() == 9
+
+
+def test_onset_synchrony_and_bins(spark):
+    x = np.random.default_rng(4).normal(0, 1, (3, 80))
+    bouts = spark.createDataFrame([("W", 0, 30), ("N", 30, 80)], "state string, start_time int, end_time int")
+    got = dy.onset_synchrony(trace(spark, *x), bouts, "N", "W", 10, 5, 20, 0.5).orderBy("k").toPandas()
+    assert got["t_rel"].tolist() == [-15.0, -10.0, -5.0, 5.0, 10.0, 15.0, 20.0, 25.0] and (got["n_pairs"] == 3).all()
+    table = spark.createDataFrame([(1, 0, "a", 0.2), (1, 0, "a", 0.4), (2, 0, "a", 0.9), (1, 0, "b", 9.0)], "cell int, bin int, pair_type string, r double")
+    assert [(r.bin, round(r["mean"], 9), r.n_cells) for r in dy.mean_by_bin(table, ["a"], ["bin"], "cell").collect()] == [(0, 0.6, 2)]
+
+
+def test_feature_table_leaves_out_what_is_thin(spark):
+    fs, n = 10.0, 100
+    epochs = spark.createDataFrame([(1, k, 5.0 * k, 5.0 * k + 5) for k in range(2)], "session_id int, epoch_idx int, e_start double, e_end double")
+    t = np.arange(n) / fs
+    samples = spark.createDataFrame([(1, float(v), float(np.sin(20 * v))) for v in np.arange(0, 10, 0.01)], "session_id int, t double, value double")
+    rows = [(1, i, float(t[i]), float(i % 7), 1.0 * i, 2.0, 0.2 if i % 2 else 0.8, float((i * i) % 11), i < 50, i < 50, i % 2 == 0, True, i >= 55) for i in range(n)]
+    frames = spark.createDataFrame(rows, "session_id int, frame int, t double, diameter double, motion double, eyelid double, eyelid_norm double, whisking double, pupil_ok boolean, motion_ok boolean, eyelid_ok boolean, whisk_ok boolean, camera_off boolean")
+    a, b = fe.feature_table(epochs, samples, frames, "session_id", 100.0, fs, 5.0).orderBy("epoch_idx").collect()
+    d = np.arange(50) % 7
+    v = np.diff(d) / np.diff(t[:50])
+    assert (a.diam_mean, a.diam_std, a.speed_mean) == (pytest.approx(d.mean()), pytest.approx(d.std()), pytest.approx(np.abs(v).mean()))
+    assert a.constriction_rate == pytest.approx((v < 0).mean()) and a.closed_share == 0 and b.diam_mean is None and b.eyelid_mean == 2.0
+    w = (np.arange(50) ** 2 % 11).astype(float)
+    up = w > np.median(w) + 3 * (np.median(np.abs(w - np.median(w))) + 1e-9)
+    assert (a.whisk_active, a.whisk_bursts) == (pytest.approx(up.mean()), (np.diff(up.astype(int)) == 1).sum())
+    assert (a.pupil_share, b.pupil_share, b.off_share, b.camera_off_epoch) == (1.0, 0.0, pytest.approx(0.9), 1.0)
+    assert a.log_delta_1s is not None and a.entropy_4s is not None and a.theta_delta_1s is not None

@@ -60,6 +60,24 @@ def onset_windows(transitions: DataFrame, window: int, step: int, reach: int) ->
     return at.where(inside).withColumn("t_rel", F.col("w_start") + window / 2 - F.col("t0"))
 
 
+def onset_synchrony(trace: DataFrame, bouts: DataFrame, onset: str, before: str, window: int, step: int, reach: int, min_share: float) -> DataFrame:
+    """Window correlation around the onsets of a state after another: `t0, k, t_rel` and the summary of each window."""
+    w = onset_windows(onsets(bouts, onset, before), window, step, reach)
+    return window_correlation(trace, w, ["t0", "k"], min_share).join(w.select("t0", "k", "t_rel"), ["t0", "k"])
+
+
+def mean_by_bin(table: DataFrame, types: list[str], keys: list[str], cell: str, value: str = "r") -> DataFrame:
+    """Mean of each cell over the pairs of the given types, then mean, spread and count over cells, per key."""
+    one = table.where(F.col("pair_type").isin(types)).groupBy(*keys, cell).agg(F.avg(value).alias("m")).where("m is not null")
+    return one.groupBy(*keys).agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.count("m").alias("n_cells"))
+
+
+def bout_midpoints(summary: DataFrame, bouts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A bout's value at its midpoint, by state: a timeline."""
+    at = bouts.select(*keys, "state", ((F.col("start_time") + F.col("end_time")) / 2).alias("midpoint"))
+    return summary.where(F.col(value).isNotNull()).join(at, keys).select(*keys, "state", "midpoint", value)
+
+
 def binned(df: DataFrame, keys: list[str], x: str, y: str, bins: int = 10) -> DataFrame:
     """Mean and standard error (two values or more) of y over `bins` of x in [0, 1], the last bin closed."""
     b = F.least(F.floor(F.col(x) * bins), F.lit(bins - 1))

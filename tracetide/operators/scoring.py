@@ -41,7 +41,7 @@ def video_masks(frames: DataFrame, key: str, likely: float = 0.2) -> DataFrame:
     low = frames.groupBy(key).agg(F.percentile("whisking", F.lit(0.05)).alias("__low"))
     pupil = F.coalesce((F.col("pup_likelihood") > likely) & F.col("diameter").isNotNull(), F.lit(False))
     lid = F.coalesce((F.col("lid_likelihood") > likely) & F.col("eyelid").isNotNull(), F.lit(False))
-    out = frames.join(F.broadcast(low), key).withColumns({"pupil_ok": pupil, "eyelid_ok": lid, "whisk_ok": F.col("whisking").isNotNull()})
+    out = frames.join(low, key).withColumns({"pupil_ok": pupil, "eyelid_ok": lid, "whisk_ok": F.col("whisking").isNotNull()})
     off = (F.col("pup_likelihood") <= likely) & (F.col("lid_likelihood") <= likely) & (F.col("whisking") <= F.col("__low"))
     return out.withColumns({"motion_ok": F.col("pupil_ok") & F.coalesce(F.lag("pupil_ok").over(w), F.lit(False)), "camera_off": F.coalesce(off, F.lit(False))}).drop("__low")
 
@@ -59,17 +59,17 @@ def epoch_statistics(samples: DataFrame, keys: list[str], value: str, expected:
 def bout_activity(samples: DataFrame, keys: list[str], session: str, value: str) -> DataFrame:
     """Share of samples above the session's median + 3 MAD, and upward crossings of that level, per epoch."""
     mid = samples.groupBy(session).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
-    dev = samples.join(F.broadcast(mid), session).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    dev = samples.join(mid, session).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
     level = dev.groupBy(session).agg((F.first("__m") + 3 * F.percentile("__d", F.lit(0.5))).alias("__l"))
     w = W.partitionBy(*keys).orderBy("sample_idx")
-    at = samples.join(F.broadcast(level), session).withColumn("__up", F.col(value) > F.col("__l"))
+    at = samples.join(level, session).withColumn("__up", F.col(value) > F.col("__l"))
     return at.withColumn("__was", F.lag("__up").over(w)).groupBy(*keys).agg(F.avg(F.col("__up").cast("int")).alias("active_share"), F.count_if(F.col("__up") & ~F.col("__was")).alias("crossings"))
 
 
-def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: int = 128) -> DataFrame:
+def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: int = 128, least: int = 8) -> DataFrame:
     """Log band powers, entropy, 95 % edge and line length of each key's samples (an epoch): Welch with Hann windows.
 
-    Epochs are small and many, so each is one group; below half of the fullest epoch the features are null.
+    Epochs are small and many, so each is one group; below `least` samples the features are null.
     """
     names = [f"log_{b}" for b in BANDS] + ["entropy", "edge95", "line_length"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema)
@@ -79,15 +79,16 @@ def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: i
         x = x[np.isfinite(x)]
         out = {k: [pdf[k].iloc[0]] for k in keys}
         n = min(segment, len(x))
-        if n < 8:
+        if n < 2 or len(x) < least:
             return pd.DataFrame({**out, **{c: [None] for c in names}})
         hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
         parts = [x[s : s + n] for s in range(0, len(x) - n + 1, max(1, n // 2))]
         power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * hann)) ** 2 for p in parts], 0) / (fs * (hann**2).sum())
+        power[1 : len(power) - (n % 2 == 0)] *= 2  # one side stands for both
         freq = np.fft.rfftfreq(n, 1 / fs)
         total = power.sum()
         p = power / total if total > 0 else np.full(len(power), 1 / len(power))
-        bands = [math.log(max(power[(freq >= a) & (freq < b)].sum() * (freq[1] - freq[0]), 1e-12)) for a, b in BANDS.values()]
+        bands = [math.log(np.trapezoid(power[(freq >= a) & (freq < b)], freq[(freq >= a) & (freq < b)]) + 1e-12) for a, b in BANDS.values()]
         row = [*bands, float(-(p[p > 0] * np.log(p[p > 0])).sum()), float(freq[np.searchsorted(np.cumsum(p), 0.95).clip(0, len(freq) - 1)]), float(np.abs(np.diff(x)).sum() / len(x))]
         return pd.DataFrame({**out, **{c: [v] for c, v in zip(names, row, strict=True)}})
 

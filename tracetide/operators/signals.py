@@ -51,20 +51,32 @@ def matched_filter(trace: DataFrame, keys: list[str], kernel: list[float], min_v
 
 
 def exponential_filter(trace: DataFrame, keys: list[str], g: float) -> DataFrame:
-    """Backward recursion D[t] = g D[t+1] + (1 - g) x[t] over the values present, the last scaled by g; gaps stay.
+    """`filtered`: backward recursion D[t] = g D[t+1] + (1 - g) x[t], the last value scaled by g.
 
-    The memory is unbounded, so each unit is folded as one sorted array of its samples.
+    Over a gap D decays, and gaps stay missing. The memory is unbounded, so a unit is one group; within it the
+    recursion is summed block by block.
     """
-    row = F.struct(F.col("sample_idx").alias("i"), F.col("value").cast("double").alias("v"))
-    arr = trace.groupBy(*keys).agg(F.reverse(F.sort_array(F.collect_list(row))).alias("x"))
-    zero = F.struct(F.lit(None).cast("double").alias("d"), F.array().cast("array<struct<i:bigint,v:double>>").alias("out"))
 
-    def step(acc: Column, item: Column) -> Column:
-        d = F.when(item["v"].isNull(), acc["d"] * g).when(acc["d"].isNull(), item["v"] * g).otherwise(acc["d"] * g + item["v"] * (1 - g))
-        return F.struct(d.alias("d"), F.concat(acc["out"], F.array(F.struct(item["i"].alias("i"), F.when(item["v"].isNotNull(), d).alias("v")))).alias("out"))
+    def solve(x: np.ndarray) -> np.ndarray:
+        back = x[::-1]
+        ok = np.isfinite(back)
+        first = int(ok.argmax())
+        u = np.where(ok, (1 - g) * np.where(ok, back, 0.0), 0.0)
+        u[first] = g * back[first]
+        return decayed(u, g)[::-1]
+
+    return _per_unit(trace, keys, "filtered", solve)
+
 
-    folded = arr.select(*keys, F.inline(F.aggregate("x", zero, step, lambda acc: acc["out"])))
-    return folded.withColumnsRenamed({"i": "sample_idx", "v": "filtered"})
+def decayed(u: np.ndarray, g: float, block: int = 64) -> np.ndarray:
+    """y[k] = g y[k - 1] + u[k], by blocks: sums inside each, then the blocks' last values by the same rule."""
+    k = np.arange(block)
+    inside = np.where(k[:, None] >= k, g ** np.maximum(k[:, None] - k, 0.0), 0.0)
+    if len(u) <= block:
+        return inside[: len(u), : len(u)] @ u
+    rows = np.append(u, np.zeros(-len(u) % block)).reshape(-1, block) @ inside.T
+    ends = decayed(rows[:, -1], g**block, block)
+    return (rows + np.append(0.0, ends[:-1])[:, None] * g ** (k + 1)).ravel()[: len(u)]
 
 
 def fill_linear(trace: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,8 +125,25 @@ def peaks(trace: DataFrame, keys: list[str]) -> DataFrame:
     return top.where("__a < value and __b < value").select(*keys, "sample_idx", F.col("value").alias("peak"))
 
 
-def signal_to_noise(trace: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
-    """Noise: spread of differences over the root of two; signal: a quantile of peak heights; snr: their ratio."""
+def in_windows(trace: DataFrame, keys: list[str], window: int, step: int | None = None) -> DataFrame:
+    """Each sample in every window it lies in: adds `win` and `centre`; windows start each `step` samples (chunks end
+    to end by default), and those cut off by the end of a unit are left out."""
+    step = step or window
+    ends = trace.groupBy(*keys).agg(F.min("sample_idx").alias("__a"), F.max("sample_idx").alias("__b"))
+    at = F.col("sample_idx") - F.col("__a")
+    first = F.greatest(F.lit(0), F.ceil((at - (window - 1)) / step))
+    last = F.least(F.floor(at / step), F.floor((F.col("__b") - F.col("__a") + 1 - window) / step))
+    own = trace.join(ends, keys).withColumns({"__f": first, "__l": last}).where("__f <= __l").withColumn("win", F.explode(F.sequence("__f", "__l")))
+    return own.withColumn("centre", F.col("__a") + F.col("win") * step + (window - 1) / 2).drop("__a", "__b", "__f", "__l")
+
+
+def signal_to_noise(trace: DataFrame, keys: list[str], quantile: float = 0.95, window: int | None = None, step: int | None = None) -> DataFrame:
+    """Noise: spread of differences over the root of two; signal: a quantile of peak heights; snr: their ratio.
+
+    With `window` (in samples) for each window, of which `win` and `centre` tell; with `step` too, windows overlap.
+    """
+    if window is not None:
+        trace, keys = in_windows(trace, keys, window, step), [*keys, "win", "centre"]
     diff = trace.withColumn("__d", F.col("value") - F.lag("value").over(_along(keys)))
     noise = diff.groupBy(*keys).agg((F.stddev_pop("__d") / math.sqrt(2)).alias("noise"))
     signal = peaks(trace, keys).groupBy(*keys).agg(F.percentile("peak", F.lit(quantile)).alias("signal"))
@@ -201,23 +230,73 @@ def richardson_lucy(trace: DataFrame, keys: list[str], kernel: list[float], roun
     return _per_unit(trace, keys, "sharp", solve)
 
 
+def _moving(x: np.ndarray, window: int, how: str) -> np.ndarray:
+    """Median or mean over a centred window, cut off at the ends, of the values present."""
+    right = window // 2
+    rolled = pd.Series(np.append(x, np.full(right, np.nan))).rolling(window, min_periods=1)
+    return getattr(rolled, how)().to_numpy()[right:]
+
+
+def monotone_cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Piecewise cubic interpolation that keeps to the data: slopes are weighted harmonic means, 0 at turns."""
+    if len(x) < 2:
+        return np.full(len(at), y[0] if len(y) else np.nan)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    slope = np.zeros(len(x))
+    if len(x) == 2:
+        slope[:] = d[0]
+    else:
+        wide, narrow = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+        same = d[1:] * d[:-1] > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope[1:-1] = np.where(same, (wide + narrow) / (wide / d[:-1] + narrow / d[1:]), 0.0)
+        for end, (a, b), (p, q) in ((0, (h[0], h[1]), (d[0], d[1])), (-1, (h[-1], h[-2]), (d[-1], d[-2]))):
+            s = ((2 * a + b) * p - a * q) / (a + b)
+            slope[end] = 0.0 if s * p <= 0 else 3 * p if p * q < 0 and abs(s) > 3 * abs(p) else s
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(h) - 1)
+    t = (at - x[k]) / h[k]
+    return y[k] * (1 + 2 * t) * (1 - t) ** 2 + slope[k] * h[k] * t * (1 - t) ** 2 + y[k + 1] * t**2 * (3 - 2 * t) + slope[k + 1] * h[k] * t**2 * (t - 1)
+
+
+def slow_floor(x: np.ndarray, denoise: int, hull: int) -> np.ndarray:
+    """The lower envelope of one unit: see `baseline`."""
+    n = len(x)
+    spacing = max(4.0, denoise / 6)
+    at = np.unique(np.rint(np.linspace(0, n - 1, math.ceil(n / spacing) + 1)).astype(int))
+    many = int(np.clip(math.ceil(np.clip(hull, 1, max(1, n // 4)) / spacing), 1, len(at)))
+    calm = _moving(x, denoise, "median")
+    lines = np.full((many, len(at)), np.nan)
+    for k in range(many):
+        knots = at[k::many]
+        known = np.isfinite(calm[knots])
+        if known.any():
+            a, b = np.searchsorted(knots, at, "right") - 1, np.searchsorted(knots, at, "left")
+            held = (a >= 0) & (b < len(knots))
+            held[held] = known[a[held]] & known[b[held]]  # nothing is drawn over a gap or beyond the ends
+            lines[k, held] = np.interp(at[held], knots[known], calm[knots[known]])
+    drawn = np.isfinite(lines).sum(0)
+    low = np.where(drawn > 0, np.min(np.where(np.isfinite(lines), lines, np.inf), 0), np.nan)
+    sure = drawn >= math.ceil(many / 2)
+    if sure.sum() > 2:
+        low = np.where(sure, low, np.nan)
+    wide = 2 * math.ceil(many / 2) + 1
+    low = _moving(np.where(np.isfinite(low), low, _moving(low, wide, "mean")), wide, "mean")
+    known = np.isfinite(low)
+    return monotone_cubic(at[known].astype(float), low[known], np.arange(n, dtype=float)) if known.any() else np.full(n, np.nan)
+
+
 def baseline(trace: DataFrame, keys: list[str], denoise: int = 5, hull: int = 80) -> DataFrame:
-    """`f0`: a slow lower envelope: moving median, minima of interleaved straight hulls, two moving means."""
+    """`f0`: a slow lower envelope, missing where the value is; windows in samples.
 
-    def solve(x: np.ndarray) -> np.ndarray:
-        y = _median(_filled(x), denoise)
-        i, step = np.arange(len(y)), max(1, hull // 2)
-        low = y.copy()
-        for start in range(0, step, max(1, step // 4)):
-            edges = np.unique(np.clip(np.append(np.arange(start, len(y), step), [0, len(y) - 1]), 0, len(y) - 1))
-            knots = np.array([a + int(np.argmin(y[a : b + 1])) for a, b in zip(edges[:-1], edges[1:], strict=True)] or [0])
-            knots = np.unique(knots)
-            low = np.minimum(low, np.interp(i, knots, y[knots]))
-        for _ in range(2):
-            low = pd.Series(low).rolling(hull, center=True, min_periods=1).mean().to_numpy()
-        return low
+    A moving median is read at spaced samples. Straight lines through every m-th of these, for each of the m
+    offsets, are drawn, the lowest line counts, and samples where less than half of the lines exist are in doubt and
+    left to their neighbours. Two moving means and a monotone cubic through the spaced samples follow.
+    """
+    return _per_unit(trace, keys, "f0", lambda x: slow_floor(x, denoise, hull))
 
-    return _per_unit(trace, keys, "f0", solve)
+
+#: Seconds of the median's and the lines' windows.
+DENOISE_S, HULL_S = 0.2, 4.0
 
 
 def relative_change(trace: DataFrame, keys: list[str], denoise: int = 5, hull: int = 80) -> DataFrame:
@@ -236,21 +315,39 @@ def _biquad(cutoff: float, fs: float, high: bool) -> tuple[np.ndarray, np.ndarra
     return b / norm, np.array([1.0, 2 * (k * k - 1) / norm, (1 - math.sqrt(2) * k + k * k) / norm])
 
 
+def _blocks(b: np.ndarray, a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of samples and the two memories before it add to the block's output and to the memories after it."""
+
+    def run(x: np.ndarray, z: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+        out, memory = np.empty(size), np.empty((size, 2))
+        for i, v in enumerate(x):
+            out[i] = b[0] * v + z[0]
+            z = b[1] * v - a[1] * out[i] + z[1], b[2] * v - a[2] * out[i]
+            memory[i] = z
+        return out, memory
+
+    pulse, trail = run(np.eye(1, size)[0], (0.0, 0.0))
+    (one, end_one), (two, end_two) = (run(np.zeros(size), z) for z in ((1.0, 0.0), (0.0, 1.0)))
+    lag = np.arange(size)[:, None] - np.arange(size)
+    return np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0), np.column_stack([one, two]), trail[::-1].T, np.column_stack([end_one[-1], end_two[-1]])
+
+
 def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, high: bool = True) -> DataFrame:
     """`passed`: order-2 Butterworth run forwards and backwards over odd extensions of the ends."""
     b, a = _biquad(cutoff, fs, high)
 
+    size = 256
+    response = _blocks(b, a, size)
+
     def once(x: np.ndarray) -> np.ndarray:
-        out, z1, z2 = np.empty(len(x)), 0.0, 0.0
-        if not high:
-            z1, z2 = x[0] * (1 - b[0]), x[0] * (b[2] - a[2])
-        else:
-            z1, z2 = -b[0] * x[0], b[2] * x[0]
-        for i, v in enumerate(x):
-            y = b[0] * v + z1
-            z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-            out[i] = y
-        return out
+        z = np.array([-b[0], b[2]] if high else [1 - b[0], b[2] - a[2]]) * x[0]
+        own, carried, after, kept = response
+        rows = np.append(x, np.zeros(-len(x) % size)).reshape(-1, size)
+        out, left = rows @ own.T, rows @ after.T
+        for k in range(len(rows)):
+            out[k] += carried @ z
+            z = left[k] + kept @ z
+        return out.ravel()[: len(x)]
 
     def solve(x: np.ndarray) -> np.ndarray:
         y = _filled(x)

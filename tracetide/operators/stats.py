@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,11 +68,31 @@ def cluster_test(wide: DataFrame, cluster: str, summary: str = "median") -> Data
     pick = F.percentile("delta", F.lit(0.5)) if summary == "median" else F.avg("delta")
     one = wide.groupBy(cluster).agg(pick.alias("y"))
     w = W.orderBy(F.abs("y"))
-    ranks = one.where("y <> 0").withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy(F.abs("y"))) - 1) / 2)
+    same = F.count(F.lit(1)).over(W.partitionBy(F.abs("y")))  # a tie of c adds c (c^2 - 1), c times c^2 - 1
+    ranks = one.where("y <> 0").withColumn("c", same).withColumn("r", F.rank().over(w) + (F.col("c") - 1) / 2)
     s = one.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"))
-    plus = ranks.agg(F.sum(F.when(F.col("y") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("y") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    plus = ranks.agg(F.sum(F.when(F.col("y") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("y") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).cast("double").alias("n_ranked"), F.coalesce(F.sum(F.col("c") * F.col("c") - 1), F.lit(0)).cast("double").alias("ties"))
     out = s.join(F.broadcast(plus)).withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
-    return out.withColumn("p", student_p("t", (F.col("n") - 1).cast("double"))).drop("sd")
+    return out.withColumns({"p": student_p("t", (F.col("n") - 1).cast("double")), "w_p": signed_rank_p("n_ranked", "w_plus", "w_minus", "ties")}).drop("sd", "n_ranked", "ties")
+
+
+@pandas_udf(DoubleType())
+def signed_rank_p(n: pd.Series, plus: pd.Series, minus: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided p of the signed-rank test: exact for up to 50 untied ranks, else normal with tied variance. One row a test."""
+
+    def one(k: float, a: float, b: float, t: float) -> float | None:
+        if pd.isna(k) or k < 1:
+            return None
+        k, low = int(k), min(a, b)
+        if k <= 50 and t == 0:
+            ways = np.ones(1)
+            for rank in range(1, k + 1):  # subsets of the ranks by their sums
+                ways = np.append(ways, np.zeros(rank)) + np.append(np.zeros(rank), ways)
+            return min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**k)
+        spread = math.sqrt(k * (k + 1) * (2 * k + 1) / 24 - t / 48)
+        return math.erfc(abs(low - k * (k + 1) / 4) / spread / math.sqrt(2)) if spread > 0 else None
+
+    return pd.Series([one(*x) for x in zip(n, plus, minus, ties, strict=True)], dtype="float64")
 
 
 def bootstrap(wide: DataFrame, levels: list[str], n: int, seed: int = 0) -> DataFrame:
