@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracetide.functions import rules
 from tracetide.operators import clock as ck
+from tracetide.operators import dynamics as dy
 from tracetide.operators import geometry as ge
 from tracetide.operators import intervals as iv
 from tracetide.operators import tables as tt
@@ -93,12 +94,19 @@ QUERIES = {
     "label_mismatches": mismatch,
     "combined_units": lambda s, d: tt.combine({k: st.suppliers(s, d).where(F.col("unit_id") % 2 == k - 1).select("unit_id", "sample_idx", "value") for k in (1, 2)}),
     "unit_positions": lambda s, d: tt.with_positions(st.supplier_groups(s, d), table(s, d, "supplier").where("s_acctbal > 0").groupBy((F.floor(F.col("s_suppkey") / st.PER_RECORDING) * 25 + F.col("s_nationkey")).alias("group_id")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("unit_order"))),
-    "newest_model": lambda s, d: tt.newest(table(s, d, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("day")), "name", "day"),
+    "bout_midpoints": lambda s, d: dy.bout_midpoints(bouts(s, d).select("bout_idx", "valid_duration"), bouts(s, d), ["bout_idx"], "valid_duration").withColumn("midpoint", F.col("midpoint").cast("double")),
+    "newest_model": lambda s, d: tt.newest(table(s, d, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").cast("string").alias("day")), "name", "day"),
     "units_by_group": lambda s, d: tt.time_slice(tt.of_units(st.suppliers(s, d), st.supplier_groups(s, d), F.col("group_type").isin(0, 1)), 1460, 1500).select("unit_id", "sample_idx", "value"),
     "incomplete_pages": lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce(rules.split_id(F.concat_ws("--", "lang", "source"))["loc"], F.lit("?")).alias("loc")).join(table(s, d, "pages"), F.col("doc_id") == F.col("page_id"), "left_anti"),
 }
 
 ORACLES = {
+    "bout_midpoints": sql(BOUTS + " SELECT bout_idx, state, (start_time + end_time) / 2.0::DOUBLE AS midpoint, valid_duration::DOUBLE AS valid_duration FROM bouts"),
+    "newest_model": "SELECT name, day, sha256(name || '|' || day) AS signature FROM (SELECT o_orderpriority AS name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders ORDER BY day DESC, name DESC LIMIT 1)",
+    "clock_pair_table": sql(BOUTS + """, bc AS (SELECT *, sum(wall_duration) OVER (PARTITION BY state ORDER BY start_time) AS ce FROM bouts), bn AS (SELECT *, ce - wall_duration AS cs FROM bc WHERE wall_duration > 0),
+bx AS (SELECT *, unnest(generate_series(CAST(floor(cs / 24.0) AS BIGINT), CAST(floor((ce - 1e-12) / 24.0) AS BIGINT))) AS bin FROM bn),
+sl AS (SELECT state, bin, start_time + (greatest(cs, bin * 24.0) - cs) AS start_time, start_time + (least(ce, (bin + 1) * 24.0) - cs) AS end_time FROM bx), pd AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY start_time) AS bout_idx FROM sl),
+""" + FISHER.format(b="pd", w="", k=", a.bin", g=", bin") + " SELECT state, bin, i, j, round(z, 5) AS z, n_samples, n_bouts FROM fz"),
     "state_pair_table": sql(BOUTS + ",\n" + FISHER.format(b="bouts", w="", k="", g="") + """ SELECT state, i, j, round(tanh(z), 5) AS r, round(z, 5) AS z, round(se, 5) AS se, n_samples, n_bouts,
 CASE WHEN i % 4 = j % 4 THEN 'within_group' WHEN i % 2 = j % 2 THEN 'between_same_type' ELSE 'between_cross_type' END AS pair_type, least(i % 2, j % 2) || '_' || greatest(i % 2, j % 2) AS same_type FROM fz"""),
     "period_pair_table": sql(BOUTS + """, pd AS (SELECT b.*, ['early', 'middle', 'late'][CAST(least(floor(((start_time + end_time) / 2.0 - t0) / ((t1 - t0) / 3.0)), 2) AS INT) + 1] AS period FROM bouts b, (SELECT min(start_time) AS t0, max(end_time) AS t1 FROM bouts)),

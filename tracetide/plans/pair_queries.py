@@ -104,6 +104,8 @@ QUERIES = {
     "window_correlation": windows,
     "head_tail_drift": drift,
     "onset_windows": onset_windows,
+    "onset_synchrony": lambda s, d: rounded(dy.onset_synchrony(user_trace(s, d), st.states(s, d), "view", "click", 4, 2, 12, 0.3).withColumn("t_rel", F.col("t_rel").cast("double")), "valid_share", "mean_r", "share_above"),
+    "cell_means": lambda s, d: rounded(dy.mean_by_bin(classified(s, d).withColumn("rec", F.floor(F.col("i") / st.PER_RECORDING)), ["between_same_type", "between_cross_type"], ["state"], "rec"), "mean", "sd"),
     "binned_synchrony": lambda s, d: rounded(dy.binned(by_bout(s, d).withColumn("x", F.round(F.abs("r"), 9)), ["state"], "x", "n"), "mean", "sem"),
     "rank_stability": stability,
     "principal_components": lambda s, d: loadings(s, d),
@@ -141,6 +143,16 @@ SELECT b_start, w, round(min(vs), 6)::DOUBLE AS valid_share, round(avg(r), 6) AS
     "onset_windows": sql("""tr AS (SELECT a.start_time AS t0, a.end_time AS on_end, max(b.end_time) AS pre_end, first(b.start_time ORDER BY b.end_time DESC) AS pre_start FROM states a JOIN states b ON a.state = 'view' AND b.state = 'click' AND b.end_time BETWEEN a.start_time - 0.5 AND a.start_time + 0.01 GROUP BY 1, 2),
 w AS (SELECT *, unnest(generate_series(-6, 6)) AS k FROM tr)
 SELECT t0, CAST(k AS INT) AS k, CAST(t0 + k * 2 AS DOUBLE) AS w_start, CAST(k * 2 + 2 AS DOUBLE) AS t_rel FROM w WHERE (k < 0 AND k * 2 + 4 <= 0 AND t0 + k * 2 >= pre_start) OR (k >= 0 AND t0 + k * 2 + 4 <= on_end)"""),
+    "cell_means": sql(PAIRS + """, c AS (SELECT state, i // 25 AS rec, avg(r) AS m FROM cl WHERE pair_type <> 'within_group' GROUP BY 1, 2 HAVING avg(r) IS NOT NULL) SELECT state, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, count(m) AS n_cells FROM c GROUP BY 1"""),
+    "onset_synchrony": sql("""tr AS (SELECT a.start_time AS t0, a.end_time AS on_end, max(b.end_time) AS pre_end, first(b.start_time ORDER BY b.end_time DESC) AS pre_start FROM states a JOIN states b ON a.state = 'view' AND b.state = 'click' AND b.end_time BETWEEN a.start_time - 0.5 AND a.start_time + 0.01 GROUP BY 1, 2),
+w AS (SELECT *, unnest(generate_series(-6, 6)) AS k FROM tr), ow AS (SELECT t0, CAST(k AS INT) AS k, t0 + k * 2 AS w_start, CAST(k * 2 + 2 AS DOUBLE) AS t_rel FROM w WHERE (k < 0 AND k * 2 + 4 <= 0 AND t0 + k * 2 >= pre_start) OR (k >= 0 AND t0 + k * 2 + 4 <= on_end)),
+wa AS (SELECT t0, k, t_rel, t.* FROM ow JOIN trace t ON t.sample_idx BETWEEN w_start AND w_start + 4), ok AS (SELECT t0, k, t_rel, avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) AS vs FROM wa GROUP BY 1, 2, 3 HAVING avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) >= 0.3),
+ps AS (SELECT a.t0, a.k, count(*) AS n, sum(a.value) AS sx, sum(b.value) AS sy, sum(a.value * a.value) AS sxx, sum(b.value * b.value) AS syy, sum(a.value * b.value) AS sxy FROM wa a JOIN wa b ON a.t0 = b.t0 AND a.k = b.k AND a.sample_idx = b.sample_idx AND a.unit_id < b.unit_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.t0, a.k, a.unit_id, b.unit_id),
+pr AS (SELECT t0, k, CASE WHEN n >= 2 AND sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e-9 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END AS r FROM ps)
+SELECT t0, k, t_rel, round(min(vs), 6)::DOUBLE AS valid_share, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.2 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share_above, count(r) AS n_pairs FROM ok JOIN pr USING (t0, k) GROUP BY 1, 2, 3"""),
+    "rank_stability": sql(PAIRS + """, z AS (SELECT rec, bout_idx, i, j, round(atanh(greatest(-1 + 1e-7, least(1 - 1e-7, r))), 9) AS z FROM pb WHERE r IS NOT NULL), b AS (SELECT a.rec, a.bout_idx, lag, a.z, c.z AS z2 FROM z a JOIN (VALUES (1), (2)) v(lag) ON true JOIN z c ON c.rec = a.rec AND c.i = a.i AND c.j = a.j AND c.bout_idx = a.bout_idx + lag),
+k AS (SELECT rec, bout_idx, lag, rank() OVER (PARTITION BY rec, bout_idx, lag ORDER BY z) + (count(*) OVER (PARTITION BY rec, bout_idx, lag, z) - 1) / 2.0 AS x, rank() OVER (PARTITION BY rec, bout_idx, lag ORDER BY z2) + (count(*) OVER (PARTITION BY rec, bout_idx, lag, z2) - 1) / 2.0 AS y FROM b)
+SELECT rec, bout_idx, CAST(lag AS INT) AS lag, count(*) AS n, round(corr(x, y), 6) AS rho FROM k GROUP BY 1, 2, 3 HAVING count(*) >= 5"""),
     "binned_synchrony": sql(PAIRS + """, b AS (SELECT state, least(floor(round(abs(r), 9) * 10), 9)::BIGINT AS bin, n FROM pb WHERE r IS NOT NULL)
 SELECT state, bin, round(avg(n), 6) AS mean, count(n) AS n, round(CASE WHEN count(n) >= 2 THEN stddev_samp(n) / sqrt(count(n)) END, 6) AS sem FROM b GROUP BY 1, 2"""),
     "head_tail_drift": sql(PAIRS + """, v AS (SELECT *, row_number() OVER (w ORDER BY sample_idx) AS up, row_number() OVER (w ORDER BY sample_idx DESC) AS down, count(*) OVER w AS size FROM (SELECT DISTINCT rec, bout_idx, sample_idx FROM wk) WINDOW w AS (PARTITION BY rec, bout_idx)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracetide.operators import features as fe
 from tracetide.operators import scoring as sc
 from tracetide.operators import signals as sg
 from tracetide.plans import standins as st
@@ -68,6 +69,37 @@ def scaled(spark, d):
     return rounded(sc.robust_scale(sessions(spark, d), "session_id", ["value"]), "value")
 
 
+def frames(spark, d):
+    """Events as frames of a user's epochs of three days, with measures and flags."""
+    e = st.timed_events(spark, d)
+    return e.select(F.col("user_id").alias("session_id"), F.floor(F.col("t") / 72).alias("epoch_idx"), F.col("event_id").alias("frame"), "t", F.col("value").alias("diameter"), (F.col("value") * 2).alias("motion"), (F.col("value") % 7).alias("eyelid"), (F.col("event_id") % 10 / 10).alias("eyelid_norm"), F.col("value").alias("whisking"), (F.col("event_type") != "error").alias("pupil_ok"), F.col("event_type").isin("click", "view").alias("motion_ok"), (F.col("event_id") % 5 != 0).alias("eyelid_ok"), (F.col("event_id") % 7 != 0).alias("whisk_ok"), (F.col("event_type") == "error").alias("camera_off"))
+
+
+EPOCH = ["session_id", "epoch_idx"]
+
+
+def pupil(spark, d):
+    out = fe.pupil_features(frames(spark, d), EPOCH, 0.05, 72)
+    return rounded(out, *[c for c in out.columns if c not in EPOCH], n=5)
+
+
+def whisking(spark, d):
+    out = fe.whisking_features(frames(spark, d), EPOCH, 0.05, 72)
+    return rounded(out, "whisk_mean", "whisk_std", "whisk_iqr", "whisk_active", n=5)
+
+
+def quality(spark, d):
+    return rounded(fe.quality_features(frames(spark, d), EPOCH), "pupil_share", "eyelid_share", "whisk_share", "off_share")
+
+
+def epoch_table(spark, d):
+    """All features: hours of the trace as voltage, events as frames, epochs of three days from the trace's start."""
+    t = st.trace(spark, d).where("value is not null").select(F.col("unit_id").alias("session_id"), F.col("sample_idx").cast("double").alias("t"), "value")
+    epochs = sc.epoch_grid(t.groupBy("session_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")), 72)
+    f = frames(spark, d).withColumn("session_id", F.col("session_id") % st.UNITS).drop("epoch_idx")
+    return fe.feature_table(epochs, t, f, "session_id", 8.0, 0.05, 72)
+
+
 def complete(spark, d):
     return tb.complete_only(st.trace(spark, d), [])
 
@@ -85,13 +117,30 @@ QUERIES = {
     "decoded_states": decoded,
     "decoded_bouts": lambda s, d: sc.bouts_from_epochs(decoded(s, d).join(probabilities(s, d).select("session_id", "epoch_idx", "P_a"), ["session_id", "epoch_idx"]), "session_id", "state", ["P_a"]),
     "leave_one_out": lambda s, d: sc.leave_one_out(v := labelled(s, d), features(v), STATES, "subject_id"),
+    "pupil_features": pupil,
+    "whisking_features": whisking,
+    "video_quality": quality,
+    "epoch_feature_table": epoch_table,
     "windowed_rates": rates,
     "complete_samples": complete,
     "long_metrics": lambda s, d: tb.to_long(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"]),
     "preferred_labels": lambda s, d: tb.prefer([table(s, d, "labels").where("quality = 1").select("doc_id", F.lit("validated").alias("origin")), table(s, d, "labels").select("doc_id", F.lit("scored").alias("origin"))], ["doc_id"]).drop("priority"),
 }
 
+FRAMES = """f AS (SELECT user_id AS session_id, CAST(floor(t / 72) AS BIGINT) AS epoch_idx, event_id AS frame, t, value, value % 7 AS eyelid, event_id % 10 / 10.0 AS eyelid_norm, event_type <> 'error' AS pupil_ok, event_type IN ('click', 'view') AS motion_ok, event_id % 5 <> 0 AS eyelid_ok, event_id % 7 <> 0 AS whisk_ok FROM te),
+ep AS (SELECT DISTINCT session_id, epoch_idx FROM f)"""
+
 ORACLES = {
+    "pupil_features": sql(FRAMES + """, v AS (SELECT *, CASE WHEN t > pt THEN (value - pv) / (t - pt) END AS v FROM (SELECT *, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM f WHERE pupil_ok WINDOW w AS (PARTITION BY session_id, epoch_idx ORDER BY frame))),
+a AS (SELECT session_id, epoch_idx, avg(value) AS diam_mean, stddev_pop(value) AS diam_std, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS diam_iqr, avg(abs(v)) AS speed_mean, stddev_pop(v) AS speed_std, avg(CASE WHEN v < 0 THEN 1.0 WHEN v >= 0 THEN 0.0 END) AS constriction_rate FROM v GROUP BY 1, 2 HAVING count(*) >= 2),
+m AS (SELECT session_id, epoch_idx, avg(value * 2) AS motion_mean, stddev_pop(value * 2) AS motion_std FROM f WHERE motion_ok GROUP BY 1, 2 HAVING count(*) >= 2),
+l AS (SELECT session_id, epoch_idx, avg(eyelid) AS eyelid_mean, stddev_pop(eyelid) AS eyelid_std, avg(eyelid_norm) AS eyelid_norm_mean, avg(CASE WHEN eyelid_norm < 0.3 THEN 1.0 ELSE 0.0 END) AS closed_share FROM f WHERE eyelid_ok GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT session_id, epoch_idx, """ + ", ".join(f"round({c}, 5)::DOUBLE AS {c}" for c in ("diam_mean", "diam_std", "diam_iqr", "speed_mean", "speed_std", "constriction_rate", "motion_mean", "motion_std", "eyelid_mean", "eyelid_std", "eyelid_norm_mean", "closed_share")) + " FROM ep LEFT JOIN a USING (session_id, epoch_idx) LEFT JOIN m USING (session_id, epoch_idx) LEFT JOIN l USING (session_id, epoch_idx)"),
+    "whisking_features": sql(FRAMES + """, m AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY session_id, epoch_idx) AS m FROM f WHERE whisk_ok), u AS (SELECT *, value > m + 3 * (quantile_cont(abs(value - m), 0.5) OVER (PARTITION BY session_id, epoch_idx) + 1e-9) AS up FROM m), w AS (SELECT *, lag(up) OVER (PARTITION BY session_id, epoch_idx ORDER BY frame) AS was FROM u),
+a AS (SELECT session_id, epoch_idx, avg(value) AS wm, stddev_pop(value) AS ws, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS wq, avg(CASE WHEN up THEN 1.0 ELSE 0.0 END) AS wa, count(*) FILTER (WHERE up AND NOT was) AS wb FROM w GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT session_id, epoch_idx, round(wm, 5) AS whisk_mean, round(ws, 5) AS whisk_std, round(wq, 5) AS whisk_iqr, round(wa, 5)::DOUBLE AS whisk_active, wb AS whisk_bursts FROM ep LEFT JOIN a USING (session_id, epoch_idx)"""),
+    "video_quality": sql(FRAMES + """, q AS (SELECT session_id, epoch_idx, avg(pupil_ok::INT) AS p, avg(eyelid_ok::INT) AS l, avg(whisk_ok::INT) AS w, avg((NOT pupil_ok)::INT) AS o FROM f GROUP BY 1, 2)
+SELECT session_id, epoch_idx, round(p, 6) AS pupil_share, round(l, 6) AS eyelid_share, round(w, 6) AS whisk_share, round(o, 6) AS off_share, CASE WHEN o >= 0.8 THEN 1.0 ELSE 0.0 END::DOUBLE AS camera_off_epoch FROM q"""),
     "epoch_grid": sql("""r AS (SELECT user_id, event_type, floor(min(t)) AS t0, floor(max(t)) AS t1 FROM e GROUP BY 1, 2), s AS (SELECT user_id AS session_id, max(t0) AS a, min(t1) AS b FROM r GROUP BY 1),
 k AS (SELECT *, unnest(generate_series(0, CAST(floor((b - a) / 24) AS BIGINT) - 1)) AS epoch_idx FROM s WHERE b - a >= 24) SELECT session_id, epoch_idx, a + epoch_idx * 24 AS e_start, a + (epoch_idx + 1) * 24 AS e_end FROM k"""),
     "context_features": sql("""SELECT unit_id AS session_id, sample_idx AS epoch_idx, value, round(CASE WHEN value IS NOT NULL AND count(value) OVER a >= 3 THEN avg(value) OVER a END, 6) AS value_mean5, round(CASE WHEN value IS NOT NULL AND count(value) OVER a >= 3 THEN stddev_samp(value) OVER a END, 6) AS value_std5,

@@ -48,6 +48,9 @@ mad AS (SELECT unit_id, sample_idx, value, med, CASE WHEN count(dev) OVER w >= 5
 snr AS (SELECT *, value / greatest(mad * 4, 1e-12) AS snr FROM mad),
 rn AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY unit_id ORDER BY sample_idx) AS g FROM snr WHERE snr > 1),
 evs AS (SELECT unit_id, min(sample_idx) AS start_sample, max(sample_idx) AS end_sample, count(*) AS n_samples, first(sample_idx ORDER BY snr DESC, sample_idx) AS peak_sample, max(snr) AS peak_snr, first(value ORDER BY snr DESC, sample_idx) AS peak_value, avg(snr) AS average_snr, sum(value) AS integral, count(*) * 1.0 AS event_duration FROM rn GROUP BY unit_id, g)"""
+PEAKS = """sg AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY {k} ORDER BY sample_idx) AS seg FROM {t} WHERE value IS NOT NULL),
+fl AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {k}, seg) AS n, lag(value) OVER (PARTITION BY {k}, seg ORDER BY sample_idx) AS p FROM sg) WHERE n >= 3 AND (p IS NULL OR p <> value)),
+pk AS (SELECT * FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM fl WINDOW w AS (PARTITION BY {k}, seg ORDER BY sample_idx)) WHERE a < value AND b < value)"""
 DIFF = "df AS (SELECT unit_id, sample_idx, value - lag(value) OVER (PARTITION BY unit_id ORDER BY sample_idx) AS d FROM {t})"
 
 QUERIES = {
@@ -58,6 +61,7 @@ QUERIES = {
     "rolling_std": lambda s, d: rounded(sg.rolling_std(st.trace(s, d), U, 24, min_count=6), "std").select("unit_id", "sample_idx", "std"),
     "signal_peaks": lambda s, d: sg.peaks(st.trace(s, d), U),
     "signal_to_noise": lambda s, d: rounded(sg.signal_to_noise(st.trace(s, d), U), "noise", "signal", "snr"),
+    "signal_to_noise_windows": lambda s, d: rounded(sg.signal_to_noise(st.trace(s, d), U, window=96, step=48), "noise", "signal", "snr"),
     "noise_sigma": lambda s, d: rounded(sg.noise_sigma(st.trace(s, d), U), "sigma"),
     "scaled_to_peak": lambda s, d: rounded(sg.scale_to_peak(st.trace(s, d), U), "scaled").select("unit_id", "sample_idx", "scaled"),
     "box_filter": lambda s, d: rounded(sg.box_filter(st.trace(s, d).na.fill(0.0, ["value"]), U, 5), "smooth").select("unit_id", "sample_idx", "smooth"),
@@ -87,6 +91,14 @@ SELECT unit_id, sample_idx, round(CASE WHEN n >= 0.5 * {_K} THEN y END, 6) AS fi
 SELECT unit_id, sample_idx, round(coalesce(value, av + (bv - av) * (sample_idx - ai) / nullif(bi - ai, 0), av, bv, 0), 6) AS filled FROM n"""),
     "rolling_mad": sql(MAD + " SELECT unit_id, sample_idx, round(mad, 9) AS mad FROM mad"),
     "rolling_std": sql("SELECT unit_id, sample_idx, round(CASE WHEN count(value) OVER w >= 6 THEN stddev_pop(value) OVER w END, 6) AS std FROM trace WINDOW w AS (PARTITION BY unit_id ORDER BY sample_idx ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)"),
+    "signal_peaks": sql(PEAKS.format(t="trace", k="unit_id") + " SELECT unit_id, sample_idx, value AS peak FROM pk"),
+    "exponential_filter": sql("""RECURSIVE s AS (SELECT unit_id, sample_idx, value, row_number() OVER (PARTITION BY unit_id ORDER BY sample_idx DESC) AS k FROM trace),
+r AS (SELECT unit_id, k, CAST(value * 0.8 AS DOUBLE) AS d FROM s WHERE k = 1 UNION ALL SELECT s.unit_id, s.k, CASE WHEN s.value IS NULL THEN r.d * 0.8 WHEN r.d IS NULL THEN s.value * 0.8 ELSE r.d * 0.8 + s.value * (1 - 0.8) END FROM r JOIN s ON s.unit_id = r.unit_id AND s.k = r.k + 1)
+SELECT unit_id, sample_idx, round(CASE WHEN value IS NOT NULL THEN d END, 6) AS filtered FROM s JOIN r USING (unit_id, k)""").replace("WITH\n", "WITH RECURSIVE\n", 1).replace("RECURSIVE s AS", "s AS", 1),
+    "signal_to_noise_windows": sql("""ends AS (SELECT unit_id, min(sample_idx) AS a, max(sample_idx) AS b FROM trace GROUP BY 1), wn AS (SELECT unit_id, a, unnest(generate_series(0, (b - a + 1 - 96) // 48)) AS win FROM ends WHERE b - a + 1 >= 96),
+tw AS (SELECT t.*, win, a + win * 48 + 47.5 AS centre FROM wn JOIN trace t ON t.unit_id = wn.unit_id AND sample_idx BETWEEN a + win * 48 AND a + win * 48 + 95),
+df AS (SELECT unit_id, win, centre, value - lag(value) OVER (PARTITION BY unit_id, win ORDER BY sample_idx) AS d FROM tw), """ + PEAKS.format(t="tw", k="unit_id, win") + """, no AS (SELECT unit_id, win, centre, stddev_pop(d) / sqrt(2) AS noise FROM df GROUP BY 1, 2, 3), si AS (SELECT unit_id, win, quantile_cont(value, 0.95) AS signal FROM pk GROUP BY 1, 2)
+SELECT unit_id, win, centre::DOUBLE AS centre, round(noise, 6) AS noise, round(signal, 6) AS signal, round(signal / nullif(noise, 0), 6) AS snr FROM no LEFT JOIN si USING (unit_id, win)"""),
     "signal_to_noise": sql(DIFF.format(t="trace") + """, sg AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY unit_id ORDER BY sample_idx) AS seg FROM trace WHERE value IS NOT NULL),
 fl AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY unit_id, seg) AS n, lag(value) OVER (PARTITION BY unit_id, seg ORDER BY sample_idx) AS p FROM sg) WHERE n >= 3 AND (p IS NULL OR p <> value)),
 pk AS (SELECT * FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM fl WINDOW w AS (PARTITION BY unit_id, seg ORDER BY sample_idx)) WHERE a < value AND b < value),
