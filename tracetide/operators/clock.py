@@ -16,12 +16,16 @@ def apply_offset(rows: DataFrame, offsets: DataFrame, keys: list[str], cols: lis
 
 
 def assign_blocks(rows: DataFrame, blocks: DataFrame, time: str, bucket: float) -> DataFrame:
-    """The first block whose [start, end] holds the time; rows in none have a null block and a status."""
-    own = rows.withColumn("__row", F.xxhash64(*rows.columns)).withColumn("__c", F.floor(F.col(time) / bucket))
+    """The first block, by start, whose [start, end] holds the time; rows in none have a null block and a status.
+
+    Equal rows go through the join once and come out as often as they came in.
+    """
+    own = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("__copies")).withColumn("__c", F.floor(F.col(time) / bucket))
     cut = blocks.select("block_id", F.col("start_time").alias("__s"), F.col("end_time").alias("__e")).withColumn("__c", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
     hit = own.join(cut, "__c", "left").withColumn("__in", (F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e")))
-    first = hit.groupBy(*rows.columns).agg(F.min(F.when(F.col("__in"), F.col("block_id"))).alias("block_id"))
-    return first.withColumn("status", F.when(F.col("block_id").isNull(), "no_block").otherwise("ok"))
+    first = hit.groupBy(*rows.columns, "__copies").agg(F.min_by("block_id", F.when(F.col("__in"), F.struct("__s", "block_id"))).alias("block_id"))
+    again = first.withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__k", "__copies")
+    return again.withColumn("status", F.when(F.col("block_id").isNull(), "no_block").otherwise("ok"))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, tolerance: float | None = None) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -152,14 +153,52 @@ class StateModel:
     calibration: dict = field(default_factory=dict)
 
 
-def train_states(df: DataFrame, cols: list[str], states: list[str], label: str = "label", seed: int = 0, folds: int = 5) -> StateModel:
-    """Fits a class-weighted forest on four fifths and calibrates it on the rest; all states must occur.
+def save_model(model: StateModel, path: str) -> None:
+    """Writes the forest and what else the model needs under `path`, replacing what is there."""
+    spark = SparkSession.getActiveSession()
+    model.forest.write().overwrite().save(f"{path}/forest")
+    rest = json.dumps({"cols": model.cols, "states": model.states, "calibration": model.calibration})
+    spark.createDataFrame([(rest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> StateModel:
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    rest = json.loads(spark.read.text(f"{path}/model").first()[0])
+    return StateModel(rest["cols"], rest["states"], RandomForestClassificationModel.load(f"{path}/forest"), {s: tuple(c) for s, c in rest["calibration"].items()})
+
+
+def importance(model: StateModel, n: int = 20) -> DataFrame:
+    """`feature, importance` of the n features that matter most to the forest; a report."""
+    rows = [(c, float(v)) for c, v in zip(model.cols, model.forest.featureImportances.toArray(), strict=True)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def smoothed_label(df: DataFrame, session: str, states: list[str], window: int, out: str = "pred_label") -> DataFrame:
+    """The state with the largest mean probability over a centred window of epochs."""
+    w = W.partitionBy(session).orderBy("epoch_idx").rowsBetween(-(window // 2), window - 1 - window // 2)
+    names = {f"P_{s}": F.avg(f"P_{s}").over(w) for s in states}
+    picked = argmax_label(df.select(session, "epoch_idx", *[v.alias(k) for k, v in names.items()]), states, out)
+    return df.join(picked.select(session, "epoch_idx", out), [session, "epoch_idx"])
+
+
+def zero_crossings(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """How often the sign changes along an epoch; 0 counts as positive."""
+    sign = F.col("value") < 0
+    return samples.withColumn("__s", sign != F.lag(sign).over(W.partitionBy(*keys).orderBy("sample_idx"))).groupBy(*keys).agg(F.count_if("__s").alias("crossings"))
+
+
+def train_states(df: DataFrame, cols: list[str], states: list[str], label: str = "label", seed: int = 0, folds: int = 5, isotonic: bool = False) -> StateModel:
+    """Fits a class-weighted forest on all folds but one and calibrates it on the rest; all states must occur.
+
+    The calibration is a logistic curve a state, or with `isotonic` a rising step curve, joined by straight lines.
 
     df: complete feature columns, `label` and a long `row_id` that deals the folds.
     """
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
 
     found = {r[0] for r in df.select(label).distinct().limit(len(states) + 1).collect()}
     if found != set(states):
@@ -173,18 +212,33 @@ def train_states(df: DataFrame, cols: list[str], states: list[str], label: str =
     model = StateModel(cols, states, forest)
     for k, s in enumerate(states):
         one = VectorAssembler(inputCols=["x"], outputCol="v").transform(held.select(F.col("p")[k].alias("x"), (F.col("y") == k).cast("double").alias("t")))
+        if isotonic:
+            curve = IsotonicRegression(labelCol="t", featuresCol="x").fit(one)
+            model.calibration[s] = ([float(x) for x in curve.boundaries.toArray()], [float(x) for x in curve.predictions.toArray()])
+            continue
         fit = LogisticRegression(labelCol="t", featuresCol="v", regParam=1e-3).fit(one)
         model.calibration[s] = (float(fit.coefficients[0]), float(fit.intercept))
     return model
 
 
+def _calibrated(p: Column, a: float | list[float], b: float | list[float]) -> Column:
+    """A logistic curve by slope and intercept, or a polygon by its corners."""
+    if not isinstance(a, list):
+        return 1 / (1 + F.exp(-(p * a + b)))
+    out = F.lit(b[-1])
+    for k in range(len(a) - 1, 0, -1):
+        line = b[k - 1] + (b[k] - b[k - 1]) * (p - a[k - 1]) / (a[k] - a[k - 1]) if a[k] > a[k - 1] else F.lit(b[k])
+        out = F.when(p < a[k], line).otherwise(out)
+    return F.when(p < a[0], F.lit(b[0])).otherwise(out)
+
+
 def state_probabilities(df: DataFrame, model: StateModel) -> DataFrame:
     """`P_<state>` columns that add up to 1, none below 1e-12."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     out = model.forest.transform(VectorAssembler(inputCols=model.cols, outputCol="features").transform(df)).withColumn("__p", vector_to_array("probability"))
-    raw = {s: F.greatest(F.lit(1e-12), 1 / (1 + F.exp(-(F.col("__p")[k] * model.calibration[s][0] + model.calibration[s][1])))) for k, s in enumerate(model.states)}
+    raw = {s: F.greatest(F.lit(1e-12), _calibrated(F.col("__p")[k], *model.calibration[s])) for k, s in enumerate(model.states)}
     total = reduce(lambda a, b: a + b, raw.values())
     return out.withColumns({f"P_{s}": v / total for s, v in raw.items()}).drop("__p", "features", "rawPrediction", "probability", "prediction")
 
