@@ -36,8 +36,8 @@ PARTS = 4
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed value: stands for all next words that aren't counted, so that a block asks for their contexts too.
 RARE = np.uint64(0xD1B54A32D192ED03)
-ASK = "block int, bucket int, data binary"
-FOUND = "block int, bucket int, told binary, context long, gain double, share double, occurs long, blocks array<int>"
+ASK = "block long, bucket int, data binary"
+FOUND = "block long, bucket int, told binary, context long, gain double, share double, occurs long, blocks array<long>"
 #: The numbers a block keeps beside those of its documents: its words and, at first, their counts and its tokens;
 #: its contexts and how often they occur; its open positions by the steps between them and their strings; and of
 #: each string context, next word, chance without the context, and occurrences in training documents of the block.
@@ -113,7 +113,7 @@ def _state(block: int, ids: pa.Array, docs: dict[str, np.ndarray], kept: dict[st
     """A block as a table of one row: lists over its documents, and what else it keeps."""
     lists = {c: pa.array([v]) for c, v in docs.items()}
     one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return pa.table({"block": pa.array([block], pa.int32()), "id": one, **lists, "open": pa.array([max(len(kept["token"]), len(kept["at"]))], pa.int64()), "data": pa.array([pack([kept[c] for c in KEPT], KEPT.values())], pa.binary())})
+    return pa.table({"block": pa.array([block], pa.int64()), "id": one, **lists, "open": pa.array([max(len(kept["token"]), len(kept["at"]))], pa.int64()), "data": pa.array([pack([kept[c] for c in KEPT], KEPT.values())], pa.binary())})
 
 
 def _kept(rows: pa.Table) -> dict[str, np.ndarray]:
@@ -130,46 +130,51 @@ def _with_strings(kept: dict[str, np.ndarray], place: np.ndarray, row: np.ndarra
     base = len(kept["word"]) + 1
     strings, first, back = _distinct(at * base + np.where(live, next_, base - 1))
     trained = np.bincount(back, live & ~kept["held"][row], len(strings))
-    return {"step": np.diff(place, prepend=0), "string": back, "at": strings // base, "next": strings % base, "lower": np.where(live, chance, 1.0)[first], "trained": trained}
+    used, _, number = _distinct(strings % base)
+    used = used[used < base - 1]  # words that no string needs any more are dropped; RARE is the last number
+    return {"word": kept["word"][used], "step": np.diff(place, prepend=0), "string": back, "at": strings // base, "next": number, "lower": np.where(live, chance, 1.0)[first], "trained": trained}
 
 
 def _first_level(kept: dict[str, np.ndarray], smallest: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(columns of the positions after one frequent word, logarithms that are final by document)."""
     token, docs = kept["token"].astype(np.int64), len(kept["n_tokens"])
     row = np.repeat(np.arange(docs), kept["n_tokens"])
-    chance = (kept["count"][token] + 1) * smallest
-    follows = np.flatnonzero((row[1:] == row[:-1]) & (kept["count"][token[:-1]] >= MIN_CONTEXT)) + 1
-    counted = kept["count"][token] >= MIN_NEXT
-    final = np.ones(len(token), bool)
-    final[follows] = ~counted[follows]
+    count = np.append(kept["count"], 0)
+    chance = (count[token] + 1) * smallest
+    follows = np.flatnonzero((row[1:] == row[:-1]) & (count[token[:-1]] >= MIN_CONTEXT)) + 1
+    counted = token < len(kept["word"])
+    final = counted.copy()  # what rare words score is final already
+    final[follows] = False
     columns = _with_strings(kept, follows, row[follows], token[follows - 1], token[follows], counted[follows], chance[follows])
-    return {**columns, "context": kept["word"], "occurs": kept["count"]}, np.bincount(row[final], np.log10(chance[final]), docs)
+    return {**columns, "context": np.append(kept["word"], RARE), "occurs": count}, np.bincount(row[final], np.log10(chance[final]), docs)
 
 
 class Dealt:
-    """The strings of a block in the order in which they are dealt to buckets."""
+    """The strings of a block (of one pass) in the order in which they are dealt to buckets."""
 
-    def __init__(self, kept: dict[str, np.ndarray], buckets: int, hot: int):
+    def __init__(self, kept: dict[str, np.ndarray], buckets: int, hot: int, passes: int = 1, part: int = 0):
         self.kept, self.word = kept, np.append(kept["word"], RARE)
         salt = self.word[kept["next"]] % (kept["occurs"][kept["at"]] // hot + 1).astype(np.uint64)
         bucket = _bucket(mix(kept["context"][kept["at"]] + salt * NGRAM[22]), buckets)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket, self.at = bucket[self.order], kept["at"][self.order]
+        chosen = np.flatnonzero(bucket % passes == part)
+        bucket = bucket[chosen]
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # short numbers sort by digits
+        self.order, self.bucket = chosen[order], bucket[order]
+        self.at = kept["at"][self.order]
         new = np.ones(len(bucket), bool)
         new[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.at[1:] != self.at[:-1])
         #: Where the strings of each (bucket, context) begin in the order of dealing.
         self.entry = np.flatnonzero(new)
 
-    def ask(self, block: int, passes: int, part: int) -> pa.Table:
+    def ask(self, block: int) -> pa.Table:
         """One row for each bucket of the pass: contexts, and their strings."""
-        chosen, kept = self.bucket % passes == part, self.kept
-        order, entry = self.order[chosen], self.entry[chosen[self.entry]]
-        size = np.diff(np.append(self.entry, len(chosen)))[chosen[self.entry]]
-        own, strings = np.unique(self.bucket[chosen], return_counts=True)
+        kept, order, entry = self.kept, self.order, self.entry
+        size = np.diff(np.append(entry, len(order)))
+        own, strings = np.unique(self.bucket, return_counts=True)
         entries = np.bincount(np.searchsorted(own, self.bucket[entry]), minlength=len(own))
         split = lambda cuts, x: np.split(x, np.cumsum(cuts)[:-1])
         columns = [*(split(entries, x) for x in (kept["context"][self.at[entry]], kept["occurs"][self.at[entry]], size)), *(split(strings, x) for x in (self.word[kept["next"][order]], kept["trained"][order], np.log(kept["lower"][order])))]
-        return pa.table({"block": np.full(len(own), block, np.int32), "bucket": own, "data": pa.array([pack(x, ASKED_FOR) for x in zip(*columns, strict=True)] if len(own) else [], pa.binary())})
+        return pa.table({"block": np.full(len(own), block, np.int64), "bucket": own, "data": pa.array([pack(x, ASKED_FOR) for x in zip(*columns, strict=True)] if len(own) else [], pa.binary())})
 
     def answers(self, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(count of each string, what each context leaves to its suffix if it is retained, else 0)."""
@@ -244,9 +249,9 @@ def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
     none = lambda kind: pa.nulls(lines, kind)
     both = lambda kind, x: pa.concat_arrays([none(kind), pa.array(x, kind)])
     return pa.table({
-        "block": np.append(rows.column("block").to_numpy(), np.full(more, -1)).astype(np.int32), "bucket": np.append(rows.column("bucket").to_numpy(), np.full(more, -1)).astype(np.int32),
+        "block": np.append(rows.column("block").to_numpy(), np.full(more, -1)), "bucket": np.append(rows.column("bucket").to_numpy(), np.full(more, -1)).astype(np.int32),
         "told": pa.array(told + [None] * more, pa.binary()), "context": both(pa.int64(), contexts[which].view(np.int64)), "gain": both(pa.float64(), gain[which]), "share": both(pa.float64(), share[which]),
-        "occurs": both(pa.int64(), occurs[which]), "blocks": pa.array(blocks, pa.list_(pa.int32())),
+        "occurs": both(pa.int64(), occurs[which]), "blocks": pa.array(blocks, pa.list_(pa.int64())),
     })
 
 
@@ -271,21 +276,39 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    base = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    schema = f"block int, id array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in DOCS.items()) + ", open long, data binary"
+    schema = f"block long, id array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in DOCS.items()) + ", open long, data binary"
     totals = {"N": 0, "V": 0}
 
-    def tokens(key, rows):
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole texts of a partition in blocks of about `block_bytes`; a block's number is the partition's and its own."""
+        from pyspark import TaskContext
+
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lengths = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            ends, first = np.cumsum(lengths), 0
+            while first < len(batch):
+                done = int(ends[first - 1]) if first else 0
+                last = min(len(batch), max(first + 1, int(np.searchsorted(ends, done + block_bytes - size, "right"))))
+                held.append(batch.slice(first, last - first))
+                size, first = size + int(ends[last - 1]) - done, last
+                if size >= block_bytes or first < len(batch):
+                    yield from block_of(number, pa.Table.from_batches(held)).to_batches()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from block_of(number, pa.Table.from_batches(held)).to_batches()
+
+    def block_of(number: int, rows: pa.Table) -> pa.Table:
         row, token = block_tokens(rows.column("text"))
         word, _, back = _distinct(token)
         rank = np.argsort(-np.bincount(back, minlength=len(word)), kind="stable")  # frequent words get small numbers
         place = np.empty(len(word), np.int64)
         place[rank] = np.arange(len(word))
-        held = rows.column("held").to_numpy() if rows.num_rows else np.zeros(0, bool)
+        held = rows.column("held").to_numpy()
         n, none = np.bincount(row, minlength=rows.num_rows), np.zeros(0)
         own = {"word": word[rank], "count": np.bincount(place[back], ~held[row], len(word)), "token": place[back]}
         own |= {c: none for c in KEPT if c not in own}
-        return _state(key[0].as_py(), rows.column("id").combine_chunks(), {"held": held, "n_tokens": n, "n_known": np.zeros(rows.num_rows, np.int64), "base": np.zeros(rows.num_rows), "total": np.zeros(rows.num_rows)}, own)
+        return _state(number, rows.column("id").combine_chunks(), {"held": held, "n_tokens": n, "n_known": np.zeros(rows.num_rows, np.int64), "base": np.zeros(rows.num_rows), "total": np.zeros(rows.num_rows)}, own)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _one_by_one(batches):
@@ -294,14 +317,14 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             word, count = kept["word"][order], kept["count"][order]
             own, cuts = np.unique(_bucket(word, blocks), return_index=True)
             data = [pack(x, (np.uint64, np.int64)) for x in zip(np.split(word, cuts[1:]), np.split(count, cuts[1:]), strict=True)] if len(own) else []
-            yield from pa.table({"block": np.full(len(own), rows.column("block")[0].as_py(), np.int32), "bucket": own, "data": pa.array(data, pa.binary())}).to_batches()
+            yield from pa.table({"block": np.full(len(own), rows.column("block")[0].as_py(), np.int64), "bucket": own, "data": pa.array(data, pa.binary())}).to_batches()
 
     def count_words(key, rows):
         asked = [unpack(x, (np.uint64, np.int64)) for x in rows.column("data")]
         own, _, back = _distinct(np.concatenate([x for x, _ in asked]))
         total = np.bincount(back, np.concatenate([x for _, x in asked]), len(own)).astype(np.int64)
         told = [pack([x], [np.int64]) for x in np.split(total[back], np.cumsum([len(x) for x, _ in asked])[:-1])]
-        return pa.table({"block": np.append(rows.column("block").to_numpy(), -1).astype(np.int32), "bucket": np.append(rows.column("bucket").to_numpy(), -1).astype(np.int32), "told": pa.array([*told, None], pa.binary()), "n": np.append(np.zeros(len(told), np.int64), total.sum()), "v": np.append(np.zeros(len(told), np.int64), (total > 0).sum())})
+        return pa.table({"block": np.append(rows.column("block").to_numpy(), -1), "bucket": np.append(rows.column("bucket").to_numpy(), -1).astype(np.int32), "told": pa.array([*told, None], pa.binary()), "n": np.append(np.zeros(len(told), np.int64), total.sum()), "v": np.append(np.zeros(len(told), np.int64), (total > 0).sum())})
 
     def start(rows, told):
         kept = _kept(rows)
@@ -310,12 +333,16 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             count[np.argsort(kept["word"])] = np.concatenate([unpack(x, [np.int64])[0] for x in told.sort_by("bucket").column("told")])
         row, each = np.repeat(np.arange(len(kept["n_tokens"])), kept["n_tokens"]), count[kept["token"]]
         total = lambda w: np.bincount(row, w, len(kept["n_tokens"]))
-        kept |= {"count": count, "n_known": total(each > 0).astype(np.int64), "base": total(np.log10((each + 1) / (totals["N"] + totals["V"] + 1)))}
+        logs = np.log10((each + 1) / (totals["N"] + totals["V"] + 1))
+        kept |= {"n_known": total(each > 0).astype(np.int64), "base": total(logs), "total": total(np.where(each < MIN_NEXT, logs, 0.0))}
+        often = count >= MIN_NEXT  # rarer words are neither counted nor contexts: from here they are one
+        place = np.where(often, np.cumsum(often) - 1, often.sum())
+        kept |= {"word": kept["word"][often], "count": count[often], "token": place[kept["token"]]}
         return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
-    tokenised = materialise(base.repartition(blocks, "block").groupBy("block").applyInArrow(tokens, schema), "lm-tokens", rows_check=4)
+    tokenised = materialise(base.mapInArrow(tokens, schema), "lm-tokens", rows_check=4)
     asked = tokenised.mapInArrow(ask_words, ASK)
-    answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block int, bucket int, told binary, n long, v long"), "lm-words")
+    answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block long, bucket int, told binary, n long, v long"), "lm-words")
     got = answers.where("block < 0").agg(F.sum("n").alias("N"), F.sum("v").alias("V")).first()
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
     parts = min(PARTS, blocks)
@@ -350,7 +377,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _answered(state: DataFrame, told: DataFrame, advance, schema: str, blocks: int, parts: int, part: int) -> DataFrame:
     """One part of the blocks, each with what it was told."""
-    mine = F.col("block") % parts == part
+    mine = F.pmod(F.xxhash64("block"), F.lit(parts)) == part
     by_block = lambda df: df.where(mine).repartition(max(1, blocks // parts), "block").groupBy("block")
     return materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-blocks", rows_check=4)
 
@@ -359,17 +386,17 @@ def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks:
     """The blocks after contexts of `level` words were judged: chances refined, positions with no longer context closed."""
     smallest, buckets = 1 / (totals["N"] + totals["V"] + 1), blocks * passes
 
-    def dealt(rows: pa.Table) -> tuple[Dealt, np.ndarray]:
+    def dealt(rows: pa.Table, *pass_: int) -> tuple[Dealt, np.ndarray]:
         kept, final = _kept(rows), 0.0
         if level == 1:
             columns, final = _first_level(kept, smallest)
             kept |= columns
-        return Dealt(kept, buckets, most), final
+        return Dealt(kept, buckets, most, *pass_), final
 
     def ask(part: int):
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _one_by_one(batches):
-                yield from dealt(rows)[0].ask(rows.column("block")[0].as_py(), passes, part).to_batches()
+                yield from dealt(rows, passes, part)[0].ask(rows.column("block")[0].as_py()).to_batches()
 
         return asked
 
