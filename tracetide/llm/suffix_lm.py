@@ -28,8 +28,9 @@ MIN_CONTEXT, MIN_NEXT = 16, 4
 DISCOUNT, GAIN = 0.75, 10.0
 #: The strings of contexts with this many occurrences or more are dealt over several buckets.
 HOT = 1 << 16
-#: A pass asks for about PASS_SHARE bytes of strings for each byte of text at most, at ASKED bytes a string.
-PASS_SHARE, ASKED = 0.6, 10
+#: A pass asks for about so many bytes of strings for each byte of text at most, at ASKED bytes a string; the strings of
+#: one word of context are made anew in each pass, so theirs are fewer.
+FIRST_SHARE, PASS_SHARE, ASKED = 0.6, 0.3, 10
 #: Blocks are kept in so many tables, so that old ones can go while new ones are made.
 PARTS = 4
 #: Fixed value: the token that ends a document.
@@ -340,21 +341,26 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         kept |= {"word": kept["word"][often], "count": count[often], "token": place[kept["token"]]}
         return _state(rows.column("block")[0].as_py(), _ids(rows), {c: kept[c] for c in DOCS}, kept)
 
-    tokenised = materialise(base.mapInArrow(tokens, schema), "lm-tokens", rows_check=4)
+    parts = min(PARTS, blocks)
+    part = F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part")
+    tokenised = materialise(base.mapInArrow(tokens, schema).select("*", part), "lm-tokens", ["part"], rows_check=4)
     asked = tokenised.mapInArrow(ask_words, ASK)
     answers = materialise(asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(count_words, "block long, bucket int, told binary, n long, v long"), "lm-words")
     got = answers.where("block < 0").agg(F.sum("n").alias("N"), F.sum("v").alias("V")).first()
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
-    parts = min(PARTS, blocks)
-    state = [_answered(tokenised, answers.where("block >= 0"), start, schema, blocks, parts, p) for p in range(parts)]
-    discard(tokenised)
+    state = []
+    for folder in sorted({f.rpartition("/")[0] for f in tokenised.inputFiles()}):
+        own = spark.read.schema(schema).parquet(folder)
+        state.append(_answered(own, answers.where("block >= 0"), start, schema, blocks, parts, int(folder.rpartition("=")[2])))
+        discard(own)
+    state = state or [tokenised.drop("part")]
     discard(answers)
 
     for level in range(1, depth + 1):
         asked = _all(state).agg(F.sum("open")).first()[0] or 0
         if not asked:
             break
-        state = _grow(state, schema, totals, level, blocks, max(1, math.ceil(asked * ASKED / (PASS_SHARE * max(1, size)))), level == depth, hot)
+        state = _grow(state, schema, totals, level, blocks, max(1, math.ceil(asked * ASKED / ((FIRST_SHARE if level == 1 else PASS_SHARE) * max(1, size)))), level == depth, hot)
 
     state = _all(state)
     out = state.selectExpr("inline(arrays_zip(id, held, n_tokens, n_known, base, total))")
