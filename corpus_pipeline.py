@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
+    """Of each class of near-duplicates the document with the smallest id stays; rows that share an id stay or go together."""
     return without(docs, near_duplicates(docs, percent=SIMILAR).where("not kept"))
 
 

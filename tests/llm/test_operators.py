@@ -476,3 +476,20 @@ def test_lm_scores_are_those_of_a_tree_in_dictionaries(spark, block, depth, hot)
     want = brute.tree_scores(tokens, held, depth, m.MIN_CONTEXT, m.MIN_NEXT, m.DISCOUNT, m.GAIN)
     got = {r.doc_id: r.score for r in m.score_corpus(frame(spark, texts), F.crc32(F.col("doc_id").cast("string")) % 7 == 2, block_bytes=block, depth=depth, hot=hot).collect()}
     assert got == {d: pytest.approx(x, rel=1e-5) for d, x in want.items()}
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls, empty and repeated rows, no rows at all; clean documents stay."""
+    texts = made(40, 51)
+    df = frame(spark, texts).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    df = df.union(df.where("doc_id = 20")).union(df.limit(1).select(F.lit(None).cast("long"), "text", "lang", "source", "n_chars"))
+    assert [c for c in df.columns] == corpus_pipeline.COLUMNS
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, df, SF)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert None in ids and stage(spark, df.where("false"), SF).count() == 0
+        if name != "pieces":
+            assert out.columns == corpus_pipeline.COLUMNS
+        if name in ("line dedup", "pieces"):
+            assert len(ids) == len(texts) + 2
+    assert corpus_pipeline.quality_stage(spark, df.where("false"), SF).columns == corpus_pipeline.COLUMNS

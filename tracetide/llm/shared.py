@@ -26,8 +26,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share: `spark.checkpoint.dir` of the session.
 
-    Where it is unset, a local master gets a temporary folder and any other master a folder in the
-    warehouse, which a cluster shares as well.
+    Where it is unset, a local master gets a temporary folder; any other master is an error, as no folder is known
+    that all its machines share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -35,7 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not hasattr(context, "_tracetide_folder"):
         local = context.master.startswith("local[") or context.master == "local"
-        context._tracetide_folder = tempfile.mkdtemp(prefix="tracetide-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/tracetide"
+        if not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context._tracetide_folder = tempfile.mkdtemp(prefix="tracetide-")
     return context._tracetide_folder
 
 
