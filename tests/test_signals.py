@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracetide.operators import clock as ck
 from tracetide.operators import dynamics as dy
+from tracetide.operators import events as ev
 from tracetide.operators import features as fe
 from tracetide.operators import geometry as ge
 from tracetide.operators import pairs as pr
@@ -243,4 +244,16 @@ def test_feature_table_leaves_out_what_is_thin(spark):
     up = w > np.median(w) + 3 * (np.median(np.abs(w - np.median(w))) + 1e-9)
     assert (a.whisk_active, a.whisk_bursts) == (pytest.approx(up.mean()), (np.diff(up.astype(int)) == 1).sum())
     assert (a.pupil_share, b.pupil_share, b.off_share, b.camera_off_epoch) == (1.0, 0.0, pytest.approx(0.9), 1.0)
-    assert a.log_delta_1s is not None and a.entropy_4s is not None and a.theta_delta_1s is not None
+    assert a.log_delta_1s is not None and a.log_ugamma_4s is not None and a.ugamma_delta_1s == pytest.approx(math.log((math.exp(a.log_ugamma_1s) + 1e-9) / (math.exp(a.log_delta_1s) + 1e-9))) and "log_hgamma_1s" in a.asDict()
+
+
+def test_deconvolution_finds_events_and_favours_busy_units(spark):
+    rng = np.random.default_rng(11)
+    kernel = np.exp(-np.arange(40) / 5)
+    spikes = [np.zeros(400), np.zeros(400)]
+    spikes[0][[50, 120, 190, 260, 330]], spikes[1][200] = 4.0, 4.0
+    x = [np.convolve(s, kernel)[:400] + rng.normal(0, 0.1, 400) for s in spikes]
+    got = ev.deconvolved_events(trace(spark, *x), ["unit_id"], 5.0, 1.0).toPandas()
+    assert {0: 5, 1: 1} == {u: len(g[g.peak_value > 10]) for u, g in got.groupby("unit_id")}
+    scale = got.groupby("unit_id")["scale"].first()
+    assert scale[0] < 1 < scale[1]

@@ -17,6 +17,9 @@ from tracetide.operators import scoring as sc
 #: Seconds of the voltage windows, the eye opening below which it counts as closed, the share of frames
 #: that make an epoch one without camera.
 WINDOWS_S, CLOSED, CAMERA_OFF = (1.0, 2.0, 4.0), 0.3, 0.8
+#: Bands in Hz of the shortest window and of longer ones.
+BANDS_SHORT = {"delta": (0.5, 4.0), "delta1": (0.5, 2.0), "delta2": (2.0, 4.0), "theta": (6.0, 10.0), "sigma": (10.0, 15.0), "spindle": (11.0, 16.0), "beta": (15.0, 30.0), "lgamma": (30.0, 55.0), "ugamma": (52.0, 70.0), "hgamma": (55.0, 90.0)}
+BANDS_LONG = {"delta": (0.5, 4.0), "theta": (6.0, 10.0), "sigma": (10.0, 15.0), "spindle": (11.0, 16.0), "lgamma": (30.0, 55.0), "ugamma": (52.0, 70.0)}
 
 
 def _least(fs: float, epoch_s: float) -> int:
@@ -77,10 +80,12 @@ def voltage_features(samples: DataFrame, epochs: DataFrame, session: str, fs: fl
     met = samples.withColumn("__cell", F.floor(F.col("t") / longest)).join(spans, [session, "__cell"])
     for s in windows_s:
         inside = met.where((F.col("t") >= F.col("__c") - s / 2) & (F.col("t") < F.col("__c") + s / 2)).select(session, "epoch_idx", F.col("t").alias("sample_idx"), "value")
-        own = sc.spectral_features(inside, [session, "epoch_idx"], fs, min(max(int(fs * 2), 8), 512), max(int(0.5 * fs * s), 8))
+        own = sc.spectral_features(inside, [session, "epoch_idx"], fs, min(max(int(fs * 2), 8), 512), max(int(0.5 * fs * s), 8), BANDS_SHORT if s == min(windows_s) else BANDS_LONG)
         if s == min(windows_s):
             ratio = lambda a, b: F.log((F.exp(f"log_{a}") + 1e-9) / (F.exp(f"log_{b}") + 1e-9))
-            own = own.withColumns({f"{a}_{b}": ratio(a, b) for a, b in (("theta", "delta"), ("theta", "sigma"), ("beta", "delta"), ("ugamma", "delta")) if {a, b} <= set(sc.BANDS)})
+            own = own.withColumns({f"{a}_{b}": ratio(a, b) for a, b in (("theta", "delta"), ("theta", "sigma"), ("beta", "delta"), ("ugamma", "delta"))})
+        else:
+            own = own.drop("entropy", "edge95", "line_length")
         tag = f"{s:g}s"
         out = out.join(own.withColumnsRenamed({c: f"{c}_{tag}" for c in own.columns if c not in (session, "epoch_idx")}), [session, "epoch_idx"], "left")
     return out

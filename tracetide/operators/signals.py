@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _along(keys: list[str], a: int | None = None, b: int | None = None):
@@ -90,13 +92,23 @@ def fill_linear(trace: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rolling_mad(trace: DataFrame, keys: list[str], window: int, min_count: int | None = None, scale: float = 1.4826) -> DataFrame:
-    """`mad`: rolling median of the absolute deviations from the rolling median; window // 2 samples lie before."""
-    frame = _along(keys, -(window // 2), window - 1 - window // 2)
-    least = window // 4 if min_count is None else min_count
-    guard = lambda c, x: F.when(F.count(c).over(frame) >= max(1, least), x)
-    mid = trace.withColumn("median", guard("value", F.percentile("value", F.lit(0.5)).over(frame)))
-    dev = mid.withColumn("__dev", F.abs(F.col("value") - F.col("median")))
-    return dev.withColumn("mad", guard("__dev", F.percentile("__dev", F.lit(0.5)).over(frame) * scale)).drop("__dev")
+    """Adds `median` and `mad`: rolling median, and rolling median of the absolute deviations from it; window // 2 samples
+    lie before. A unit is one group, and its windows move by one sample at a time over an ordered list."""
+    least = max(1, window // 4 if min_count is None else min_count)
+
+    def rolled(x: np.ndarray) -> np.ndarray:
+        after = window - 1 - window // 2
+        return pd.Series(np.append(x, np.full(after, np.nan))).rolling(window, min_periods=least).median().to_numpy()[after:]
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("sample_idx")
+        x = rows.column("value").cast(pa.float64()).to_numpy()
+        mid = rolled(x)
+        spread = rolled(np.abs(x - mid)) * scale
+        return rows.append_column("median", pa.array(mid, from_pandas=True)).append_column("mad", pa.array(spread, from_pandas=True))
+
+    schema = T.StructType([*trace.schema.fields, T.StructField("median", T.DoubleType()), T.StructField("mad", T.DoubleType())])
+    return trace.groupBy(*keys).applyInArrow(solve, schema)
 
 
 def rolling_mad_noise(trace: DataFrame, keys: list[str], window_s: float = 8.0, fs: float = 1.0) -> DataFrame:
@@ -184,17 +196,20 @@ def box_filter(trace: DataFrame, keys: list[str], window: int) -> DataFrame:
 # --- solvers: one unit's samples at a time --------------------------------------------------------
 
 
-def _per_unit(trace: DataFrame, keys: list[str], out: str, solve) -> DataFrame:
-    """Applies solve(x: array with NaN) -> array to each unit's samples in order."""
+def _per_unit(trace: DataFrame, keys: list[str], out: str, solve, given: str | None = None) -> DataFrame:
+    """Applies solve(x: array with NaN) -> array to each unit's samples in order; with `given`, a column that is one
+    number a unit, solve(x, number)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trace.select(*keys, "sample_idx").schema) + f", `{out}` double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_idx")
         x = pdf["value"].to_numpy(float)
-        got = np.where(np.isnan(x), np.nan, solve(x)) if np.isfinite(x).any() else x
+        more = () if given is None else (float(pdf[given].iloc[0]),)
+        got = np.where(np.isnan(x), np.nan, solve(x, *more)) if np.isfinite(x).any() else x
         return pdf[[*keys, "sample_idx"]].assign(**{out: [None if math.isnan(v) else float(v) for v in got]})
 
-    return trace.select(*keys, "sample_idx", F.col("value").cast("double").alias("value")).groupBy(*keys).applyInPandas(run, schema)
+    own = [] if given is None else [F.col(given).cast("double").alias(given)]
+    return trace.select(*keys, "sample_idx", F.col("value").cast("double").alias("value"), *own).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _filled(x: np.ndarray) -> np.ndarray:
@@ -358,15 +373,20 @@ def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, hig
     return _per_unit(trace, keys, "passed", solve)
 
 
-def deconvolve_events(trace: DataFrame, keys: list[str], tau: float, fs: float, penalty: float = 1.0, rounds: int = 200) -> DataFrame:
-    """`amplitude`: non-negative L1 deconvolution with an exponential kernel, by accelerated proximal steps."""
+def deconvolve_events(trace: DataFrame, keys: list[str], tau: float, fs: float, penalty: float = 1.0, rounds: int = 200, scale: DataFrame | None = None) -> DataFrame:
+    """`amplitude`: non-negative L1 deconvolution with an exponential kernel, by accelerated proximal steps.
+
+    The weight of the L1 term is `penalty` times the robust sigma times sqrt(2 ln n), and times each unit's own
+    `scale(keys, scale)` if given.
+    """
     n_h = max(2, math.ceil(8 * tau * fs))
 
-    def solve(x: np.ndarray) -> np.ndarray:
+    def solve(x: np.ndarray, own: float = 1.0) -> np.ndarray:
         ok, y = np.isfinite(x), _filled(x)
         y = y - np.nanmedian(x)
         d = np.diff(x[ok])
         sigma = np.median(np.abs(d - np.median(d))) / 0.6745 / math.sqrt(2) if len(d) else 0.0
+        weight = own * penalty * sigma * math.sqrt(2 * math.log(max(10, len(y))))
         size = 1 << (len(y) + n_h).bit_length()
         fh = np.fft.rfft(np.exp(-np.arange(n_h) / (tau * fs)), size)
         step = 1 / (np.abs(fh) ** 2).max()
@@ -375,9 +395,11 @@ def deconvolve_events(trace: DataFrame, keys: list[str], tau: float, fs: float,
         for _ in range(rounds):
             r = np.where(ok, np.fft.irfft(np.fft.rfft(z, size) * fh, size)[: len(y)] - y, 0)
             g = np.fft.irfft(np.fft.rfft(r, size) * fh.conj(), size)[: len(y)]
-            new = np.maximum(z - step * (g + penalty * sigma), 0)
+            new = np.maximum(z - step * (g + weight), 0)
             t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
             z, a, t = new + (t - 1) / t2 * (new - a), new, t2
         return a
 
-    return _per_unit(trace, keys, "amplitude", solve)
+    if scale is None:
+        return _per_unit(trace, keys, "amplitude", solve)
+    return _per_unit(trace.join(scale.select(*keys, "scale"), keys), keys, "amplitude", solve, "scale")
