@@ -101,6 +101,13 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], back
 
 
+def _renumbered(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct numbers, in order, and the place of each number among them) of numbers below `size`."""
+    used = np.zeros(size, bool)
+    used[numbers] = True
+    return np.flatnonzero(used), (np.cumsum(used) - 1)[numbers]
+
+
 def _flat(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
@@ -131,9 +138,8 @@ def _with_strings(kept: dict[str, np.ndarray], place: np.ndarray, row: np.ndarra
     base = len(kept["word"]) + 1
     strings, first, back = _distinct(at * base + np.where(live, next_, base - 1))
     trained = np.bincount(back, live & ~kept["held"][row], len(strings))
-    used, _, number = _distinct(strings % base)
-    used = used[used < base - 1]  # words that no string needs any more are dropped; RARE is the last number
-    return {"word": kept["word"][used], "step": np.diff(place, prepend=0), "string": back, "at": strings // base, "next": number, "lower": np.where(live, chance, 1.0)[first], "trained": trained}
+    used, number = _renumbered(np.append(strings % base, base - 1), base)  # words that no string needs any more are dropped
+    return {"word": kept["word"][used[:-1]], "step": np.diff(place, prepend=0), "string": back, "at": strings // base, "next": number[:-1], "lower": np.where(live, chance, 1.0)[first], "trained": trained}
 
 
 def _first_level(kept: dict[str, np.ndarray], smallest: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -214,7 +220,7 @@ def _next_level(dealt: Dealt, told: pa.Table, last: bool) -> tuple[dict[str, np.
     unseen = ended * (~live | (n < 2))  # what is final even where the position stays open
     final = np.bincount(row, np.where(stay, unseen[back], ended[back]), len(kept["n_tokens"]))
 
-    contexts, _, own = _distinct(lift[stay])
+    contexts, own = _renumbered(lift[stay], len(n))
     own_string = back[stay]
     columns = _with_strings(kept, place[stay], row[stay], own, kept["next"][own_string].astype(np.int64), live[own_string] & (n[own_string] >= 2), chance[own_string])
     return {**columns, "context": _pair(kept["context"][at[contexts]], dealt.word[kept["next"][contexts]]), "occurs": n[contexts]}, final
