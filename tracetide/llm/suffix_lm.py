@@ -431,12 +431,13 @@ def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks:
     verdict = hot.groupBy("context").agg(F.when(F.sum("gain") >= GAIN, 1 - F.sum("share") / F.first("occurs")).otherwise(0.0).alias("rest"))
     verdict = hot.select("context", F.explode("blocks").alias("block")).distinct().join(verdict, "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias("x"))
     verdict = verdict.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("told"), F.col("x.context").alias("contexts"), F.col("x.rest").alias("rests"))
+    verdict = materialise(verdict, "lm-verdicts")  # every part asks for it
     told = every.where("block >= 0").select("block", "bucket", "told").unionByName(verdict, allowMissingColumns=True)
     grown = []
     for part, old in enumerate(state):
         grown.append(_answered(old, told, advance, schema, blocks, len(state), part))
         discard(old)
-    for table in found:
+    for table in [*found, verdict]:
         discard(table)
     return grown
 
