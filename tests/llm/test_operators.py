@@ -493,3 +493,17 @@ def test_pipeline_stages_take_odd_rows(spark):
         if name in ("line dedup", "pieces"):
             assert len(ids) == len(texts) + 2
     assert corpus_pipeline.quality_stage(spark, df.where("false"), SF).columns == corpus_pipeline.COLUMNS
+
+
+@pytest.mark.parametrize("blocks", range(1, 13))
+def test_lm_keeps_every_document_whatever_the_blocks(spark, blocks):
+    """Parts without a block, blocks that ask nothing and hot contexts change neither rows nor scores."""
+    common = "the cat sat on the mat and the dog sat on the rug and so it went on. "
+    texts = {i: common * 12 if i % 3 else "".join(f"word{i * 100 + k} " for k in range(150)) for i in range(24)}
+    size = sum(map(len, texts.values()))
+    df = frame(spark, texts).repartition(blocks % 3 + 1, "doc_id")
+    one = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in suffix_lm.score_corpus(frame(spark, texts), F.col("doc_id") % 7 == 2, hot=100).collect()}
+    got = suffix_lm.score_corpus(df, F.col("doc_id") % 7 == 2, block_bytes=-(-size // blocks), hot=100).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert (r.n_tokens, r.n_known) == one[r.doc_id][:2] and r.base_score == pytest.approx(one[r.doc_id][2]) and r.score == pytest.approx(one[r.doc_id][3], rel=1e-6)

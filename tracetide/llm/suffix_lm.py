@@ -28,6 +28,8 @@ MIN_CONTEXT, MIN_NEXT = 16, 4
 DISCOUNT, GAIN = 0.75, 10.0
 #: The strings of contexts with this many occurrences or more are dealt over several buckets.
 HOT = 1 << 16
+#: Blocks that one row names as askers of a hot context.
+BLOCKS_A_ROW = 1 << 12
 #: A pass asks for about so many bytes of strings for each byte of text at most, at ASKED bytes a string; the strings of
 #: one word of context are made anew in each pass, so theirs are fewer.
 FIRST_SHARE, PASS_SHARE, ASKED = 0.6, 0.3, 10
@@ -231,7 +233,7 @@ def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
 
     `n` is what a block needs of each string's count (0 if it needs none), `rest` what a retained context leaves
     to its suffix (0 if it isn't retained, NaN where other buckets have a say). Such hot contexts add rows with
-    block -1: their part of the gain and of the share, and the blocks that asked.
+    block -1: their part of the gain and of the share, and the blocks that asked, so many to a row.
     """
     asked = [unpack(x, ASKED_FOR) for x in rows.column("data")]
     entry_count, string_count = (np.array([len(x[k]) for x in asked], np.int64) for k in (0, 3))
@@ -250,14 +252,23 @@ def _judge(rows: pa.Table, last: bool, most: int) -> pa.Table:
     needed = (n >= 2) & ((rest[at] != 0) | ((n >= MIN_CONTEXT) & (not last)))
     split = lambda cuts, x: np.split(x, np.cumsum(cuts)[:-1])
     told = [pack(x, (np.int64, np.float64)) for x in zip(split(string_count, np.where(needed, n, 0)[back]), split(entry_count, rest[of_context]), strict=True)]
-    which, from_block = np.flatnonzero(hot), np.repeat(rows.column("block").to_numpy(), entry_count)
+    asks = hot[of_context]
+    which, from_block = of_context[asks], np.repeat(rows.column("block").to_numpy(), entry_count)[asks]
+    order = np.lexsort((from_block, which))
+    which, from_block = which[order], from_block[order]
+    new = np.append(True, (which[1:] != which[:-1]) | (from_block[1:] != from_block[:-1]))[: len(which)]
+    which, from_block = which[new], from_block[new]
+    first = np.searchsorted(which, which)
+    cuts = np.flatnonzero((np.arange(len(which)) - first) % BLOCKS_A_ROW == 0)
+    once = first[cuts] == cuts  # only a context's first row adds to its sums
+    which, blocks = which[cuts], np.split(from_block, cuts[1:]) if len(cuts) else []
     lines, more = len(told), len(which)
-    blocks = [None] * lines + [np.unique(from_block[of_context == c]) for c in which]
+    blocks = [None] * lines + blocks
     none = lambda kind: pa.nulls(lines, kind)
     both = lambda kind, x: pa.concat_arrays([none(kind), pa.array(x, kind)])
     return pa.table({
         "block": np.append(rows.column("block").to_numpy(), np.full(more, -1)), "bucket": np.append(rows.column("bucket").to_numpy(), np.full(more, -1)).astype(np.int32),
-        "told": pa.array(told + [None] * more, pa.binary()), "context": both(pa.int64(), contexts[which].view(np.int64)), "gain": both(pa.float64(), gain[which]), "share": both(pa.float64(), share[which]),
+        "told": pa.array(told + [None] * more, pa.binary()), "context": both(pa.int64(), contexts[which].view(np.int64)), "gain": both(pa.float64(), gain[which] * once), "share": both(pa.float64(), share[which] * once),
         "occurs": both(pa.int64(), occurs[which]), "blocks": pa.array(blocks, pa.list_(pa.int64())),
     })
 
@@ -281,7 +292,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size, given = base.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
+    size = size or 0
     blocks = max(1, -(-size // block_bytes))
     schema = f"block long, id array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in DOCS.items()) + ", open long, data binary"
     totals = {"N": 0, "V": 0}
@@ -356,19 +368,22 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     totals = {"N": int(got["N"] or 0), "V": int(got["V"] or 0)}
     state = []
     for folder in sorted({f.rpartition("/")[0] for f in tokenised.inputFiles()}):
-        own = spark.read.schema(schema).parquet(folder)
-        state.append(_answered(own, answers.where("block >= 0"), start, schema, blocks, parts, int(folder.rpartition("=")[2])))
+        own, number = spark.read.schema(schema).parquet(folder), int(folder.rpartition("=")[2])
+        state.append((number, _answered(own, answers.where("block >= 0"), start, schema, blocks, parts, number)))
         discard(own)
-    state = state or [tokenised.drop("part")]
+    state = state or [(0, tokenised.drop("part"))]
     discard(answers)
 
     for level in range(1, depth + 1):
         asked = _all(state).agg(F.sum("open")).first()[0] or 0
         if not asked:
             break
-        state = _grow(state, schema, totals, level, blocks, max(1, math.ceil(asked * ASKED / ((FIRST_SHARE if level == 1 else PASS_SHARE) * max(1, size)))), level == depth, hot)
+        state = _grow(state, parts, schema, totals, level, blocks, max(1, math.ceil(asked * ASKED / ((FIRST_SHARE if level == 1 else PASS_SHARE) * max(1, size)))), level == depth, hot)
 
     state = _all(state)
+    left = state.agg(F.sum(F.size("id"))).first()[0] or 0
+    if left != given:
+        raise RuntimeError(f"{given} documents came in and {left} were scored")
     out = state.selectExpr("inline(arrays_zip(id, held, n_tokens, n_known, base, total))")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(totals["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))
 
@@ -383,8 +398,8 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch.slice(k, 1)])
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts)
+def _all(state: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.union, [blocks for _, blocks in state])
 
 
 def _answered(state: DataFrame, told: DataFrame, advance, schema: str, blocks: int, parts: int, part: int) -> DataFrame:
@@ -394,8 +409,11 @@ def _answered(state: DataFrame, told: DataFrame, advance, schema: str, blocks: i
     return materialise(by_block(state).cogroup(by_block(told)).applyInArrow(advance, schema), "lm-blocks", rows_check=4)
 
 
-def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks: int, passes: int, last: bool, most: int) -> list[DataFrame]:
-    """The blocks after contexts of `level` words were judged: chances refined, positions with no longer context closed."""
+def _grow(state: list[tuple[int, DataFrame]], parts: int, schema: str, totals: dict, level: int, blocks: int, passes: int, last: bool, most: int) -> list[tuple[int, DataFrame]]:
+    """The blocks after contexts of `level` words were judged: chances refined, positions with no longer context closed.
+
+    `state` has the parts that hold blocks, each with its number among all `parts`.
+    """
     smallest, buckets = 1 / (totals["N"] + totals["V"] + 1), blocks * passes
 
     def dealt(rows: pa.Table, *pass_: int) -> tuple[Dealt, np.ndarray]:
@@ -426,7 +444,7 @@ def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks:
     for part in range(passes):
         asked = _all(state).mapInArrow(ask(part), ASK).repartition(blocks, "bucket").groupBy("bucket").applyInArrow(judge, FOUND)
         found.append(materialise(asked, f"lm-strings{level}"))
-    every = _all(found)
+    every = reduce(DataFrame.union, found)
     hot = every.where("block < 0")
     verdict = hot.groupBy("context").agg(F.when(F.sum("gain") >= GAIN, 1 - F.sum("share") / F.first("occurs")).otherwise(0.0).alias("rest"))
     verdict = hot.select("context", F.explode("blocks").alias("block")).distinct().join(verdict, "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias("x"))
@@ -434,8 +452,8 @@ def _grow(state: list[DataFrame], schema: str, totals: dict, level: int, blocks:
     verdict = materialise(verdict, "lm-verdicts")  # every part asks for it
     told = every.where("block >= 0").select("block", "bucket", "told").unionByName(verdict, allowMissingColumns=True)
     grown = []
-    for part, old in enumerate(state):
-        grown.append(_answered(old, told, advance, schema, blocks, len(state), part))
+    for part, old in state:
+        grown.append((part, _answered(old, told, advance, schema, blocks, parts, part)))
         discard(old)
     for table in [*found, verdict]:
         discard(table)
