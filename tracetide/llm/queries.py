@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracetide.llm import decontaminate, graph_index, line_dedup, near_dedup, pieces, quality, suffix_dedup, suffix_lm, url_filter, warc
+from tracetide.llm import decontaminate, graph_index, importance, infill, line_dedup, near_dedup, pieces, quality, suffix_dedup, suffix_lm, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op13_importance_resampling": importance.op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op13_importance_resampling": importance.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
