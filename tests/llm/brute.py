@@ -25,7 +25,7 @@ def repeated_strings(texts: dict[int, str | None], width: int = 100) -> dict[int
     return out
 
 
-def near_classes(texts: dict[int, str | None], percent: int = 85) -> dict[int, tuple[int, int, bool]]:
+def near_classes(texts: dict[int, str | None], percent: int = 85, width: int = 5) -> dict[int, tuple[int, int, bool]]:
     """(n_shingles, component_id, kept) by comparing all pairs that share a shingle."""
     import re
 
@@ -33,7 +33,7 @@ def near_classes(texts: dict[int, str | None], percent: int = 85) -> dict[int, t
     for doc, text in texts.items():
         lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         found = re.findall(r"[^\x20\x09-\x0D]+", lower)
-        sets[doc] = {tuple(found[i : i + 5]) for i in range(len(found) - 4)} or ({tuple(found)} if found else set())
+        sets[doc] = {tuple(found[i : i + width]) for i in range(len(found) - width + 1)} or ({tuple(found)} if found else set())
     owners: dict = {}
     parent = {d: d for d in sets}
 

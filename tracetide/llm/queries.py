@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracetide.llm import decontaminate, graph_index, importance, infill, line_dedup, near_dedup, pieces, quality, suffix_dedup, suffix_lm, url_filter, warc
+from tracetide.llm import decontaminate, graph_index, importance, infill, line_dedup, near_dedup, ngram_join, pieces, quality, suffix_dedup, suffix_lm, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_importance_resampling": importance.op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
