@@ -52,7 +52,7 @@ def group_sums(trace: DataFrame, groups: DataFrame, noise: DataFrame, level: flo
 
 
 def event_decay(trace: DataFrame, keys: list[str], sigma: DataFrame, tail: int = 5, height: float = 6.0) -> DataFrame:
-    """Mean normalised tail after peaks above median + height x sigma, and the slope of its logarithm."""
+    """Mean normalised tail after peaks above median + height x sigma (`detection.decay_time` fits a decay to such tails)."""
     mid = trace.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("m"))
     pk = sg.peaks(trace, keys).join(mid, keys).join(sigma, keys).where(F.col("peak") > F.col("m") + height * F.col("sigma"))
     after = pk.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(tail)))).withColumn("at", F.col("sample_idx") + F.col("lag")).drop("sample_idx")

@@ -347,16 +347,14 @@ def _blocks(b: np.ndarray, a: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     return np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0), np.column_stack([one, two]), trail[::-1].T, np.column_stack([end_one[-1], end_two[-1]])
 
 
-def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, high: bool = True) -> DataFrame:
-    """`passed`: order-2 Butterworth run forwards and backwards over odd extensions of the ends."""
+def zero_phase(cutoff: float, fs: float, high: bool = True):
+    """A function that runs the order-2 Butterworth filter forwards and backwards over an array without gaps."""
     b, a = _biquad(cutoff, fs, high)
-
     size = 256
-    response = _blocks(b, a, size)
+    own, carried, after, kept = _blocks(b, a, size)
 
     def once(x: np.ndarray) -> np.ndarray:
         z = np.array([-b[0], b[2]] if high else [1 - b[0], b[2] - a[2]]) * x[0]
-        own, carried, after, kept = response
         rows = np.append(x, np.zeros(-len(x) % size)).reshape(-1, size)
         out, left = rows @ own.T, rows @ after.T
         for k in range(len(rows)):
@@ -364,13 +362,18 @@ def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, hig
             z = left[k] + kept @ z
         return out.ravel()[: len(x)]
 
-    def solve(x: np.ndarray) -> np.ndarray:
-        y = _filled(x)
+    def both(y: np.ndarray) -> np.ndarray:
         n = min(len(y) - 1, 3 * int(fs / cutoff) + 6)
         padded = np.concatenate([2 * y[0] - y[n:0:-1], y, 2 * y[-1] - y[-2 : -n - 2 : -1]])
         return once(once(padded)[::-1])[::-1][n : n + len(y)]
 
-    return _per_unit(trace, keys, "passed", solve)
+    return both
+
+
+def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, high: bool = True) -> DataFrame:
+    """`passed`: order-2 Butterworth run forwards and backwards over odd extensions of the ends."""
+    both = zero_phase(cutoff, fs, high)
+    return _per_unit(trace, keys, "passed", lambda x: both(_filled(x)))
 
 
 def deconvolve_events(trace: DataFrame, keys: list[str], tau: float, fs: float, penalty: float = 1.0, rounds: int = 200, scale: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracetide.operators import detection as de
 from tracetide.operators import events as ev
 from tracetide.operators import signals as sg
 from tracetide.plans import standins as st
@@ -34,6 +35,15 @@ def summary(spark, d):
     return rounded(ev.unit_summary(st.trace(spark, d), e, U, 720.0), "mean_peak", "mean_duration", "rate")
 
 
+#: Weeks as seconds: slow baselines, tails of up to a quarter, decay times within each recording.
+WEEKLY = de.Settings(fs=1.0, cutoff=0.02, level=2.0, merge_gap=1.0, default_tau=1.0, prominence=1.5, peak_distance=3.0, tail_start=0.0, tail_end=13.0, least_peaks=20, least_points=3, low_tau=0.2, high_tau=20.0)
+
+
+def detected(spark, d):
+    x = st.filled_suppliers(spark, d)
+    return de.detect_events(x, ["rec", "unit_id"], WEEKLY, sg.baseline(x.withColumn("value", F.col("value") + 1), ["rec", "unit_id"], 5, 26), ["rec"])
+
+
 def sums(spark, d):
     sup = st.suppliers(spark, d)
     return rounded(ev.group_sums(sup, st.supplier_groups(spark, d), sg.noise_sigma(sup, U), 1.0), "percent_active")
@@ -78,6 +88,9 @@ QUERIES = {
     "butterworth": lambda s, d: sg.butterworth(st.trace(s, d), U, 0.05, 1.0),
     "deconvolved_events": lambda s, d: sg.deconvolve_events(st.trace(s, d), U, 1.0, 1.0),
     "event_decay": lambda s, d: rounded(ev.event_decay(st.trace(s, d), U, sg.noise_sigma(st.trace(s, d), U), 5, 1.0), "tail"),
+    "decay_time": lambda s, d: de.decay_time(de.decay_tails(st.filled_suppliers(s, d), ["rec", "unit_id"], WEEKLY), WEEKLY, ["rec"]),
+    "detected_events": lambda s, d: detected(s, d).events,
+    "detected_units": lambda s, d: detected(s, d).units,
     "rate_scale": lambda s, d: rounded(ev.rate_scale(ev.unit_summary(st.trace(s, d), ev.run_events(ev.with_snr(st.trace(s, d), U, 21), U), U, 720.0)), "scale", "pop").select("unit_id", "pop", "scale"),
 }
 
