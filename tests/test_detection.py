@@ -65,6 +65,8 @@ def test_default_where_there_is_nothing_to_fit(spark):
     got = de.detect_events(flat, ["rec", "unit_id"], s, within=["rec"])
     assert {r.rec: r.tau for r in got.decay.collect()} == {0: 0.1, 1: 0.1} and got.units.count() == 3
     assert [r.n_events for r in got.units.where("unit_id = 2").collect()] == [0]
+    few = de.decay_time(de.decay_tails(frame(spark, [planted(1, 2000)[1]]), ["unit_id"], s), s).first()
+    assert 0 < few.n_peaks < 50 and (few.slope, few.tau) == (None, 0.1)
     with pytest.raises(ValueError):
         de.Settings(0)
     assert de.detect_events(flat.where("false"), ["rec", "unit_id"], s).events.count() == 0

@@ -110,11 +110,11 @@ def test_models_are_kept_and_calibrated_either_way(spark, tmp_path):
     df = spark.createDataFrame(data, "row_id long, f0 double, f1 double, label string")
     for isotonic in (False, True):
         model = sc.train_states(df, ["f0", "f1"], ["a", "b", "c"], isotonic=isotonic)
-        sc.save_model(model, str(tmp_path / str(isotonic)))
+        sc.save_model(spark, model, str(tmp_path / str(isotonic)))
         got = sc.argmax_label(sc.state_probabilities(df, sc.load_model(spark, str(tmp_path / str(isotonic)))), model.states)
         want = sc.argmax_label(sc.state_probabilities(df, model), model.states)
         assert rows(got, "row_id", "P_a", "pred_label") == rows(want, "row_id", "P_a", "pred_label") and got.where("label = pred_label").count() > 280
-    assert [r.feature for r in sc.importance(model).collect()] == ["f0", "f1"]
+    assert [r.feature for r in sc.importance(spark, model).collect()] == ["f0", "f1"]
     p = spark.createDataFrame([(1, k, a, 1 - a) for k, a in enumerate([0.9, 0.1, 0.9])], "session_id int, epoch_idx int, P_a double, P_b double")
     assert rows(sc.smoothed_label(p, "session_id", ["a", "b"], 3), "epoch_idx", "pred_label") == [(0, "a"), (1, "a"), (2, "a")]
     x = spark.createDataFrame([(1, k, v) for k, v in enumerate([1.0, -1.0, 0.0, 2.0, -3.0])], "k int, sample_idx int, value double")

@@ -99,6 +99,28 @@ def test_rank_stability_and_subspaces(spark):
     assert s[0, 1] == pytest.approx(1) and s[0, 2] == pytest.approx(0)
 
 
+@pytest.mark.parametrize("smoothness", [0.0, 0.5, 1.0])
+def test_viterbi_with_self_transitions_equals_all_segmentations(smoothness):
+    model = sc.Durations.smooth(["a", "b", "c"], {"a": 4.0, "b": 2.0, "c": 6.0}, 2.0, smoothness, longest_s=7.0)
+    assert np.exp(model.log_transition).sum(1) == pytest.approx(1) and np.exp(model.log_duration).sum(1) == pytest.approx(1) and model.log_duration.shape == (3, 3)
+    rng = np.random.default_rng(6)
+    for _ in range(6):
+        log_p = np.log(rng.dirichlet([1, 1, 1], 6))
+
+        def best(t, before):
+            """The best score of what follows epoch t, and its states."""
+            if t == 6:
+                return 0.0, ()
+            found = []
+            for s, d in itertools.product(range(3), range(1, min(3, 6 - t) + 1)):
+                after, rest = best(t + d, s)
+                enter = -math.log(3) if before is None else model.log_transition[before, s]
+                found.append((enter + model.log_duration[s, d - 1] + log_p[t : t + d, s].sum() + after, (s,) * d + rest))
+            return max(found)
+
+        assert tuple(sc.viterbi(log_p, model)) == best(0, None)[1]
+
+
 def test_viterbi_equals_brute_force():
     model = sc.Durations.build(["a", "b", "c"], {"a": 4.0, "b": 2.0, "c": 6.0}, {"a": 0.7, "b": 0.9, "c": 0.5}, 2.0, 10.0)
     rng = np.random.default_rng(5)

@@ -278,7 +278,7 @@ def decay_time(tails: DataFrame, settings: Settings, within: list[str] | None =
     fit = at.groupBy(*by).agg(F.max("n_peaks").alias("n_peaks"), F.count(used).alias("n_points"), F.regr_slope(F.when(used.isNotNull(), F.ln("tail")), used).alias("slope"))
     good = (F.col("n_peaks") >= s.least_peaks) & (F.col("n_points") >= s.least_points) & (F.col("slope") < 0)
     slope = F.when(good, F.col("slope"))
-    tau = F.coalesce(F.greatest(F.lit(s.low_tau), F.least(F.lit(s.high_tau), -1 / slope)), F.lit(s.default_tau))
+    tau = F.when(good, F.greatest(F.lit(s.low_tau), F.least(F.lit(s.high_tau), -1 / F.col("slope")))).otherwise(s.default_tau)
     return fit.select(*by, F.coalesce("n_peaks", F.lit(0)).alias("n_peaks"), F.coalesce("n_points", F.lit(0)).alias("n_points"), slope.alias("slope"), tau.alias("tau"))
 
 

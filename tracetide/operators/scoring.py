@@ -153,9 +153,8 @@ class StateModel:
     calibration: dict = field(default_factory=dict)
 
 
-def save_model(model: StateModel, path: str) -> None:
+def save_model(spark: SparkSession, model: StateModel, path: str) -> None:
     """Writes the forest and what else the model needs under `path`, replacing what is there."""
-    spark = SparkSession.getActiveSession()
     model.forest.write().overwrite().save(f"{path}/forest")
     rest = json.dumps({"cols": model.cols, "states": model.states, "calibration": model.calibration})
     spark.createDataFrame([(rest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
@@ -168,10 +167,10 @@ def load_model(spark: SparkSession, path: str) -> StateModel:
     return StateModel(rest["cols"], rest["states"], RandomForestClassificationModel.load(f"{path}/forest"), {s: tuple(c) for s, c in rest["calibration"].items()})
 
 
-def importance(model: StateModel, n: int = 20) -> DataFrame:
+def importance(spark: SparkSession, model: StateModel, n: int = 20) -> DataFrame:
     """`feature, importance` of the n features that matter most to the forest; a report."""
     rows = [(c, float(v)) for c, v in zip(model.cols, model.forest.featureImportances.toArray(), strict=True)]
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
 def smoothed_label(df: DataFrame, session: str, states: list[str], window: int, out: str = "pred_label") -> DataFrame:
@@ -222,14 +221,10 @@ def train_states(df: DataFrame, cols: list[str], states: list[str], label: str =
 
 
 def _calibrated(p: Column, a: float | list[float], b: float | list[float]) -> Column:
-    """A logistic curve by slope and intercept, or a polygon by its corners."""
+    """A logistic curve by slope and intercept, or a polygon by its corners, of which there may be many."""
     if not isinstance(a, list):
         return 1 / (1 + F.exp(-(p * a + b)))
-    out = F.lit(b[-1])
-    for k in range(len(a) - 1, 0, -1):
-        line = b[k - 1] + (b[k] - b[k - 1]) * (p - a[k - 1]) / (a[k] - a[k - 1]) if a[k] > a[k - 1] else F.lit(b[k])
-        out = F.when(p < a[k], line).otherwise(out)
-    return F.when(p < a[0], F.lit(b[0])).otherwise(out)
+    return F.pandas_udf(lambda x: pd.Series(np.interp(x, a, b)), "double")(p)
 
 
 def state_probabilities(df: DataFrame, model: StateModel) -> DataFrame:
@@ -251,12 +246,25 @@ def argmax_label(df: DataFrame, states: list[str], out: str = "pred_label") -> D
 
 @dataclass
 class Durations:
-    """Log transition matrix without self transitions, and log-normal durations cut at `longest` epochs."""
+    """Log transition matrix, and log-normal durations cut at `longest` epochs. `build` rules self transitions out."""
 
     states: list[str]
     log_transition: np.ndarray
     log_duration: np.ndarray
 
+    @classmethod
+    def smooth(cls, states: list[str], mean_s: dict[str, float], epoch_s: float, smoothness: float = 0.5, sigma: float = 0.75, longest_s: float = 300.0, stay: float = 0.2, change: float = -0.8) -> "Durations":
+        """Segments that may follow one of the same state. `smoothness` from 0 to 1 makes means longer (0.6 to 1.8 times)
+        and scales what staying gains and changing costs (0.5 to 1.5 times); durations are log-normal with these means."""
+        n, longest = len(states), max(1, int(longest_s // epoch_s))
+        t = np.full((n, n), math.log(0.05) + change * (0.5 + smoothness))
+        np.fill_diagonal(t, math.log(0.90) + stay * (0.5 + smoothness))
+        t -= np.logaddexp.reduce(t, axis=1)[:, None]
+        d = np.log(np.arange(1, longest + 1))
+        mu = [math.log(max(mean_s[s] * (0.6 + 1.2 * min(1.0, max(0.0, smoothness))) / epoch_s, 1e-6)) - sigma**2 / 2 for s in states]
+        log_d = np.array([-d - (d - m) ** 2 / (2 * sigma**2) for m in mu])
+        return cls(states, t, log_d - np.logaddexp.reduce(log_d, axis=1)[:, None])
+
     @classmethod
     def build(cls, states: list[str], median_s: dict[str, float], sigma: dict[str, float], epoch_s: float, longest_s: float = 450.0, scale: dict[tuple[str, str], float] | None = None) -> "Durations":
         n, longest = len(states), max(1, int(longest_s // epoch_s))

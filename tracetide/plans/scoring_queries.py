@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracetide.operators import boosting as bo
 from tracetide.operators import features as fe
 from tracetide.operators import scoring as sc
 from tracetide.operators import signals as sg
@@ -40,6 +41,30 @@ def features(df):
     return [c for c in df.columns if c[0] == "f" and c[1:].isdigit()]
 
 
+BASKET = ["n_lines", "quantity", "discount", "price", "parts"]
+
+
+def baskets(spark, d):
+    """Orders as epochs of a customer, in a state that follows from two of their measures at a time."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"))
+    x = l.agg(F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").cast("double").alias("quantity"), F.avg("l_discount").alias("discount"), F.sum("l_extendedprice").cast("double").alias("price"), F.countDistinct("l_partkey").cast("double").alias("parts"))
+    state = F.when((F.col("quantity") > 60) & (F.col("discount") > 0.05), "a").when(F.col("price") / F.col("n_lines") > 52_000, "b").otherwise("c")
+    return x.withColumn("label", state)
+
+
+def boosted(spark, d):
+    """Every order judged by an ensemble of the other folds' rows, three in four taught."""
+    df = baskets(spark, d)
+    out = bo.boosted_probabilities(df, bo.train_boosted(df.where("row_id % 4 > 0"), BASKET, STATES, rounds=10))
+    return sc.argmax_label(out, STATES).select("row_id", "label", "pred_label", *[f"P_{x}" for x in STATES])
+
+
+def smooth_decoded(spark, d):
+    """The boosted probabilities in order of the orders, a thousand to a session, decoded with self transitions."""
+    p = boosted(spark, d).select(F.floor(F.col("row_id") / 1000).alias("session_id"), (F.col("row_id") % 1000).alias("epoch_idx"), *[f"P_{x}" for x in STATES])
+    return sc.decode_sessions(p, sc.Durations.smooth(STATES, {x: 6.0 for x in STATES}, 2.0, 0.5, longest_s=60.0))
+
+
 def probabilities(spark, d):
     df = labelled(spark, d)
     return sc.argmax_label(sc.state_probabilities(df, sc.train_states(df, features(df), STATES)), STATES)
@@ -114,6 +139,8 @@ QUERIES = {
     "spectral_features": lambda s, d: sc.spectral_features(sg.fill_linear(day_samples(s, d), ["unit_id"]).select("unit_id", "day", "sample_idx", F.col("filled").alias("value")), ["unit_id", "day"], 24.0),
     "balanced_weights": lambda s, d: rounded(sc.balanced_weights(table(s, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))), "weight"),
     "state_probabilities": lambda s, d: probabilities(s, d).select("row_id", "label", "pred_label", *[f"P_{x}" for x in STATES]),
+    "boosted_states": boosted,
+    "smooth_decoded_states": smooth_decoded,
     "decoded_states": decoded,
     "decoded_bouts": lambda s, d: sc.bouts_from_epochs(decoded(s, d).join(probabilities(s, d).select("session_id", "epoch_idx", "P_a"), ["session_id", "epoch_idx"]), "session_id", "state", ["P_a"]),
     "leave_one_out": lambda s, d: sc.leave_one_out(v := labelled(s, d), features(v), STATES, "subject_id"),
