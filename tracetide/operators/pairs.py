@@ -6,9 +6,12 @@ sums combine before the shuffle. Missing samples drop out per pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLIP = 1 - 1e-7
 
@@ -103,21 +106,74 @@ def outliers(wide: DataFrame, n: int = 20, max_se: float | None = None, signed:
     return rows.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*by)))
 
 
-def lagged(trace: DataFrame, keys: list[str], most: int) -> DataFrame:
+#: Samples of a block and units of a tile in which lagged products are summed.
+LAG_BLOCK, LAG_TILE = 4096, 64
+
+
+def _lag_sums(most: int, names: list[str]):
+    """Sums of x_i[t + lag] x_j[t] and their counts over lags -L..L, for the pairs of one tile in one block of t."""
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        role, unit, at, v = (rows.column(c).to_numpy() for c in ("role", "unit_pos", "sample_idx", "v"))
+        low = int(at[role == 1].min()) if (role == 1).any() else 0
+        n = (int(at[role == 1].max()) - low + 1) if (role == 1).any() else 0
+        size = 1 << (n + 2 * most).bit_length()
+        spectra = []
+        for k, shift in ((0, most), (1, 0)):
+            place = at - low + shift
+            own = (role == k) & (place >= 0) & (place < n + 2 * shift)
+            units, row = np.unique(unit[own], return_inverse=True)
+            grid = np.zeros((2, len(units), n + 2 * shift))
+            grid[0, row, place[own]], grid[1, row, place[own]] = v[own], 1.0
+            spectra.append((units, np.fft.rfft(grid, size)))
+        (left, fx), (right, fy) = spectra
+        i, j, sums, counts = [], [], [], []
+        for k, u in enumerate(left.tolist()):
+            later = np.flatnonzero(right > u)
+            if not len(later):
+                continue
+            product = np.fft.irfft(fx[:, k, None] * fy[:, later].conj(), size)[:, :, : 2 * most + 1]
+            count = np.rint(product[1]).astype(np.int64)
+            met = count.any(1)
+            i += [u] * int(met.sum())
+            j += right[later[met]].tolist()
+            sums += list(product[0][met])
+            counts += list(count[met])
+        own = {c: pa.array([x.as_py()] * len(i), x.type) for c, x in zip(names, key, strict=False)}
+        return pa.table(own | {"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "s": pa.array(sums, pa.list_(pa.float64())), "n": pa.array(counts, pa.list_(pa.int64()))})
+
+    return solve
+
+
+def lagged(trace: DataFrame, keys: list[str], most: int, block: int = LAG_BLOCK, tile: int = LAG_TILE) -> DataFrame:
     """Cross-correlation over lags -L..L after centring each unit; peak by size, the first of equal ones.
 
     A positive lag means that unit j leads: the sum runs over x_i[t + lag] x_j[t], divided by the zero-lag
-    count and both spreads.
+    count and both spreads. Samples go to blocks of time, as unit i with the L samples around the block, and units to
+    tiles; the products over all lags are made there by Fourier transforms, so what is shuffled doesn't grow with
+    the lags but for one row of sums a pair and block.
     """
     w = W.partitionBy(*keys, "unit_pos")
-    c = trace.where("value is not null").withColumns({"v": F.col("value") - F.avg("value").over(w), "sd": F.stddev_pop("value").over(w)})
-    a = c.select(*keys, F.col("unit_pos").alias("i"), "sample_idx", F.col("v").alias("x"), F.col("sd").alias("sx"))
-    b = c.select(*keys, F.col("unit_pos").alias("j"), F.col("sample_idx").alias("at"), F.col("v").alias("y"), F.col("sd").alias("sy")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("sample_idx", F.col("at") + F.col("lag"))
-    s = a.join(b, [*keys, "sample_idx"]).where("i < j").groupBy(*keys, "i", "j", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count(F.lit(1)).alias("n"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
-    n0 = s.where("lag = 0").select(*keys, "i", "j", F.col("n").alias("n0"))
-    r = s.join(n0, [*keys, "i", "j"]).withColumn("r", F.try_divide(F.col("s"), F.col("n0") * F.col("sx") * F.col("sy")))
-    best = F.max(F.struct(F.round(F.abs("r"), 9).alias("a"), (-F.col("lag")).alias("l"), "r"))
-    return r.where("r is not null").groupBy(*keys, "i", "j").agg(best.alias("b")).select(*keys, "i", "j", (-F.col("b.l")).alias("lag"), F.col("b.r").alias("peak_r"))
+    have = trace.where("value is not null").select(*keys, F.col("unit_pos").cast("long").alias("unit_pos"), F.col("sample_idx").cast("long").alias("sample_idx"), "value")
+    c = have.select(*keys, "unit_pos", "sample_idx", (F.col("value") - F.avg("value").over(w)).cast("double").alias("v"), F.floor(F.col("unit_pos") / tile).alias("t"))
+    spread = have.groupBy(*keys, "unit_pos").agg(F.stddev_pop("value").alias("sd"))
+    ends = c.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    c = c.join(ends, keys) if keys else c.join(F.broadcast(ends))
+    cell = lambda at: F.floor(at / block)
+    own = [*keys, "unit_pos", "sample_idx", "v"]
+    x = c.select(*own, F.lit(0).alias("role"), F.col("t").alias("ti"), F.explode(F.sequence("t", "t1")).alias("tj")).withColumn("b", F.explode(F.sequence(cell(F.col("sample_idx") - most), cell(F.col("sample_idx") + most))))
+    y = c.select(*own, F.lit(1).alias("role"), F.explode(F.sequence("t0", "t")).alias("ti"), F.col("t").alias("tj")).withColumn("b", cell(F.col("sample_idx")))
+    names = [*keys, "b", "ti", "tj"]
+    schema = T.StructType([*(c.schema[k] for k in keys), T.StructField("b", T.LongType()), T.StructField("ti", T.LongType()), T.StructField("tj", T.LongType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    sums = x.unionByName(y.select(x.columns)).groupBy(*names).applyInArrow(_lag_sums(most, names), schema)
+    add = lambda col, zero: F.aggregate(F.collect_list(col), F.array_repeat(zero, 2 * most + 1), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    total = sums.groupBy(*keys, "i", "j").agg(add("s", F.lit(0.0)).alias("s"), add("n", F.lit(0).cast("long")).alias("n"))
+    side = lambda u: spread.select(*keys, F.col("unit_pos").alias(u), F.col("sd").alias(f"s{u}"))
+    both = total.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"])
+    r = lambda k: F.try_divide(F.col("s")[k], F.col("n")[most] * F.col("si") * F.col("sj"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(2 * most)), lambda k: F.struct(F.round(F.abs(r(k)), 9).alias("a"), (most - k).alias("l"), r(k).alias("r"), F.col("n")[k].alias("n")))
+    best = both.select(*keys, "i", "j", F.array_max(F.filter(at, lambda x: (x["n"] > 0) & x["r"].isNotNull())).alias("b"))
+    return best.where("b is not null").select(*keys, "i", "j", (-F.col("b.l")).alias("lag"), F.col("b.r").alias("peak_r"))
 
 
 def to_matrix(table: DataFrame, value: str, units: list[int], diagonal: float = 1.0, keys: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracetide.operators.blocks import SIZE, Recursion, cut, numbered, recur, with_halo
+
 
 def _along(keys: list[str], a: int | None = None, b: int | None = None):
     w = W.partitionBy(*keys).orderBy("sample_idx")
@@ -52,22 +54,22 @@ def matched_filter(trace: DataFrame, keys: list[str], kernel: list[float], min_v
     return trace.withColumn("filtered", F.when(ok, total))
 
 
-def exponential_filter(trace: DataFrame, keys: list[str], g: float) -> DataFrame:
+def exponential_filter(trace: DataFrame, keys: list[str], g: float, block: int = SIZE) -> DataFrame:
     """`filtered`: backward recursion D[t] = g D[t+1] + (1 - g) x[t], the last value scaled by g.
 
-    Over a gap D decays, and gaps stay missing. The memory is unbounded, so a unit is one group; within it the
-    recursion is summed block by block.
+    Over a gap D decays, and gaps stay missing. The memory is unbounded; it is handed from block to block of `block` rows.
     """
 
-    def solve(x: np.ndarray) -> np.ndarray:
-        back = x[::-1]
-        ok = np.isfinite(back)
-        first = int(ok.argmax())
-        u = np.where(ok, (1 - g) * np.where(ok, back, 0.0), 0.0)
-        u[first] = g * back[first]
-        return decayed(u, g)[::-1]
+    def respond(u: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = decayed(u, g) + z[0] * g ** np.arange(1, len(u) + 1)
+        return y, y[-1:]
 
-    return _per_unit(trace, keys, "filtered", solve)
+    present = ~F.isnan(F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))))
+    last = trace.groupBy(*keys).agg(F.max(F.when(present, F.col("sample_idx"))).alias("__last"))
+    share = F.when(F.col("sample_idx") == F.col("__last"), F.lit(g)).otherwise(1 - g)
+    u = trace.select(*keys, "sample_idx", "value").join(last, keys).select(*keys, "sample_idx", present.alias("__ok"), F.when(present, F.col("value") * share).otherwise(0.0).alias("value"))
+    run = recur(u, keys, Recursion(respond, np.array([[g]])), np.zeros(1), "filtered", backwards=True, size=block)
+    return run.select(*keys, "sample_idx", F.when(F.col("__ok"), F.col("filtered")).alias("filtered"))
 
 
 def decayed(u: np.ndarray, g: float, block: int = 64) -> np.ndarray:
@@ -91,24 +93,23 @@ def fill_linear(trace: DataFrame, keys: list[str]) -> DataFrame:
     return trace.withColumn("filled", F.coalesce("value", line, a["value"], b["value"], F.lit(0.0)))
 
 
-def rolling_mad(trace: DataFrame, keys: list[str], window: int, min_count: int | None = None, scale: float = 1.4826) -> DataFrame:
+def rolling_mad(trace: DataFrame, keys: list[str], window: int, min_count: int | None = None, scale: float = 1.4826, block: int = SIZE) -> DataFrame:
     """Adds `median` and `mad`: rolling median, and rolling median of the absolute deviations from it; window // 2 samples
-    lie before. A unit is one group, and its windows move by one sample at a time over an ordered list."""
+    lie before. Blocks of `block` rows have the rows of two windows around them, and windows move by one over an ordered list."""
     least = max(1, window // 4 if min_count is None else min_count)
+    before, after = window // 2, window - 1 - window // 2
 
     def rolled(x: np.ndarray) -> np.ndarray:
-        after = window - 1 - window // 2
         return pd.Series(np.append(x, np.full(after, np.nan))).rolling(window, min_periods=least).median().to_numpy()[after:]
 
     def solve(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("sample_idx")
         x = rows.column("value").cast(pa.float64()).to_numpy()
         mid = rolled(x)
         spread = rolled(np.abs(x - mid)) * scale
         return rows.append_column("median", pa.array(mid, from_pandas=True)).append_column("mad", pa.array(spread, from_pandas=True))
 
-    schema = T.StructType([*trace.schema.fields, T.StructField("median", T.DoubleType()), T.StructField("mad", T.DoubleType())])
-    return trace.groupBy(*keys).applyInArrow(solve, schema)
+    more = [T.StructField("median", T.DoubleType()), T.StructField("mad", T.DoubleType())]
+    return with_halo(trace, keys, 2 * before, 2 * after, solve, more, block)
 
 
 def rolling_mad_noise(trace: DataFrame, keys: list[str], window_s: float = 8.0, fs: float = 1.0) -> DataFrame:
@@ -347,33 +348,70 @@ def _blocks(b: np.ndarray, a: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     return np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0), np.column_stack([one, two]), trail[::-1].T, np.column_stack([end_one[-1], end_two[-1]])
 
 
-def zero_phase(cutoff: float, fs: float, high: bool = True):
-    """A function that runs the order-2 Butterworth filter forwards and backwards over an array without gaps."""
-    b, a = _biquad(cutoff, fs, high)
-    size = 256
+def _second_order(b: np.ndarray, a: np.ndarray, size: int = 256) -> Recursion:
+    """The filter as a recursion over its two memories, by small blocks."""
     own, carried, after, kept = _blocks(b, a, size)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
 
-    def once(x: np.ndarray) -> np.ndarray:
-        z = np.array([-b[0], b[2]] if high else [1 - b[0], b[2] - a[2]]) * x[0]
+    def respond(x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.append(x, np.zeros(-len(x) % size)).reshape(-1, size)
         out, left = rows @ own.T, rows @ after.T
         for k in range(len(rows)):
             out[k] += carried @ z
-            z = left[k] + kept @ z
-        return out.ravel()[: len(x)]
+            before, z = z, left[k] + kept @ z
+        over = len(x) - (len(rows) - 1) * size
+        if over < size:  # the last block is filled up: go from its start again
+            z = np.linalg.matrix_power(step, over) @ before + after[:, size - over :] @ rows[-1, :over]
+        return out.ravel()[: len(x)], z
+
+    return Recursion(respond, step)
+
+
+def _settled(b: np.ndarray, a: np.ndarray, high: bool) -> np.ndarray:
+    """The memories under a constant input of 1."""
+    return np.array([-b[0], b[2]] if high else [1 - b[0], b[2] - a[2]])
+
+
+def _extension(cutoff: float, fs: float) -> int:
+    return 3 * int(fs / cutoff) + 6
+
+
+def zero_phase(cutoff: float, fs: float, high: bool = True):
+    """A function that runs the order-2 Butterworth filter forwards and backwards over an array without gaps."""
+    b, a = _biquad(cutoff, fs, high)
+    through, calm = _second_order(b, a), _settled(b, a, high)
+    once = lambda x: through.respond(x, calm * x[0])[0]
 
     def both(y: np.ndarray) -> np.ndarray:
-        n = min(len(y) - 1, 3 * int(fs / cutoff) + 6)
+        n = min(len(y) - 1, _extension(cutoff, fs))
         padded = np.concatenate([2 * y[0] - y[n:0:-1], y, 2 * y[-1] - y[-2 : -n - 2 : -1]])
         return once(once(padded)[::-1])[::-1][n : n + len(y)]
 
     return both
 
 
-def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, high: bool = True) -> DataFrame:
-    """`passed`: order-2 Butterworth run forwards and backwards over odd extensions of the ends."""
-    both = zero_phase(cutoff, fs, high)
-    return _per_unit(trace, keys, "passed", lambda x: both(_filled(x)))
+def butterworth(trace: DataFrame, keys: list[str], cutoff: float, fs: float, high: bool = True, block: int = SIZE) -> DataFrame:
+    """`passed`: order-2 Butterworth run forwards and backwards over odd extensions of the ends.
+
+    Gaps are bridged by a line and stay missing. The memories are handed from block to block of `block` rows.
+    """
+    b, a = _biquad(cutoff, fs, high)
+    through, calm = _second_order(b, a), _settled(b, a, high)
+    ok = ~F.isnan(F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))))
+    clean = trace.select(*keys, "sample_idx", F.when(ok, F.col("value").cast("double")).alias("value"))
+    filled = numbered(fill_linear(clean, keys), keys, block).select(*keys, "sample_idx", F.col("value").isNotNull().alias("__ok"), F.col("filled").alias("value"), "__rn", "__rows")
+    ends = filled.groupBy(*keys).agg(F.min_by("value", "__rn").alias("__a"), F.max_by("value", "__rn").alias("__b"))
+    wide = F.least(F.col("__rows") - 1, F.lit(_extension(cutoff, fs)))
+    at, last = filled.join(ends, keys), F.col("__rows") - 1
+    mirrored = lambda inside, pos, value: F.when(inside, F.struct(pos.alias("pos"), value.alias("value"), F.lit(False).alias("own")))
+    ahead = mirrored((F.col("__rn") >= 1) & (F.col("__rn") <= wide), -F.col("__rn"), 2 * F.col("__a") - F.col("value"))
+    behind = mirrored((F.col("__rn") < last) & (F.col("__rn") >= last - wide), 2 * last - F.col("__rn"), 2 * F.col("__b") - F.col("value"))
+    itself = F.struct(F.col("__rn").alias("pos"), F.col("value"), F.lit(True).alias("own"))
+    each = at.select(*keys, F.col("sample_idx").alias("__was"), "__ok", F.explode(F.array_compact(F.array(itself, ahead, behind))).alias("x"))
+    whole = cut(each.select(*keys, F.col("x.pos").alias("sample_idx"), F.col("x.value").alias("value"), F.when(F.col("x.own"), F.col("__was")).alias("__was"), "__ok"))
+    there = cut(recur(whole, keys, through, calm, "__y", size=block, on_grid=True).withColumn("value", F.col("__y")).drop("__y"))
+    back = recur(there, keys, through, calm, "passed", backwards=True, size=block, on_grid=True)
+    return back.where("__was is not null").select(*keys, F.col("__was").cast(trace.schema["sample_idx"].dataType).alias("sample_idx"), F.when(F.col("__ok"), F.col("passed")).alias("passed"))
 
 
 def deconvolve_events(trace: DataFrame, keys: list[str], tau: float, fs: float, penalty: float = 1.0, rounds: int = 200, scale: DataFrame | None = None) -> DataFrame:
