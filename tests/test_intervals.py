@@ -1,5 +1,6 @@
 """Worked examples of masks, tilings and bouts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,61 @@ def test_empty_mask(spark):
     m = grid(spark, 5, []).where("false")
     assert iv.valid_intervals(m, []).count() == 0
     assert iv.tile_span(m, states(spark, [("NREM", 0, 5)]), "NREM", 3).count() == 0
+
+
+def test_sweeps_keep_recordings_apart(spark):
+    """Two recordings in one plan give what each gives alone, and what pairs of intervals give."""
+    rng = np.random.default_rng(6)
+    sides = []
+    for _ in range(2):
+        rows = []
+        for rec in (1, 2):
+            at = np.cumsum(rng.integers(1, 9, 40))
+            rows += [(rec, "ABC"[rng.integers(3)], float(a), float(b)) for a, b in zip(at, at[1:], strict=False) if rng.random() < 0.7]
+        sides.append(rows)
+    a, b = (spark.createDataFrame(r, "rec int, state string, start_time double, end_time double") for r in sides)
+    want = set()
+    for rec in (1, 2):
+        cuts = sorted({t for side in sides for r, _, *ends in side if r == rec for t in ends})
+        for t, t2 in zip(cuts, cuts[1:], strict=False):
+            hit = [[x for x in side if x[0] == rec and x[2] <= (t + t2) / 2 < x[3]] for side in sides]
+            want |= {(rec, t, t2, x[1], y[1], y[2], y[3]) for x in hit[0] for y in hit[1]}
+    seg = iv.atomic_segments(a, b, ["rec"])
+    assert {(r.rec, r.t, r.t2, r.a_state, r.b_state, r.b_start, r.b_end) for r in seg.collect()} == want
+    got = {(r.rec, r.p_start): (r.dominant, r.total, r.purity) for r in iv.bout_purity(seg, ["rec"]).collect()}
+    for (rec, start), (label, total, share) in got.items():
+        by = {}
+        for r, t, t2, x, _, s, _ in want:
+            if (r, s) == (rec, start):
+                by[x] = by.get(x, 0) + t2 - t
+        best = min(by, key=lambda k: (-by[k], k))
+        assert (label, total, share) == (best, sum(by.values()), pytest.approx(by[best] / total))
+    assert iv.atomic_segments(a, b.where("false"), ["rec"]).count() == 0
+
+
+def absorbed_leftmost(rows, most):
+    """The rule as it is told: the leftmost brief interval between two of one state goes, again and again."""
+    rows = list(rows)
+    while True:
+        k = next((k for k in range(1, len(rows) - 1) if rows[k][2] - rows[k][1] < most and rows[k - 1][0] == rows[k + 1][0]), None)
+        if k is None:
+            return rows
+        rows[k - 1 : k + 2] = [(rows[k - 1][0], rows[k - 1][1], rows[k + 1][2])]
+
+
+def test_absorb_brief_is_linear_and_the_rule(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(30):
+        at = np.cumsum(rng.integers(1, 12, 40)).astype(float)
+        states = ["ABC"[x] for x in rng.integers(0, 3, 40)]
+        rows += [(k, s, float(a), float(b)) for s, (a, b) in zip(states, zip(at, at[1:], strict=False), strict=False)]
+    n = 100_000
+    rows += [(99, "AB"[i % 2], float(i * 5), float(i * 5 + 5)) for i in range(n)]
+    got = {}
+    for r in iv.absorb_brief(spark.createDataFrame(rows, "k int, state string, start_time double, end_time double").repartition(4), ["k"], 6.0).collect():
+        got.setdefault(r.k, []).append((r.state, r.start_time, r.end_time))
+    for k in range(30):
+        own = [r[1:] for r in rows if r[0] == k]
+        assert sorted(got[k], key=lambda r: r[1]) == absorbed_leftmost(own, 6.0), k
+    assert sorted(got[99], key=lambda r: r[1]) == [("A", 0.0, (n - 1) * 5.0), ("B", (n - 1) * 5.0, n * 5.0)]

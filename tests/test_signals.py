@@ -221,6 +221,25 @@ def test_noise_in_windows_is_that_of_slices(spark, window, step):
         assert (got[k].noise, got[k].signal, got[k].centre) == (pytest.approx(own.noise), own.signal, s + (window - 1) / 2)
 
 
+def test_transitions_of_two_recordings(spark):
+    """Recordings don't mix, short bouts don't count, windows start where the bout before does."""
+    rng = np.random.default_rng(5)
+    one = trace(spark, *rng.normal(0, 1, (3, 200))).withColumn("rec", F.lit(1))
+    two = trace(spark, *rng.normal(0, 1, (2, 200))).withColumn("rec", F.lit(2))
+    bouts = [(1, "W", 0.0, 30.0), (1, "N", 30.0, 90.0), (1, "W", 90.0, 95.0), (1, "N", 95.0, 190.0), (2, "W", 3.0, 50.0), (2, "N", 50.0, 58.0), (2, "W", 58.0, 88.0), (2, "N", 88.2, 150.0), (2, "N", 30.0, 45.0)]
+    b = spark.createDataFrame(bouts, "rec int, state string, start_time double, end_time double")
+    found = {(r.rec, r.t0, r.pre_start) for r in dy.onsets(b, "N", "W", keys=["rec"], min_before=20, min_onset=10).collect()}
+    assert found == {(1, 30.0, 0.0), (2, 88.2, 58.0)}
+    got = dy.transition_synchrony(one.unionByName(two), b, "N", "W", 10, 5, 28, 20, 0.5, keys=["rec"], min_before=20, min_onset=10).orderBy("rec", "phase", "k").toPandas()
+    first = got[got["rec"] == 1]
+    assert first[first["phase"] == "pre"]["t_rel"].tolist() == [-23.0, -18.0, -13.0, -8.0] and first[first["phase"] == "post"]["t_rel"].tolist() == [5.0, 10.0, 15.0]
+    assert (first["n_pairs"] == 3).all() and (got[got["rec"] == 2]["n_pairs"] == 1).all()
+    alone = dy.transition_synchrony(two, b.where("rec = 2"), "N", "W", 10, 5, 28, 20, 0.5, min_before=20, min_onset=10).orderBy("phase", "k").toPandas()
+    assert alone["mean_r"].tolist() == pytest.approx(got[got["rec"] == 2]["mean_r"].tolist())
+    anything = dy.onsets(b, "N", None, keys=["rec"])
+    assert anything.count() == 5 and dy.transition_windows(anything, 10, 5, 12, 0).where("phase = 'pre'").groupBy("rec", "t0").count().where("count = 1").count() == 5
+
+
 def test_signed_ranks(spark):
     rows = [(k, float(v)) for k, v in enumerate([1.5, -0.5, 2.5, 3.5, 4.0, -1.0, 2.0])]
     r = ss.cluster_test(spark.createDataFrame(rows, "c int, delta double"), "c").first()
@@ -229,6 +248,22 @@ def test_signed_ranks(spark):
     assert r.w_p == pytest.approx(2 * below / 128)
 
 
+def test_cluster_interval_and_ties_over_many_clusters(spark):
+    rng = np.random.default_rng(8)
+    y = np.append(np.round(rng.normal(0.3, 1, 500), 1), [0.0, 0.0])
+    r = ss.cluster_test(spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "c int, delta double").repartition(4), "c").first()
+    own = pd.Series(np.abs(y[y != 0])).rank()
+    plus, minus = own[y[y != 0] > 0].sum(), own[y[y != 0] < 0].sum()
+    assert (r.w_plus, r.w_minus) == (pytest.approx(plus), pytest.approx(minus)) and r.n == 502
+    half = 1.9647 * y.std(ddof=1) / math.sqrt(502)  # of t with 501 degrees of freedom
+    assert (r.low, r.high) == (pytest.approx(y.mean() - half, abs=1e-4), pytest.approx(y.mean() + half, abs=1e-4))
+    few = ss.cluster_test(spark.createDataFrame([(1, 2.0), (2, 4.0)], "c int, delta double"), "c").first()
+    assert few.high - few.low == pytest.approx(2 * 12.7062 * math.sqrt(2) / math.sqrt(2), rel=1e-4)
+    assert ss.cluster_test(spark.createDataFrame([(1, 2.0)], "c int, delta double"), "c").first().low is None
+    places = [r["__place"] for r in ss.in_order(spark.range(50).repartition(7), F.desc("id")).orderBy("id").collect()]
+    assert places == list(range(49, -1, -1))
+
+
 def test_pairs_stay_in_their_recording(spark):
     rng = np.random.default_rng(3)
     a = trace(spark, *rng.normal(0, 1, (3, 60))).withColumn("rec", F.lit(1))

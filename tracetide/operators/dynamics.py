@@ -43,13 +43,44 @@ def head_tail(trace: DataFrame, n: int, keys: list[str] | None = None) -> DataFr
     return out.withColumns({"delta_r": F.col("tail") - F.col("head"), "delta_z": pr.to_z(F.col("tail"), clip) - pr.to_z(F.col("head"), clip)})
 
 
-def onsets(bouts: DataFrame, onset: str, before: str, slack: float = 0.5, after: float = 0.01) -> DataFrame:
-    """Transitions: bouts of `onset` with the last bout of `before` that ends within [start - slack, start + after]."""
-    a = bouts.where(F.col("state") == onset).select(F.col("start_time").alias("t0"), F.col("end_time").alias("on_end"))
-    b = bouts.where(F.col("state") == before).select(F.col("start_time").alias("pre_start"), F.col("end_time").alias("pre_end"))
+def onsets(bouts: DataFrame, onset: str, before: str | None, slack: float = 0.5, after: float = 0.01, keys: list[str] | None = None, min_before: float = 0.0, min_onset: float = 0.0) -> DataFrame:
+    """Transitions: bouts of `onset`, of at least `min_onset`, with the last bout of `before` that ends within
+    [start - slack, start + after], if it is no shorter than `min_before`. `keys` name a recording.
+
+    Without `before` any state may come first, and nothing is known of the bout before (null bounds).
+    """
+    keys = keys or []
+    long = bouts.where((F.col("state") == onset) & (F.col("end_time") - F.col("start_time") >= min_onset))
+    a = long.select(*keys, F.col("start_time").alias("t0"), F.col("end_time").alias("on_end"))
+    if before is None:
+        return a.withColumns({"pre_start": F.lit(None).cast("double"), "pre_end": F.lit(None).cast("double")})
+    b = bouts.where(F.col("state") == before).select(*keys, F.col("start_time").alias("pre_start"), F.col("end_time").alias("pre_end"))
     near = b.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pre_end") - after), F.floor(F.col("pre_end") + slack))))
-    hit = a.withColumn("cell", F.floor("t0")).join(near, "cell").where((F.col("pre_end") >= F.col("t0") - slack) & (F.col("pre_end") <= F.col("t0") + after))
-    return hit.groupBy("t0", "on_end").agg(F.max_by("pre_start", "pre_end").alias("pre_start"), F.max("pre_end").alias("pre_end"))
+    hit = a.withColumn("cell", F.floor("t0")).join(near, [*keys, "cell"]).where((F.col("pre_end") >= F.col("t0") - slack) & (F.col("pre_end") <= F.col("t0") + after))
+    last = hit.groupBy(*keys, "t0", "on_end").agg(F.max_by("pre_start", "pre_end").alias("pre_start"), F.max("pre_end").alias("pre_end"))
+    return last.where(F.col("pre_end") - F.col("pre_start") >= min_before)
+
+
+def transition_windows(transitions: DataFrame, window: float, step: float, reach_before: float, reach_after: float) -> DataFrame:
+    """Windows before and after each onset, within the two bouts: `phase` pre or post, `k` from 0, `w_start`, `w_end` and
+    `t_rel`, the centre less the onset. Each side starts at its first moment within reach and goes on by `step`."""
+    t0, near = F.col("t0"), 1e-9
+    low = F.greatest(t0 - reach_before, F.coalesce("pre_start", t0 - reach_before))
+    sides = []
+    for phase, a, b in (("pre", low, t0), ("post", t0, F.least(t0 + reach_after, "on_end"))):
+        n = F.floor((b - a - window + near) / step)
+        w = transitions.withColumns({"phase": F.lit(phase), "__a": a.cast("double"), "__n": n}).where("__n >= 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"))))
+        sides.append(w.withColumns({"w_start": F.col("__a") + F.col("k") * step, "w_end": F.col("__a") + F.col("k") * step + window}).drop("__a", "__n"))
+    return sides[0].unionByName(sides[1]).withColumn("t_rel", F.col("w_start") + window / 2 - t0)
+
+
+def transition_synchrony(trace: DataFrame, bouts: DataFrame, onset: str, before: str | None, window: float, step: float, reach_before: float, reach_after: float, min_share: float = 0.8, level: float = 0.2, keys: list[str] | None = None, min_before: float = 0.0, min_onset: float = 0.0) -> DataFrame:
+    """Synchrony of all pairs in windows around the transitions of every recording: `keys, t0, phase, k, t_rel` and the
+    summary of each window that has enough samples (`window_correlation`)."""
+    keys = keys or []
+    w = transition_windows(onsets(bouts, onset, before, keys=keys, min_before=min_before, min_onset=min_onset), window, step, reach_before, reach_after)
+    name = [*keys, "t0", "phase", "k"]
+    return window_correlation(trace, w, name, min_share, level, recording=keys).join(w.select(*name, "t_rel"), name)
 
 
 def onset_windows(transitions: DataFrame, window: int, step: int, reach: int) -> DataFrame:

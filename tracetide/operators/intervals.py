@@ -5,9 +5,11 @@ Samples are integers; an interval has `state, start_time, end_time` in the same
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def from_nan(df: DataFrame, *cols: str) -> DataFrame:
@@ -174,45 +176,56 @@ def overlap_labels(epochs: DataFrame, labels: DataFrame, min_share: float = 0.0,
     return epochs.join(best, [*keys, "epoch_idx"], "left")
 
 
-def atomic_segments(a: DataFrame, b: DataFrame, bucket: int = 24) -> DataFrame:
-    """Cuts time at every boundary of two interval tables; keeps segments that both label, by their midpoint."""
-    edges = a.select(F.col("start_time").alias("t")).union(a.select("end_time")).union(b.select("start_time")).union(b.select("end_time")).distinct()
-    cell = F.floor(F.col("t") / (bucket * 64))
-    first = edges.withColumn("cell", cell)
-    seg = first.withColumn("t2", F.lead("t").over(W.partitionBy("cell").orderBy("t")))
-    heads = first.groupBy("cell").agg(F.min("t").alias("t")).withColumn("next", F.lead("t").over(W.orderBy("cell")))
-    seg = seg.join(heads.select("cell", "next"), "cell").withColumn("t2", F.coalesce("t2", "next")).where("t2 is not null").select("t", "t2", ((F.col("t") + F.col("t2")) / 2).alias("mid"))
-    for side, name in ((a, "a"), (b, "b")):
-        cuts = side.select(F.col("state").alias(f"{name}_state"), F.col("start_time").alias("s"), F.col("end_time").alias("e")).withColumn("c", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor(F.col("e") / bucket))))
-        seg = seg.withColumn("c", F.floor(F.col("mid") / bucket)).join(cuts, "c").where("mid >= s and mid < e").drop("c", "s", "e")
-    return seg.select("t", "t2", (F.col("t2") - F.col("t")).alias("duration"), "a_state", "b_state")
-
+def atomic_segments(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Cuts time at every boundary of two interval tables; keeps segments that both label, by their midpoint.
 
-def bout_purity(segments: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Per predicted bout: the label that fills most of it and its share; segments from `atomic_segments`."""
-    own = predicted.select(F.col("start_time").alias("p_start"), F.col("end_time").alias("p_end")).withColumn("c", F.explode(F.sequence(F.floor(F.col("p_start") / 24), F.floor(F.col("p_end") / 24))))
-    hit = segments.withColumn("mid", (F.col("t") + F.col("t2")) / 2).withColumn("c", F.floor(F.col("mid") / 24)).join(own, "c").where("mid >= p_start and mid < p_end")
-    by = hit.groupBy("p_start", "p_end", "a_state").agg(F.sum("duration").alias("d")).withColumn("__rank", F.dense_rank().over(W.partitionBy("p_start", "p_end").orderBy("a_state")))
-    top = F.max_by(F.col("a_state"), F.struct(F.col("d"), -F.col("__rank")))
-    return by.groupBy("p_start", "p_end").agg(top.alias("dominant"), F.sum("d").alias("total"), (F.max("d") / F.sum("d")).alias("purity"))
+    One sweep over each recording's boundaries, in which every side's interval that began last is held. `keys` name a
+    recording; intervals of one side don't overlap within one. Returns `keys, t, t2, duration, a_state, b_state` and the
+    bounds of the interval of `b`, `b_start, b_end`.
+    """
+    keys = keys or []
+    bounds = []
+    for side, name in ((a, "a"), (b, "b")):
+        own = F.struct(F.col("start_time").alias("s"), F.col("end_time").alias("e"), F.col("state").alias("state"))
+        at = side.where("end_time > start_time").select(*keys, F.explode(F.array(F.struct(F.col("start_time").alias("t"), own.alias("x")), F.struct(F.col("end_time").alias("t"), F.lit(None).cast(side.select(own).schema[0].dataType).alias("x")))).alias("r"))
+        bounds.append(at.select(*keys, "r.t", F.col("r.x").alias(name)))
+    edges = bounds[0].unionByName(bounds[1], allowMissingColumns=True).groupBy(*keys, "t").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    w = W.partitionBy(*keys).orderBy("t")
+    held = lambda c: F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    seg = edges.select(*keys, "t", F.lead("t").over(w).alias("t2"), held("a").alias("a"), held("b").alias("b")).withColumn("mid", (F.col("t") + F.col("t2")) / 2)
+    inside = (F.col("mid") < F.col("a.e")) & (F.col("mid") < F.col("b.e"))
+    return seg.where(inside).select(*keys, "t", "t2", (F.col("t2") - F.col("t")).alias("duration"), F.col("a.state").alias("a_state"), F.col("b.state").alias("b_state"), F.col("b.s").alias("b_start"), F.col("b.e").alias("b_end"))
+
+
+def bout_purity(segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per bout of the second side of `atomic_segments`: the first side's label that fills most of it (the first by name
+    of equal ones), the labelled time and that label's share."""
+    bout = [*(keys or []), F.col("b_start").alias("p_start"), F.col("b_end").alias("p_end")]
+    by = segments.groupBy(*bout, "a_state").agg(F.sum("duration").alias("d"))
+    names = [*(keys or []), "p_start", "p_end"]
+    most = by.groupBy(*names).agg(F.max("d").alias("most"), F.sum("d").alias("total"))
+    top = by.join(most, names).where("d = most").groupBy(*names).agg(F.min("a_state").alias("dominant"), F.first("total").alias("total"), F.first("most").alias("most"))
+    return top.select(*names, "dominant", "total", (F.col("most") / F.col("total")).alias("purity"))
 
 
 def absorb_brief(intervals: DataFrame, keys: list[str], max_break: float) -> DataFrame:
     """Absorbs intervals shorter than `max_break` between two of one state, leftmost first, until none is left.
 
-    The rule looks at what earlier merges made, so each key's intervals are folded in order as one small
-    sorted array; samples are not involved.
+    The rule looks at what earlier merges made: one pass over a recording's intervals with a stack of those that stand, in
+    time linear in them.
     """
-    row = F.struct(F.col("start_time").cast("double").alias("s"), F.col("end_time").cast("double").alias("e"), F.col("state").alias("state"))
-    kind = "array<struct<s:double,e:double,state:string>>"
-    items = intervals.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("x"))
-
-    def push(acc: Column, item: Column) -> Column:
-        n = F.size(acc)
-        last, before = F.element_at(acc, -1), F.element_at(acc, -2)
-        joined = F.struct(before["s"].alias("s"), item["e"].alias("e"), before["state"].alias("state"))
-        brief = (n >= 2) & (last["e"] - last["s"] < max_break) & (before["state"] == item["state"])
-        return F.when(brief, F.concat(F.slice(acc, 1, F.greatest(n - 2, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(item)))
-
-    folded = items.select(*keys, F.explode(F.aggregate("x", F.array().cast(kind), push)).alias("r"))
-    return folded.select(*keys, F.col("r.state").alias("state"), F.col("r.s").alias("start_time"), F.col("r.e").alias("end_time"))
+    schema = T.StructType([*(intervals.schema[k] for k in keys), T.StructField("state", T.StringType()), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])
+
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("start_time", "ascending"), ("end_time", "ascending"), ("state", "ascending")])
+        stack: list[tuple[str, float, float]] = []
+        for state, start, end in zip(*(rows.column(c).to_pylist() for c in ("state", "start_time", "end_time")), strict=True):
+            if len(stack) > 1 and stack[-2][0] == state and stack[-1][2] - stack[-1][1] < max_break:
+                stack.pop()
+                state, start, _ = stack.pop()
+            stack.append((state, start, end))
+        states, starts, ends = zip(*stack, strict=True)
+        own = {k: pa.array([v.as_py()] * len(stack), v.type) for k, v in zip(keys, key, strict=True)}
+        return pa.table(own | {"state": pa.array(states, pa.string()), "start_time": pa.array(starts, pa.float64()), "end_time": pa.array(ends, pa.float64())})
+
+    return intervals.select(*keys, "state", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time")).groupBy(*keys).applyInArrow(fold, schema)

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tracetide.operators.blocks import cut
+
+
+def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds `__place`, the row's place from 0 in the order of the whole table, without bringing the table together.
+
+    Rows go to ranges and are numbered there; the sizes of earlier ranges, one row each, are added.
+    """
+    dealt = cut(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = dealt.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", before.alias("__start"))  # a row a range
+    return dealt.withColumn("__p", part).join(F.broadcast(start), "__p").withColumn("__place", F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__start")
+
 
 @pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
@@ -63,17 +77,35 @@ def meta_analysis(wide: DataFrame, cluster: str) -> DataFrame:
     return out.withColumns({"low": F.col("random") - 1.959963984540054 * F.col("se"), "high": F.col("random") + 1.959963984540054 * F.col("se")})
 
 
+@pandas_udf(DoubleType())
+def student_quantile(df: pd.Series) -> pd.Series:
+    """The point that 97.5 % of Student's t lie below, by bisection of its two-sided p. One row a test."""
+
+    def one(n: float) -> float | None:
+        if pd.isna(n) or n <= 0:
+            return None
+        low, high = 0.0, 1e7
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if student_p.func(pd.Series([mid]), pd.Series([n]))[0] > 0.05 else (low, mid)
+        return (low + high) / 2
+
+    return pd.Series([one(n) for n in df], dtype="float64")
+
+
 def cluster_test(wide: DataFrame, cluster: str, summary: str = "median") -> DataFrame:
-    """One-sample t over the clusters' summaries of delta, and the signed-rank sums; null p below two clusters."""
+    """One-sample t over the clusters' summaries of delta, its 95 % interval, and the signed-rank sums; null p and interval
+    below two clusters. Ranks come from an order over ranges; ties share the mean of their places."""
     pick = F.percentile("delta", F.lit(0.5)) if summary == "median" else F.avg("delta")
     one = wide.groupBy(cluster).agg(pick.alias("y"))
-    w = W.orderBy(F.abs("y"))
-    same = F.count(F.lit(1)).over(W.partitionBy(F.abs("y")))  # a tie of c adds c (c^2 - 1), c times c^2 - 1
-    ranks = one.where("y <> 0").withColumn("c", same).withColumn("r", F.rank().over(w) + (F.col("c") - 1) / 2)
+    placed = in_order(one.where("y <> 0").select("y", F.abs("y").alias("size")), "size")
+    ties = placed.groupBy("size").agg(F.count(F.lit(1)).alias("c"), (F.avg("__place") + 1).alias("r"), F.count_if(F.col("y") > 0).alias("up"))
     s = one.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"))
-    plus = ranks.agg(F.sum(F.when(F.col("y") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("y") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).cast("double").alias("n_ranked"), F.coalesce(F.sum(F.col("c") * F.col("c") - 1), F.lit(0)).cast("double").alias("ties"))
-    out = s.join(F.broadcast(plus)).withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
-    return out.withColumns({"p": student_p("t", (F.col("n") - 1).cast("double")), "w_p": signed_rank_p("n_ranked", "w_plus", "w_minus", "ties")}).drop("sd", "n_ranked", "ties")
+    c = F.col("c")  # a tie of c adds c (c^2 - 1)
+    plus = ties.agg(F.coalesce(F.sum(F.col("up") * F.col("r")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((c - F.col("up")) * F.col("r")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(c), F.lit(0)).cast("double").alias("n_ranked"), F.coalesce(F.sum(c * (c * c - 1)), F.lit(0)).cast("double").alias("ties"))
+    se, df = F.col("sd") / F.sqrt("n"), (F.col("n") - 1).cast("double")
+    out = s.join(F.broadcast(plus)).withColumns({"t": F.try_divide(F.col("mean"), se), "__q": student_quantile(df) * se})
+    return out.withColumns({"p": student_p("t", df), "w_p": signed_rank_p("n_ranked", "w_plus", "w_minus", "ties"), "low": F.col("mean") - F.col("__q"), "high": F.col("mean") + F.col("__q")}).drop("sd", "n_ranked", "ties", "__q")
 
 
 @pandas_udf(DoubleType())
@@ -102,7 +134,7 @@ def bootstrap(wide: DataFrame, levels: list[str], n: int, seed: int = 0) -> Data
     within their parent and drawn by equality of numbers.
     """
     top, mid = levels
-    subjects = wide.select(top).distinct().withColumn("k", F.row_number().over(W.orderBy(top)) - 1)
+    subjects = in_order(wide.select(top).distinct(), top).withColumnRenamed("__place", "k")
     cells = wide.select(top, mid).distinct().withColumn("kc", F.row_number().over(W.partitionBy(top).orderBy(mid)) - 1)
     pairs = wide.select(top, mid, "i", "j", "delta").withColumn("kp", F.row_number().over(W.partitionBy(top, mid).orderBy("i", "j")) - 1)
     ns = subjects.agg(F.count(F.lit(1)).alias("ns"))

@@ -51,13 +51,20 @@ def epoch_labels(spark, d):
     return iv.overlap_labels(epochs(spark, d), lab, 0.4).select("epoch_idx", "label", "overlap")
 
 
+def recorded(spark, d):
+    return iv.atomic_segments(st.recording_states(spark, d, 0), st.recording_states(spark, d, 1), ["rec"])
+
+
 def atomic(spark, d):
-    return iv.atomic_segments(st.user_states(spark, d, 0), st.user_states(spark, d, 1))
+    return recorded(spark, d).drop("b_start", "b_end")
 
 
 def purity(spark, d):
-    p = st.user_states(spark, d, 1)
-    return iv.bout_purity(atomic(spark, d), p).withColumn("purity", F.round("purity", 9))
+    return iv.bout_purity(recorded(spark, d), ["rec"]).withColumn("purity", F.round("purity", 9))
+
+
+def absorbed(spark, d):
+    return iv.absorb_brief(st.recording_states(spark, d, 0), ["rec"], 13.0)
 
 
 def clock_bins(spark, d):
@@ -68,6 +75,10 @@ def clock_bins(spark, d):
 BOUTS = """bouts AS (SELECT st.state, st.start_time, st.end_time, row_number() OVER (ORDER BY st.start_time) - 1 AS bout_idx, count(i.sample_idx) * 1.0 AS valid_duration, st.end_time - st.start_time AS wall_duration
   FROM states st LEFT JOIN inside i ON i.start_time = st.start_time AND i.is_valid GROUP BY 1, 2, 3)"""
 
+SWEPT = """ed AS (SELECT DISTINCT rec, t FROM (SELECT rec, start_time AS t FROM rec_states UNION ALL SELECT rec, end_time FROM rec_states)), sg AS (SELECT rec, t, lead(t) OVER (PARTITION BY rec ORDER BY t) AS t2 FROM ed),
+swept AS (SELECT sg.rec, t, t2, t2 - t AS duration, a.state AS a_state, b.state AS b_state, b.start_time AS p_start, b.end_time AS p_end FROM sg JOIN rec_states a ON a.rec = sg.rec AND a.p = 0 AND (t + t2) / 2.0 >= a.start_time AND (t + t2) / 2.0 < a.end_time
+  JOIN rec_states b ON b.rec = sg.rec AND b.p = 1 AND (t + t2) / 2.0 >= b.start_time AND (t + t2) / 2.0 < b.end_time)"""
+
 QUERIES = {
     "event_rate_by_state": event_rate_by_state,
     "validity_masks": validity_masks,
@@ -86,7 +97,7 @@ QUERIES = {
     "epoch_labels": epoch_labels,
     "atomic_segments": atomic,
     "bout_purity": purity,
-    "absorbed_states": lambda s, d: iv.absorb_brief(st.states(s, d).withColumn("k", F.lit(0)), ["k"], 7.0).drop("k"),
+    "absorbed_states": absorbed,
 }
 
 ORACLES = {
@@ -122,9 +133,12 @@ FROM states, (SELECT min(start_time) AS t0, max(end_time) AS t1 FROM states)""")
 h AS (SELECT epoch_idx, state, least(e_end, end_time) - greatest(e_start, start_time) AS overlap, start_time, end_time FROM ep JOIN every_states s ON s.p = 0 AND start_time < e_end AND end_time > e_start),
 b AS (SELECT *, row_number() OVER (PARTITION BY epoch_idx ORDER BY overlap DESC, start_time, end_time) AS r FROM h WHERE overlap >= 0.4 * 5)
 SELECT epoch_idx, b.state AS label, overlap FROM ep LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (epoch_idx)"""),
-    "atomic_segments": sql("""ed AS (SELECT DISTINCT t FROM (SELECT start_time AS t FROM every_states WHERE p < 2 UNION ALL SELECT end_time FROM every_states WHERE p < 2)), sg AS (SELECT t, lead(t) OVER (ORDER BY t) AS t2 FROM ed)
-SELECT t, t2, t2 - t AS duration, a.state AS a_state, b.state AS b_state FROM sg JOIN every_states a ON a.p = 0 AND (t + t2) / 2.0 >= a.start_time AND (t + t2) / 2.0 < a.end_time JOIN every_states b ON b.p = 1 AND (t + t2) / 2.0 >= b.start_time AND (t + t2) / 2.0 < b.end_time"""),
-    "bout_purity": sql("""ed AS (SELECT DISTINCT t FROM (SELECT start_time AS t FROM every_states WHERE p < 2 UNION ALL SELECT end_time FROM every_states WHERE p < 2)), sg AS (SELECT t, lead(t) OVER (ORDER BY t) AS t2 FROM ed),
-s2 AS (SELECT b.start_time AS p_start, b.end_time AS p_end, a.state, sum(t2 - t) AS d FROM sg JOIN every_states a ON a.p = 0 AND (t + t2) / 2.0 >= a.start_time AND (t + t2) / 2.0 < a.end_time JOIN every_states b ON b.p = 1 AND (t + t2) / 2.0 >= b.start_time AND (t + t2) / 2.0 < b.end_time GROUP BY 1, 2, 3)
-SELECT p_start, p_end, first(state ORDER BY d DESC, state) AS dominant, CAST(sum(d) AS BIGINT) AS total, round(max(d) / sum(d), 9)::DOUBLE AS purity FROM s2 GROUP BY 1, 2"""),
+    "atomic_segments": sql(SWEPT + " SELECT rec, t, t2, duration, a_state, b_state FROM swept"),
+    "bout_purity": sql(SWEPT + """, d AS (SELECT rec, p_start, p_end, a_state, sum(duration) AS d FROM swept GROUP BY ALL)
+SELECT rec, p_start, p_end, first(a_state ORDER BY d DESC, a_state) AS dominant, CAST(sum(d) AS BIGINT) AS total, round(max(d) / sum(d), 9)::DOUBLE AS purity FROM d GROUP BY 1, 2, 3"""),
+    "absorbed_states": sql("""x AS (SELECT rec, state, start_time::DOUBLE AS s, end_time::DOUBLE AS e, row_number() OVER (PARTITION BY rec ORDER BY start_time) AS i FROM rec_states WHERE p = 0),
+fold AS (SELECT rec, 1 AS i, [{'state': state, 's': s, 'e': e}] AS st FROM x WHERE i = 1
+  UNION ALL SELECT x.rec, x.i, CASE WHEN len(st) > 1 AND st[len(st) - 1].state = x.state AND st[len(st)].e - st[len(st)].s < 13 THEN list_append(st[1:len(st) - 2], {'state': x.state, 's': st[len(st) - 1].s, 'e': x.e})
+    ELSE list_append(st, {'state': x.state, 's': x.s, 'e': x.e}) END FROM fold JOIN x ON x.rec = fold.rec AND x.i = fold.i + 1)
+SELECT rec, r.state, r.s AS start_time, r.e AS end_time FROM (SELECT rec, unnest(st) AS r FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY i DESC) AS k FROM fold) WHERE k = 1)""").replace("WITH\n", "WITH RECURSIVE\n", 1),
 }

@@ -10,6 +10,7 @@ from tracetide.operators import pairs as pr
 from tracetide.operators import stats as ss
 from tracetide.plans import standins as st
 from tracetide.plans.signal_queries import rounded
+from tracetide.plans.interval_queries import SWEPT
 from tracetide.plans.standins import sql
 
 BLOCK = 26
@@ -73,10 +74,16 @@ def stability(spark, d):
 
 
 def metrics(spark, d):
-    seg = iv.atomic_segments(st.user_states(spark, d, 0), st.user_states(spark, d, 1))
+    seg = iv.atomic_segments(st.recording_states(spark, d, 0), st.recording_states(spark, d, 1), ["rec"])
     return rounded(ss.label_metrics(ss.confusion(seg, "a_state", "b_state", F.col("duration"))), "accuracy", "precision", "recall", "f1")
 
 
+def transition_windows(spark, d):
+    """Windows of 8 hours around every change from clicks to views of every recording, bouts of 12 hours at least."""
+    t = dy.onsets(st.recording_states(spark, d, 0), "view", "click", keys=["rec"], min_before=12, min_onset=12)
+    return rounded(dy.transition_windows(t, 8, 3, 20, 16).select("rec", "t0", "phase", "k", "w_start", "w_end", F.col("t_rel").cast("double").alias("t_rel")), "w_start")
+
+
 def onset_windows(spark, d):
     t = dy.onsets(st.states(spark, d), "view", "click")
     return dy.onset_windows(t, 4, 2, 12).select("t0", "k", F.col("w_start").cast("double").alias("w_start"), F.col("t_rel").cast("double").alias("t_rel"))
@@ -104,6 +111,7 @@ QUERIES = {
     "window_correlation": windows,
     "head_tail_drift": drift,
     "onset_windows": onset_windows,
+    "transition_windows": transition_windows,
     "onset_synchrony": lambda s, d: rounded(dy.onset_synchrony(user_trace(s, d), st.states(s, d), "view", "click", 4, 2, 12, 0.3).withColumn("t_rel", F.col("t_rel").cast("double")), "valid_share", "mean_r", "share_above"),
     "cell_means": lambda s, d: rounded(dy.mean_by_bin(classified(s, d).withColumn("rec", F.floor(F.col("i") / st.PER_RECORDING)), ["between_same_type", "between_cross_type"], ["state"], "rec"), "mean", "sd"),
     "binned_synchrony": lambda s, d: rounded(dy.binned(by_bout(s, d).withColumn("x", F.round(F.abs("r"), 9)), ["state"], "x", "n"), "mean", "sem"),
@@ -140,6 +148,12 @@ wa AS (SELECT b_start, w, t.* FROM wn JOIN trace t ON t.sample_idx BETWEEN b_sta
 ps AS (SELECT a.b_start, a.w, count(*) AS n, sum(a.value) AS sx, sum(b.value) AS sy, sum(a.value * a.value) AS sxx, sum(b.value * b.value) AS syy, sum(a.value * b.value) AS sxy FROM wa a JOIN wa b ON a.b_start = b.b_start AND a.w = b.w AND a.sample_idx = b.sample_idx AND a.unit_id < b.unit_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.b_start, a.w, a.unit_id, b.unit_id),
 pr AS (SELECT b_start, w, CASE WHEN n >= 2 AND sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e-9 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END AS r FROM ps)
 SELECT b_start, w, round(min(vs), 6)::DOUBLE AS valid_share, round(avg(r), 6) AS mean_r, round(avg(CASE WHEN r > 0.2 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share_above, count(r) AS n_pairs FROM ok JOIN pr USING (b_start, w) GROUP BY 1, 2"""),
+    "transition_windows": sql("""rs AS (SELECT * FROM rec_states WHERE p = 0), cand AS (SELECT a.rec, a.start_time AS t0, a.end_time AS on_end, max(b.end_time) AS pre_end, arg_max(b.start_time, b.end_time) AS pre_start FROM rs a JOIN rs b
+  ON a.rec = b.rec AND a.state = 'view' AND b.state = 'click' AND a.end_time - a.start_time >= 12 AND b.end_time BETWEEN a.start_time - 0.5 AND a.start_time + 0.01 GROUP BY 1, 2, 3),
+tr AS (SELECT * FROM cand WHERE pre_end - pre_start >= 12),
+sd AS (SELECT rec, t0, 'pre' AS phase, greatest(t0 - 20, pre_start) AS lo, t0 AS hi FROM tr UNION ALL SELECT rec, t0, 'post', t0, least(t0 + 16, on_end) FROM tr),
+w AS (SELECT *, unnest(generate_series(0, CAST(floor((hi - lo - 8 + 1e-9) / 3.0) AS BIGINT))) AS k FROM sd WHERE hi - lo >= 8)
+SELECT rec, t0, phase, k, round(lo + k * 3.0, 6)::DOUBLE AS w_start, (lo + k * 3.0 + 8)::DOUBLE AS w_end, (lo + k * 3.0 + 4 - t0)::DOUBLE AS t_rel FROM w"""),
     "onset_windows": sql("""tr AS (SELECT a.start_time AS t0, a.end_time AS on_end, max(b.end_time) AS pre_end, first(b.start_time ORDER BY b.end_time DESC) AS pre_start FROM states a JOIN states b ON a.state = 'view' AND b.state = 'click' AND b.end_time BETWEEN a.start_time - 0.5 AND a.start_time + 0.01 GROUP BY 1, 2),
 w AS (SELECT *, unnest(generate_series(-6, 6)) AS k FROM tr)
 SELECT t0, CAST(k AS INT) AS k, CAST(t0 + k * 2 AS DOUBLE) AS w_start, CAST(k * 2 + 2 AS DOUBLE) AS t_rel FROM w WHERE (k < 0 AND k * 2 + 4 <= 0 AND t0 + k * 2 >= pre_start) OR (k >= 0 AND t0 + k * 2 + 4 <= on_end)"""),
@@ -169,8 +183,7 @@ SELECT rec, i, """ + ", ".join(f"round(max(r) FILTER (j = {k}), 6) AS u{k}" for
 s AS (SELECT count(*) AS k, sum(w) AS sw, sum(w * w) AS sww, sum(w * y) / sum(w) AS fixed, sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) AS q FROM o), t AS (SELECT *, greatest(0.0, (q - (k - 1)) / (sw - sww / sw)) AS tau2 FROM s),
 r AS (SELECT t.k, t.fixed, t.q, t.tau2, sum(y / (1 / w + tau2)) / sum(1 / (1 / w + tau2)) AS rnd, 1 / sqrt(sum(1 / (1 / w + tau2))) AS se FROM o, t GROUP BY 1, 2, 3, 4)
 SELECT k, round(fixed, 6) AS fixed, round(q, 6) AS q, round(tau2, 6) AS tau2, round(rnd, 6) AS random, round(se, 6) AS se, round(rnd - 1.959963984540054 * se, 6) AS low, round(rnd + 1.959963984540054 * se, 6) AS high FROM r"""),
-    "label_metrics": sql("""ed AS (SELECT DISTINCT t FROM (SELECT start_time AS t FROM every_states WHERE p < 2 UNION ALL SELECT end_time FROM every_states WHERE p < 2)), sg AS (SELECT t, lead(t) OVER (ORDER BY t) AS t2 FROM ed),
-m AS (SELECT a.state AS truth, b.state AS pred, CAST(sum(t2 - t) AS BIGINT) AS n FROM sg JOIN every_states a ON a.p = 0 AND (t + t2) / 2.0 >= a.start_time AND (t + t2) / 2.0 < a.end_time JOIN every_states b ON b.p = 1 AND (t + t2) / 2.0 >= b.start_time AND (t + t2) / 2.0 < b.end_time GROUP BY 1, 2),
+    "label_metrics": sql(SWEPT + """, m AS (SELECT a_state AS truth, b_state AS pred, CAST(sum(duration) AS BIGINT) AS n FROM swept GROUP BY 1, 2),
 l AS (SELECT label, CAST(coalesce(sum(n) FILTER (WHERE truth = label), 0) AS BIGINT) AS support, CAST(coalesce(sum(n) FILTER (WHERE pred = label), 0) AS BIGINT) AS predicted, CAST(coalesce(sum(n) FILTER (WHERE truth = label AND pred = label), 0) AS BIGINT) AS hits FROM m, (SELECT truth AS label FROM m UNION SELECT pred FROM m) GROUP BY 1),
 q AS (SELECT *, (SELECT sum(n) FILTER (WHERE truth = pred) / sum(n) FROM m) AS accuracy, coalesce(hits / nullif(predicted, 0), 0.0) AS precision, coalesce(hits / nullif(support, 0), 0.0) AS recall FROM l)
 SELECT label, support, predicted, hits, round(accuracy, 6)::DOUBLE AS accuracy, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6)::DOUBLE AS f1 FROM q"""),

@@ -55,6 +55,15 @@ def user_states(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
     return iv.merge_equal(blocks, [])
 
 
+def recording_states(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
+    """`rec, state, start_time, end_time`: the same for five successive users to a recording."""
+    e = timed_events(spark, sf_dir).where(F.col("user_id") % 2 == parity).select(F.floor(F.col("user_id") / 5).alias("rec"), F.floor(F.col("t") / 6).alias("block"), "event_type")
+    n = e.groupBy("rec", "block", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(W.partitionBy("rec", "block").orderBy(F.desc("n"), "event_type"))
+    blocks = n.withColumn("r", first).where("r = 1").select("rec", F.col("event_type").alias("state"), (F.col("block") * 6).alias("start_time"), (F.col("block") * 6 + 6).alias("end_time"))
+    return iv.merge_equal(blocks, ["rec"])
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`sample_idx, is_valid`: at least eight of the twelve units have a value."""
     return trace(spark, sf_dir).groupBy("sample_idx").agg((F.count("value") >= 8).alias("is_valid"))
@@ -92,6 +101,10 @@ blk AS (SELECT p, event_type AS state, block * 6 AS s, block * 6 + 6 AS en FROM
 isl AS (SELECT *, sum(CASE WHEN state = pv THEN 0 ELSE 1 END) OVER (PARTITION BY p ORDER BY s) AS g FROM (SELECT *, lag(state) OVER (PARTITION BY p ORDER BY s) AS pv FROM blk)),
 every_states AS (SELECT p, state, min(s) AS start_time, max(en) AS end_time, count(*) AS n_rows FROM isl GROUP BY p, g, state),
 states AS (SELECT state, start_time, end_time, n_rows FROM every_states WHERE p = 2),
+rcnt AS (SELECT user_id // 5 AS rec, user_id % 2 AS p, CAST(floor(t / 6) AS BIGINT) AS block, event_type, count(*) AS n FROM te GROUP BY 1, 2, 3, 4),
+rblk AS (SELECT rec, p, event_type AS state, block * 6 AS s, block * 6 + 6 AS en FROM (SELECT *, row_number() OVER (PARTITION BY rec, p, block ORDER BY n DESC, event_type) AS r FROM rcnt) WHERE r = 1),
+risl AS (SELECT *, sum(CASE WHEN state = pv THEN 0 ELSE 1 END) OVER (PARTITION BY rec, p ORDER BY s) AS g FROM (SELECT *, lag(state) OVER (PARTITION BY rec, p ORDER BY s) AS pv FROM rblk)),
+rec_states AS (SELECT rec, p, state, min(s) AS start_time, max(en) AS end_time FROM risl GROUP BY rec, p, g, state),
 inside AS (SELECT m.sample_idx, m.is_valid, min(st.state) AS state, min(start_time) AS start_time, min(end_time) AS end_time FROM mask m JOIN states st ON m.sample_idx BETWEEN st.start_time AND st.end_time GROUP BY 1, 2 HAVING count(*) = 1),
 sup AS (SELECT l_suppkey // 25 AS rec, l_suppkey AS unit_id, l_suppkey AS unit_pos, CAST(floor((CAST(l_shipdate AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS sample_idx, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3, 4),
 sgrp AS (SELECT s_suppkey AS unit_id, s_suppkey // 25 * 25 + n_nationkey AS group_id, n_regionkey AS group_type FROM supplier JOIN nation ON s_nationkey = n_nationkey)
