@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracetide.operators import boosting as bo
 from tracetide.operators import features as fe
 from tracetide.operators import scoring as sc
+from tracetide.operators import sessions as se
 from tracetide.operators import signals as sg
 from tracetide.plans import standins as st
 from tracetide.plans.signal_queries import rounded
@@ -65,6 +66,20 @@ def smooth_decoded(spark, d):
     return sc.decode_sessions(p, sc.Durations.smooth(STATES, {x: 6.0 for x in STATES}, 2.0, 0.5, longest_s=60.0))
 
 
+HOURS = se.Plan(fs=4.0, fs_frames=1.0, epoch_s=12.0, context=("diam_mean",), context_windows=(3, 5), median_s={x: 48.0 for x in sc.STATES}, sigma={x: 1.0 for x in sc.STATES}, longest_s=240.0)
+
+
+def session_bouts(spark, d):
+    """Five users to a session: events are its samples and frames, in hours; the commonest events of the even users label it."""
+    e = st.timed_events(spark, d).withColumn("session_id", F.floor(F.col("user_id") / 5))
+    eye = e.select("session_id", F.col("event_id").alias("frame"), F.col("value").alias("diameter"), (F.col("value") * 2).alias("motion"), (F.col("value") % 7).alias("eyelid"), (F.col("event_id") % 10 / 10).alias("eyelid_norm"))
+    whisk = e.select("session_id", F.col("event_id").alias("frame"), "t", F.col("value").alias("whisking"))
+    session = se.assemble(e.select("session_id", "t", "value"), eye, whisk)
+    labels = st.recording_states(spark, d, 0).select(F.col("rec").alias("session_id"), F.col("state").alias("label"), F.col("start_time").alias("l_start"), F.col("end_time").alias("l_end"))
+    labels = labels.withColumn("label", F.try_element_at(F.create_map(*[F.lit(x) for x in ("click", "N", "error", "REM", "view", "wake")]), "label")).where("label is not null")
+    return se.score_sessions(session, se.train_sessions(session, labels, HOURS, folds=2, rounds=3), HOURS).bouts
+
+
 def probabilities(spark, d):
     df = labelled(spark, d)
     return sc.argmax_label(sc.state_probabilities(df, sc.train_states(df, features(df), STATES)), STATES)
@@ -140,6 +155,7 @@ QUERIES = {
     "balanced_weights": lambda s, d: rounded(sc.balanced_weights(table(s, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))), "weight"),
     "state_probabilities": lambda s, d: probabilities(s, d).select("row_id", "label", "pred_label", *[f"P_{x}" for x in STATES]),
     "boosted_states": boosted,
+    "session_bouts": session_bouts,
     "smooth_decoded_states": smooth_decoded,
     "decoded_states": decoded,
     "decoded_bouts": lambda s, d: sc.bouts_from_epochs(decoded(s, d).join(probabilities(s, d).select("session_id", "epoch_idx", "P_a"), ["session_id", "epoch_idx"]), "session_id", "state", ["P_a"]),
