@@ -67,14 +67,36 @@ def bounding_box(pixels: DataFrame, keys: list[str], pad: int = 0) -> DataFrame:
 def arc_length(points: DataFrame, vertices: DataFrame, line: str, point: str) -> DataFrame:
     """Projects points to the nearest segment of their polyline: distance along it from the first vertex, and off it.
 
-    points: `line, point, x, y`; vertices: `line, pos, x, y`. Points meet the segments of their own line.
+    points: `line, point, x, y`; vertices: `line, pos, x, y`. Segments lie in grids of cells, from their mean length up by
+    twos. A point takes the finest grid in which a segment lies in its cell or one beside it; then one is no further
+    than twice a cell's diagonal, and all that are as near lie within three cells. Points meet those segments only.
     """
     w = W.partitionBy(line).orderBy("pos")
     seg = vertices.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 is not null")
     seg = seg.withColumn("len", F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2)))
     seg = seg.withColumn("before", F.sum("len").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("len")).select(line, "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "len", "before")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    at = points.join(seg, line).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0)))))
+
+    ends = points.groupBy(line).agg(*[f(c).alias(f"__{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in "xy"])
+    spread = seg.groupBy(line).agg(F.avg("len").alias("__mean"), *[f(F.array_min(F.array(f"{c}1", f"{c}2")) if n == "c" else F.array_max(F.array(f"{c}1", f"{c}2"))).alias(f"__{n}{c}") for n, f in (("c", F.min), ("d", F.max)) for c in "xy"])
+    wide = F.greatest(*[F.greatest(f"__b{c}", f"__d{c}") - F.least(f"__a{c}", f"__c{c}") for c in "xy"])
+    cell = F.greatest(F.when(F.col("__mean") > 0, F.col("__mean")).when(wide > 0, wide).otherwise(1.0), wide / (1 << 20))
+    size = spread.join(ends, line).select(line, wide.alias("__wide"), cell.alias("__cell")).select(line, "__cell", (F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.col("__wide") / F.col("__cell"), F.lit(1.0))))) + 1).cast("int").alias("__top"))
+    levels = lambda df: df.join(size, line).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top")))).withColumn("__h", F.col("__cell") * F.pow(F.lit(2.0), "level")).drop("__cell", "__top")
+    place = lambda v: F.floor(v / F.col("__h"))
+
+    pieces = levels(seg).withColumn("__m", F.greatest(F.lit(1), F.ceil(F.col("len") / F.col("__h")))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
+    for c, d in (("x", dx), ("y", dy)):
+        a, b = F.col(f"{c}1") + d * F.col("__k") / F.col("__m"), F.col(f"{c}1") + d * (F.col("__k") + 1) / F.col("__m")
+        pieces = pieces.withColumn(f"c{c}", F.explode(F.sequence(place(F.least(a, b)), place(F.greatest(a, b)))))
+    cells = pieces.select(line, "level", "cx", "cy", "pos", "x1", "y1", "x2", "y2", "len", "before")
+    around = lambda df, n: df.withColumn("__i", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("__j", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumns({"cx": F.col("cx") + F.col("__i"), "cy": F.col("cy") + F.col("__j")}).drop("__i", "__j")
+    beside = around(cells.select(line, "level", "cx", "cy").distinct(), 1).distinct()
+
+    own = levels(points.select(line, point, "x", "y")).withColumns({"cx": place(F.col("x")), "cy": place(F.col("y"))}).drop("__h")
+    met = own.join(beside, [line, "level", "cx", "cy"], "left_semi").groupBy(line, point).agg(F.min_by(F.struct("level", "cx", "cy", "x", "y"), "level").alias("p")).select(line, point, "p.*")
+    at = around(met, 3).join(cells, [line, "level", "cx", "cy"])
+    at = at.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0)))))
     d2 = F.pow(F.col("x") - F.col("x1") - F.col("t") * dx, 2) + F.pow(F.col("y") - F.col("y1") - F.col("t") * dy, 2)
     best = F.min(F.struct(F.round(d2, 9).alias("d2"), "pos", (F.col("before") + F.col("t") * F.col("len")).alias("s")))
     return at.groupBy(line, point).agg(best.alias("b")).select(line, point, F.col("b.s").alias("arc"), F.sqrt("b.d2").alias("off"))
