@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracetide.operators.signals import _filled, zero_phase
+from tracetide.sources.detections import due, put
 
 
 @dataclass(frozen=True)
@@ -366,17 +367,8 @@ def refresh_detections(spark: SparkSession, trace: DataFrame, out: str, recordin
     `out`, a partition for each recording, replaced only for those built. The marker that makes them count is written
     last, so that a run that ends early is done again.
     """
-    marks = f"{out}/marks"
-    want = versions.select(recording, F.col("source_version").cast("string").alias("source_version"), F.lit(settings.mark).alias("settings"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(marks)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        have = spark.read.parquet(marks).select(want.schema[recording].name, "source_version", "settings")
-        want = want.join(have.withColumn(recording, F.col(recording).cast(want.schema[recording].dataType)), [recording, "source_version", "settings"], "left_anti")
-    todo = spark.createDataFrame(want.collect(), want.schema)  # a row for each recording that is to be built
-    own = lambda df: df.join(todo.select(recording), recording, "left_semi")
+    todo = due(spark, f"{out}/marks", versions, recording, settings.mark)
+    own = lambda df: df.join(F.broadcast(todo.select(recording)), recording, "left_semi")
     done = detect_events(own(trace), keys, settings, own(f0) if f0 is not None else None, [recording])
-    write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(recording).parquet(f"{out}/{name}")
-    for name, df in done._asdict().items():
-        write(df.join(F.broadcast(todo), recording), name)
-    write(todo, "marks")
+    put(done._asdict().items(), todo, out, recording)
     return todo

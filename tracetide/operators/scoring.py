@@ -6,9 +6,11 @@ import json
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -329,13 +331,26 @@ def force_state(epochs: DataFrame, label: str, state: str, threshold: float | No
     return epochs if threshold is None else epochs.withColumn(label, F.when(F.col(f"P_{state}") >= threshold, state).otherwise(F.col(label)))
 
 
-def leave_one_out(df: DataFrame, cols: list[str], states: list[str], subject: str) -> DataFrame:
-    """Predicted labels of each subject by a model of the others; subjects without all classes in training are left out."""
-    parts = []
-    for (who,) in df.select(subject).distinct().orderBy(subject).collect():
-        rest = df.where(F.col(subject) != who)
-        if rest.select("label").distinct().count() == len(states):
-            model = train_states(rest, cols, states)
-            parts.append(argmax_label(state_probabilities(df.where(F.col(subject) == who), model), states).select("row_id", subject, "label", "pred_label"))
+def untrainable(df: DataFrame, subject: str, label: str = "label") -> DataFrame:
+    """`(subject, label)`: subjects that alone have a state, so that the others can't teach it."""
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(subject).alias(subject), F.max(subject).alias("__top")).where(F.col(subject).eqNullSafe(F.col("__top"))).select(subject, label)
+
+
+def leave_one_out(df: DataFrame, cols: list[str], states: list[str], subject: str, threads: int = 4) -> DataFrame:
+    """Predicted labels of each subject by a model of the others, models fitted side by side; subjects that `untrainable`
+    lists are left out."""
+    alone = {r[0] for r in untrainable(df, subject).select(subject).collect()}
+    who = [r[0] for r in df.select(subject).distinct().orderBy(subject).collect() if r[0] not in alone]
+    rows = df.persist()
+    try:
+
+        def one(name) -> DataFrame:
+            model = train_states(rows.where(F.col(subject) != name), cols, states)
+            return argmax_label(state_probabilities(df.where(F.col(subject) == name), model), states).select("row_id", subject, "label", "pred_label")
+
+        with ThreadPool(max(1, min(threads, len(who)))) as pool:
+            parts = pool.map(inheritable_thread_target(df.sparkSession)(one), who)
+    finally:
+        rows.unpersist()
     none = df.select("row_id", subject, "label", F.col("label").cast("string").alias("pred_label")).where(F.lit(False))
     return reduce(lambda a, b: a.unionByName(b), parts, none)
