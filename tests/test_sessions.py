@@ -90,6 +90,24 @@ def test_two_interval_tables(scored):
     assert len(rows) == 1 + (states[1:] != states[:-1]).sum() and rows["end_time"].max() == top["end_s"].max()
 
 
+def test_evaluation_of_two_sessions(spark):
+    """One epoch of six wrong, by epochs and by time; a session without labels isn't judged."""
+    states = ["NREM", "NREM", "REM", "Wake", "Wake", "Wake"]
+    own = lambda sid, states: [(sid, k, float(k), k + 1.0, s, *[0.8 if s == x else 0.1 for x in LOOKS]) for k, s in enumerate(states)]
+    epochs = spark.createDataFrame(own("a", states) + own("b", ["REM"] * 6) + own("c", states), "session_id string, epoch_idx long, start_s double, end_s double, pred_label string, P_NREM double, P_REM double, P_Wake double")
+    bouts = spark.createDataFrame([("a", 0.0, 2.0, "NREM"), ("a", 2.0, 3.0, "REM"), ("a", 3.0, 6.0, "Wake"), ("b", 0.0, 6.0, "REM"), ("c", 0.0, 6.0, "Wake")], "session_id string, start_s double, end_s double, label string")
+    labels = spark.createDataFrame([("a", "NREM_SWS", 0.0, 2.0), ("a", "REM", 2.0, 4.0), ("a", "Artifact", 4.0, 5.0), ("a", "Wake", 5.0, 6.0), ("b", "R", 0.0, 4.5), ("b", "unknown", 4.5, 6.0)], "session_id string, label string, l_start double, l_end double")
+    got = se.evaluate_sessions(se.Scored(epochs, bouts), labels, se.Plan(FS))
+    for table in (got.epoch_metrics, got.bout_metrics):
+        assert {r.session_id: r.accuracy for r in table.collect()} == {"a": pytest.approx(5 / 6), "b": 1.0}
+    rem = got.bout_metrics.where("session_id = 'a' and label = 'REM'").first()
+    assert (rem.support, rem.precision, rem.recall) == (2.0, 1.0, 0.5)
+    assert [tuple(r) for r in got.epoch_mismatches.collect()] == [("a", 3.0, 4.0, "REM", "Wake")]
+    assert [tuple(r) for r in got.bout_mismatches.collect()] == [("a", 3.0, 4.0, 1.0, "REM", "Wake")]
+    purity = {(r.session_id, r.p_start): (r.dominant, r.purity) for r in got.purity.collect()}
+    assert purity["a", 3.0] == ("Wake", pytest.approx(2 / 3)) and purity["b", 0.0] == ("REM", 1.0)
+
+
 def test_published_once(spark, session, model, tmp_path):
     out = str(tmp_path / "o")
     one = se.Session(*(d.where("session_id = 'a'") for d in session))

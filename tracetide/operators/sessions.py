@@ -16,7 +16,8 @@ from tracetide.operators import boosting as bo
 from tracetide.operators import features as fe
 from tracetide.operators import scoring as sc
 from tracetide.operators.blocks import cut
-from tracetide.operators.intervals import merge_equal, overlap_labels
+from tracetide.operators.intervals import atomic_segments, bout_purity, merge_equal, overlap_labels
+from tracetide.operators.stats import confusion, label_metrics
 from tracetide.sources.tables import trimmed
 
 KEY = "session_id"
@@ -131,6 +132,38 @@ def hypnograms(scored: Scored, plan: Plan) -> tuple[DataFrame, DataFrame]:
     return tuple(merge_equal(d, [KEY]).select(KEY, "state", "start_time", "end_time") for d in (bouts, likely))
 
 
+class Evaluation(NamedTuple):
+    epoch_metrics: DataFrame
+    bout_metrics: DataFrame
+    epoch_mismatches: DataFrame
+    bout_mismatches: DataFrame
+    purity: DataFrame
+
+
+def evaluate_sessions(scored: Scored, labels: DataFrame, plan: Plan) -> Evaluation:
+    """Scores against labels, `session_id, label, l_start, l_end`, of the sessions that have some.
+
+    By epoch: each epoch's likeliest state, before decoding, against the label it overlaps longest. By bout: decoded
+    bouts against labels, neighbours of one state joined, cut at every boundary and weighted by duration. Metrics are
+    precision, recall, F1 and support per session and state with the session's accuracy; mismatches are the epochs
+    and the pieces of time that differ; `purity` is each predicted bout's main label and its share.
+    """
+    known, _ = sc.standard_labels(labels)
+    known = known.where(F.col("label").isin(*plan.states))
+    truth = merge_equal(known.select(KEY, F.col("label").alias("state"), F.col("l_start").alias("start_time"), F.col("l_end").alias("end_time")), [KEY])
+    epochs = sc.argmax_label(scored.epochs, list(plan.states), "likely").withColumnsRenamed({"start_s": "e_start", "end_s": "e_end"})
+    both = overlap_labels(epochs, known, plan.min_share, [KEY], max(1, round(24 * plan.epoch_s))).where("label is not null")
+    bouts = scored.bouts.select(KEY, F.col("label").alias("state"), F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"))
+    pieces = atomic_segments(truth, bouts, [KEY])
+    return Evaluation(
+        label_metrics(confusion(both, "label", "likely", keys=[KEY]), [KEY]),
+        label_metrics(confusion(pieces, "a_state", "b_state", F.col("duration"), [KEY]), [KEY]),
+        both.where("label <> likely").select(KEY, F.col("e_start").alias("start_s"), F.col("e_end").alias("end_s"), F.col("label").alias("true_label"), F.col("likely").alias("max_label")),
+        pieces.where("a_state <> b_state").select(KEY, F.col("t").alias("start_s"), F.col("t2").alias("end_s"), F.col("duration").alias("duration_s"), F.col("a_state").alias("true_label"), F.col("b_state").alias("pred_label")),
+        bout_purity(pieces, [KEY]),
+    )
+
+
 # --- publishing ----------------------------------------------------------------------------------
 
 

@@ -147,17 +147,20 @@ def bootstrap(wide: DataFrame, levels: list[str], n: int, seed: int = 0) -> Data
     return p.groupBy("rep", "d1", "d2").agg(F.avg("delta").alias("m")).groupBy("rep").agg(F.avg("m").alias("statistic"))
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, weight: Column | None = None) -> DataFrame:
-    """`truth, predicted, n`: counts or summed weights over rows with both labels."""
-    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
-
-
-def label_metrics(matrix: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per label, with the overall accuracy beside them."""
-    rows = matrix.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"))
-    cols = matrix.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted"))
-    hits = matrix.where("truth = predicted").select(F.col("truth").alias("label"), F.col("n").alias("hits"))
-    total = matrix.agg((F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    out = rows.join(cols, "label", "full").join(hits, "label", "left").na.fill(0, ["support", "predicted", "hits"]).join(F.broadcast(total))
+def confusion(df: DataFrame, truth: str, predicted: str, weight: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+    """`keys, truth, predicted, n`: counts or summed weights over rows with both labels."""
+    by = [*(keys or []), F.col(truth).alias("truth"), F.col(predicted).alias("predicted")]
+    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"))
+
+
+def label_metrics(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per label (of each key), with the overall accuracy beside them."""
+    by = keys or []
+    rows = matrix.groupBy(*by, F.col("truth").alias("label")).agg(F.sum("n").alias("support"))
+    cols = matrix.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted"))
+    hits = matrix.where("truth = predicted").select(*by, F.col("truth").alias("label"), F.col("n").alias("hits"))
+    total = matrix.groupBy(*by).agg((F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    out = rows.join(cols, [*by, "label"], "full").join(hits, [*by, "label"], "left").na.fill(0, ["support", "predicted", "hits"])
+    out = out.join(total, by) if by else out.join(F.broadcast(total))
     out = out.withColumns({"precision": F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), F.lit(0.0)), "recall": F.coalesce(F.try_divide(F.col("hits"), F.col("support")), F.lit(0.0))})
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
