@@ -30,7 +30,7 @@ def fit_circles(points: DataFrame, keys: list[str], least: int = 4, order: str |
     part = lambda k: F.try_divide(_det([[rhs[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), det)
     ok = (F.col("n") >= least) & (F.abs(det) > 1e-9)
     s = s.withColumns({"a": F.when(ok, part(0)), "b": F.when(ok, part(1)), "c": F.when(ok, part(2))})
-    out = s.select(*keys, "n", (F.col("mx") + F.col("a") / 2).alias("cx"), (F.col("my") + F.col("b") / 2).alias("cy"), (2 * F.sqrt(F.greatest(F.lit(0.0), F.col("c") + (F.col("a") * F.col("a") + F.col("b") * F.col("b")) / 4))).alias("diameter"))
+    out = s.select(*keys, "n", (F.col("mx") + F.col("a") / 2).alias("cx"), (F.col("my") + F.col("b") / 2).alias("cy"), F.when(F.col("c").isNotNull(), 2 * F.sqrt(F.greatest(F.lit(0.0), F.col("c") + (F.col("a") * F.col("a") + F.col("b") * F.col("b")) / 4))).alias("diameter"))
     if order:
         w2 = W.partitionBy(*[k for k in keys if k != order]).orderBy(order)
         good = out.where("cx is not null")

@@ -100,6 +100,9 @@ QUERIES = {
     "scalar_rules": lambda s, d: table(s, d, "pages").select("page_id", rules.path_part(F.col("url")).alias("part"), rules.natural_key(F.regexp_extract("url", r"/(\w+/\d+)", 1)).alias("natural"), rules.layer((F.col("page_id") % 1000).cast("double")).alias("layer"), rules.group_id(F.concat(F.lit("b"), (F.col("page_id") % 7).cast("string"))).alias("grp"), rules.pair_key(F.col("page_id"), F.col("page_id") * 3 % 100).alias("pair")),
 }
 
+EDGES = """d AS (SELECT unit_id, sample_idx, coalesce(value, 0) - lag(coalesce(value, 0)) OVER (PARTITION BY unit_id ORDER BY sample_idx) AS d FROM trace), g AS (SELECT *, max(d) OVER (PARTITION BY unit_id) AS top FROM d),
+h AS (SELECT *, lag(sample_idx) OVER (PARTITION BY unit_id ORDER BY sample_idx) AS p FROM g WHERE d > top / 3), k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY sample_idx) AS n FROM h WHERE p IS NULL OR sample_idx - p >= 5)"""
+
 ORACLES = {
     "as_of_signup": sql("SELECT p.event_id, p.user_id, s.event_id AS signup_id FROM (SELECT *, round(t, 6) AS tt FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT *, round(t, 6) AS tt FROM e WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.tt >= s.tt"),
     "nearest_view": sql("""c AS (SELECT p.event_id, p.user_id, v.event_id AS view_id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(round(v.t, 6) - round(p.t, 6)), v.t) AS r FROM e p LEFT JOIN e v ON p.user_id = v.user_id AND v.event_type = 'view' AND abs(round(v.t, 6) - round(p.t, 6)) <= 24 WHERE p.event_type = 'purchase')
@@ -107,9 +110,22 @@ SELECT event_id, user_id, view_id FROM c WHERE r = 1"""),
     "event_blocks": sql("SELECT event_id, min(start_time // 6) AS block_id, CASE WHEN min(start_time // 6) IS NULL THEN 'no_block' ELSE 'ok' END AS status FROM e LEFT JOIN states s ON round(t, 6) BETWEEN s.start_time + 1 AND s.end_time WHERE event_type = 'error' GROUP BY 1"),
     "state_clock_lookup": sql("SELECT sample_idx, state, count(*) OVER (PARTITION BY state ORDER BY sample_idx) AS clock FROM (SELECT DISTINCT sample_idx FROM trace) JOIN states ON sample_idx >= start_time AND sample_idx < end_time"),
     "first_crossing": sql("s AS (SELECT unit_id, sample_idx - 1450 AS i, value FROM sup), l AS (SELECT unit_id, max(value) AS top FROM s WHERE i < 20 GROUP BY 1) SELECT unit_id, min(CASE WHEN value > top * 1.2 THEN i END) AS start_sample FROM s JOIN l USING (unit_id) GROUP BY 1"),
-    "pulses": sql("""d AS (SELECT unit_id, sample_idx, coalesce(value, 0) - lag(coalesce(value, 0)) OVER (PARTITION BY unit_id ORDER BY sample_idx) AS d FROM trace), g AS (SELECT *, max(d) OVER (PARTITION BY unit_id) AS top FROM d),
-h AS (SELECT *, lag(sample_idx) OVER (PARTITION BY unit_id ORDER BY sample_idx) AS p FROM g WHERE d > top / 3), k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY sample_idx) AS n FROM h WHERE p IS NULL OR sample_idx - p >= 5)
-SELECT unit_id, sample_idx + 1 AS pulse, CAST(n - 2 AS INT) AS frame FROM k WHERE n > 1"""),
+    "pulses": sql(EDGES + "SELECT unit_id, sample_idx + 1 AS pulse, CAST(n - 2 AS INT) AS frame FROM k WHERE n > 1"),
+    "reconciled_pulses": sql(EDGES + """, pu AS (SELECT unit_id, sample_idx + 1 AS pulse, n - 2 AS frame FROM k WHERE n > 1), s AS (SELECT unit_id, count(*) AS have, min(pulse) AS a, max(pulse) AS b FROM pu GROUP BY 1),
+more AS (SELECT *, unnest(range(1, 60 - have + 1)) AS i FROM s WHERE have < 60)
+SELECT unit_id, pulse::DOUBLE AS pulse, frame::BIGINT AS frame FROM pu WHERE frame < 60 UNION ALL SELECT unit_id, CASE WHEN have > 1 THEN b + i * ((b - a) / (have - 1)) END, have + i - 1 FROM more"""),
+    "scalar_rules": r"""SELECT page_id, regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g') AS part,
+  array_to_string(list_transform(regexp_extract_all(regexp_extract(url, '/(\w+/\d+)', 1), '\d+|\D+'), lambda p: CASE WHEN regexp_full_match(p, '\d+') THEN lpad(p, 12, '0') ELSE lower(p) END), '') AS natural,
+  CASE WHEN page_id % 1000 < 0 THEN NULL WHEN page_id % 1000 < 100 THEN 'L1' WHEN page_id % 1000 < 300 THEN 'L2/3' WHEN page_id % 1000 < 500 THEN 'L4' WHEN page_id % 1000 < 800 THEN 'L5' ELSE 'L6' END AS layer,
+  'B-' || page_id % 7 AS grp, array_to_string(list_sort([CAST(page_id AS VARCHAR), CAST(page_id * 3 % 100 AS VARCHAR)]), '+') AS pair FROM pages""",
+    "circle_fits": """WITH p AS (SELECT l_orderkey, l_quantity::DOUBLE AS x, l_discount * 100::DOUBLE AS y, l_tax * 100::DOUBLE + 1 AS w FROM lineitem), m AS (SELECT *, avg(x) OVER g AS mx, avg(y) OVER g AS my FROM p WINDOW g AS (PARTITION BY l_orderkey)),
+t AS (SELECT *, x - mx AS u, y - my AS v, (x - mx) * (x - mx) + (y - my) * (y - my) AS z FROM m),
+s AS (SELECT l_orderkey, count(*) AS n, min(mx) AS mx, min(my) AS my, sum(w) AS sw, sum(w * u) AS su, sum(w * v) AS sv, sum(w * u * u) AS suu, sum(w * u * v) AS suv, sum(w * v * v) AS svv, sum(w * u * z) AS suz, sum(w * v * z) AS svz, sum(w * z) AS sz FROM t GROUP BY 1),
+d AS (SELECT *, suu * (svv * sw - sv * sv) - suv * (suv * sw - sv * su) + su * (suv * sv - svv * su) AS det FROM s),
+f AS (SELECT *, CASE WHEN n >= 5 AND abs(det) > 1e-9 THEN (suz * (svv * sw - sv * sv) - suv * (svz * sw - sv * sz) + su * (svz * sv - svv * sz)) / det END AS a,
+  CASE WHEN n >= 5 AND abs(det) > 1e-9 THEN (suu * (svz * sw - sv * sz) - suz * (suv * sw - sv * su) + su * (suv * sz - svz * su)) / det END AS b,
+  CASE WHEN n >= 5 AND abs(det) > 1e-9 THEN (suu * (svv * sz - svz * sv) - suv * (suv * sz - svz * su) + suz * (suv * sv - svv * su)) / det END AS c FROM d)
+SELECT l_orderkey, n, round(mx + a / 2, 4) AS cx, round(my + b / 2, 4) AS cy, round(CASE WHEN a IS NOT NULL THEN 2 * sqrt(greatest(0.0, c + (a * a + b * b) / 4)) END, 4) AS diameter FROM f""",
     "document_freshness": """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_applicable' WHEN quality <> 1 OR 1 - toxic <> 1 THEN 'stale' ELSE 'fresh' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "document_readiness": """SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, p.page_id IS NOT NULL AS paged, n_chars > 500 AS long, l.doc_id IS NOT NULL AND p.page_id IS NOT NULL AND n_chars > 500 AS ready FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN pages p ON p.page_id = d.doc_id""",
     "overall_status": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'missing' WHEN quality = 0 THEN 'stale' ELSE 'fresh' END AS overall, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'quality' END AS component FROM labels",
@@ -132,6 +148,4 @@ SELECT line, point, round(first(bef + t * len ORDER BY d2, pos), 6) AS arc, roun
 c AS (SELECT *, CAST(sum(n_samples) OVER (PARTITION BY o_custkey ORDER BY trial) AS BIGINT) AS last_sample FROM n), f AS (SELECT *, last_sample - n_samples AS first_sample, greatest(last_sample - n_samples, 200) AS slice_start, least(last_sample, 600) AS slice_end FROM c)
 SELECT * FROM f WHERE slice_end > slice_start""",
     "even_sample": "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) WHERE r IN (SELECT CAST(floor((k + 0.5) * (SELECT count(*) FROM orders) / 100) AS BIGINT) FROM range(100) t(k))",
-    "circle_fits": None,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

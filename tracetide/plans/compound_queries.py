@@ -101,6 +101,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "eyelid_openness": """WITH c AS (SELECT c_custkey // 4 AS frame, c_custkey % 4 AS part, c_acctbal / 100 AS x, c_acctbal % 37 AS y FROM customer),
+w AS (SELECT frame, max(x) FILTER (WHERE part = 0) AS mx, max(y) FILTER (WHERE part = 0) AS my, max(x) FILTER (WHERE part = 1) AS lx, max(y) FILTER (WHERE part = 1) AS ly,
+  max(x) FILTER (WHERE part = 2) AS ax, max(y) FILTER (WHERE part = 2) AS ay, max(x) FILTER (WHERE part = 3) AS bx, max(y) FILTER (WHERE part = 3) AS by_ FROM c GROUP BY 1),
+d AS (SELECT frame, sqrt((lx - mx) * (lx - mx) + (ly - my) * (ly - my)) AS width, abs((ay - by_) * (lx - mx) - (ax - bx) * (ly - my)) AS cross_ FROM w)
+SELECT frame, round(width, 5) AS width, round(cross_ / width, 5) AS open, round(cross_ / width / width, 5) AS open_norm FROM d""",
+    "bout_timeline": sql(BOUTS + """, lg AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY start_time) - 1 AS state_idx FROM bouts WHERE valid_duration >= 10),
+wn AS (SELECT *, unnest(generate_series(0, (end_time - start_time - 6) // 3)) AS w FROM lg WHERE end_time - start_time >= 6), wa AS (SELECT bout_idx, w, t.* FROM wn JOIN trace t ON t.sample_idx BETWEEN wn.start_time + w * 3 AND wn.start_time + w * 3 + 6),
+ok AS (SELECT bout_idx, w FROM wa GROUP BY 1, 2 HAVING avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) >= 0.4),
+ps AS (SELECT a.bout_idx, a.w, count(*) AS n, sum(a.value) AS sx, sum(b.value) AS sy, sum(a.value * a.value) AS sxx, sum(b.value * b.value) AS syy, sum(a.value * b.value) AS sxy FROM wa a JOIN wa b ON a.bout_idx = b.bout_idx AND a.w = b.w AND a.sample_idx = b.sample_idx AND a.unit_id < b.unit_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.bout_idx, a.w, a.unit_id, b.unit_id),
+pr AS (SELECT bout_idx, w, CASE WHEN n >= 2 AND sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e-9 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END AS r FROM ps)
+SELECT bout_idx, w, state, state_idx, round((w * 3 + 3) / (end_time - start_time)::DOUBLE, 5) AS place, round(avg(r), 5) AS mean_r, count(r) AS n_pairs FROM ok JOIN pr USING (bout_idx, w) JOIN wn USING (bout_idx, w) GROUP BY bout_idx, w, state, state_idx, start_time, end_time"""),
     "bout_midpoints": sql(BOUTS + " SELECT bout_idx, state, (start_time + end_time) / 2.0::DOUBLE AS midpoint, valid_duration::DOUBLE AS valid_duration FROM bouts"),
     "newest_model": "SELECT name, day, sha256(name || '|' || day) AS signature FROM (SELECT o_orderpriority AS name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders ORDER BY day DESC, name DESC LIMIT 1)",
     "clock_pair_table": sql(BOUTS + """, bc AS (SELECT *, sum(wall_duration) OVER (PARTITION BY state ORDER BY start_time) AS ce FROM bouts), bn AS (SELECT *, ce - wall_duration AS cs FROM bc WHERE wall_duration > 0),
