@@ -140,3 +140,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str, default:
 def repeated_owners(rows: DataFrame, owner: str, scope: str) -> DataFrame:
     """Owners listed in more than one scope."""
     return rows.groupBy(owner).agg(F.countDistinct(scope).alias("n")).where("n > 1")
+
+
+def event_tree(events: DataFrame, scope: str = "dmd", group: str = "group_id", owner: str = "owner_id", unit: str = "unit_id", depth: str = "owner_depth", metadata: DataFrame | None = None) -> DataFrame:
+    """`owner, scope, group, n_units, depths`: distinct units of each group with events, and the depths its owner is listed
+    with, in order; -1 is an unknown depth. Events without one of the four ids don't count.
+
+    With `metadata(owner, scope, depth)` an owner's scope and depth are those listed there; an owner listed under two
+    scopes is an error when the result is read.
+    """
+    known = F.when(F.col(depth) != -1, F.col(depth))
+    own = events.dropna(subset=[owner, scope, group, unit])
+    tree = own.groupBy(owner, scope, group).agg(F.countDistinct(unit).alias("n_units"), F.sort_array(F.collect_set(known)).alias("depths"))
+    if metadata is None:
+        return tree
+    listed = metadata.groupBy(F.col(owner).alias("__o")).agg(F.countDistinct(scope).alias("__n"), F.min(scope).alias("__s"), F.sort_array(F.collect_set(known)).alias("__d"))
+    both = tree.join(listed, tree[owner] == listed["__o"], "left")
+    one = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.col("__o"), F.lit(" is listed under more than one "), F.lit(scope))).cast(events.schema[scope].dataType)).otherwise(F.coalesce("__s", scope))
+    return both.select(owner, one.alias(scope), group, "n_units", F.when(F.col("__o").isNotNull(), F.col("__d")).otherwise(F.col("depths")).alias("depths"))

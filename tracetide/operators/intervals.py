@@ -158,6 +158,14 @@ def state_coverage(intervals: DataFrame, t0: Column, t1: Column, keys: list[str]
     return out.withColumn("share", F.try_divide(F.col("seconds"), (t1 - t0)))
 
 
+def recording_coverage(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Seconds and share of each state within each recording's own `bounds(keys, t0, t1)`; states that lie outside have 0."""
+    at = intervals.join(bounds, keys)
+    inside = F.greatest(F.least("end_time", "t1") - F.greatest("start_time", "t0"), F.lit(0.0))
+    out = at.groupBy(*keys, "state").agg(F.sum(inside).alias("seconds"), F.first(F.col("t1") - F.col("t0")).alias("__whole"))
+    return out.withColumn("share", F.try_divide(F.col("seconds"), F.col("__whole").cast("double"))).drop("__whole")
+
+
 def overlap_labels(epochs: DataFrame, labels: DataFrame, min_share: float = 0.0, keys: list[str] | None = None, bucket: int = 24) -> DataFrame:
     """Gives each epoch the label it overlaps longest, if more than `min_share` of it; ties to the earliest label.
 

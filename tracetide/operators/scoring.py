@@ -69,12 +69,13 @@ def bout_activity(samples: DataFrame, keys: list[str], session: str, value: str)
     return at.withColumn("__was", F.lag("__up").over(w)).groupBy(*keys).agg(F.avg(F.col("__up").cast("int")).alias("active_share"), F.count_if(F.col("__up") & ~F.col("__was")).alias("crossings"))
 
 
-def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: int = 128, least: int = 8, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: int = 128, least: int = 8, bands: dict[str, tuple[float, float]] = BANDS, log: bool = True) -> DataFrame:
     """Log band powers, entropy, 95 % edge and line length of each key's samples (an epoch): Welch with Hann windows.
+    Without `log` powers are as they are and named `power_<band>`.
 
     Epochs are small and many, so each is one group; below `least` samples the features are null.
     """
-    names = [f"log_{b}" for b in bands] + ["entropy", "edge95", "line_length"]
+    names = [f"{'log' if log else 'power'}_{b}" for b in bands] + ["entropy", "edge95", "line_length"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +92,8 @@ def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: i
         freq = np.fft.rfftfreq(n, 1 / fs)
         total = power.sum()
         p = power / total if total > 0 else np.full(len(power), 1 / len(power))
-        powers = [math.log(np.trapezoid(power[(freq >= a) & (freq < b)], freq[(freq >= a) & (freq < b)]) + 1e-12) for a, b in bands.values()]
+        powers = [float(np.trapezoid(power[(freq >= a) & (freq < b)], freq[(freq >= a) & (freq < b)])) for a, b in bands.values()]
+        powers = [math.log(p + 1e-12) for p in powers] if log else powers
         row = [*powers, float(-(p[p > 0] * np.log(p[p > 0])).sum()), float(freq[np.searchsorted(np.cumsum(p), 0.95).clip(0, len(freq) - 1)]), float(np.abs(np.diff(x)).sum() / len(x))]
         return pd.DataFrame({**out, **{c: [v] for c, v in zip(names, row, strict=True)}})
 

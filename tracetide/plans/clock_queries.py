@@ -68,6 +68,13 @@ def along(spark, d):
     return rounded(ge.arc_length(c, v, "line", "point"), "arc", "off")
 
 
+def event_groups(spark, d):
+    """Suppliers with deliveries as units, nations of a recording as groups, regions as owners."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit_id")).join(st.supplier_groups(spark, d), "unit_id")
+    tree = ck.event_tree(e.withColumns({"dmd": F.col("group_type"), "owner_depth": (F.col("group_id") % 3 - 1).cast("double")}), owner="group_type")
+    return tree.select("group_type", "group_id", "n_units", F.array_join(F.col("depths").cast("array<int>"), ",").alias("depths"))
+
+
 def trials(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey", "o_orderkey").agg(F.round(F.max("o_totalprice") / 1000).cast("long").alias("n_frames"))
     return ge.select_trials(ge.trial_table(o.withColumnsRenamed({"o_orderkey": "trial"}), ["o_custkey"], 200.0), 1.0, 3.0, 200.0)
@@ -88,7 +95,7 @@ QUERIES = {
     "to_rebuild": lambda s, d: ck.to_rebuild(table(s, d, "documents").select("doc_id", F.lit(1).alias("version")), table(s, d, "labels").select("doc_id", F.col("quality").alias("version")), ["doc_id"]),
     "upserted_depths": lambda s, d: ck.upsert(table(s, d, "labels").withColumn("depth", F.col("quality").cast("double")), table(s, d, "documents"), ["doc_id"], "depth", -1.0),
     "clock_kind": lambda s, d: ck.clock_of(st.timed_events(s, d), ["user_id"], "t", F.lit(715.0), F.lit(1.0)).select("user_id", "clock"),
-    "event_groups": lambda s, d: st.supplier_groups(s, d).groupBy("group_type", "group_id").agg(F.countDistinct("unit_id").alias("n_units"), F.array_join(F.sort_array(F.collect_set("unit_id")), ",").alias("units")),
+    "event_groups": event_groups,
     "repeated_owners": lambda s, d: ck.repeated_owners(table(s, d, "customer"), "c_mktsegment", "c_nationkey"),
     "circle_fits": circles,
     "arc_lengths": along,
@@ -133,7 +140,8 @@ SELECT l_orderkey, n, round(mx + a / 2, 4) AS cx, round(my + b / 2, 4) AS cy, ro
     "to_rebuild": "SELECT doc_id, CAST(1 AS INT) AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "upserted_depths": "SELECT doc_id, coalesce(CAST(quality AS DOUBLE), -1.0)::DOUBLE AS depth FROM documents FULL JOIN labels USING (doc_id)",
     "clock_kind": sql("SELECT user_id, CASE WHEN a >= 0 AND b <= 715 AND a >= 1 AND b <= 716 THEN 'ambiguous' WHEN a >= 0 AND b <= 715 THEN 'trial' WHEN a >= 1 AND b <= 716 THEN 'block' ELSE 'ambiguous' END AS clock FROM (SELECT user_id, min(t) AS a, max(t) AS b FROM e GROUP BY 1)"),
-    "event_groups": sql("SELECT group_type, group_id, count(DISTINCT unit_id) AS n_units, string_agg(DISTINCT CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id) AS units FROM sgrp GROUP BY 1, 2").replace("string_agg(DISTINCT CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id)", "array_to_string(list_sort(list(DISTINCT unit_id)), ',')"),
+    "event_groups": sql("""ev AS (SELECT group_type, group_id, unit_id, CAST(group_id % 3 - 1 AS INT) AS depth FROM (SELECT DISTINCT l_suppkey AS unit_id FROM lineitem) JOIN sgrp USING (unit_id))
+SELECT group_type, group_id, count(DISTINCT unit_id) AS n_units, coalesce(array_to_string(list_sort(list(DISTINCT depth) FILTER (WHERE depth <> -1)), ','), '') AS depths FROM ev GROUP BY 1, 2"""),
     "repeated_owners": "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1",
     "unit_centroids": "SELECT c_nationkey, round(avg(c_acctbal), 6) AS cx, round(avg(c_custkey), 6) AS cy, count(*) AS n FROM customer GROUP BY 1",
     "unit_boxes": "SELECT c_nationkey, min(c_custkey) - 2 AS x0, max(c_custkey) + 2 AS x1, min(c_custkey % 97) - 2 AS y0, max(c_custkey % 97) + 2 AS y1 FROM customer GROUP BY 1",

@@ -41,6 +41,13 @@ def state_coverage(spark, d):
     return iv.state_coverage(s, F.lit(100.0), F.lit(400.0)).withColumn("share", F.round("share", 9))
 
 
+def coverage(spark, d):
+    """States of every recording within ten days and a half of its first event."""
+    s = st.recording_states(spark, d, 0)
+    b = s.groupBy("rec").agg((F.min("start_time") + 3.0).alias("t0"), (F.min("start_time") + 255.0).alias("t1"))
+    return iv.recording_coverage(s, b, ["rec"]).withColumn("share", F.round("share", 9))
+
+
 def epochs(spark, d):
     top = st.states(spark, d).agg(F.floor(F.max("end_time") / 5).alias("n"))
     return top.where("n > 0").select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch_idx")).select("epoch_idx", (F.col("epoch_idx") * 5).alias("e_start"), (F.col("epoch_idx") * 5 + 5).alias("e_end"))
@@ -95,12 +102,15 @@ QUERIES = {
     "bout_periods": lambda s, d: iv.split_periods(st.states(s, d)).select("state", "start_time", "period"),
     "state_coverage": state_coverage,
     "epoch_labels": epoch_labels,
+    "recording_coverage": coverage,
     "atomic_segments": atomic,
     "bout_purity": purity,
     "absorbed_states": absorbed,
 }
 
 ORACLES = {
+    "recording_coverage": sql("""s AS (SELECT * FROM rec_states WHERE p = 0), b AS (SELECT rec, min(start_time) + 3.0 AS t0, min(start_time) + 255.0 AS t1 FROM s GROUP BY 1)
+SELECT rec, state, sum(greatest(least(end_time, t1) - greatest(start_time, t0), 0.0))::DOUBLE AS seconds, round(sum(greatest(least(end_time, t1) - greatest(start_time, t0), 0.0))::DOUBLE / 252.0, 9)::DOUBLE AS share FROM s JOIN b USING (rec) GROUP BY 1, 2"""),
     "event_rate_by_state": sql("""u AS (SELECT t.unit_id, t.sample_idx, min(s.state) AS state FROM trace t JOIN states s ON t.sample_idx BETWEEN s.start_time AND s.end_time WHERE t.value IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
 ev AS (SELECT unit_id, sample_idx, count(*) AS n FROM e WHERE event_type = 'error' GROUP BY 1, 2),
 r AS (SELECT u.unit_id, u.state, count(*) AS valid_h, coalesce(sum(n), 0) AS n_events FROM u LEFT JOIN ev USING (unit_id, sample_idx) GROUP BY 1, 2)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracetide.operators import signals as sg
+from tracetide.operators.clock import pulses, reconcile_pulses
 from tracetide.operators.events import run_events
 
 #: Seconds a sensor takes to fall to 1/e, of the noise window, and noise levels that a sample must exceed.
@@ -108,3 +109,16 @@ def read_samples(spark: SparkSession, out: str, recording: str, fs: float, name:
     df = df if recordings is None else df.where(F.col(recording).isin(recordings))
     df = df if units is None else df.where(F.col("unit_id").isin(units))
     return with_offset(with_labels(df.withColumn("time", F.col("sample_idx") / fs), labels, list(on)), offsets, recording, ["time"])
+
+
+def refresh_frame_clock(spark: SparkSession, signal: DataFrame, frames: DataFrame, out: str, recording: str, versions: DataFrame, fs: float, factor: float = 3.0, least: int = 20) -> DataFrame:
+    """Stores the frame times of blocks whose stored ones are absent or of another version or settings; returns those blocks.
+
+    signal: `recording, sample_idx, value` of the sync channel; frames: `recording, n_frames`. Rising edges are cut or
+    carried on to the number of frames; `frame_clock` has `recording, frame, pulse, time`.
+    """
+    todo = due(spark, f"{out}/marks", versions, recording, hashlib.sha256(json.dumps([fs, factor, least]).encode()).hexdigest()[:16])
+    own = signal.join(F.broadcast(todo.select(recording)), recording, "left_semi")
+    clock = reconcile_pulses(pulses(own, [recording], factor, least), frames, [recording])
+    put([("frame_clock", clock.withColumn("time", F.col("pulse") / fs))], todo, out, recording)
+    return todo

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from tracetide.functions.rules import group_id, layer
+from tracetide.functions.rules import group_id, layer, standard_label
 from tracetide.operators.intervals import from_nan
+from tracetide.operators.scoring import ALIASES
 
 #: The two accepted forms of state-interval files.
 TIMED, READY = ["start_s", "end_s", "label"], ["state", "start_time", "end_time", "duration"]
@@ -45,6 +46,22 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     return num.withColumn("duration", F.col("end_time") - F.col("start_time")).select(*READY)
 
 
+def read_labels(spark: SparkSession, path: str, drop_artifact: bool = False, strict: bool = True) -> DataFrame:
+    """`label, raw_label, l_start, l_end` from an interval CSV, labels under their standard names and checked.
+
+    Intervals must have both ends in order; with `strict` an unknown label is an error when the rows are read, else
+    such rows are left out.
+    """
+    raw = read_intervals(spark, path).select(F.col("state").alias("label"), F.col("start_time").alias("l_start"), F.col("end_time").alias("l_end"))
+    rows = raw.withColumn("raw_label", F.col("label")).withColumn("label", standard_label(F.col("raw_label"), ALIASES))
+    if drop_artifact:
+        rows = rows.where(F.coalesce(F.upper(F.trim("raw_label")), F.lit("")) != "ARTIFACT")
+    wrong = F.col("l_start").isNull() | F.col("l_end").isNull() | (F.col("l_end") <= F.col("l_start"))
+    unknown = F.lit(strict) & F.col("label").isNull()
+    told = F.when(wrong, F.raise_error(F.lit("an interval without ends in order"))).when(unknown, F.raise_error(F.concat(F.lit("unknown label "), F.coalesce("raw_label", F.lit("(none)")))))
+    return rows.withColumn("label", F.coalesce(told.cast("string"), "label")).where("label is not null").select("label", "raw_label", "l_start", "l_end")
+
+
 def write_intervals(df: DataFrame, path: str) -> None:
     df.select(*READY).write.mode("overwrite").csv(path, header=True)
 
