@@ -6,8 +6,11 @@ Each family is one pass over windows of an epoch and one aggregation; epochs are
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,23 +75,36 @@ def voltage_features(samples: DataFrame, epochs: DataFrame, session: str, fs: fl
     """Spectral features of windows centred on each epoch, null below half of a window's samples.
 
     samples: `session, t, value`; epochs: `session, epoch_idx, e_start, e_end`. Windows are exploded over cells of
-    the longest window, so samples meet them by equality. The shortest window adds log ratios of bands.
+    the longest window, so samples meet them by equality, and all windows of an epoch are one group. The shortest
+    window adds log ratios of bands.
     """
-    longest, out = max(windows_s), epochs.select(session, "epoch_idx")
+    longest, shortest, keys = max(windows_s), min(windows_s), [session, "epoch_idx"]
     cells = F.explode(F.sequence(F.floor((F.col("__c") - longest / 2) / longest), F.floor((F.col("__c") + longest / 2) / longest)))
-    spans = epochs.withColumn("__c", (F.col("e_start") + F.col("e_end")) / 2).select(session, "epoch_idx", "__c").withColumn("__cell", cells)
+    spans = epochs.withColumn("__c", (F.col("e_start") + F.col("e_end")) / 2).select(*keys, "__c").withColumn("__cell", cells)
     met = samples.withColumn("__cell", F.floor(F.col("t") / longest)).join(spans, [session, "__cell"])
-    for s in windows_s:
-        inside = met.where((F.col("t") >= F.col("__c") - s / 2) & (F.col("t") < F.col("__c") + s / 2)).select(session, "epoch_idx", F.col("t").alias("sample_idx"), "value")
-        own = sc.spectral_features(inside, [session, "epoch_idx"], fs, min(max(int(fs * 2), 8), 512), max(int(0.5 * fs * s), 8), BANDS_SHORT if s == min(windows_s) else BANDS_LONG)
-        if s == min(windows_s):
-            ratio = lambda a, b: F.log((F.exp(f"log_{a}") + 1e-9) / (F.exp(f"log_{b}") + 1e-9))
-            own = own.withColumns({f"{a}_{b}": ratio(a, b) for a, b in (("theta", "delta"), ("theta", "sigma"), ("beta", "delta"), ("ugamma", "delta"))})
-        else:
-            own = own.drop("entropy", "edge95", "line_length")
-        tag = f"{s:g}s"
-        out = out.join(own.withColumnsRenamed({c: f"{c}_{tag}" for c in own.columns if c not in (session, "epoch_idx")}), [session, "epoch_idx"], "left")
-    return out
+    met = met.where((F.col("t") >= F.col("__c") - longest / 2) & (F.col("t") < F.col("__c") + longest / 2)).select(*keys, "__c", "t", F.col("value").cast("double").alias("value"))
+    bands = {s: BANDS_SHORT if s == shortest else BANDS_LONG for s in windows_s}
+    ratios = [(a, b) for a, b in (("theta", "delta"), ("theta", "sigma"), ("beta", "delta"), ("ugamma", "delta"))]
+    own = {s: [*sc.spectrum_names(bands[s]), *[f"{a}_{b}" for a, b in ratios]] if s == shortest else sc.spectrum_names(bands[s])[: len(bands[s])] for s in windows_s}
+    names = [f"{c}_{s:g}s" for s in windows_s for c in own[s]]
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        rows, out = rows.sort_by("t"), []
+        t, x = rows.column("t").cast(pa.float64()).to_numpy() - float(rows.column("__c")[0].as_py()), rows.column("value").to_numpy()
+        for s in windows_s:
+            y = x[(t >= -s / 2) & (t < s / 2) & np.isfinite(x)]
+            if len(y) < max(int(0.5 * fs * s), 8):
+                out += [None] * len(own[s])
+                continue
+            found = sc.spectrum(y, fs, min(max(int(fs * 2), 8), 512), bands[s])
+            power = dict(zip(bands[s], found, strict=False))
+            more = [math.log((math.exp(power[a]) + 1e-9) / (math.exp(power[b]) + 1e-9)) for a, b in ratios] if s == shortest else []
+            out += [*found, *more][: len(own[s])]
+        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)} | {c: pa.array([v], pa.float64()) for c, v in zip(names, out, strict=True)})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*keys).schema)
+    found = met.groupBy(*keys).applyInArrow(solve, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names))
+    return epochs.select(*keys).join(found, keys, "left")
 
 
 def feature_table(epochs: DataFrame, samples: DataFrame, frames: DataFrame, session: str, fs_samples: float, fs_frames: float, epoch_s: float) -> DataFrame:

@@ -10,6 +10,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -69,35 +70,42 @@ def bout_activity(samples: DataFrame, keys: list[str], session: str, value: str)
     return at.withColumn("__was", F.lag("__up").over(w)).groupBy(*keys).agg(F.avg(F.col("__up").cast("int")).alias("active_share"), F.count_if(F.col("__up") & ~F.col("__was")).alias("crossings"))
 
 
+def spectrum(x: np.ndarray, fs: float, segment: int, bands: dict[str, tuple[float, float]], log: bool = True) -> list[float]:
+    """Band powers, entropy, 95 % edge and line length of samples without gaps: Welch with Hann windows that half overlap."""
+    n = min(segment, len(x))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    parts = [x[s : s + n] for s in range(0, len(x) - n + 1, max(1, n // 2))]
+    power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * hann)) ** 2 for p in parts], 0) / (fs * (hann**2).sum())
+    power[1 : len(power) - (n % 2 == 0)] *= 2  # one side stands for both
+    freq = np.fft.rfftfreq(n, 1 / fs)
+    total = power.sum()
+    p = power / total if total > 0 else np.full(len(power), 1 / len(power))
+    powers = [float(np.trapezoid(power[(freq >= a) & (freq < b)], freq[(freq >= a) & (freq < b)])) for a, b in bands.values()]
+    powers = [math.log(v + 1e-12) for v in powers] if log else powers
+    return [*powers, float(-(p[p > 0] * np.log(p[p > 0])).sum()), float(freq[np.searchsorted(np.cumsum(p), 0.95).clip(0, len(freq) - 1)]), float(np.abs(np.diff(x)).sum() / len(x))]
+
+
+def spectrum_names(bands: dict[str, tuple[float, float]], log: bool = True) -> list[str]:
+    return [f"{'log' if log else 'power'}_{b}" for b in bands] + ["entropy", "edge95", "line_length"]
+
+
 def spectral_features(samples: DataFrame, keys: list[str], fs: float, segment: int = 128, least: int = 8, bands: dict[str, tuple[float, float]] = BANDS, log: bool = True) -> DataFrame:
-    """Log band powers, entropy, 95 % edge and line length of each key's samples (an epoch): Welch with Hann windows.
+    """Log band powers, entropy, 95 % edge and line length of each key's samples (an epoch): see `spectrum`.
     Without `log` powers are as they are and named `power_<band>`.
 
     Epochs are small and many, so each is one group; below `least` samples the features are null.
     """
-    names = [f"{'log' if log else 'power'}_{b}" for b in bands] + ["entropy", "edge95", "line_length"]
+    names = spectrum_names(bands, log)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("sample_idx")["value"].to_numpy(float)
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        x = rows.sort_by("sample_idx").column("value").to_numpy()
         x = x[np.isfinite(x)]
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        n = min(segment, len(x))
-        if n < 2 or len(x) < least:
-            return pd.DataFrame({**out, **{c: [None] for c in names}})
-        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        parts = [x[s : s + n] for s in range(0, len(x) - n + 1, max(1, n // 2))]
-        power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * hann)) ** 2 for p in parts], 0) / (fs * (hann**2).sum())
-        power[1 : len(power) - (n % 2 == 0)] *= 2  # one side stands for both
-        freq = np.fft.rfftfreq(n, 1 / fs)
-        total = power.sum()
-        p = power / total if total > 0 else np.full(len(power), 1 / len(power))
-        powers = [float(np.trapezoid(power[(freq >= a) & (freq < b)], freq[(freq >= a) & (freq < b)])) for a, b in bands.values()]
-        powers = [math.log(p + 1e-12) for p in powers] if log else powers
-        row = [*powers, float(-(p[p > 0] * np.log(p[p > 0])).sum()), float(freq[np.searchsorted(np.cumsum(p), 0.95).clip(0, len(freq) - 1)]), float(np.abs(np.diff(x)).sum() / len(x))]
-        return pd.DataFrame({**out, **{c: [v] for c, v in zip(names, row, strict=True)}})
-
-    return samples.select(*keys, "sample_idx", F.col("value").cast("double").alias("value")).groupBy(*keys).applyInPandas(solve, f"{kinds}, " + ", ".join(f"{c} double" for c in names))
+        found = spectrum(x, fs, segment, bands, log) if len(x) >= max(2, least) and segment > 1 else [None] * len(names)
+        own = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
+        return pa.table(own | {c: pa.array([v], pa.float64()) for c, v in zip(names, found, strict=True)})
+
+    return samples.select(*keys, "sample_idx", F.col("value").cast("double").alias("value")).groupBy(*keys).applyInArrow(solve, f"{kinds}, " + ", ".join(f"{c} double" for c in names))
 
 
 def context_features(df: DataFrame, session: str, cols: list[str], windows: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
