@@ -200,17 +200,17 @@ def box_filter(trace: DataFrame, keys: list[str], window: int) -> DataFrame:
 def _per_unit(trace: DataFrame, keys: list[str], out: str, solve, given: str | None = None) -> DataFrame:
     """Applies solve(x: array with NaN) -> array to each unit's samples in order; with `given`, a column that is one
     number a unit, solve(x, number)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trace.select(*keys, "sample_idx").schema) + f", `{out}` double"
+    schema = T.StructType([*trace.select(*keys, "sample_idx").schema.fields, T.StructField(out, T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        x = pdf["value"].to_numpy(float)
-        more = () if given is None else (float(pdf[given].iloc[0]),)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("sample_idx")
+        x = rows.column("value").to_numpy()
+        more = () if given is None else (float(rows.column(given)[0].as_py()),)
         got = np.where(np.isnan(x), np.nan, solve(x, *more)) if np.isfinite(x).any() else x
-        return pdf[[*keys, "sample_idx"]].assign(**{out: [None if math.isnan(v) else float(v) for v in got]})
+        return rows.select([*keys, "sample_idx"]).append_column(out, pa.array(got, pa.float64(), from_pandas=True))
 
     own = [] if given is None else [F.col(given).cast("double").alias(given)]
-    return trace.select(*keys, "sample_idx", F.col("value").cast("double").alias("value"), *own).groupBy(*keys).applyInPandas(run, schema)
+    return trace.select(*keys, "sample_idx", F.col("value").cast("double").alias("value"), *own).groupBy(*keys).applyInArrow(run, schema)
 
 
 def _filled(x: np.ndarray) -> np.ndarray:
