@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracetide.operators import signals as sg
-from tracetide.operators.intervals import runs
+from tracetide.operators.intervals import runs, samples_in_states
 
 
 def with_snr(trace: DataFrame, keys: list[str], window: int, factor: float = 4.0) -> DataFrame:
@@ -44,6 +44,20 @@ def unit_summary(units: DataFrame, events: DataFrame, keys: list[str], seconds:
     return units.select(*keys).distinct().join(s, keys, "left").na.fill(0, ["n_events", "mean_peak", "mean_duration"]).withColumn("rate", F.col("n_events") / seconds)
 
 
+def rate_by_state(valid: DataFrame, events: DataFrame, states: DataFrame, units: DataFrame, keys: list[str], dt: float = 1.0) -> DataFrame:
+    """`keys, state, valid_time, n_events, rate` for every unit and state: events at valid samples of a state over the time
+    that these samples cover; pairs of a unit and a state without any have zeros and a null rate.
+
+    valid: `keys, sample_idx` of the samples that count; events: `keys, sample_idx, n`; samples in several intervals don't
+    count. One join gives both numbers.
+    """
+    inside = samples_in_states(valid.select(*keys, "sample_idx"), states).join(events.select(*keys, "sample_idx", "n"), [*keys, "sample_idx"], "left")
+    found = inside.groupBy(*keys, "state").agg((F.count(F.lit(1)) * dt).alias("valid_time"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_events"))
+    every = units.select(*keys).distinct().join(states.select("state").distinct())
+    out = every.join(found, [*keys, "state"], "left").na.fill(0, ["valid_time", "n_events"])
+    return out.withColumn("rate", F.try_divide(F.col("n_events").cast("double"), F.col("valid_time")))
+
+
 def group_sums(trace: DataFrame, groups: DataFrame, noise: DataFrame, level: float = 5.0, min_units: int = 2) -> DataFrame:
     """Per group and sample: summed value and percent of units above level x noise, for groups of enough units."""
     big = groups.groupBy("group_id").agg(F.countDistinct("unit_id").alias("n")).where(F.col("n") >= min_units).select("group_id")

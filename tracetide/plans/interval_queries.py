@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracetide.operators import events as ev
 from tracetide.operators import intervals as iv
 from tracetide.plans import standins as st
 from tracetide.plans.standins import sql
@@ -13,14 +14,11 @@ STATES = ["click", "view"]
 
 def event_rate_by_state(spark, d):
     """Events of type error per unit and state, over the valid hours of the state."""
-    tr, stt = st.trace(spark, d), st.states(spark, d)
-    inside = iv.samples_in_states(tr.withColumn("is_valid", F.col("value").isNotNull()).where("is_valid").select("unit_id", "sample_idx"), stt)
-    hours = inside.groupBy("unit_id", "state").agg(F.count(F.lit(1)).alias("valid_h"))
-    ev = st.timed_events(spark, d).where("event_type = 'error'").groupBy((F.col("user_id") % 12).alias("unit_id"), F.floor("t").alias("sample_idx")).agg(F.count(F.lit(1)).alias("n"))
-    n = inside.select("unit_id", "sample_idx", "state").join(ev, ["unit_id", "sample_idx"]).groupBy("unit_id", "state").agg(F.sum("n").alias("n_events"))
-    every = tr.select("unit_id").distinct().join(stt.select("state").distinct())
-    out = every.join(hours, ["unit_id", "state"], "left").join(n, ["unit_id", "state"], "left").na.fill(0, ["valid_h", "n_events"])
-    return out.withColumn("rate", F.round(F.try_divide(F.col("n_events").cast("double"), F.col("valid_h")), 9))
+    tr = st.trace(spark, d)
+    errors = st.timed_events(spark, d).where("event_type = 'error'").groupBy((F.col("user_id") % st.UNITS).alias("unit_id"), F.floor("t").alias("sample_idx")).agg(F.count(F.lit(1)).alias("n"))
+    units = st.timed_events(spark, d).select((F.col("user_id") % st.UNITS).alias("unit_id"))
+    out = ev.rate_by_state(tr.where("value is not null"), errors, st.states(spark, d), units, ["unit_id"])
+    return out.select("unit_id", "state", F.col("valid_time").cast("long").alias("valid_h"), "n_events", F.round("rate", 9).alias("rate"))
 
 
 def validity_masks(spark, d):
