@@ -20,6 +20,8 @@ from tracetide.operators import scoring as sc
 #: Seconds of the voltage windows, the eye opening below which it counts as closed, the share of frames
 #: that make an epoch one without camera.
 WINDOWS_S, CLOSED, CAMERA_OFF = (1.0, 2.0, 4.0), 0.3, 0.8
+#: Epochs of a session that are one group.
+EPOCHS = 64
 #: Bands in Hz of the shortest window and of longer ones.
 BANDS_SHORT = {"delta": (0.5, 4.0), "delta1": (0.5, 2.0), "delta2": (2.0, 4.0), "theta": (6.0, 10.0), "sigma": (10.0, 15.0), "spindle": (11.0, 16.0), "beta": (15.0, 30.0), "lgamma": (30.0, 55.0), "ugamma": (52.0, 70.0), "hgamma": (55.0, 90.0)}
 BANDS_LONG = {"delta": (0.5, 4.0), "theta": (6.0, 10.0), "sigma": (10.0, 15.0), "spindle": (11.0, 16.0), "lgamma": (30.0, 55.0), "ugamma": (52.0, 70.0)}
@@ -75,8 +77,8 @@ def voltage_features(samples: DataFrame, epochs: DataFrame, session: str, fs: fl
     """Spectral features of windows centred on each epoch, null below half of a window's samples.
 
     samples: `session, t, value`; epochs: `session, epoch_idx, e_start, e_end`. Windows are exploded over cells of
-    the longest window, so samples meet them by equality, and all windows of an epoch are one group. The shortest
-    window adds log ratios of bands.
+    the longest window, so samples meet them by equality; some epochs with all their windows are one group. The
+    shortest window adds log ratios of bands.
     """
     longest, shortest, keys = max(windows_s), min(windows_s), [session, "epoch_idx"]
     cells = F.explode(F.sequence(F.floor((F.col("__c") - longest / 2) / longest), F.floor((F.col("__c") + longest / 2) / longest)))
@@ -88,9 +90,9 @@ def voltage_features(samples: DataFrame, epochs: DataFrame, session: str, fs: fl
     own = {s: [*sc.spectrum_names(bands[s]), *[f"{a}_{b}" for a, b in ratios]] if s == shortest else sc.spectrum_names(bands[s])[: len(bands[s])] for s in windows_s}
     names = [f"{c}_{s:g}s" for s in windows_s for c in own[s]]
 
-    def solve(key: tuple, rows: pa.Table) -> pa.Table:
-        rows, out = rows.sort_by("t"), []
-        t, x = rows.column("t").cast(pa.float64()).to_numpy() - float(rows.column("__c")[0].as_py()), rows.column("value").to_numpy()
+    def one(t: np.ndarray, x: np.ndarray) -> list[float | None]:
+        """The features of an epoch from its samples, whose times are from its centre."""
+        out: list[float | None] = []
         for s in windows_s:
             y = x[(t >= -s / 2) & (t < s / 2) & np.isfinite(x)]
             if len(y) < max(int(0.5 * fs * s), 8):
@@ -100,10 +102,18 @@ def voltage_features(samples: DataFrame, epochs: DataFrame, session: str, fs: fl
             power = dict(zip(bands[s], found, strict=False))
             more = [math.log((math.exp(power[a]) + 1e-9) / (math.exp(power[b]) + 1e-9)) for a, b in ratios] if s == shortest else []
             out += [*found, *more][: len(own[s])]
-        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)} | {c: pa.array([v], pa.float64()) for c, v in zip(names, out, strict=True)})
+        return out
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("epoch_idx", "ascending"), ("t", "ascending")])
+        epoch, t, x = (rows.column(c).to_numpy() for c in ("epoch_idx", "t", "value"))
+        first = np.flatnonzero(np.append(True, epoch[1:] != epoch[:-1]))
+        found = [one(t[a:b], x[a:b]) for a, b in zip(first, [*first[1:], len(epoch)], strict=True)]
+        return pa.table({k: rows.column(k).take(first) for k in keys} | {c: pa.array([f[i] for f in found], pa.float64()) for i, c in enumerate(names)})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*keys).schema)
-    found = met.groupBy(*keys).applyInArrow(solve, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names))
+    rows = met.withColumn("t", (F.col("t") - F.col("__c")).cast("double")).drop("__c").withColumn("__part", F.floor(F.col("epoch_idx") / EPOCHS))
+    found = rows.groupBy(session, "__part").applyInArrow(solve, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names))
     return epochs.select(*keys).join(found, keys, "left")
 
 

@@ -92,22 +92,23 @@ def feature_columns(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c not in (KEY, "epoch_idx", "e_start", "e_end", "label", "row_id", *QUALITY)]
 
 
-def train_sessions(session: Session, labels: DataFrame, plan: Plan, drop_artifact: bool = False, folds: int = 3, rounds: int = 20, threads: int = 4) -> bo.BoostedModel:
-    """A boosted model of the epochs that `labels(session_id, label, l_start, l_end)` label; all states must occur."""
+def train_sessions(session: Session, labels: DataFrame, plan: Plan, drop_artifact: bool = False, folds: int = 3, rounds: int = 20, threads: int = 4, features: DataFrame | None = None) -> bo.BoostedModel:
+    """A boosted model of the epochs that `labels(session_id, label, l_start, l_end)` label; all states must occur.
+    `features` are those of `session_features`, if they are there already."""
     known, _ = sc.standard_labels(labels, drop_artifact=drop_artifact)
-    table = session_features(session, plan)
+    table = session_features(session, plan) if features is None else features
     told = overlap_labels(table.select(KEY, "epoch_idx", "e_start", "e_end"), known.where(F.col("label").isin(*plan.states)), plan.min_share, [KEY], max(1, round(24 * plan.epoch_s))).where("label is not null")
     rows = cut(table.join(told.select(KEY, "epoch_idx", "label"), [KEY, "epoch_idx"]).withColumn("row_id", F.xxhash64(KEY, "epoch_idx")))
     return bo.train_boosted(rows, feature_columns(table), list(plan.states), folds=folds, rounds=rounds, threads=threads)
 
 
-def score_sessions(session: Session, model: bo.BoostedModel, plan: Plan) -> Scored:
+def score_sessions(session: Session, model: bo.BoostedModel, plan: Plan, features: DataFrame | None = None) -> Scored:
     """Epoch and bout tables of all sessions in one lineage: features, probabilities, decoding, runs.
 
     `epochs`: session_id, epoch_idx, start_s, end_s, pred_label, P_<state>, quality. `bouts`: session_id, start_s, end_s,
     label, n_epochs and the means of probabilities and quality.
     """
-    table = session_features(session, plan)
+    table = session_features(session, plan) if features is None else features
     lacking = sorted(set(model.cols) - set(table.columns))
     if lacking:
         raise ValueError(f"features are missing: {lacking}")

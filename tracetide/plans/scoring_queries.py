@@ -77,7 +77,8 @@ def session_bouts(spark, d):
     session = se.assemble(e.select("session_id", "t", "value"), eye, whisk)
     labels = st.recording_states(spark, d, 0).select(F.col("rec").alias("session_id"), F.col("state").alias("label"), F.col("start_time").alias("l_start"), F.col("end_time").alias("l_end"))
     labels = labels.withColumn("label", F.try_element_at(F.create_map(*[F.lit(x) for x in ("click", "N", "error", "REM", "view", "wake")]), "label")).where("label is not null")
-    return se.score_sessions(session, se.train_sessions(session, labels, HOURS, folds=2, rounds=3), HOURS).bouts
+    table = se.session_features(session, HOURS)
+    return se.score_sessions(session, se.train_sessions(session, labels, HOURS, folds=2, rounds=3, features=table), HOURS, table).bouts
 
 
 def probabilities(spark, d):
