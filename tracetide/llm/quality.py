@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tracetide.llm.shared import bound_batches, materialise, mix, ngrams, text_slices, words
 
 FEATURES = ["log_words", "upper", "punctuation", "symbols", "digits", "word_bytes", "distinct_words", "distinct_threes", "top_word", "line_words", "repeated_lines", "shouted_words", "odd_words", "non_ascii", "stops"]
-BINS, RIDGE, ROUNDS = 12, 6e-3, 25
+BINS, RIDGE, PASSES = 12, 6e-3, 40
+#: Bins of the score from which the prior is read, and the doubt at which its confidence limit is taken.
+SCORE_BINS, DOUBT = 1000, 0.1
 #: Signs that prose seldom has.
 SYMBOLS = b"!|*%&#$@~^<>{}[]\\=+_"
 _CLASS = np.zeros((7, 256), bool)
@@ -95,6 +97,32 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[self.bins(features)].sum(1), -30, 30)))
 
 
+@dataclass
+class RiskSums:
+    """The parts of the risk at some weights: F(0), the maximum's argument, their gradients and curvatures."""
+
+    weights: np.ndarray
+    base: float
+    argument: float
+    base_slope: np.ndarray
+    slope: np.ndarray
+    base_curve: np.ndarray
+    curve: np.ndarray
+
+    def risk(self) -> float:
+        return self.base + max(0.0, self.argument)
+
+    def value(self, part: float) -> float:
+        return self.base + part * self.argument
+
+    def gradient(self, part: float) -> np.ndarray:
+        return self.base_slope + part * self.slope
+
+    def curvature(self, part: float) -> np.ndarray:
+        """That of F(part): what the argument takes from the positives' curvature is left out of the base."""
+        return (1 - part) * self.base_curve + part * self.curve + RIDGE * np.eye(len(self.weights))
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
 
@@ -113,37 +141,86 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(extract, f"id {kind}, features array<double>")
 
 
-def train(features: DataFrame, labels: DataFrame, held_out: Column, label_id: str = "doc_id", label_col: str = "quality") -> QualityModel:
+def best_bin(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from counts of both by falling score.
+
+    Above any score the unlabelled hold at least the prior's part of what the positives hold, so the ratio of the
+    two shares bounds the prior from above, and is equal to it where no negative scores as high. The ratio is
+    read where its own upper confidence limit is least, which keeps away from tails of few rows.
+    """
+    n_p, n_u = positives.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    q_p, q_u = np.cumsum(positives) / n_p, np.cumsum(unlabelled) / n_u
+    some = q_p > 0
+    slack = np.sqrt(np.log(4 / DOUBT) / 2) * (n_p**-0.5 + n_u**-0.5)
+    limit = np.where(some, (q_u + slack) / np.where(some, q_p, 1), np.inf)
+    at = int(np.argmin(limit))
+    return float(np.clip(q_u[at] / q_p[at], 1 / (n_u + 2), 1 - 1 / (n_u + 2)))
+
+
+def estimated_prior(rows: DataFrame, model: QualityModel) -> float:
+    """`best_bin` over the scores of `(features, y)`; one row a bin of scores comes to the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.minimum(((1 - sent.value.score(_matrix(batch))) * SCORE_BINS).astype(np.int32), SCORE_BINS - 1)
+            positive = batch.column("y").fill_null(-1).to_numpy() == 1
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(positive.astype(np.int64))], names=["bin", "positive"])
+
+    got = rows.select("features", "y").mapInArrow(bins, "bin int, positive long").groupBy("bin").agg(F.sum("positive").alias("p"), F.count(F.lit(1)).alias("u")).orderBy("bin").toPandas()
+    return best_bin(got["p"].to_numpy(float), got["u"].to_numpy(float))
+
+
+def train(features: DataFrame, labels: DataFrame, held_out: Column, label_id: str = "doc_id", label_col: str = "quality", prior: float | None = None) -> QualityModel:
     """Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) over bin weights.
 
     features: `(id, features)`; `held_out` is a condition on `id`, and rows that meet it teach nothing. The
-    positives are the rows labelled 1, the unlabelled rows are all others whatever their label, and the
-    class prior is the share of 1 among labelled rows. With the logistic loss the risk without the maximum
-    is convex, so each round is a Newton step, shortened while the risk rises; where the maximum cuts in, the
-    step goes along the gradient that raises its argument, and is taken if it does. Every round sums over all rows on the
-    executors; gradients and curvature of a fixed size come to the driver. Rows with several labels take
-    the lowest; null labels teach nothing; without labels the prior is a half and the weights are flat.
+    positives are the rows labelled 1, the unlabelled rows are all rows whatever their label; a label 0 teaches
+    nothing. Where no `prior` is given it is estimated from the unlabelled text: a first model, with a prior of a
+    half, is fitted to the rows whose features hash to one half, and `best_bin` compares how the positives and
+    the unlabelled rows of the other half score under it.
+
+    Rows with several labels take the lowest; null labels teach nothing; without positives the prior is a half
+    and the weights are flat.
     """
     own = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{label_id}`").alias("__l")).agg(F.min(f"`{label_col}`").alias("y"))
-    rows = materialise(features.where(~F.coalesce(held_out, F.lit(False))).join(own, features["id"] == own["__l"], "left").select("features", "y"), "quality-training")
-    counts = rows.agg(F.sum((F.col("y") == 1).cast("long")).alias("one"), F.sum((F.col("y") == 0).cast("long")).alias("zero"), F.count(F.lit(1)).alias("all")).first()
-    one, zero = counts["one"] or 0, counts["zero"] or 0
-    prior = (one + 1) / (one + zero + 2)
+    rows = features.where(~F.coalesce(held_out, F.lit(False))).join(own, features["id"] == own["__l"], "left")
+    rows = materialise(rows.select("features", "y", (F.pmod(F.xxhash64("features"), F.lit(2)) == 0).alias("first")), "quality-training")
+    positive = (F.col("y") == 1).cast("long")
+    counts = rows.agg(F.sum(positive).alias("one"), F.sum(F.when(F.col("first"), positive)).alias("one_first")).first()
     steps = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(F.col("features")[k], steps, 10_000).alias(f"q{k}") for k in range(len(FEATURES))]).first()
     borders = [np.unique(np.array(cuts[k] if cuts[k] is not None else [], float)) for k in range(len(FEATURES))]
-    size = len(FEATURES) * BINS + 1
-    model = QualityModel(borders, np.zeros(size), prior, 0.0)
-    if not one:
-        return model
-    n_positive, n_unlabelled = one, max(1, counts["all"])
+    start = QualityModel(borders, np.zeros(len(FEATURES) * BINS + 1), 0.5 if prior is None else prior, 0.0)
+    if not counts["one"]:
+        return start
+    if prior is None and counts["one_first"]:
+        start = minimise(rows.where("first"), start)
+        start.prior = estimated_prior(rows.where("not first"), start)
+    return minimise(rows, start)
+
+
+def minimise(rows: DataFrame, model: QualityModel) -> QualityModel:
+    """The model of least risk under its prior, from its own weights on; rows: `(features, y)`.
+
+    The risk is the larger of F(0) and F(1), F(part) = prior * R+ + part * A + ridge, where A is what the maximum
+    is taken of. With the logistic loss R+ is R- less a linear term, so F is convex for every part from 0 to 1.
+    Newton steps find the least F(1); if A is negative there, the part falls until A is nought at the least F(part),
+    which is where the larger of the two is least. Of all steps the weights of least risk are returned. Every
+    step sums over all rows on the executors; gradients and curvatures of a fixed size come to the driver.
+    """
+    prior, size = model.prior, len(model.weights)
+    counts = rows.agg(F.sum((F.col("y") == 1).cast("long")).alias("one"), F.count(F.lit(1)).alias("all")).first()
+    n_positive, n_unlabelled = max(1, counts["one"] or 0), max(1, counts["all"])
+    cells = 3 + 3 * size + 2 * size * size
 
-    def sums(weights: np.ndarray) -> tuple[float, float, float, np.ndarray, np.ndarray, np.ndarray]:
-        """(R+ of positives, R- of positives, R- of unlabelled, positives' mean row and R- gradient, unlabelled R- gradient, curvature)."""
-        sent = rows.sparkSession.sparkContext.broadcast(QualityModel(borders, weights, prior, 0.0))
+    def sums(weights: np.ndarray) -> RiskSums:
+        sent = rows.sparkSession.sparkContext.broadcast(QualityModel(model.borders, weights, prior, 0.0))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(3 + 3 * size + size * size)
+            out = np.zeros(cells)
             for batch in batches:
                 at = sent.value.bins(_matrix(batch))
                 positive = (batch.column("y").fill_null(-1).to_numpy() == 1).astype(float)
@@ -155,45 +232,47 @@ def train(features: DataFrame, labels: DataFrame, held_out: Column, label_id: st
                     out[3 + k * size : 3 + (k + 1) * size] += np.bincount(at.ravel(), np.repeat(w, at.shape[1]), size)
                 x = np.zeros((len(at), size))
                 x[np.arange(len(at))[:, None], at] = 1
-                out[3 + 3 * size :] += (x.T @ (x * (p * (1 - p))[:, None])).ravel()
+                curved, own = x * (p * (1 - p))[:, None], np.flatnonzero(positive)
+                out[3 + 3 * size :] += np.concatenate([(x.T @ curved).ravel(), (x[own].T @ curved[own]).ravel()])
             keep = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(out[keep])], names=["k", "v"])
 
         got = rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         sent.destroy()
-        out = np.zeros(3 + 3 * size + size * size)
+        out = np.zeros(cells)
         out[got["k"].to_numpy()] = got["v"].to_numpy()
-        a, b, c = (out[3 + k * size : 3 + (k + 1) * size] for k in range(3))
-        return out[0] / n_positive, out[1] / n_positive, out[2] / n_unlabelled, a / n_positive, b / n_positive, c / n_unlabelled, out[3 + 3 * size :].reshape(size, size) / n_unlabelled
-
-    def argument(s) -> float:
-        """What the maximum is taken of: the risk of the unlabelled as negatives, less the positives' part in it."""
-        return s[2] - prior * s[1]
-
-    def risk(s, w: np.ndarray) -> float:
-        return prior * s[0] + max(0.0, argument(s)) + RIDGE / 2 * float(w @ w)
-
-    weights, state = model.weights, sums(model.weights)
-    for _ in range(ROUNDS):
-        plus, minus = state[4] - state[3], state[4]
-        overfit = argument(state) < 0
-        if not overfit:
-            gradient = prior * plus + state[5] - prior * minus + RIDGE * weights
-        else:
-            gradient = prior * minus - state[5]
-        step = np.linalg.solve(state[6] + RIDGE * np.eye(size), gradient)
-        scale, now = 1.0, risk(state, weights)
-        while scale > 1e-3:
-            after = sums(weights - scale * step)
-            if argument(after) > argument(state) if overfit else risk(after, weights - scale * step) < now:
-                break
-            scale /= 4
-        else:
-            break
-        weights, state = weights - scale * step, after
-        if not overfit and abs(now - risk(state, weights)) < 1e-5 * now:
+        row, minus, all_minus = out[3 : 3 + 3 * size].reshape(3, size)
+        curve_u, curve_p = out[3 + 3 * size :].reshape(2, size, size)
+        argument = out[2] / n_unlabelled - prior * out[1] / n_positive
+        slope = all_minus / n_unlabelled - prior * minus / n_positive
+        ridge = RIDGE / 2 * float(weights @ weights)
+        return RiskSums(weights, prior * out[0] / n_positive + ridge, argument, prior * (minus - row) / n_positive + RIDGE * weights, slope, prior * curve_p / n_positive, curve_u / n_unlabelled)
+
+    low, part, high = 0.0, 1.0, 1.0
+    now = best = sums(model.weights)
+    passes = 1
+    while passes < PASSES:
+        settled = False
+        while not settled and passes < PASSES:
+            step, scale = np.linalg.solve(now.curvature(part), now.gradient(part)), 1.0
+            settled = True
+            while scale > 1e-3 and passes < PASSES:
+                after = sums(now.weights - scale * step)
+                passes += 1
+                best = min(best, after, key=RiskSums.risk)
+                if after.value(part) < now.value(part):
+                    settled = now.value(part) - after.value(part) < 1e-5 * abs(now.value(part))
+                    now = after
+                    break
+                scale /= 4
+        if (part == 1 and now.argument >= 0) or abs(now.argument) < 1e-4 or high - low < 1e-4:
             break
-    return QualityModel(borders, weights, prior, risk(state, weights))
+        low, high = (low, part) if now.argument < 0 else (part, high)
+        reach = float(now.slope @ np.linalg.solve(now.curvature(part), now.slope))
+        part += now.argument / max(reach, 1e-12)
+        if not low < part < high:
+            part = (low + high) / 2
+    return QualityModel(model.borders, best.weights, prior, best.risk())
 
 
 def score_quality(features: DataFrame, model: QualityModel) -> DataFrame:
