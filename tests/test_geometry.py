@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracetide.operators import geometry as ge
 
@@ -45,3 +46,18 @@ def test_points_meet_near_segments_only(spark):
     assert [(r.arc, r.off) for r in out.where("point = 1000").collect()] == [(1000.25, 0.5)]
     joined = out._jdf.queryExecution().optimizedPlan().toString()
     assert "cx" in joined and out.count() == n // 2
+
+
+def test_long_segments_everywhere_do_not_multiply(spark):
+    """Segments as long as the whole area: what is shuffled is rows of points and segments and not their meetings."""
+    rng = np.random.default_rng(3)
+    line, at = rng.uniform(0, 100, (500, 2)), rng.uniform(0, 100, (700, 2))
+    k, _, d2 = ge._nearest(at, line[:-1], np.diff(line, axis=0))
+    want = [nearest(p, line) for p in at]
+    assert np.allclose(np.sqrt(d2), [o for _, o in want]) and len(set(k.tolist())) > 100
+    v = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(line)], "line int, pos int, x double, y double")
+    p = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(at)], "line int, point int, x double, y double")
+    out = ge.arc_length(p, v, "line", "point")
+    assert np.allclose([r.arc for r in out.orderBy("point").collect()], [a for a, _ in want])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Generate") == 0  # no row of a point or a segment is repeated over cells

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracetide.operators.stats import in_order
 
 
 def _det(a: list[list[Column]]) -> Column:
@@ -64,42 +72,99 @@ def bounding_box(pixels: DataFrame, keys: list[str], pad: int = 0) -> DataFrame:
     return pixels.where("value is not null").groupBy(*keys).agg((F.min("x") - pad).alias("x0"), (F.max("x") + pad).alias("x1"), (F.min("y") - pad).alias("y0"), (F.max("y") + pad).alias("y1"))
 
 
+#: Points of a tile; segments of a block, and of the several blocks that meet a tile in one group.
+TILE, BLOCK, MEET = 1 << 15, 256, 1 << 16
+#: Tasks for the groups, by number: few bytes may be much work, so sizes don't tell how many are needed.
+TASKS = 256
+#: Squares of distances count as equal up to 9 decimals, so distances up to the root of that; more than it, for safety.
+SLACK = 1e-4
+
+
+def _nearest(p: np.ndarray, a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, place on it from 0 to 1, squared distance to 9 decimals) for every point, the first of equal segments.
+
+    Points are halved again and again; a half keeps the segments no further from its centre than the nearest one and
+    its own diameter, as no other can be nearest to any of its points.
+    """
+    n2 = (d * d).sum(1)
+
+    def off(q: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = q[:, 0, None] - a[s, 0], q[:, 1, None] - a[s, 1]
+        t = np.clip(np.divide(x * d[s, 0] + y * d[s, 1], n2[s], out=np.zeros(x.shape), where=n2[s] > 0), 0.0, 1.0)
+        return t, (x - t * d[s, 0]) ** 2 + (y - t * d[s, 1]) ** 2
+
+    best, place, d2 = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
+    todo = [(np.arange(len(p)), np.arange(len(a)))]
+    while todo:
+        own, s = todo.pop()
+        low, high = p[own].min(0), p[own].max(0)
+        far = np.sqrt(off(((low + high) / 2)[None], s)[1][0])
+        reach = far.min() + np.hypot(*(high - low))
+        s = s[far <= reach + SLACK + 1e-9 * reach]
+        same = (low == high).all()
+        if same or len(own) <= 16 or len(own) * len(s) <= 4096:
+            t, e = off(p[own[:1]] if same else p[own], s)
+            e = np.round(e, 9)
+            k = e.argmin(1)
+            row = np.arange(len(k))
+            best[own], place[own], d2[own] = s[k], t[row, k], e[row, k]
+            continue
+        half = len(own) // 2
+        order = np.argpartition(p[own, int((high - low).argmax())], half)
+        todo += [(own[order[:half]], s), (own[order[half:]], s)]
+    return best, place, d2
+
+
 def arc_length(points: DataFrame, vertices: DataFrame, line: str, point: str) -> DataFrame:
     """Projects points to the nearest segment of their polyline: distance along it from the first vertex, and off it.
 
-    points: `line, point, x, y`; vertices: `line, pos, x, y`. Segments lie in grids of cells, from their mean length up by
-    twos. A point takes the finest grid in which a segment lies in its cell or one beside it; then one is no further
-    than twice a cell's diagonal, and all that are as near lie within three cells. Points meet those segments only.
+    points: `line, point, x, y`; vertices: `line, pos, x, y`. Points lie in tiles of neighbours and successive segments in
+    blocks. A tile meets the blocks that, by centres and radii, may hold the nearest segment of one of its points; the
+    points of a tile and the segments of some of these blocks are compared in one group. Points and segments that lack a
+    coordinate take no part.
     """
     w = W.partitionBy(line).orderBy("pos")
-    seg = vertices.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 is not null")
+    xy = lambda df, *own: df.select(*own, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = lambda *cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in cols])
+    seg = xy(vertices, line, "pos").withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "__k": F.row_number().over(w) - 1}).where("x2 is not null")
     seg = seg.withColumn("len", F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2)))
-    seg = seg.withColumn("before", F.sum("len").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("len")).select(line, "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "len", "before")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-
-    ends = points.groupBy(line).agg(*[f(c).alias(f"__{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in "xy"])
-    spread = seg.groupBy(line).agg(F.avg("len").alias("__mean"), *[f(F.array_min(F.array(f"{c}1", f"{c}2")) if n == "c" else F.array_max(F.array(f"{c}1", f"{c}2"))).alias(f"__{n}{c}") for n, f in (("c", F.min), ("d", F.max)) for c in "xy"])
-    wide = F.greatest(*[F.greatest(f"__b{c}", f"__d{c}") - F.least(f"__a{c}", f"__c{c}") for c in "xy"])
-    cell = F.greatest(F.when(F.col("__mean") > 0, F.col("__mean")).when(wide > 0, wide).otherwise(1.0), wide / (1 << 20))
-    size = spread.join(ends, line).select(line, wide.alias("__wide"), cell.alias("__cell")).select(line, "__cell", (F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.col("__wide") / F.col("__cell"), F.lit(1.0))))) + 1).cast("int").alias("__top"))
-    levels = lambda df: df.join(size, line).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top")))).withColumn("__h", F.col("__cell") * F.pow(F.lit(2.0), "level")).drop("__cell", "__top")
-    place = lambda v: F.floor(v / F.col("__h"))
-
-    pieces = levels(seg).withColumn("__m", F.greatest(F.lit(1), F.ceil(F.col("len") / F.col("__h")))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
-    for c, d in (("x", dx), ("y", dy)):
-        a, b = F.col(f"{c}1") + d * F.col("__k") / F.col("__m"), F.col(f"{c}1") + d * (F.col("__k") + 1) / F.col("__m")
-        pieces = pieces.withColumn(f"c{c}", F.explode(F.sequence(place(F.least(a, b)), place(F.greatest(a, b)))))
-    cells = pieces.select(line, "level", "cx", "cy", "pos", "x1", "y1", "x2", "y2", "len", "before")
-    around = lambda df, n: df.withColumn("__i", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("__j", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumns({"cx": F.col("cx") + F.col("__i"), "cy": F.col("cy") + F.col("__j")}).drop("__i", "__j")
-    beside = around(cells.select(line, "level", "cx", "cy").distinct(), 1).distinct()
-
-    own = levels(points.select(line, point, "x", "y")).withColumns({"cx": place(F.col("x")), "cy": place(F.col("y"))}).drop("__h")
-    met = own.join(beside, [line, "level", "cx", "cy"], "left_semi").groupBy(line, point).agg(F.min_by(F.struct("level", "cx", "cy", "x", "y"), "level").alias("p")).select(line, point, "p.*")
-    at = around(met, 3).join(cells, [line, "level", "cx", "cy"])
-    at = at.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0)))))
-    d2 = F.pow(F.col("x") - F.col("x1") - F.col("t") * dx, 2) + F.pow(F.col("y") - F.col("y1") - F.col("t") * dy, 2)
-    best = F.min(F.struct(F.round(d2, 9).alias("d2"), "pos", (F.col("before") + F.col("t") * F.col("len")).alias("s")))
-    return at.groupBy(line, point).agg(best.alias("b")).select(line, point, F.col("b.s").alias("arc"), F.sqrt("b.d2").alias("off"))
+    seg = seg.withColumn("before", F.sum("len").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("len")).where(known("x", "y", "x2", "y2")).select(line, F.floor(F.col("__k") / BLOCK).alias("__b"), F.col("__k").cast("long").alias("__k"), "x", "y", "x2", "y2", "len", "before")
+
+    def circle(df: DataFrame, by: list[str], xs: list[str], ys: list[str], name: str) -> DataFrame:
+        """Centre and radius of what lies under each of `by`."""
+        ends = df.groupBy(*by).agg(*[f(g(*[F.col(c) for c in cs]) if len(cs) > 1 else F.col(cs[0])).alias(f"__{k}{c}") for c, cs in (("x", xs), ("y", ys)) for k, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest))])
+        mid = {c: (F.col(f"__low{c}") + F.col(f"__high{c}")) / 2 for c in "xy"}
+        return ends.select(*by, mid["x"].alias(f"__{name}x"), mid["y"].alias(f"__{name}y"), (F.hypot(F.col("__highx") - F.col("__lowx"), F.col("__highy") - F.col("__lowy")) / 2).alias(f"__{name}r"))
+
+    blocks = circle(seg, [line, "__b"], ["x", "x2"], ["y", "y2"], "c")
+    p = xy(points, line, point).where(known("x", "y"))
+    size = p.groupBy(line).agg(F.min("x").alias("__a"), (F.max("x") - F.min("x")).alias("__w"), F.ceil(F.sqrt(F.count(F.lit(1)) / TILE)).alias("__strips"))
+    strip = F.coalesce(F.floor(F.try_divide((F.col("x") - F.col("__a")) * F.col("__strips"), F.col("__w"))), F.lit(0).cast("long"))
+    placed = in_order(p.join(size, line).select(line, point, "x", "y", strip.alias("__s")), line, "__s", "y", "x", point)
+    placed = placed.select(line, point, "x", "y", F.floor(F.col("__place") / TILE).alias("__tile"))
+
+    apart = F.hypot(F.col("__tx") - F.col("__cx"), F.col("__ty") - F.col("__cy"))
+    near = circle(placed, [line, "__tile"], ["x"], ["y"], "t").join(blocks, line).select(line, "__tile", "__b", apart.alias("__d"), (F.col("__tr") + F.col("__cr")).alias("__r"))
+    reach = F.min(F.col("__d") + F.col("__r")).over(W.partitionBy(line, "__tile"))
+    near = near.withColumn("__reach", reach).where(F.col("__d") - F.col("__r") <= F.col("__reach") * (1 + 1e-9) + SLACK).select(line, "__tile", "__b", F.floor(F.col("__b") * BLOCK / MEET).alias("__m"))
+    meet = [line, "__tile", "__m"]
+    kind = points.schema[point].dataType
+    nothing = lambda *cols: [F.lit(None).cast("double").alias(c) for c in cols]
+    left = placed.join(near.select(*meet).distinct(), [line, "__tile"]).select(*meet, point, F.lit(None).cast("long").alias("__k"), "x", "y", *nothing("x2", "y2", "len", "before"))
+    right = near.join(seg, [line, "__b"]).select(*meet, F.lit(None).cast(kind).alias(point), "__k", "x", "y", "x2", "y2", "len", "before")
+    schema = T.StructType([points.schema[line], T.StructField(point, kind), T.StructField("d2", T.DoubleType()), T.StructField("pos", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        is_segment = pc.is_valid(rows.column("__k"))
+        own, s = rows.filter(pc.invert(is_segment)), rows.filter(is_segment).sort_by("__k")
+        columns = lambda t, *names: np.column_stack([t.column(c).to_numpy() for c in names])
+        a = columns(s, "x", "y")
+        k, t, d2 = _nearest(columns(own, "x", "y"), a, columns(s, "x2", "y2") - a)
+        arc = s.column("before").to_numpy()[k] + t * s.column("len").to_numpy()[k]
+        return pa.table({line: pa.array([key[0].as_py()] * len(k), key[0].type), point: own.column(point), "d2": d2, "pos": s.column("__k").to_numpy()[k], "s": arc})
+
+    found = left.unionByName(right).repartition(TASKS, *meet).groupBy(*meet).applyInArrow(solve, schema)
+    return found.groupBy(line, point).agg(F.min(F.struct("d2", "pos", "s")).alias("b")).select(line, point, F.col("b.s").alias("arc"), F.sqrt("b.d2").alias("off"))
 
 
 def order_along(points: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
