@@ -61,3 +61,11 @@ def test_long_segments_everywhere_do_not_multiply(spark):
     assert np.allclose([r.arc for r in out.orderBy("point").collect()], [a for a, _ in want])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and plan.count("Generate") == 0  # no row of a point or a segment is repeated over cells
+
+
+def test_evenly_spaced_where_ranges_are_sampled(spark):
+    """So many rows that the cuts of ranges come from samples, which differ from one reading to the next."""
+    n = 400_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") * 3).alias("more")).repartition(6)
+    for _ in range(2):
+        assert sorted(r.k for r in ge.evenly_spaced(rows, "k", 100).collect()) == [int((k + 0.5) * n / 100) for k in range(100)]

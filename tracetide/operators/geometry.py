@@ -195,11 +195,8 @@ def select_trials(trials: DataFrame, t1: float, t2: float, fs: float) -> DataFra
 def evenly_spaced(rows: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at floor((k + 0.5) N / n) in order; a sample by design.
 
-    Rows are dealt to ranges and numbered within them; the numbers of rows of earlier ranges are added.
+    Places come from one stored order (`stats.in_order`): ranges that are dealt twice may be cut at other values each time.
     """
-    dealt = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    before = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a range
-    ranked = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(order))).join(F.broadcast(before), "__p").withColumn("__r", F.col("__o") + F.col("__k") - 1).drop("__p", "__n", "__o", "__k")
     total = rows.agg(F.count(F.lit(1)).alias("N"))
-    at = rows.sparkSession.range(n).join(F.broadcast(total)).select(F.floor((F.col("id") + 0.5) * F.col("N") / n).alias("__r")).distinct()
-    return ranked.join(at, "__r", "left_semi").drop("__r")
+    at = rows.sparkSession.range(n).join(F.broadcast(total)).select(F.floor((F.col("id") + 0.5) * F.col("N") / n).alias("__place")).distinct()
+    return in_order(rows, order).join(F.broadcast(at), "__place", "left_semi").drop("__place")
