@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracetide.operators import clock as ck
 from tracetide.operators import records as rc
 from tracetide.operators import scoring as sc
+from tracetide.operators import signals as sg
 
 
 def rows(df, *cols):
@@ -119,3 +120,16 @@ def test_models_are_kept_and_calibrated_either_way(spark, tmp_path):
     assert rows(sc.smoothed_label(p, "session_id", ["a", "b"], 3), "epoch_idx", "pred_label") == [(0, "a"), (1, "a"), (2, "a")]
     x = spark.createDataFrame([(1, k, v) for k, v in enumerate([1.0, -1.0, 0.0, 2.0, -3.0])], "k int, sample_idx int, value double")
     assert rows(sc.zero_crossings(x, ["k"]), "crossings") == [(3,)]
+
+
+def test_no_window_shrinks_row_by_row(spark):
+    """A frame from a row to the end is read anew for each of its rows, which is quadratic in a key's rows."""
+    left = spark.createDataFrame([(1, float(t), t) for t in (0, 4, 5, 9, 12)], "k int, t double, x int")
+    right = spark.createDataFrame([(1, float(t), t) for t in (2, 6, 10)], "k int, t double, v int")
+    near = ck.nearest(left, right, ["k"], "t", "v")
+    assert [(r.x, r.match) for r in near.orderBy("x").collect()] == [(0, 2), (4, 2), (5, 6), (9, 10), (12, 10)]
+    gaps = spark.createDataFrame([(1, t, v) for t, v in enumerate([None, 1.0, None, None, 4.0, None])], "u int, sample_idx int, value double")
+    filled = sg.fill_linear(gaps, ["u"])
+    assert [r.filled for r in filled.orderBy("sample_idx").collect()] == [1, 1, 2, 3, 4, 4]
+    for df in (near, filled):
+        assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().analyzed().toString().lower()

@@ -45,8 +45,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, value
     others = [c for c in left.columns if c not in (*keys, time)]
     a = left.select(*keys, time, *others, F.lit(None).alias("__x").cast(right.select(F.struct(F.col(time).cast("double").alias("t"), F.col(value).alias("v")).alias("x")).schema["x"].dataType).alias("__x"), F.lit(1).alias("__side"))
     b = right.select(*keys, time, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in others], F.struct(F.col(time).cast("double").alias("t"), F.col(value).alias("v")).alias("__x"), F.lit(0).alias("__side"))
-    order = W.partitionBy(*keys).orderBy(time, "__side")
-    both = a.unionByName(b).withColumns({"p": F.last("__x", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "n": F.first("__x", True).over(order.rowsBetween(0, W.unboundedFollowing))}).where("__side = 1")
+    forth, back = W.partitionBy(*keys).orderBy(time, "__side"), W.partitionBy(*keys).orderBy(F.desc(time), F.desc("__side"))  # frames that only grow: one that shrinks is read anew for each row
+    both = a.unionByName(b).withColumns({c: F.last("__x", True).over(w.rowsBetween(W.unboundedPreceding, 0)) for c, w in (("p", forth), ("n", back))}).where("__side = 1")
     later = F.col("p").isNull() | (F.col("n.t") - F.col(time) < F.col(time) - F.col("p.t"))
     pick = F.when(F.col("n").isNotNull() & later, F.col("n")).otherwise(F.col("p"))
     if tolerance is not None:

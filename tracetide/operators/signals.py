@@ -85,9 +85,9 @@ def decayed(u: np.ndarray, g: float, block: int = 64) -> np.ndarray:
 
 def fill_linear(trace: DataFrame, keys: list[str]) -> DataFrame:
     """`filled`: gaps by a straight line, edges by the nearest value, 0 where a unit has none."""
-    before, after = _along(keys, W.unboundedPreceding, 0), _along(keys, 0, W.unboundedFollowing)
+    before, after = (W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, 0) for by in (F.asc("sample_idx"), F.desc("sample_idx")))
     have = F.when(F.col("value").isNotNull(), F.struct("sample_idx", "value"))
-    a, b = F.last(have, True).over(before), F.first(have, True).over(after)
+    a, b = F.last(have, True).over(before), F.last(have, True).over(after)
     gap = b["sample_idx"] - a["sample_idx"]
     line = a["value"] + (b["value"] - a["value"]) * (F.col("sample_idx") - a["sample_idx"]) / F.when(gap != 0, gap)
     return trace.withColumn("filled", F.coalesce("value", line, a["value"], b["value"], F.lit(0.0)))
