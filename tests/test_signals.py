@@ -314,3 +314,19 @@ def test_deconvolution_finds_events_and_favours_busy_units(spark):
     assert {0: 5, 1: 1} == {u: len(g[g.peak_value > 10]) for u, g in got.groupby("unit_id")}
     scale = got.groupby("unit_id")["scale"].first()
     assert scale[0] < 1 < scale[1]
+
+
+def test_pair_sums_equal_a_join(spark):
+    """Blocks, tiles, gaps, copies of a sample and values that aren't finite against the pairs of a join."""
+    rng = np.random.default_rng(5)
+    rows = [(k, u, t, float(rng.integers(9))) for k in (0, 1) for u in range(-3, 9) for t in range(-20, 40) if rng.random() < 0.6]
+    rows += [*rows[::7], (0, 2, 100, 5.0), (1, 4, 3, float("nan")), (1, 5, 4, float("inf")), (0, None, 3, 1.0), (None, 1, 3, 1.0), (None, 2, 3, 1.0), (0, 3, 3, None)]
+    df = spark.createDataFrame(rows, "k int, unit_pos int, sample_idx int, value double")
+    a, b = df.withColumnsRenamed({"unit_pos": "i", "value": "x"}), df.withColumnsRenamed({"unit_pos": "j", "value": "y"})
+    both = a.join(b, ["k", "sample_idx"]).where("i < j and x is not null and y is not null")
+    want = both.groupBy("k", "i", "j").agg(F.count("x").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x * x")).alias("sxx"), F.sum(F.expr("y * y")).alias("syy"), F.sum(F.expr("x * y")).alias("sxy"))
+    as_rows = lambda d: {tuple(r)[:4]: None if any(not np.isfinite(v) for v in tuple(r)[4:]) else tuple(r)[4:] for r in d.collect()}
+    for block, tile in ((4096, 64), (16, 4)):
+        got = pr.pair_sums(df, ["k"], block, tile)
+        assert as_rows(got) == as_rows(want) and got.schema.simpleString() == want.schema.simpleString()
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("(i#", "(j#"))  # pairs don't arise as rows of a join
