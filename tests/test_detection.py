@@ -147,3 +147,12 @@ def test_only_what_changed_is_detected_again(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{out}/events").where("rec = 0").select("unit_id", "peak_idx").collect())) == first
     assert run(v((1, "b")), de.Settings(FS, tau=TAU, level=3.0)) == [1]
     assert {r.rec: r.source_version for r in spark.read.parquet(f"{out}/units").collect()} == {0: "a", 1: "b"}
+
+
+def test_slow_inputs_are_read_once(spark):
+    """The passes over a unit read stored traces, so F0's plan isn't part of what is left to do."""
+    t = spark.createDataFrame([(0, k, float(k % 7)) for k in range(60)], "unit_id int, sample_idx int, value double")
+    f0 = t.select("unit_id", "sample_idx", F.lit(2.0).alias("f0"))
+    for df in de.detect_events(t, ["unit_id"], de.Settings(fs=1.0, cutoff=0.02), f0):
+        assert "f0#" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) or "LogicalRDD" in plan
+        assert "Join LeftOuter, ((unit_id" not in plan or plan.count("FlatMapGroupsInArrow") <= 1

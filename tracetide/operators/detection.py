@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracetide.operators.blocks import cut
 from tracetide.operators.signals import _filled, zero_phase
 from tracetide.sources.detections import due, put
 
@@ -258,11 +259,14 @@ def clean_traces(trace: DataFrame, keys: list[str], settings: Settings, f0: Data
 def decay_tails(trace: DataFrame, keys: list[str], settings: Settings, f0: DataFrame | None = None) -> DataFrame:
     """`(keys, lag, tail, n)`: each unit's median tail after prominent peaks, in shares of the peak, by lag in samples."""
 
+    return _tails_of(clean_traces(trace, keys, settings, f0), ["clean"], keys, settings)
+
+
+def _tails_of(df: DataFrame, own: list[str], keys: list[str], settings: Settings) -> DataFrame:
     def job(rows: pa.Table) -> dict[str, list]:
-        tail, n = tails(cleaned(_array(rows, "value"), _array(rows, "f0"), settings), settings)
+        tail, n = tails(_array(rows, "clean"), settings)
         return {"lag": list(range(len(tail))), "tail": tail.tolist(), "n": n.tolist()}
 
-    df, own = _with_f0(trace, keys, f0)
     return _by_unit(df, keys, _numbers("lag", "tail", "n", longs=("lag", "n")), job, *own)
 
 
@@ -295,8 +299,16 @@ def detect_events(trace: DataFrame, keys: list[str], settings: Settings, f0: Dat
     """
     s, by = settings, within or []
     df, own = _with_f0(trace, keys, f0)
+
+    def clean(rows: pa.Table) -> dict[str, list]:
+        y = cleaned(_array(rows, "value"), _array(rows, "f0"), s)
+        more = {"f0": rows.column("f0").to_pylist()} if "f0" in rows.column_names else {}
+        return {"sample_idx": rows.column("sample_idx").to_pylist(), "clean": [None if math.isnan(v) else v for v in y.tolist()]} | more
+
+    own_names = ["clean", *own[1:]]
+    df, own = cut(_by_unit(df, keys, _numbers("sample_idx", *own_names, longs=("sample_idx",)), clean, *own)), own_names  # three passes read it
     if s.tau is None:
-        decay = decay_time(decay_tails(trace, keys, s, f0), s, by)
+        decay = cut(decay_time(_tails_of(df, own, keys, s), s, by))
         named = df.select(*by).distinct() if by else None  # a recording without any peak has the default
         decay = named.join(decay, by, "left").na.fill({"n_peaks": 0, "n_points": 0, "tau": s.default_tau}) if by else decay
     else:
@@ -306,7 +318,7 @@ def detect_events(trace: DataFrame, keys: list[str], settings: Settings, f0: Dat
     gap = max(0, round(s.merge_gap * s.fs))
 
     def solved(rows: pa.Table) -> tuple[float, float, list]:
-        y = cleaned(_array(rows, "value"), _array(rows, "f0"), s)
+        y = _array(rows, "clean")
         sigma, scale = robust_sigma(y), float(rows.column("scale")[0].as_py()) if "scale" in rows.column_names else 1.0
         alpha = scale * s.penalty * sigma * math.sqrt(2 * math.log(max(10, len(y))))
         if not np.isfinite(y).any():
@@ -326,7 +338,7 @@ def detect_events(trace: DataFrame, keys: list[str], settings: Settings, f0: Dat
         idx, gone = rows.column("sample_idx").to_pylist(), 1e-12
         return {"peak_idx": [idx[p] for p, *_ in found], "time": [idx[p] / s.fs for p, *_ in found], "amp_peak": [x for _, x, _, _ in found], "amp_sum": [x for _, _, x, _ in found], "width": [w / s.fs for *_, w in found], "snr": [x / (sigma + gone) for _, x, _, _ in found]}
 
-    units = _by_unit(with_tau(df), keys, _numbers("sigma", "f0_median", "alpha", "seconds", "n_first", longs=("n_first",)), count, *own, "tau")
+    units = cut(_by_unit(with_tau(df), keys, _numbers("sigma", "f0_median", "alpha", "seconds", "n_first", longs=("n_first",)), count, *own, "tau"))
     if s.second_pass:
         rate = F.col("n_first") / F.greatest("seconds", F.lit(1e-12)) + 1e-6
         typical = units.groupBy(*by).agg(F.exp(F.avg(F.ln(rate))).alias("typical"))
