@@ -330,3 +330,18 @@ def test_pair_sums_equal_a_join(spark):
         got = pr.pair_sums(df, ["k"], block, tile)
         assert as_rows(got) == as_rows(want) and got.schema.simpleString() == want.schema.simpleString()
     assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("(i#", "(j#"))  # pairs don't arise as rows of a join
+
+
+def test_sessions_decoded_side_by_side_equal_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(sc, "DECODED", 50)
+    model = sc.Durations.build(["a", "b", "c"], {"a": 4.0, "b": 2.0, "c": 6.0}, {"a": 0.7, "b": 0.9, "c": 0.5}, 2.0, 10.0)
+    rng = np.random.default_rng(8)
+    parts = {s: rng.dirichlet([1, 1, 1], n) for s, n in {"s": 1, "t": 7, "u": 4, "v": 120, "w": 30, "x": 31, None: 6}.items()}
+    df = spark.createDataFrame([(s, t, *map(float, row)) for s, p in parts.items() for t, row in enumerate(p)], "session_id string, epoch_idx int, P_a double, P_b double, P_c double")
+    got = sc.decode_sessions(df.repartition(3), model).toPandas()
+    for s, p in parts.items():
+        own = got[got.session_id.isna() if s is None else got.session_id == s].sort_values("epoch_idx")
+        assert own.state.tolist() == [model.states[k] for k in sc.viterbi(np.log(p), model)]
+    log_p = np.log(np.stack([parts["x"][:20], parts["v"][:20]], 1))
+    both = sc.viterbi_side_by_side(log_p, np.array([20, 9]), model)
+    assert both[:, 0].tolist() == sc.viterbi(log_p[:, 0], model).tolist() and both[:9, 1].tolist() == sc.viterbi(log_p[:9, 1], model).tolist()

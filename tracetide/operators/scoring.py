@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -11,6 +12,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +24,8 @@ from tracetide.functions.rules import standard_label
 ALIASES = {"NREM": "NREM", "NREM_SWS": "NREM", "SWS": "NREM", "N": "NREM", "REM": "REM", "R": "REM", "WAKE": "Wake", "W": "Wake", "ARTIFACT": "Wake"}
 BANDS = {"delta": (0.5, 4.0), "theta": (5.0, 10.0), "sigma": (10.0, 15.0), "beta": (15.0, 30.0), "gamma": (30.0, 80.0)}
 STATES = ["NREM", "REM", "Wake"]
+#: Epochs of whole sessions that are decoded together.
+DECODED = 1 << 16
 
 
 def epoch_grid(ranges: DataFrame, length: float, key: str = "session_id") -> DataFrame:
@@ -293,40 +297,85 @@ class Durations:
 
 def viterbi(log_p: np.ndarray, model: Durations) -> np.ndarray:
     """Explicit-duration Viterbi; ties keep the first state and the shortest duration. log_p: epochs x states."""
-    steps, n = log_p.shape
-    total = np.vstack([np.zeros(n), np.cumsum(log_p, 0)])
-    best = np.full((steps + 1, n), -np.inf)
-    back = np.zeros((steps + 1, n, 2), int)
-    start = np.full(n, -math.log(n))
+    return viterbi_side_by_side(log_p[:, None], np.array([len(log_p)]), model)[:, 0]
+
+
+def viterbi_side_by_side(log_p: np.ndarray, lengths: np.ndarray, model: Durations) -> np.ndarray:
+    """The same for sessions that advance together, longest first. log_p: epochs x sessions x states; what comes back,
+    epochs x sessions, means nothing beyond a session's length."""
+    steps, m, n = log_p.shape
+    total = np.concatenate([np.zeros((1, m, n)), np.cumsum(log_p, 0)])
+    enter = np.full((steps + 1, m, n), -np.inf)  # the best score of all before an epoch, on entering a state there, and from where
+    source = np.full((steps + 1, m, n), -1, np.int32)
+    enter[0] = -math.log(n)
+    length = np.zeros((steps + 1, m, n), np.int32)
+    state = np.zeros(m, int)
     for t in range(1, steps + 1):
-        longest = min(t, model.log_duration.shape[1])
-        before = best[t - longest : t][::-1]
-        enter = before[:, :, None] + model.log_transition[None]
-        source = enter.argmax(1)
-        value = np.take_along_axis(enter, source[:, None], 1)[:, 0]
-        if longest == t:
-            value[t - 1], source[t - 1] = start, -1
-        score = value + model.log_duration[:, :longest].T + total[t] - total[t - longest : t][::-1]
+        longest, a = min(t, model.log_duration.shape[1]), int(np.searchsorted(-lengths, -t, "right"))
+        score = enter[t - longest : t, :a][::-1] + model.log_duration[:, :longest].T[:, None] + total[t, :a] - total[t - longest : t, :a][::-1]
         d = score.argmax(0)
-        best[t], back[t, :, 0], back[t, :, 1] = score[d, np.arange(n)], d + 1, source[d, np.arange(n)]
-    out, t, s = np.empty(steps, int), steps, int(best[steps].argmax())
-    while t > 0:
-        d, source = back[t, s]
-        out[t - d : t] = s
-        t, s = t - d, source
-    return out
+        best = np.take_along_axis(score, d[None], 0)[0]
+        length[t, :a] = d + 1
+        into = best[:, :, None] + model.log_transition
+        source[t, :a] = into.argmax(1)
+        enter[t, :a] = into.max(1)
+        done = slice(int(np.searchsorted(-lengths, -t, "left")), a)
+        state[done] = best[done].argmax(1)
+    out, at, who = np.full((steps, m), -1), lengths.copy(), np.flatnonzero(lengths)
+    while len(who):  # segments from the last to the first, each marked at its first epoch
+        s = state[who]
+        first = at[who] - length[at[who], who, s]
+        out[first, who] = s
+        state[who], at[who] = source[first, who, s], first
+        who = who[first > 0]
+    kept = np.maximum.accumulate(np.where(out >= 0, np.arange(steps)[:, None], 0), 0)
+    return np.take_along_axis(out, kept, 0)
+
+
+def _starts(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where another id begins than the one before; null is an id."""
+    ids = ids.combine_chunks()
+    a, b = ids[1:], ids[:-1]
+    return np.append(0, np.flatnonzero(pa.compute.coalesce(pa.compute.not_equal(a, b), pa.compute.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)) + 1)
 
 
 def decode_sessions(probabilities: DataFrame, model: Durations, session: str = "session_id") -> DataFrame:
-    """`session, epoch_idx, state` by Viterbi over each session's epochs; sessions run side by side."""
+    """`session, epoch_idx, state` by Viterbi over each session's epochs; sessions of about one length advance together, of
+    `DECODED` epochs in all or one session."""
     kind = probabilities.schema[session].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch_idx")
-        path = viterbi(np.log(pdf[[f"P_{s}" for s in model.states]].to_numpy(float).clip(1e-12)), model)
-        return pd.DataFrame({session: pdf[session], "epoch_idx": pdf["epoch_idx"], "state": [model.states[k] for k in path]})
-
-    return probabilities.select(session, F.col("epoch_idx").cast("long").alias("epoch_idx"), *[f"P_{s}" for s in model.states]).groupBy(session).applyInPandas(solve, f"`{session}` {kind}, epoch_idx long, state string")
+    columns = [f"P_{s}" for s in model.states]
+
+    def decoded(rows: pa.Table) -> pa.Table:
+        log_p = np.log(np.column_stack([rows.column(c).to_numpy() for c in columns]).astype(float).clip(1e-12))
+        first = _starts(rows.column(session))
+        n = np.diff(np.append(first, len(log_p)))
+        path, size = np.empty(len(log_p), int), np.frexp(n)[1]
+        for k in np.unique(size):
+            own = np.flatnonzero(size == k)
+            own = own[np.argsort(-n[own], kind="stable")]
+            epoch = np.arange(n[own[0]])[:, None]
+            have = epoch < n[own]
+            at = np.where(have, first[own] + epoch, 0)
+            path[at[have]] = viterbi_side_by_side(np.where(have[:, :, None], log_p[at], 0.0), n[own], model)[have]
+        return rows.select([session, "epoch_idx"]).append_column("state", pa.array(np.array(model.states, object)[path], pa.string()))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least = [], DECODED
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < least:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = int(_starts(rows.column(session))[-1])
+            if last:
+                yield from decoded(rows.slice(0, last)).to_batches()
+            held = rows.slice(last).to_batches()
+            least = max(DECODED, 2 * (len(rows) - last))
+        if sum(b.num_rows for b in held):
+            yield from decoded(pa.Table.from_batches(held)).to_batches()
+
+    rows = probabilities.select(session, F.col("epoch_idx").cast("long").alias("epoch_idx"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.repartition(session).sortWithinPartitions(session, "epoch_idx").mapInArrow(solve, f"`{session}` {kind}, epoch_idx long, state string")
 
 
 def bouts_from_epochs(epochs: DataFrame, session: str, label: str, means: list[str]) -> DataFrame:
