@@ -74,3 +74,22 @@ def test_states_that_are_missing(rows):
         bo.train_boosted(rows.where("label <> 'c'"), COLS, STATES)
     with pytest.raises(ValueError):
         bo.train_boosted(rows.where("label <> 'c' or row_id = 2").union(rows.where("label = 'c'").limit(1)), COLS, STATES, folds=2)
+
+
+def test_rows_that_repeat_are_one_row_of_the_fits(spark, rows, monkeypatch):
+    few = rows.select("label", *[(F.round(c) / 1).alias(c) for c in COLS], F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), (F.col("row_id") * 5 + F.col("k")).alias("row_id"))
+    fitted = []
+    real = bo.GBTClassifier.fit
+    monkeypatch.setattr(bo.GBTClassifier, "fit", lambda self, df: fitted.append((df.count(), df.agg(F.sum("weight")).first()[0])) or real(self, df))
+    one = bo.train_boosted(few, COLS, STATES, rounds=2, folds=2)
+    n = few.select("label", *COLS).distinct().count()
+    assert len(fitted) == 6 and all(k <= n < 12_000 / 4 for k, _ in fitted)
+    assert sum(w for _, w in fitted) == pytest.approx(3 * 12_000)  # every row counts in all folds but its own
+    assert all(a < b for own in one.cuts for a, b in zip(own, own[1:]))
+
+
+def test_bins_end_at_their_cuts(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 1, 2, 3, 3, 7)], "x double")
+    assert bo.feature_cuts(df.withColumn("s", F.col("x") > 2), ["x"], "s") == [[1.0, 2.0, 3.0]]
+    got = {r.x: r.b0 for r in bo.binned(df, ["x"], [[1.0, 2.0, 3.0]], "b").collect()}
+    assert got == {1.0: 0.0, 2.0: 1.0, 3.0: 2.0, 7.0: 3.0}

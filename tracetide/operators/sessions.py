@@ -169,9 +169,9 @@ def evaluate_sessions(scored: Scored, labels: DataFrame, plan: Plan) -> Evaluati
 
 
 def signature(model: bo.BoostedModel, plan: Plan) -> str:
-    """A mark of everything that scores depend on: features, trees, calibrators and the plan."""
+    """A mark of everything that scores depend on: features, their bins, trees, calibrators and the plan."""
     trees = [[fold[s].toDebugString for s in model.states] for fold in model.folds]
-    parts = json.dumps([model.cols, model.states, model.curves, asdict(plan)], sort_keys=True) + "".join(t.split("\n", 1)[1] for fold in trees for one in fold for t in [one])
+    parts = json.dumps([model.cols, model.cuts, model.states, model.curves, asdict(plan)], sort_keys=True) + "".join(t.split("\n", 1)[1] for fold in trees for one in fold for t in [one])
     return hashlib.sha256(parts.encode()).hexdigest()[:24]
 
 
