@@ -332,6 +332,28 @@ def test_pair_sums_equal_a_join(spark):
     assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("(i#", "(j#"))  # pairs don't arise as rows of a join
 
 
+def test_tiles_of_sums_add_up_over_blocks_and_batches(spark):
+    """The sums of a tile move as one row and are added as rows come, whatever batches they come in; no table of pairs is built."""
+    rng = np.random.default_rng(6)
+    rows = [(k, u, t, float(rng.integers(9))) for k in ("a", "b") for u in range(7) for t in range(60) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "k string, unit_pos int, sample_idx int, value double")
+    want = {tuple(r) for r in pr.pair_sums(df, ["k"]).collect()}
+    assert len({r[:3] for r in want}) == len(want) == 2 * 21
+    for batch in (1, 2, 5):
+        with_batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.shuffle.partitions": "2"}
+        before = {c: spark.conf.get(c) for c in with_batches}
+        try:
+            for c, v in with_batches.items():
+                spark.conf.set(c, v)
+            got = pr.pair_sums(df, ["k"], 8, 3)
+            rows = [tuple(r) for r in got.collect()]
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v)
+        assert set(rows) == want and len(rows) == len(want)
+        assert "sum(sxy" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sessions_decoded_side_by_side_equal_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(sc, "DECODED", 50)
     model = sc.Durations.build(["a", "b", "c"], {"a": 4.0, "b": 2.0, "c": 6.0}, {"a": 0.7, "b": 0.9, "c": 0.5}, 2.0, 10.0)
