@@ -122,3 +122,8 @@ def test_published_once(spark, session, model, tmp_path):
     assert len(list((tmp_path / "o" / "versions").iterdir())) == 3  # what was scored before is still there
     with pytest.raises(ValueError):
         se.read_scores(spark, str(tmp_path / "none"), "epochs")
+
+
+def test_features_are_made_once_for_labels_training_and_scoring(session):
+    plan = se.session_features(session, PLAN)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("percentile", "Aggregate", "Join", "Window")), plan[:500]

@@ -80,12 +80,13 @@ def session_epochs(session: Session, epoch_s: float) -> DataFrame:
 
 def session_features(session: Session, plan: Plan) -> DataFrame:
     """All features of every epoch, those of its neighbourhood, and quality columns; features are complete and scaled
-    within their session. The table of epochs is a checkpoint, as medians and scaling read it again."""
+    within their session. The table of epochs is a checkpoint, as medians and scaling read it again, and so is the result, as
+    labels, training and scoring each read it."""
     frames = sc.video_masks(session.frames, KEY)
     table = cut(fe.feature_table(session_epochs(session, plan.epoch_s), session.samples, frames, KEY, plan.fs, plan.fs_frames, plan.epoch_s))
     table = sc.context_features(table, KEY, [c for c in plan.context if c in table.columns], plan.context_windows)
     cols = feature_columns(table)
-    return sc.robust_scale(sc.impute(table, KEY, cols), KEY, cols)
+    return cut(sc.robust_scale(sc.impute(table, KEY, cols), KEY, cols))
 
 
 def feature_columns(table: DataFrame) -> list[str]:
