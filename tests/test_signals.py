@@ -367,3 +367,15 @@ def test_sessions_decoded_side_by_side_equal_one_by_one(spark, monkeypatch):
     log_p = np.log(np.stack([parts["x"][:20], parts["v"][:20]], 1))
     both = sc.viterbi_side_by_side(log_p, np.array([20, 9]), model)
     assert both[:, 0].tolist() == sc.viterbi(log_p[:, 0], model).tolist() and both[:9, 1].tolist() == sc.viterbi(log_p[:9, 1], model).tolist()
+
+
+def test_strata_take_exact_medians_from_one_order(spark):
+    rng = np.random.default_rng(9)
+    rows = [(st, ["within_group", "between_same_type", "between_cross_type"][k % 3], f"{k % 2}_1", None if k % 11 == 0 else float(rng.integers(40)) / 8, float(rng.normal())) for k in range(301) for st in ("A", "B", None)]
+    df = spark.createDataFrame([*rows, ("C", "within_group", "0_0", None, None)], "state string, pair_type string, same_type string, r double, z double").repartition(5)
+    got = pr.stratified(df, ["state"])
+    each = F.array_compact(F.array("pair_type", F.when(F.col("pair_type") != "within_group", F.concat(F.lit("type_"), F.col("same_type"))), F.lit("all_pairs")))
+    want = df.withColumn("stratum", F.explode(each)).groupBy("state", "stratum").agg(F.avg("r"), F.percentile("r", F.lit(0.5)), F.avg("z"), F.percentile("z", F.lit(0.5)), F.count(F.lit(1)), F.count("r"))
+    key = lambda d: {tuple(r)[:2]: tuple(None if v is None else round(v, 9) for v in tuple(r)[2:]) for r in d.collect()}
+    assert key(got) == key(want) and len(key(got)) == 3 * 6 + 2
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()  # which holds a stratum's values in one task
