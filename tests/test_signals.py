@@ -379,3 +379,16 @@ def test_strata_take_exact_medians_from_one_order(spark):
     key = lambda d: {tuple(r)[:2]: tuple(None if v is None else round(v, 9) for v in tuple(r)[2:]) for r in d.collect()}
     assert key(got) == key(want) and len(key(got)) == 3 * 6 + 2
     assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()  # which holds a stratum's values in one task
+
+
+def test_bootstrap_draws_the_same_from_lists_as_from_rows(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(t, t * 10 + m, i, i + 1 + j, None if (i, j) == (1, 0) else float(rng.normal())) for t in range(3) for m in range(2 + t) for i in range(3) for j in range(1 + m + t)]
+    df = spark.createDataFrame(rows, "t int, m int, i long, j long, delta double").repartition(4)
+    found = []
+    for most in (0, 6, 4096):
+        monkeypatch.setattr(ss, "PACKED", most)
+        found.append({r.rep: r.statistic for r in ss.bootstrap(df, ["t", "m"], 20).collect()})
+    assert len(found[0]) == 20 and len(set(found[0].values())) > 10
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], abs=1e-12)
