@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tracetide.plans import catalog
+from tracetide.operators import pairs as pr
+from tracetide.plans import catalog, pair_queries, standins
 from tracetide.sources import tables as tb
 from tracetide.streaming import refresh as rf
 
@@ -50,6 +51,24 @@ def test_whole_tables_are_read(spark):
     assert {r.u for r in pairs.select(F.explode(F.array("i", "j")).alias("u")).distinct().collect()} == set(range(12))
 
 
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    sf = SF.replace("0.001", "0.01")
+    means = lambda: sorted(catalog.QUERIES["cell_means"](spark, sf).collect())
+    whole = means()
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(standins, "ROWS_A_TASK", n // 20, raising=False)
+    for df in (standins.suppliers(spark, sf), pair_queries.by_bout(spark, sf)):
+        assert df.rdd.getNumPartitions() >= 20
+    assert means() == whole
+
+
+def test_tiles_of_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 3), (2, 9), (None, 0), (None, 70)], "rec int, unit_pos long")
+    got = pr.tiled(rows, ["rec"], 2).select("rec", "unit_pos", "__ti", "__tj", "__role").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 0, 2), (1, 0, 0, 1, 0), (1, 3, 0, 1, 1), (1, 3, 1, 1, 2), (2, 9, 4, 4, 2)]
+    assert {r["__ti"] for r in pr.tiled(rows.where("rec is null").select("unit_pos"), [], 64).collect()} == {0, 1}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
