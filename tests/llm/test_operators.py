@@ -11,6 +11,8 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -507,3 +509,21 @@ def test_lm_keeps_every_document_whatever_the_blocks(spark, blocks):
     assert sorted(r.doc_id for r in got) == sorted(texts)
     for r in got:
         assert (r.n_tokens, r.n_known) == one[r.doc_id][:2] and r.base_score == pytest.approx(one[r.doc_id][2]) and r.score == pytest.approx(one[r.doc_id][3], rel=1e-6)
+
+
+def test_strings_of_the_suffix_tree_are_short_where_they_move():
+    """Frequent words are small numbers, and what a context gives to its next words is told as whole quarters."""
+    rng = np.random.default_rng(3)
+    at, next_ = np.nonzero(rng.random((300, 400)) < 0.2)
+    kept = {"word": np.arange(1, 400, dtype=np.uint64), "context": rng.integers(1, 2**63, 300).astype(np.uint64), "occurs": rng.integers(16, 4000, 300), "at": at, "next": next_, "trained": rng.integers(0, 9, len(at)), "lower": np.full(len(at), 0.002, np.float32)}
+    dealt = suffix_lm.Dealt(kept, 4, 1 << 16)
+    asked = dealt.ask(7)
+    assert sum(len(x.as_py()) for x in asked.column("data")) < 3 * len(at)
+    told = pa.concat_tables([suffix_lm._judge(asked.filter(pa.compute.equal(asked.column("bucket"), b)), False, 1 << 16) for b in range(4)])
+    quarters = np.concatenate([suffix_lm.unpack(x, (np.int64, np.int64))[1] for x in told.sort_by("bucket").column("told")])
+    gives = np.bincount(at, np.where(kept["trained"] >= 2, kept["trained"] - suffix_lm.DISCOUNT, 0), 300)
+    assert set(quarters) - {0} and set(quarters) <= {0, *(4 * gives).astype(int)}
+    n, rest = dealt.answers(told)
+    retained = rest != 0
+    assert (rest[retained] == 1 - gives[retained] / kept["occurs"][retained]).all()
+    assert (n == np.where((kept["trained"] >= 2) & retained[at], kept["trained"], 0)).all()
